@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pagetext.llm import op2_revisits, op3_url_filter, op5_jaccard_join, op7_mixing, op9_token_counts
+from pagetext.llm import op2_revisits, op10_long_repeats, op3_url_filter, op5_jaccard_join, op7_mixing, op9_token_counts
 
 QUERIES = {
     "op2_revisits": op2_revisits.op2_revisits,
+    "op10_long_repeats": op10_long_repeats.op10_long_repeats,
     "op3_url_filter": op3_url_filter.op3_url_filter,
     "op5_jaccard_join": op5_jaccard_join.op5_jaccard_join,
     "op7_mixing": op7_mixing.op7_mixing,
