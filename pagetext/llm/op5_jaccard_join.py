@@ -25,6 +25,7 @@ from pagetext.llm._components import components
 from pagetext.llm._store import stored
 
 MOST_IN_TASK = 6000
+KEYS_IN_TASK = 2_000_000
 
 
 class Bands:
@@ -70,7 +71,7 @@ def _class_keys(values: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(row, n, keys, near) for (row, text). A key that a batch has seen is not sent again: `near`
+    """(row, id, n, n_keys, keys, near) for (row, id, text). A key that a batch has seen is not sent again: `near`
     names the row that sent it, so one key costs one row for each batch however many have it."""
     bands = Bands(percent)
     for batch in batches:
@@ -87,7 +88,8 @@ def _keyed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Itera
             cuts = np.cumsum([len(k) for k in per])[:-1]
             keys = [k[f] for k, f in zip(per, np.split(fresh, cuts), strict=True)]
             near = [np.unique(rows[o[~f]]) for o, f in zip(np.split(lead, cuts), np.split(fresh, cuts), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([len(s) for s in sets], pa.int64()), list_column(keys, pa.int64()), list_column(near, pa.int64())], ["row", "n", "keys", "near"])
+            n_keys = pa.array([len(k) for k in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array([len(s) for s in sets], pa.int64()), n_keys, list_column(keys, pa.int64()), list_column(near, pa.int64())], ["row", "id", "n", "n_keys", "keys", "near"])
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,11 +231,13 @@ def jaccard_groups(docs: DataFrame, *, width: int = 3, percent: int = 90, id_col
     into blocks that meet pair by pair, in tasks of their own; only links that join groups are
     returned, never all pairs."""
     read = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    keyed = stored(read.select("row", "text").mapInArrow(lambda it: _keyed(it, width, percent), "row bigint, n bigint, keys array<bigint>, near array<bigint>"))
-    by_key = keyed.select(F.explode("keys").alias("key"), "row").repartition("key")
+    kind = docs.schema[id_column].dataType.simpleString()
+    keyed = stored(read.select("row", "id", "text").mapInArrow(lambda it: _keyed(it, width, percent), f"row bigint, id {kind}, n bigint, n_keys bigint, keys array<bigint>, near array<bigint>"))
+    parts = -(-(keyed.agg(F.sum("n_keys")).first()[0] or 1) // KEYS_IN_TASK)
+    by_key = keyed.select(F.explode("keys").alias("key"), "row").repartition(parts, "key")
     touching = by_key.mapInArrow(_together, "a bigint, b bigint").union(keyed.select(F.col("row").alias("a"), F.explode("near").alias("b")))
     clusters = components(stored(touching.distinct())).select(F.col("id").alias("row"), F.col("root").alias("cluster"))
-    valued = stored(read.select("row", "text").join(clusters, "row").mapInArrow(_valued(width), "row bigint, cluster bigint, seal bigint, values array<bigint>"))
+    valued = stored(read.select("row", "text").join(clusters.hint("merge"), "row").mapInArrow(_valued(width), "row bigint, cluster bigint, seal bigint, values array<bigint>"))
     first = valued.groupBy("cluster", "seal").agg(F.min("row").alias("row"))
     same = valued.select("row", "cluster", "seal").join(first.withColumnRenamed("row", "lead"), ["cluster", "seal"]).where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b"))
     leads = valued.join(first.select("row"), "row", "left_semi").select("row", "cluster", "values")
@@ -243,7 +247,7 @@ def jaccard_groups(docs: DataFrame, *, width: int = 3, percent: int = 90, id_col
     tasks = leads.join(sizes, "cluster").select("row", "cluster", "values", paired)
     found = tasks.select("row", "cluster", "pair.i", "pair.j", "values").groupBy("cluster", "i", "j").applyInPandas(_links(percent), "a bigint, b bigint").where("a <> b")
     linked = components(stored(found.union(same)))
-    return keyed.select("row", "n").join(read.select("row", "id"), "row").join(linked.withColumnRenamed("id", "row"), "row", "left").select("row", F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("component"))
+    return keyed.select("row", "id", "n").join(linked.withColumnRenamed("id", "row"), "row", "left").select("row", F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("component"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
