@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagetext.llm import op2_revisits, op10_long_repeats, op3_url_filter, op4_lattice_score, op5_jaccard_join, op6_quality, op7_mixing, op9_token_counts
+from pagetext.llm import op2_revisits, op10_long_repeats, op3_url_filter, op4_lattice_score, op5_jaccard_join, op6_quality, op7_mixing, op8_embedding_dedup, op9_token_counts
 
 QUERIES = {
     "op2_revisits": op2_revisits.op2_revisits,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join.op5_jaccard_join,
     "op6_quality": op6_quality.op6_quality,
     "op7_mixing": op7_mixing.op7_mixing,
+    "op8_embedding_dedup": op8_embedding_dedup.op8_embedding_dedup,
     "op9_token_counts": op9_token_counts.op9_token_counts,
 }
 ORACLES = {
