@@ -171,7 +171,7 @@ def _split(frequent, end_base: float, end_score: float, end_known: int):
 
 
 def _summed(pieces, total: int, discount: float, spread: float):
-    """Sums by row within a batch, words that training doesn't have spelt by the lattice."""
+    """Each word's part of its row's sums; words that training doesn't have are spelt by the lattice."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces.value)
@@ -191,10 +191,8 @@ def _summed(pieces, total: int, discount: float, spread: float):
                 own = np.logaddexp2(kept / math.log10(2), (math.log10(spread) + spelt) / math.log10(2)) * math.log10(2)
             else:
                 own = spelt
-            row, back = np.unique(batch.column("row").to_numpy(), return_inverse=True)
-            add = lambda x: np.bincount(back, x, len(row))  # noqa: E731,B023
-            columns = [add(batch.column("tokens").to_numpy()).astype(np.int64), add(batch.column("known").to_numpy() + n * (c > 0)).astype(np.int64), add(batch.column("base").to_numpy() + n * np.log10(c + 0.5)), add(batch.column("score").to_numpy() + n * own)]
-            yield pa.RecordBatch.from_arrays([pa.array(row), *map(pa.array, columns)], ["row", "tokens", "known", "base", "score"])
+            columns = [batch.column("tokens"), pa.array(batch.column("known").to_numpy() + (n * (c > 0)).astype(np.int64)), pa.array(batch.column("base").to_numpy() + n * np.log10(c + 0.5)), pa.array(batch.column("score").to_numpy() + n * own)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "tokens", "known", "base", "score"])
 
     return sums
 
