@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pagetext.llm import op2_revisits, op10_long_repeats, op3_url_filter, op4_lattice_score, op5_jaccard_join, op6_quality, op7_mixing, op8_embedding_dedup, op9_token_counts
+from pagetext.llm import op1_decontaminate, op2_revisits, op10_long_repeats, op3_url_filter, op4_lattice_score, op5_jaccard_join, op6_quality, op7_mixing, op8_embedding_dedup, op9_token_counts
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate.op1_decontaminate,
     "op2_revisits": op2_revisits.op2_revisits,
     "op10_long_repeats": op10_long_repeats.op10_long_repeats,
     "op3_url_filter": op3_url_filter.op3_url_filter,
