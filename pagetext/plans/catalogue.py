@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pagetext.plans import regions
+from pagetext.plans import regions, replies, spend
 
-_MODULES = (regions,)
+_MODULES = (regions, replies, spend)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -85,7 +85,11 @@ b AS (SELECT *, '[{"i":0,"tl":"first ' || reply_id || '","t":"sfx"},{"i":"1","tl
 SELECT reply_id, shape, CASE shape
   WHEN 0 THEN '{"translations":' || items || '}'
   WHEN 1 THEN items
-  WHEN 2 THEN '""",
+  WHEN 2 THEN '```json ' || '{"translations":' || items || '}' || ' ```'
+  WHEN 3 THEN 'thinking about "translations" first. {"translations":' || items || '}'
+  WHEN 4 THEN '{"model":{"name":"x"},"translations":' || items || '}'
+  ELSE 'no json here at all' END AS body
+FROM b""",
     "f6_sent": """SELECT conv_id * 100 + turn AS reply_id, n_nationkey AS i,
   CASE n_nationkey WHEN 3 THEN substr(text, 1, 1) ELSE substr(text, 1 + 10 * n_nationkey, 9) END AS text,
   CAST(10 + 20 * n_nationkey AS DOUBLE) AS cx, CAST(90 - 20 * n_nationkey AS DOUBLE) AS cy
