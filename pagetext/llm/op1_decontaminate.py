@@ -82,6 +82,7 @@ class Index:
         self.impact = [np.array([x for _, x in p]) for p in lists]
         self.block_max = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in self.impact]
         self.most = np.array([x.max() for x in self.impact] or [0.0])
+        self.essential: Essential | None = None
 
     def search(self, query: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items that score at least the threshold, by block-max WAND."""
@@ -126,35 +127,63 @@ class Index:
                     c[0] = int(self.at[c[2]][c[1]]) if c[1] < len(self.at[c[2]]) else end
 
 
+class Essential:
+    """Postings that a passage needs some of: each item's terms but for its most frequent ones, whose
+    impacts together stay below a share of the threshold. A passage that scores the threshold on an
+    item gets the rest of it from the item's essential terms, whichever terms were taken as frequent."""
+
+    def __init__(self, index: Index, seen: np.ndarray, threshold: float, share: float = 0.6):
+        term = np.repeat(np.arange(len(index.at)), [len(a) for a in index.at])
+        item = np.concatenate(index.at) if len(term) else np.zeros(0, int)
+        impact = np.concatenate(index.impact) if len(term) else np.zeros(0)
+        order = np.lexsort((-seen[term], item))
+        term, item, impact = term[order], item[order], impact[order]
+        first = np.searchsorted(item, item)
+        run = np.concatenate([[0.0], np.cumsum(impact)])
+        frequent = run[1:] - run[first] < share * threshold
+        self.low = np.bincount(item[frequent], impact[frequent], len(index.items))
+        order = np.argsort(term[~frequent], kind="stable")
+        self.item, self.impact = item[~frequent][order], impact[~frequent][order]
+        self.n = np.bincount(term[~frequent], minlength=len(index.at))
+        self.start = np.cumsum(self.n) - self.n
+
+
 def _passages(index: Index, texts: list[bytes], threshold: float) -> Iterator[tuple[int, int, list[bytes], list[int]]]:
-    """(text, first word, words, distinct terms) of the passages whose terms' greatest impacts reach
-    the threshold: WAND's first test, for all passages of a slice at once. Passages are two
-    strides long and overlap by one; an item is at most a stride long."""
+    """(text, first word, words, distinct terms) of the passages that can score the threshold on some
+    item, by their essential terms. Passages are two strides long and overlap by one; an item is
+    at most a stride long."""
     stride = max(LEAST_STRIDE, index.longest)
     words = [WORD.findall(t.lower()) for t in texts]
-    flat = np.fromiter((index.terms.get(w, -1) for own in words for w in own), np.int64)
+    known = index.terms.get
+    flat = np.fromiter((known(w, -1) for own in words for w in own), np.int64)
     n = np.array([len(w) for w in words])
-    text = np.repeat(np.arange(len(words)), n)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    keep = flat >= 0
-    flat, text, place = flat[keep], text[keep], place[keep]
+    if index.essential is None:
+        index.essential = Essential(index, np.bincount(flat[flat >= 0], minlength=len(index.terms)), threshold)
+    some = index.essential
+    keep = np.flatnonzero((flat >= 0) & (some.n[flat] > 0))
+    text = np.searchsorted(np.cumsum(n), keep, "right")
+    place, flat = keep - (np.cumsum(n) - n)[text], flat[keep]
     blocks = -(-n // stride)
     first_block = np.cumsum(blocks) - blocks
     order = np.lexsort((place, flat, text))
     same = (text[order][1:] == text[order][:-1]) & (flat[order][1:] == flat[order][:-1])
     before = np.full(len(flat), -1)
     before[order[1:][same]] = place[order[:-1][same]]
-    block = place // stride
-    bound = np.zeros(int(blocks.sum()) + 1)
+    keys, gains = [], []
     for shift in (0, 1):  # a passage has its own stride and the next
-        start = block - shift
-        new = (start >= 0) & (before < start * stride)
-        bound += np.bincount((first_block[text] + start)[new], index.most[flat[new]], len(bound))
-    for p in np.flatnonzero(bound[:-1] >= threshold - 1e-9):
+        start = place // stride - shift
+        new = np.flatnonzero((start >= 0) & (before < start * stride))
+        many = some.n[flat[new]]
+        at = np.repeat(some.start[flat[new]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        keys.append(np.repeat(first_block[text[new]] + start[new], many) * len(index.items) + some.item[at])
+        gains.append(some.impact[at])
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    bound = np.bincount(back, np.concatenate(gains), len(key)) + some.low[key % max(1, len(index.items))]
+    for p in np.unique(key[bound >= threshold - 1e-9] // max(1, len(index.items))):
         t = int(np.searchsorted(first_block, p, "right")) - 1
         low = int(p - first_block[t]) * stride
         own = words[t][low : low + 2 * stride]
-        yield t, low, own, sorted({k for w in own if (k := index.terms.get(w)) is not None})
+        yield t, low, own, sorted({k for w in own if (k := known(w)) is not None})
 
 
 _indexes: dict[str, Index] = {}
