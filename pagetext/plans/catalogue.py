@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pagetext.plans import library, regions, replies, spend
+from pagetext.plans import library, matching, regions, replies, spend, streams
 
-_MODULES = (library, regions, replies, spend)
+_MODULES = (library, matching, regions, replies, spend, streams)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -1,0 +1 @@
+"""Archives, images and OCR engines as table functions."""
