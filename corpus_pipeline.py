@@ -38,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the least doc_id (null last, then the first row)."""
-    groups = stored(jaccard_groups(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT))
+    groups = stored(jaccard_groups(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT, sizes=False))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     stays = groups.groupBy("component").agg(F.min_by("row", order).alias("row"), F.count("*").alias("n")).where("n > 1")
     goes = groups.join(stays.select("component"), "component", "left_semi").join(stays.select("row"), "row", "left_anti").select("row")

@@ -136,3 +136,16 @@ def list_column(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     np.cumsum([len(p) for p in parts], out=offsets[1:])
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
+
+
+def packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each bucket, its columns as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    fresh = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+    ends = np.append(fresh[1:], len(bucket))
+    arrays = [pa.array(bucket[fresh].astype(np.int32))]
+    for values in columns.values():
+        values = np.ascontiguousarray(values[order])
+        arrays.append(pa.array([values[s:e].tobytes() for s, e in zip(fresh, ends, strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm._arrays import SLICE_BYTES, buffers, mix, powers, slices
+from pagetext.llm._arrays import SLICE_BYTES, buffers, mix, packed, powers, slices
 from pagetext.llm._store import stored
 
 LENGTH = 400
@@ -86,19 +86,6 @@ def _suffixes(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row for each bucket, its columns as bytes."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    fresh = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-    ends = np.append(fresh[1:], len(bucket))
-    arrays = [pa.array(bucket[fresh].astype(np.int32))]
-    for values in columns.values():
-        values = np.ascontiguousarray(values[order])
-        arrays.append(pa.array([values[s:e].tobytes() for s, e in zip(fresh, ends, strict=True)], pa.binary()))
-    return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])
-
-
 _SUFFIX = {"key": np.uint64, "whole": np.uint64, "row": np.int64, "at": np.int32, "near": np.int16, "far": np.int16, "twice": np.bool_}
 _SUFFIX_ROWS = "bucket int, " + ", ".join(f"{k} binary" for k in _SUFFIX)
 
@@ -118,7 +105,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = lead[back] != np.arange(len(key))
             bucket[rest] = mix(np.arange(len(key), dtype=np.uint64))[rest] >> np.uint64(52)
             rows = part.column("row").to_numpy()[row[piece]]
-            yield _packed(bucket, {"key": key, "whole": np.where(rest, np.uint64(0), whole), "row": rows, "at": (place + low[piece] - at[row[piece]]).astype(np.int32), "near": near.astype(np.int16), "far": far.astype(np.int16), "twice": twice})
+            yield packed(bucket, {"key": key, "whole": np.where(rest, np.uint64(0), whole), "row": rows, "at": (place + low[piece] - at[row[piece]]).astype(np.int32), "near": near.astype(np.int16), "far": far.astype(np.int16), "twice": twice})
 
 
 class Levels:
@@ -210,8 +197,8 @@ def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, row, at, near, far, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
             bucket = (key >> np.uint64(52)).astype(np.int64)
             wide = np.repeat(bucket, far - near + 1)
-            plain = _packed(bucket, {"row": row, "at": at.astype(np.int32), "near": near.astype(np.int16), "far": far.astype(np.int16)})
-            yield pa.RecordBatch.from_arrays([*plain.columns, _packed(wide, {"hashes": hashes}).column(1)], ["bucket", *_WINDOW])
+            plain = packed(bucket, {"row": row, "at": at.astype(np.int32), "near": near.astype(np.int16), "far": far.astype(np.int16)})
+            yield pa.RecordBatch.from_arrays([*plain.columns, packed(wide, {"hashes": hashes}).column(1)], ["bucket", *_WINDOW])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,6 +152,8 @@ def _passages(index: Index, texts: list[bytes], threshold: float) -> Iterator[tu
     """(text, first word, words, distinct terms) of the passages that can score the threshold on some
     item, by their essential terms. Passages are two strides long and overlap by one; an item is
     at most a stride long."""
+    if not index.items:
+        return
     stride = max(LEAST_STRIDE, index.longest)
     words = [WORD.findall(t.lower()) for t in texts]
     known = index.terms.get

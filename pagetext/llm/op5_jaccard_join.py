@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm._arrays import list_column, mix, shingle_sets, slices
+from pagetext.llm._arrays import list_column, mix, packed, shingle_sets, slices
 from pagetext.llm._components import components
 from pagetext.llm._store import stored
 
 MOST_IN_TASK = 6000
 KEYS_IN_TASK = 2_000_000
+BYTES_A_WORD = 6
 
 
 class Bands:
@@ -70,45 +71,61 @@ def _class_keys(values: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(found)
 
 
+_KEYS = "bucket int, keys binary, offsets binary, first bigint, a binary, b binary"
+
+
 def _keyed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(row, id, n, n_keys, keys, near) for (row, id, text). A key that a batch has seen is not sent again: `near`
-    names the row that sent it, so one key costs one row for each batch however many have it."""
+    """Keys of (row, text), dealt by their first 12 bits, the next 48 in `keys` and the row's distance from
+    `first` in `offsets`. Of a key that a batch holds more than once one goes on; the other rows are
+    paired with its row in a and b, so a key costs one entry for each batch however many have it."""
     bands = Bands(percent)
     for batch in batches:
         for first, last in slices(batch.column("text")):
             part = batch.slice(first, last - first)
-            sets = shingle_sets(part.column("text"), width)
             rows = part.column("row").to_numpy()
-            per = [_class_keys(s, bands) for s in sets]
+            per = [_class_keys(s, bands) for s in shingle_sets(part.column("text"), width)]
             flat = np.concatenate(per)
             owner = np.repeat(np.arange(len(per)), [len(k) for k in per])
             _, lead, back = np.unique(flat, return_index=True, return_inverse=True)
             lead = owner[lead][back]
             fresh = lead == owner
-            cuts = np.cumsum([len(k) for k in per])[:-1]
-            keys = [k[f] for k, f in zip(per, np.split(fresh, cuts), strict=True)]
-            near = [np.unique(rows[o[~f]]) for o, f in zip(np.split(lead, cuts), np.split(fresh, cuts), strict=True)]
-            n_keys = pa.array([len(k) for k in keys], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array([len(s) for s in sets], pa.int64()), n_keys, list_column(keys, pa.int64()), list_column(near, pa.int64())], ["row", "id", "n", "n_keys", "keys", "near"])
+            bits = np.ascontiguousarray((flat[fresh] & np.uint64((1 << 48) - 1)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+            dealt = packed((flat[fresh] >> np.uint64(52)).astype(np.int64), {"keys": bits, "offsets": (rows[owner[fresh]] - rows[0]).astype(np.uint32)})
+            near = np.unique(np.stack([rows[owner[~fresh]], rows[lead[~fresh]]]), axis=1)
+            blank = [b""] * dealt.num_rows
+            columns = [*dealt.columns, pa.array(np.full(dealt.num_rows, rows[0]))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(blank, pa.binary()), pa.array(blank, pa.binary())], _names(_KEYS))
+            if near.size:
+                yield pa.RecordBatch.from_arrays([pa.array([int(rows[0]) % 4096], pa.int32()), pa.array([b""]), pa.array([b""]), pa.array([0]), pa.array([near[0].tobytes()]), pa.array([near[1].tobytes()])], _names(_KEYS))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): rows with a common key, from one partition of (key, row), as stars round the least row."""
-    keys, rows = [], []
+    """(a, b): rows with a common key, from one partition of dealt keys, as stars round the least row."""
+    keys, rows, pairs = [], [], []
     for batch in batches:
-        keys.append(batch.column(0).to_numpy())
-        rows.append(batch.column(1).to_numpy())
+        for bucket, bits, offsets, first, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            six = np.frombuffer(bits, np.uint8).reshape(-1, 6)
+            whole = np.zeros((len(six), 8), np.uint8)
+            whole[:, :6] = six
+            keys.append(whole.view("<u8").ravel() | np.uint64(bucket << 48))
+            rows.append(np.frombuffer(offsets, np.uint32).astype(np.int64) + first)
+            pairs.append(np.stack([np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)]))
     if not keys:
         return
     key, row = np.concatenate(keys), np.concatenate(rows)
-    order = np.argsort(key, kind="stable")
-    key, row = key[order], row[order]
-    fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    least = np.repeat(np.minimum.reduceat(row, fresh), np.diff(np.append(fresh, len(key))))
-    other = row != least
-    if other.any():
-        pairs = np.unique(np.stack([row[other], least[other]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+    if len(key):
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        fresh = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        least = np.repeat(np.minimum.reduceat(row, fresh), np.diff(np.append(fresh, len(key))))
+        pairs.append(np.stack([row, least])[:, row != least])
+    found = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    if found.size:
+        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
 
 class _Cluster:
@@ -208,6 +225,14 @@ def _links(percent: int):
     return solved
 
 
+def _sized(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, last in slices(batch.column("text")):
+            part = batch.slice(first, last - first)
+            n = [len(s) for s in shingle_sets(part.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(n, pa.int64())], ["row", "id", "n"])
+
+
 def _valued(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,22 +245,23 @@ def _valued(width: int):
     return sets
 
 
-def jaccard_groups(docs: DataFrame, *, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text", most_in_task: int = MOST_IN_TASK) -> DataFrame:
+def jaccard_groups(docs: DataFrame, *, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text", most_in_task: int = MOST_IN_TASK, sizes: bool = True) -> DataFrame:
     """(row, id, n_shingles, component) for each row: `component` is the row number of the least row
     that links reach. Two rows are linked where 100 * intersection >= percent * union of their sets
     of `width`-word shingles (64-bit hashes of A-Z lower-cased words); with fewer words the whole
     sequence is the one shingle; null, empty and blank texts are linked with nothing.
 
+    Without `sizes` n_shingles is null, and the texts are read once less. Keys are compared by 60 bits: a
+    false meeting only lets two clusters be looked at together.
+
     Row numbers stand for rows, so repeated ids and rows are told apart; they follow the input's
     files. Equal sets meet as one set. A cluster of more than most_in_task distinct sets is cut
     into blocks that meet pair by pair, in tasks of their own; only links that join groups are
     returned, never all pairs."""
     read = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    kind = docs.schema[id_column].dataType.simpleString()
-    keyed = stored(read.select("row", "id", "text").mapInArrow(lambda it: _keyed(it, width, percent), f"row bigint, id {kind}, n bigint, n_keys bigint, keys array<bigint>, near array<bigint>"))
-    parts = -(-(keyed.agg(F.sum("n_keys")).first()[0] or 1) // KEYS_IN_TASK)
-    by_key = keyed.select(F.explode("keys").alias("key"), "row").repartition(parts, "key")
-    touching = by_key.mapInArrow(_together, "a bigint, b bigint").union(keyed.select(F.col("row").alias("a"), F.explode("near").alias("b")))
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    parts = max(1, int(size / BYTES_A_WORD * 2.5 * (100 - percent) / percent / KEYS_IN_TASK))
+    touching = read.select("row", "text").mapInArrow(lambda it: _keyed(it, width, percent), _KEYS).repartition(parts, "bucket").mapInArrow(_together, "a bigint, b bigint")
     clusters = components(stored(touching.distinct())).select(F.col("id").alias("row"), F.col("root").alias("cluster"))
     valued = stored(read.select("row", "text").join(clusters.hint("merge"), "row").mapInArrow(_valued(width), "row bigint, cluster bigint, seal bigint, values array<bigint>"))
     first = valued.groupBy("cluster", "seal").agg(F.min("row").alias("row"))
@@ -247,7 +273,9 @@ def jaccard_groups(docs: DataFrame, *, width: int = 3, percent: int = 90, id_col
     tasks = leads.join(sizes, "cluster").select("row", "cluster", "values", paired)
     found = tasks.select("row", "cluster", "pair.i", "pair.j", "values").groupBy("cluster", "i", "j").applyInPandas(_links(percent), "a bigint, b bigint").where("a <> b")
     linked = components(stored(found.union(same)))
-    return keyed.select("row", "id", "n").join(linked.withColumnRenamed("id", "row"), "row", "left").select("row", F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("component"))
+    kind = docs.schema[id_column].dataType.simpleString()
+    sized = read.mapInArrow(lambda it: _sized(it, width), f"row bigint, id {kind}, n bigint") if sizes else read.select("row", "id", F.lit(None).cast("bigint").alias("n"))
+    return sized.join(linked.withColumnRenamed("id", "row"), "row", "left").select("row", F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("component"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
