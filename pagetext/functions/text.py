@@ -8,9 +8,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
@@ -20,7 +21,7 @@ def fold_text(c: Column) -> Column:
     return F.regexp_replace(F.lower(_decomposed(c)), "[^a-z0-9]+", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratcliff(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of each pair."""
     return pd.Series([0.0 if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])

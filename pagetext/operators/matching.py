@@ -58,8 +58,8 @@ def match_regions(a: DataFrame, b: DataFrame, min_ratio: float = 0.45, metric: s
         first = left.withColumn("_a", F.row_number().over(Window.partitionBy("page_id", "a").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("page_id", "b").orderBy(*order)))
         won = cut(first.where("_a = 1 AND _b = 1").drop("_a", "_b"))
         rounds.append(won)
-        left = cut(left.join(won.select("page_id", "a"), ["page_id", "a"], "left_anti").join(won.select("page_id", "b"), ["page_id", "b"], "left_anti"))
-    return reduce(DataFrame.union, rounds) if rounds else left
+        left = cut(left.join(won.select("page_id", "a"), ["page_id", "a"], "left_anti").join(won.select("page_id", "b"), ["page_id", "b"], "left_anti").select(*won.columns))
+    return reduce(DataFrame.unionByName, rounds) if rounds else left
 
 
 def matched_regions(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
