@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +19,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _labels(keys: list[str]):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Least labels of all pages of a partition at once, by halving paths until nothing changes."""
+        edges = pd.concat([*batches, pd.DataFrame(columns=[*keys, "a", "b"])], ignore_index=True)
+        if edges.empty:
+            return
+        ends = pd.concat([edges[[*keys, side]].set_axis([*keys, "frag_id"], axis=1) for side in "ab"], ignore_index=True)
+        node = ends.groupby([*keys, "frag_id"], sort=True).ngroup().to_numpy()
+        a, b = node[: len(edges)], node[len(edges) :]
+        label = np.arange(node.max() + 1)
+        while True:
+            least = np.minimum(label[a], label[b])
+            after = label.copy()
+            np.minimum.at(after, a, least)
+            np.minimum.at(after, b, least)
+            after = after[after]
+            if (after == label).all():
+                break
+            label = after
+        first = np.zeros(len(label), int)
+        first[node] = np.arange(len(node))
+        rows = ends.iloc[first].reset_index(drop=True)
+        yield rows.assign(group_id=rows["frag_id"].to_numpy()[label])
+
+    return work
+
+
 def group_components(nodes: DataFrame, edges: DataFrame, *also: str) -> DataFrame:
     """nodes(page_id, *also, frag_id) with group_id, the least member that edges(a, b) reach.
 
-    Labels start at the least neighbour; each round takes the neighbours' least label and then the
-    label's own label, until nothing changes. All joins are on the page, so partitions are reused."""
+    A component lies inside a page, so one shuffle by page brings each together; the pages of a
+    partition are labelled at once. Nodes without edges are groups of their own."""
     keys = ["page_id", *also]
-    both = cut(edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
-    least = both.groupBy(*keys, F.col("a").alias("frag_id")).agg(F.min("b").alias("near"))
-    labels = cut(least.select(*keys, "frag_id", F.least("frag_id", "near").alias("group_id")))
-    while True:
-        near = both.join(labels.select(*keys, F.col("frag_id").alias("b"), "group_id"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("frag_id")).agg(F.min("group_id").alias("near"))
-        closer = labels.join(near, [*keys, "frag_id"]).select(*keys, "frag_id", F.col("group_id").alias("was"), F.least("group_id", "near").alias("group_id"))
-        jump = labels.select(*keys, F.col("frag_id").alias("group_id"), F.col("group_id").alias("next"))
-        after = cut(closer.join(jump, [*keys, "group_id"], "left").select(*keys, "frag_id", "was", F.coalesce(F.least("group_id", "next"), "group_id").alias("group_id")))
-        labels = after.drop("was")
-        if after.where("was <> group_id").isEmpty():
-            break
+    kinds = dict(edges.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"frag_id {kinds['a']}", f"group_id {kinds['a']}"])
+    labels = edges.select(*keys, "a", "b").repartition(*keys).mapInPandas(_labels(keys), schema)
     return nodes.join(labels, [*keys, "frag_id"], "left").select(*keys, "frag_id", F.coalesce("group_id", "frag_id").alias("group_id"))

@@ -141,8 +141,8 @@ def residual_check(before: DataFrame, after: DataFrame, boxes: DataFrame, share:
     both = p.join(q, (F.col("p.page_id") == F.col("q.page_id")) & (F.col("p.y") == F.col("q.y")) & (low <= high)).select("p.page_id", "p.y", low.alias("x0"), high.alias("x1"))
     b, r = boxes.alias("b"), both.alias("r")
     l2, h2 = F.greatest("r.x0", "b.x1"), F.least("r.x1", F.col("b.x2") - 1)
-    inside = b.join(r, (F.col("b.page_id") == F.col("r.page_id")) & (F.col("r.y") >= F.col("b.y1")) & (F.col("r.y") < F.col("b.y2")) & (l2 <= h2)).select(F.struct("b.page_id", "b.box_id").alias("page_id"), F.col("r.y").alias("y"), l2.alias("x0"), h2.alias("x1"))
+    inside = b.join(r, (F.col("b.page_id") == F.col("r.page_id")) & (F.col("r.y") >= F.col("b.y1")) & (F.col("r.y") < F.col("b.y2")) & (l2 <= h2)).select(F.concat_ws(":", F.col("b.page_id"), F.col("b.box_id")).alias("page_id"), F.col("r.y").alias("y"), l2.alias("x0"), h2.alias("x1"))
     blobs = components_of_runs(inside).groupBy("page_id", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")).groupBy("page_id").agg(F.sum("n").alias("pixels"), F.max("n").alias("blob"))
-    told = boxes.join(blobs.select("page_id.page_id", "page_id.box_id", "pixels", "blob"), ["page_id", "box_id"], "left").na.fill(0, ["pixels", "blob"])
+    told = boxes.join(blobs.select(F.split_part("page_id", F.lit(":"), F.lit(1)).cast("bigint").alias("page_id"), F.split_part("page_id", F.lit(":"), F.lit(2)).cast("int").alias("box_id"), "pixels", "blob"), ["page_id", "box_id"], "left").na.fill(0, ["pixels", "blob"])
     part = F.try_divide(F.col("pixels").cast("double"), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
     return told.withColumn("share", F.round(part, 6)).withColumn("flagged", (part >= share) | (F.col("blob") >= blob))

@@ -93,7 +93,7 @@ SELECT side, page_id, item_id, CASE WHEN stuck THEN 8.0::DOUBLE ELSE round(cx, 6
     "background_route": f"""WITH r AS (SELECT region_id, tone, n, sum(n) OVER (PARTITION BY region_id ORDER BY tone) AS below, sum(n) OVER (PARTITION BY region_id) AS all_n FROM {F16}), m AS (SELECT *, min(CASE WHEN 2 * below >= all_n THEN tone END) OVER (PARTITION BY region_id) AS median FROM r)
 SELECT region_id, median, CASE WHEN sum(CASE WHEN abs(tone - median) <= 18 THEN n ELSE 0 END) / sum(n)::DOUBLE >= 0.85 THEN 'flat' ELSE 'inpaint' END AS route, CASE WHEN sum(tone * n) / sum(n)::DOUBLE < 128 THEN 'white' ELSE 'black' END AS label FROM m GROUP BY 1, 2""",
     "components_of_runs": f"WITH {_LOBES} SELECT page_id, CAST(y AS INT) AS y, x0, x1, CAST(label AS BIGINT) AS label FROM l",
-    "fill_holes": f"WITH {_LOBES} SELECT page_id, CAST(label AS BIGINT) AS label, CAST(sum(x1 - x0 + 1) + CASE WHEN label = 1000010 AND page_id % 3 = 0 THEN 44 ELSE 0 END AS BIGINT) AS pixels FROM l GROUP BY 1, 2",
+    "fill_holes": f"WITH {_LOBES} SELECT page_id, CAST(label AS BIGINT) AS label, CAST(sum(x1 - x0 + 1) + CASE WHEN label = 1000010 AND page_id % 3 = 0 THEN 44 ELSE 0 END AS BIGINT) AS pixels FROM l GROUP BY page_id, label",
     "column_extents": f"WITH {_LOBES}, {_COLUMNS} SELECT page_id, CAST(label AS BIGINT) AS label, CAST(x AS INT) AS x, CAST(extent AS INT) AS extent FROM ext",
     "box_label": f"SELECT DISTINCT page_id, box_id, CAST(CASE WHEN box_id = 3 THEN 0 WHEN box_id = 1 OR page_id % 2 = 0 THEN 1000010 ELSE 1000070 END AS BIGINT) AS label FROM {F13}, (SELECT unnest([1, 2, 3]) AS box_id)",
     "box_coverage": f"SELECT DISTINCT page_id, box_id, CASE WHEN box_id = 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS share FROM {F13}, (SELECT unnest([1, 2, 3]) AS box_id)",
