@@ -240,7 +240,7 @@ def _valued(width: int):
                 part = batch.slice(first, last - first)
                 found = shingle_sets(part.column("text"), width)
                 seal = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in found]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("cluster"), pa.array(seal, pa.int64()), list_column(found, pa.int64())], ["row", "cluster", "seal", "values"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("cluster"), part.column("sets"), pa.array(seal, pa.int64()), list_column(found, pa.int64())], ["row", "cluster", "sets", "seal", "values"])
 
     return sets
 
@@ -263,14 +263,17 @@ def jaccard_groups(docs: DataFrame, *, width: int = 3, percent: int = 90, id_col
     parts = max(1, int(size / BYTES_A_WORD * 2.5 * (100 - percent) / percent / KEYS_IN_TASK))
     touching = read.select("row", "text").mapInArrow(lambda it: _keyed(it, width, percent), _KEYS).repartition(parts, "bucket").mapInArrow(_together, "a bigint, b bigint")
     clusters = components(stored(touching.distinct())).select(F.col("id").alias("row"), F.col("root").alias("cluster"))
-    valued = stored(read.select("row", "text").join(clusters.hint("merge"), "row").mapInArrow(_valued(width), "row bigint, cluster bigint, seal bigint, values array<bigint>"))
-    first = valued.groupBy("cluster", "seal").agg(F.min("row").alias("row"))
-    same = valued.select("row", "cluster", "seal").join(first.withColumnRenamed("row", "lead"), ["cluster", "seal"]).where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b"))
-    leads = valued.join(first.select("row"), "row", "left_semi").select("row", "cluster", "values")
-    sizes = leads.groupBy("cluster").agg(F.count("*").alias("sets")).where("sets > 1").withColumn("blocks", F.when(F.col("sets") > most_in_task, F.ceil(F.col("sets") * 2 / most_in_task)).otherwise(F.lit(1)))
+    texts = read.select("row", "text")
+    valued = lambda of: texts.join(of.hint("merge"), "row").mapInArrow(_valued(width), "row bigint, cluster bigint, sets bigint, seal bigint, values array<bigint>")
+    sealed = stored(valued(clusters.withColumn("sets", F.lit(1).cast("bigint"))).select("row", "cluster", "seal"))  # the sets are made again below rather than written
+    first = sealed.groupBy("cluster", "seal").agg(F.min("row").alias("row"))
+    same = sealed.join(first.withColumnRenamed("row", "lead"), ["cluster", "seal"]).where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b"))
+    many = first.groupBy("cluster").agg(F.count("*").alias("sets")).where("sets > 1")
+    placed = stored(first.join(many, "cluster").select("row", "cluster", "sets"))
+    blocks = F.when(F.col("sets") > most_in_task, F.ceil(F.col("sets") * 2 / most_in_task)).otherwise(F.lit(1)).cast("bigint")
     block = F.pmod(F.xxhash64("row"), F.col("blocks"))
     paired = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda other: F.struct(F.least(block, other).alias("i"), F.greatest(block, other).alias("j")))).alias("pair")
-    tasks = leads.join(sizes, "cluster").select("row", "cluster", "values", paired)
+    tasks = valued(placed).withColumn("blocks", blocks).select("row", "cluster", "values", paired)
     found = tasks.select("row", "cluster", "pair.i", "pair.j", "values").groupBy("cluster", "i", "j").applyInPandas(_links(percent), "a bigint, b bigint").where("a <> b")
     linked = components(stored(found.union(same)))
     kind = docs.schema[id_column].dataType.simpleString()
