@@ -9,7 +9,7 @@ from test_llm import DOCS, corpus, words
 
 def test_stages(spark, tmp_path):
     rng = random.Random(4)
-    item = words(rng, 30, 9000)
+    item = words(rng, 30)
     extra = [(900, item, "en", "a", 1, None, None), (901, "#%$@!|" * 90, "en", "a", 1, None, None)]
     docs = spark.createDataFrame([*corpus(), *extra], DOCS)
     spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
