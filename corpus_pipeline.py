@@ -17,6 +17,7 @@ ORACLE_SQL = None
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
+REPEATED_WORDS = 51
 
 
 def _packed(docs: DataFrame, *keys: str) -> DataFrame:
@@ -47,8 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that long repeated strings cover; n_chars follows."""
-    left = long_repeats(_packed(docs), id_column="document", keep_text=True)
+    """All documents, without the bytes that repeated strings of 400 bytes or passages of 51 words cover; n_chars follows."""
+    left = long_repeats(_packed(docs), id_column="document", keep_text=True, words=REPEATED_WORDS)
     text = F.when((F.col("n_removed") == 0) & F.col("document.no_text"), F.lit(None)).otherwise(F.col("left"))
     cut = left.select("document", text.alias("text"), "n_removed")
     columns = []

@@ -85,8 +85,8 @@ def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(at, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, A-Z lower-cased."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """64-bit hash of each word, its bytes folded: A-Z lower-cased."""
     out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):
@@ -95,7 +95,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         high = ends[last - 1]
         up, down = powers(int(high - low) + 1)
         sums = np.zeros(int(high - low) + 1, np.uint64)
-        np.cumsum((LOWER[data[low:high]].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        np.cumsum((fold[data[low:high]].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
         s, e = starts[first:last] - low, ends[first:last] - low
         out[first:last] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         first = last

@@ -7,33 +7,68 @@ Suffixes are ordered by the hash of their first KEY bytes and of the whole stret
 windows span. Hash-partitioned parts of the array are kept as families of sorted levels: each new
 batch is sorted, levels of like size merge, and a scan over neighbours finds suffixes that agree.
 Stretches equal as a whole are repeated; where only the keys agree, the windows are compared one
-by one in a second pass.
+by one in a second pass. Passages of so many words go the same way, over one hash a word.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm._arrays import SLICE_BYTES, buffers, mix, packed, powers, slices
+from pagetext.llm._arrays import SLICE_BYTES, buffers, mix, packed, powers, slices, spans, word_hashes
 from pagetext.llm._store import stored
 
 LENGTH = 400
-GRAM = 12
-KEY = 100
-SPACING = 50
-FARTHEST = LENGTH - KEY  # of an anchor from the start of its windows
 BUCKETS = 4096
+_EXACT = np.arange(256, dtype=np.uint8)
 _LOOSE = np.uint64(0xA5A5_1234_9876_5A5B)
 
 
+@dataclass(frozen=True)
+class _Shape:
+    """Windows of `length` bytes, or of as many words."""
+
+    length: int
+    words: bool = False
+
+    def __post_init__(self):
+        if not 8 <= self.length <= 1024:
+            raise ValueError(f"windows of {self.length}: 8 to 1024 can be had")
+
+    @property
+    def key(self) -> int:
+        return self.length // 4
+
+    @property
+    def gram(self) -> int:
+        return min(12, self.key)
+
+    @property
+    def spacing(self) -> int:
+        return self.length // 8
+
+    @property
+    def farthest(self) -> int:
+        """Of an anchor from the start of its windows."""
+        return self.length - self.key
+
+    def units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes or word hashes of all rows, and the n + 1 offsets."""
+        data, at = buffers(column)
+        if not self.words:
+            return data, at
+        starts, ends, row = spans(data, at)
+        return word_hashes(data, starts, ends, _EXACT), np.searchsorted(row, np.arange(len(column) + 1))
+
+
 class _Bytes:
-    """Hashes of any stretch of a byte string."""
+    """Hashes of any stretch of a byte string, or of word hashes."""
 
     def __init__(self, data: np.ndarray):
         self.up, self.down = powers(len(data) + 1)
@@ -44,40 +79,41 @@ class _Bytes:
         return mix((self.sums[e] - self.sums[s]) * self.down[s])
 
 
-def _pieces(at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pieces(at: np.ndarray, most: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first byte and end of stretches of at most `most` window starts each."""
-    n = np.maximum(np.diff(at) - (LENGTH - 1), 0)
+    n = np.maximum(np.diff(at) - (length - 1), 0)
     per = -(-n // most)
     row = np.repeat(np.arange(len(n)), per)
     k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
     low = at[row] + k * most
-    return row, low, np.minimum(low + most + LENGTH - 1, at[row + 1])
+    return row, low, np.minimum(low + most + length - 1, at[row + 1])
 
 
-def _suffixes(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+def _suffixes(data: np.ndarray, low: np.ndarray, high: np.ndarray, shape: _Shape) -> tuple[np.ndarray, ...]:
     """Of stretches data[low:high]: stretch, anchor, nearest and farthest window start before the
-    anchor, key and whole-stretch hash. Windows without an anchor in their first FARTHEST bytes
+    anchor, key and whole-stretch hash. Windows without an anchor in their first `farthest` units
     stand for themselves."""
     found = []
-    spot = np.uint64(2**64 // SPACING)
+    length, farthest = shape.length, shape.farthest
+    spot = np.uint64(2**64 // shape.spacing)
     for i, (s, e) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
         part = _Bytes(data[s:e])
-        n, starts = e - s, e - s - LENGTH + 1
-        gram = np.arange(n - GRAM + 1)
-        anchors = np.flatnonzero(part.hash(gram, gram + GRAM) < spot)
-        anchors = anchors[anchors <= starts - 1 + FARTHEST]
+        n, starts = e - s, e - s - length + 1
+        gram = np.arange(n - shape.gram + 1)
+        anchors = np.flatnonzero(part.hash(gram, gram + shape.gram) < spot)
+        anchors = anchors[anchors <= starts - 1 + farthest]
         gap = np.diff(anchors, prepend=-1) - 1
-        near, far = np.maximum(0, anchors - (starts - 1)), np.minimum(gap, FARTHEST)
+        near, far = np.maximum(0, anchors - (starts - 1)), np.minimum(gap, farthest)
         used = near <= far
         anchors, near, far = anchors[used], near[used], far[used]
         covered = np.zeros(starts + 1, np.int32)
         np.add.at(covered, anchors - far, 1)
         np.add.at(covered, anchors - near + 1, -1)
         loose = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
-        key = part.hash(anchors, anchors + KEY)
+        key = part.hash(anchors, anchors + shape.key)
         span = mix((near * 1024 + far).astype(np.uint64))
-        whole = part.hash(anchors - far, anchors - near + LENGTH) + span
-        single = part.hash(loose, loose + LENGTH) ^ _LOOSE
+        whole = part.hash(anchors - far, anchors - near + length) + span
+        single = part.hash(loose, loose + length) ^ _LOOSE
         zero = np.zeros(len(loose), np.int64)
         found.append((np.full(len(anchors) + len(loose), i), np.concatenate([anchors, loose]), np.concatenate([near, zero]), np.concatenate([far, zero]), np.concatenate([key, single]), np.concatenate([whole, single])))
     if not found:
@@ -90,22 +126,26 @@ _SUFFIX = {"key": np.uint64, "whole": np.uint64, "row": np.int64, "at": np.int32
 _SUFFIX_ROWS = "bucket int, " + ", ".join(f"{k} binary" for k in _SUFFIX)
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchored(shape: _Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Suffixes of (row, text), dealt by key. Of stretches that a batch holds more than once, one goes
     on to its key and the others, settled, to buckets of their own."""
-    for batch in batches:
-        for first, last in slices(batch.column("text")):
-            part = batch.slice(first, last - first)
-            data, at = buffers(part.column("text"))
-            row, low, high = _pieces(at, SLICE_BYTES)
-            piece, place, near, far, key, whole = _suffixes(data, low, high)
-            _, lead, back, n = np.unique(key ^ mix(whole), return_index=True, return_inverse=True, return_counts=True)
-            twice = n[back] > 1
-            bucket = key >> np.uint64(52)
-            rest = lead[back] != np.arange(len(key))
-            bucket[rest] = mix(np.arange(len(key), dtype=np.uint64))[rest] >> np.uint64(52)
-            rows = part.column("row").to_numpy()[row[piece]]
-            yield packed(bucket, {"key": key, "whole": np.where(rest, np.uint64(0), whole), "row": rows, "at": (place + low[piece] - at[row[piece]]).astype(np.int32), "near": near.astype(np.int16), "far": far.astype(np.int16), "twice": twice})
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last in slices(batch.column("text")):
+                part = batch.slice(first, last - first)
+                data, at = shape.units(part.column("text"))
+                row, low, high = _pieces(at, SLICE_BYTES, shape.length)
+                piece, place, near, far, key, whole = _suffixes(data, low, high, shape)
+                _, lead, back, n = np.unique(key ^ mix(whole), return_index=True, return_inverse=True, return_counts=True)
+                twice = n[back] > 1
+                bucket = key >> np.uint64(52)
+                rest = lead[back] != np.arange(len(key))
+                bucket[rest] = mix(np.arange(len(key), dtype=np.uint64))[rest] >> np.uint64(52)
+                rows = part.column("row").to_numpy()[row[piece]]
+                yield packed(bucket, {"key": key, "whole": np.where(rest, np.uint64(0), whole), "row": rows, "at": (place + low[piece] - at[row[piece]]).astype(np.int32), "near": near.astype(np.int16), "far": far.astype(np.int16), "twice": twice})
+
+    return anchored
 
 
 class Levels:
@@ -169,36 +209,40 @@ _WINDOW = {"row": np.int64, "at": np.int32, "near": np.int16, "far": np.int16, "
 _WINDOW_ROWS = "bucket int, " + ", ".join(f"{k} binary" for k in _WINDOW)
 
 
-def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _probed(shape: _Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Hashes of the windows to be compared, of (row, text, packs), dealt by suffix key."""
-    for batch in batches:
-        for first, last in slices(batch.column("text")):
-            part = batch.slice(first, last - first)
-            data, offsets = buffers(part.column("text"))
-            out = []
-            for i, (row, packs) in enumerate(zip(part.column("row").to_pylist(), part.column("packs").to_pylist(), strict=True)):
-                packs = np.sort(np.array(packs, np.int64))
-                at, far, near = packs >> 24, packs >> 12 & 0xFFF, packs >> 1 & 0x7FF
-                done = 0
-                while done < len(at):
-                    low = int(at[done] - far[done])
-                    upto = max(done + 1, int(np.searchsorted(at, low + SLICE_BYTES)))
-                    base = max(0, int((at - far)[done:upto].min()))
-                    text = _Bytes(data[offsets[i] + base : min(offsets[i + 1], offsets[i] + int(at[upto - 1]) + LENGTH)])
-                    a, f, k = at[done:upto] - base, far[done:upto], near[done:upto]
-                    n = f - k + 1
-                    ends = np.cumsum(n)
-                    o = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(k, n)
-                    s = np.repeat(a, n) - o
-                    out.append((text.hash(a, a + KEY), np.full(len(a), row), at[done:upto], k, f, text.hash(s, s + LENGTH)))
-                    done = upto
-            if not out:
-                continue
-            key, row, at, near, far, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
-            bucket = (key >> np.uint64(52)).astype(np.int64)
-            wide = np.repeat(bucket, far - near + 1)
-            plain = packed(bucket, {"row": row, "at": at.astype(np.int32), "near": near.astype(np.int16), "far": far.astype(np.int16)})
-            yield pa.RecordBatch.from_arrays([*plain.columns, packed(wide, {"hashes": hashes}).column(1)], ["bucket", *_WINDOW])
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last in slices(batch.column("text")):
+                part = batch.slice(first, last - first)
+                data, offsets = shape.units(part.column("text"))
+                out = []
+                for i, (row, packs) in enumerate(zip(part.column("row").to_pylist(), part.column("packs").to_pylist(), strict=True)):
+                    packs = np.sort(np.array(packs, np.int64))
+                    at, far, near = packs >> 24, packs >> 12 & 0xFFF, packs >> 1 & 0x7FF
+                    done = 0
+                    while done < len(at):
+                        low = int(at[done] - far[done])
+                        upto = max(done + 1, int(np.searchsorted(at, low + SLICE_BYTES)))
+                        base = max(0, int((at - far)[done:upto].min()))
+                        text = _Bytes(data[offsets[i] + base : min(offsets[i + 1], offsets[i] + int(at[upto - 1]) + shape.length)])
+                        a, f, k = at[done:upto] - base, far[done:upto], near[done:upto]
+                        n = f - k + 1
+                        ends = np.cumsum(n)
+                        o = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(k, n)
+                        s = np.repeat(a, n) - o
+                        out.append((text.hash(a, a + shape.key), np.full(len(a), row), at[done:upto], k, f, text.hash(s, s + shape.length)))
+                        done = upto
+                if not out:
+                    continue
+                key, row, at, near, far, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
+                bucket = (key >> np.uint64(52)).astype(np.int64)
+                wide = np.repeat(bucket, far - near + 1)
+                plain = packed(bucket, {"row": row, "at": at.astype(np.int32), "near": near.astype(np.int16), "far": far.astype(np.int16)})
+                yield pa.RecordBatch.from_arrays([*plain.columns, packed(wide, {"hashes": hashes}).column(1)], ["bucket", *_WINDOW])
+
+    return probed
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,54 +266,71 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(run["row"][who]), pa.array(_packs(run["at"][who], o[a], o[b], np.ones(len(a), np.int64)))], ["row", "pack"])
 
 
-def _removed(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-    """Bytes left of (id, text, packs): counts and digest, or the text itself."""
+def _removed(batches: Iterator[pa.RecordBatch], shapes: list[_Shape], keep_text: bool) -> Iterator[pa.RecordBatch]:
+    """Bytes left of (id, text, packs by shape): counts and digest, or the text itself."""
     for batch in batches:
         out = []
-        for text, packs in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("packs").to_pylist(), strict=True):
+        for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
             text = text or b""
-            spans: list[list[int]] = []
-            if packs:
-                p = np.array(packs, np.int64)
-                at, far, near = p >> 24, p >> 12 & 0xFFF, p >> 1 & 0x7FF
-                for s, e in sorted(zip((at - far).tolist(), (at - near + LENGTH).tolist(), strict=True)):
-                    if spans and s <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], e)
-                    else:
-                        spans.append([s, e])
+            found: list[tuple[int, int]] = []
+            for shape, packs in zip(shapes, batch.columns[3:], strict=True):
+                if p := packs[k].as_py():
+                    p = np.array(p, np.int64)
+                    at, far, near = p >> 24, p >> 12 & 0xFFF, p >> 1 & 0x7FF
+                    s, e = at - far, at - near + shape.length
+                    if shape.words:
+                        starts, ends, _ = spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+                        s, e = starts[s], ends[e - 1]
+                    found += zip(s.tolist(), e.tolist(), strict=True)
+            gone: list[list[int]] = []
+            for s, e in sorted(found):
+                if gone and s <= gone[-1][1]:
+                    gone[-1][1] = max(gone[-1][1], e)
+                else:
+                    gone.append([s, e])
             kept, last = [], 0
-            for s, e in spans:
+            for s, e in gone:
                 kept.append(text[last:s])
                 last = e
             kept.append(text[last:])
             left = b"".join(kept)
-            out.append((len(text), len(text) - len(left), len(spans), left.decode("utf-8", "ignore") if keep_text else hashlib.sha256(left).hexdigest()))
-        n, gone, runs, rest = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(rest, pa.string())], ["row", "id", "n_bytes", "n_removed", "n_spans", "left"])
+            out.append((len(text), len(text) - len(left), len(gone), left.decode("utf-8", "ignore") if keep_text else hashlib.sha256(left).hexdigest()))
+        n, lost, runs, rest = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(runs, pa.int64()), pa.array(rest, pa.string())], ["row", "id", "n_bytes", "n_removed", "n_spans", "left"])
+
 
+def _marked(rows: DataFrame, shape: _Shape) -> DataFrame:
+    """(row, packs) of the repeated windows of rows(row, text)."""
+    least = 2 * shape.length - 1 if shape.words else shape.length  # words of a byte, and blanks between them
+    long = rows.where(F.octet_length("text") >= least)
+    scanned = long.mapInArrow(_anchored(shape), _SUFFIX_ROWS).repartition("bucket").mapInArrow(_scanned, "row bigint, pack bigint")
+    marks = stored(scanned.groupBy("row").agg(F.collect_list("pack").alias("packs")))
+    open_marks = marks.select("row", F.filter("packs", lambda p: p.bitwiseAND(F.lit(1)) == 0).alias("packs")).where("size(packs) > 0")
+    probed = long.join(open_marks, "row").select("row", "text", "packs").mapInArrow(_probed(shape), _WINDOW_ROWS)
+    more = stored(probed.repartition("bucket").mapInArrow(_compared, "row bigint, pack bigint").groupBy("row").agg(F.collect_list("pack").alias("more")))
+    settled = marks.select("row", F.filter("packs", lambda p: p.bitwiseAND(F.lit(1)) == 1).alias("packs"))
+    none = F.array().cast("array<bigint>")
+    return settled.join(more, "row", "full").select("row", F.concat(F.coalesce("packs", none), F.coalesce("more", none)).alias("packs"))
 
-def long_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
-    """(row, id, n_bytes, n_removed, n_spans, left) for each row: bytes covered by a 400-byte string
-    that also starts anywhere else in the table are removed; `left` is the SHA-256 of the rest, or
-    with keep_text the rest itself, without broken characters at its seams.
+
+def long_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """(row, id, n_bytes, n_removed, n_spans, left) for each row: bytes covered by a string of
+    `length` bytes that also starts anywhere else in the table are removed, and with `words` those
+    covered by so many words that do, with the white space between them, whatever it is; `left` is
+    the SHA-256 of the rest, or with keep_text the rest itself, without broken characters at its seams.
 
     Texts are taken as UTF-8, null as empty; matches don't cross rows, overlaps count, and strings
     are judged on the input. Repeated rows remove each other's bytes altogether. Strings are
     compared by 64-bit hashes. Texts of any length are cut into overlapping stretches of 4 MB; a
     stretch that very many rows share costs one shuffled suffix for each batch that holds it."""
     read = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    rows = read.select("row", "text")
-    long = rows.where(F.octet_length("text") >= LENGTH)
-    scanned = long.mapInArrow(_anchored, _SUFFIX_ROWS).repartition("bucket").mapInArrow(_scanned, "row bigint, pack bigint")
-    marks = stored(scanned.groupBy("row").agg(F.collect_list("pack").alias("packs")))
-    open_marks = marks.select("row", F.filter("packs", lambda p: p.bitwiseAND(F.lit(1)) == 0).alias("packs")).where("size(packs) > 0")
-    probed = long.join(open_marks, "row").select("row", "text", "packs").mapInArrow(_probed, _WINDOW_ROWS)
-    more = stored(probed.repartition("bucket").mapInArrow(_compared, "row bigint, pack bigint").groupBy("row").agg(F.collect_list("pack").alias("more")))
-    settled = marks.select("row", F.filter("packs", lambda p: p.bitwiseAND(F.lit(1)) == 1).alias("packs"))
-    none = F.array().cast("array<bigint>")
-    spans = settled.join(more, "row", "full").select("row", F.concat(F.coalesce("packs", none), F.coalesce("more", none)).alias("packs"))
+    shapes = [_Shape(length), *([_Shape(words, words=True)] if words else [])]
+    marks = None
+    for i, shape in enumerate(shapes):
+        own = _marked(read.select("row", "text"), shape).withColumnRenamed("packs", f"packs{i}")
+        marks = own if marks is None else marks.join(own, "row", "full")
     kind = docs.schema[id_column].dataType.simpleString()
-    left = read.join(spans, "row", "left").select("row", "id", "text", "packs").mapInArrow(lambda it: _removed(it, keep_text), f"row bigint, id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, left string")
+    left = read.join(marks, "row", "left").select("row", "id", "text", *[f"packs{i}" for i in range(len(shapes))]).mapInArrow(lambda it: _removed(it, shapes, keep_text), f"row bigint, id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, left string")
     return left.withColumnRenamed("id", id_column)
 
 

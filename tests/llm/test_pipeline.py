@@ -1,9 +1,11 @@
 """Stages keep the documents' columns, decide as their operators do, and bear odd rows."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline as pipeline
 from pagetext.llm._store import stored
+from pagetext.llm.op10_long_repeats import long_repeats
 from test_llm import DOCS, corpus, words
 
 
@@ -29,3 +31,30 @@ def test_stages(spark, tmp_path):
     assert 900 not in ids["decontaminated"] and len(ids["decontaminated"]) == len(near) - 1
     assert len(ids["mixed"]) == len(ids["decontaminated"])
     assert pipeline.run(spark, str(tmp_path)).count() == len(ids["mixed"])
+
+
+def test_repeated_passages_of_over_50_words_go(spark):
+    rng = random.Random(8)
+    short = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(1000):03d}" for _ in range(n))
+    over, under, wrapped = short(51), short(50), short(60)
+    texts = [f"one {over} first", f"two\n{over} second", f"three {under} third", f"four {under} fourth", f"{wrapped} fifth", "sixth " + wrapped.replace(" ", "\n "), f"seventh {over.upper()}", None]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint").repartition(3).cache()
+    assert len(over) < 400
+    got = {r.doc_id: (r.text, r.n_chars) for r in pipeline.repeats(spark, docs, "").collect()}
+    left = ["one  first", "two\n second", texts[2], texts[3], " fifth", "sixth ", texts[6], None]
+    assert got == {i: (t, len(t or "")) for i, t in enumerate(left)}
+
+
+def test_word_windows_against_brute_force(spark):
+    rng = random.Random(12)
+    base = words(rng, 200, 3).split()
+    texts = [" ".join(base[rng.randrange(150) :][: rng.randrange(5, 60)] + words(rng, rng.randrange(40), 900).split()) for _ in range(60)]
+    seen = Counter(tuple(w[k : k + 20]) for t in texts for w in [t.split()] for k in range(len(w) - 19))
+    want = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        gone = {j for k in range(len(w) - 19) if seen[tuple(w[k : k + 20])] > 1 for j in range(k, k + 20)}
+        want[i] = [x for j, x in enumerate(w) if j not in gone]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).cache()
+    got = {r.doc_id: r.left.split() for r in long_repeats(docs, keep_text=True, length=1000, words=20).collect()}
+    assert got == want and sum(map(len, want.values())) < sum(len(t.split()) for t in texts)
