@@ -18,27 +18,43 @@ from pagetext.llm._store import stored
 MOST_SHARED = 200_000
 MOST_CACHED = 1 << 19
 LINEAR_BYTES = 32  # longer words are summed in logarithms
+LEAST_LINEAR = 1e-290  # and so are words of less probability
+UNKNOWN = 10.0  # below the least score: the score of bytes that have none
+FLAT = 0.01
 BATCH = 1 << 16
 
 
-def read_pieces(vocabulary: str) -> dict[tuple[bool, bytes], float]:
-    """(starts a word, bytes) -> weight of the pieces of a sentencepiece model; single bytes are
-    among them, so that every text has a segmentation. The weight falls with the piece's own score;
-    pieces with A-Z never fit lower-cased text and are left out."""
+def _read(vocabulary: str) -> tuple[dict[tuple[bool, bytes], float], bool]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-    found: dict[tuple[bool, bytes], float] = {(True, b""): 1e-4}
+    scores: dict[tuple[bool, bytes], float] = {}
+    seen = []
     for i in range(model.get_piece_size()):
-        piece = model.id_to_piece(i)
-        if model.is_byte(i):
-            found.setdefault((False, bytes([int(piece[3:5], 16)])), 1e-4)
-        elif not (model.is_control(i) or model.is_unknown(i)):
-            first = piece.startswith("▁")
-            own = piece[first:].encode()
-            if own and "▁" not in piece[first:] and own == own.lower():
-                found[first, own] = 1 / (10 - model.get_score(i))
-    return found
+        if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+            continue
+        piece, score = model.id_to_piece(i), model.get_score(i)
+        seen.append(score)
+        first = piece.startswith("▁")
+        own = piece[first:].encode()
+        if (own or first) and "▁" not in piece[first:] and own == own.lower():
+            scores[first, own] = score
+    probable = any(x != int(x) for x in seen)
+    if not probable:
+        return {key: FLAT for key in [(True, b""), *((False, bytes([b])) for b in range(256)), *scores]}, False
+    fair = [x for x in seen if x < 0]  # pieces set by the user have no score of their own
+    top, least = max(fair), min(fair) - UNKNOWN
+    found = dict.fromkeys([(True, b""), *((False, bytes([b])) for b in range(256))], math.exp(least))
+    return found | {key: math.exp(x if x < 0 else top) for key, x in scores.items()}, True
+
+
+def read_pieces(vocabulary: str) -> dict[tuple[bool, bytes], float]:
+    """(starts a word, bytes) -> weight of the pieces of a sentencepiece model; single bytes are
+    among them, so that every text has a segmentation. A unigram model's scores are logarithms of
+    probabilities, which are the weights. A BPE model's are the ranks of its merges, whole numbers
+    that say nothing of probability: its pieces weigh alike, until counts are added. Pieces with
+    A-Z never fit lower-cased text and are left out."""
+    return _read(vocabulary)[0]
 
 
 class Lattice:
@@ -81,6 +97,8 @@ class Lattice:
                 for j in range(i + 1, min(n, i + longest) + 1):
                     if p := inner(word[i:j]):
                         reach[j] += x * p
+        if reach[n] < LEAST_LINEAR:
+            return self._long(word)
         if len(self.cache) >= MOST_CACHED:
             self.cache.clear()
         found = self.cache[word] = math.log10(reach[n])
@@ -204,8 +222,9 @@ def lattice_scores(docs: DataFrame, vocabulary: str, *, folds: int = 5, held_fol
     Words are split at white space, A-Z lower-cased, and each text has an end; rows with
     crc32(doc_id) mod folds = held_fold are not learnt from (a null id is learnt from). A token's
     probability is its discounted training share plus the mass so freed times the probability of
-    its spelling: the sum over all segmentations into vocabulary pieces, whose weights are their
-    counts in longest-match segmentations of every distinct training word. The end has no
+    its spelling: the sum over all segmentations into vocabulary pieces, whose weights are the
+    vocabulary's probabilities, or where it has only ranks (BPE), their counts in longest-match
+    segmentations of every distinct training word. The end has no
     spelling. Null and empty texts are the end alone; repeated rows and ids each count.
 
     Words with more than 1 / most_shared of all tokens, at most most_shared of them whatever the
@@ -222,12 +241,13 @@ def lattice_scores(docs: DataFrame, vocabulary: str, *, folds: int = 5, held_fol
     total, types = seen.n + ends, seen.v + (ends > 0)
     discount = seen.once / (seen.once + 2 * seen.two) if seen.once and seen.two else 0.5
     spread = max(discount * types / total, 1e-12) if total else 1.0
-    pieces = read_pieces(vocabulary)
-    prior = context.broadcast(pieces)
-    fitted = {key: 0.01 for key in pieces}
-    for first, piece, n in counts.select("word").mapInArrow(_pieces_of(prior), "first boolean, piece binary, n bigint").groupBy("first", "piece").agg(F.sum("n")).collect():
-        fitted[first, bytes(piece)] += n
-    model = context.broadcast(fitted)
+    pieces, probable = _read(vocabulary)
+    if not probable:
+        prior = context.broadcast(pieces)
+        pieces = dict(pieces)
+        for first, piece, n in counts.select("word").mapInArrow(_pieces_of(prior), "first boolean, piece binary, n bigint").groupBy("first", "piece").agg(F.sum("n")).collect():
+            pieces[first, bytes(piece)] += n
+    model = context.broadcast(pieces)
     spelt = stored(counts.mapInArrow(_weighed(model), "word string, c bigint, spelt double"))
     token = lambda c, s: math.log10(max(c - discount, 0) / total + spread * 10**s)
     frequent = {r.word.encode(): (math.log10(r.c + 0.5), token(r.c, r.spelt)) for r in spelt.where(F.col("c") * most_shared > total).collect()}

@@ -134,6 +134,28 @@ def test_lattice_sums_all_segmentations():
     assert model._long(b"ab") == pytest.approx(math.log10(want))
 
 
+def test_lattice_words_below_the_least_double():
+    model = Lattice({(True, b""): 1.0, (True, b"q"): 1.0, (False, b"x"): 1e-11, (False, b"y"): 1e-12})
+    for word in (b"x" * 30, b"y" * 32, b"xy" * 15):
+        assert model.score(word) == pytest.approx(math.log10(0.5) + sum(-math.log10(2) - {120: 11, 121: 12}[b] for b in word))
+
+
+def test_lattice_takes_probabilities_of_a_vocabulary(spark, tmp_path):
+    import sentencepiece
+
+    rng = random.Random(7)
+    lines = [" ".join(rng.choice(["reading", "house", "stand", "stands", "reader", "houses"]) for _ in range(12)) for _ in range(300)]
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=f"{tmp_path}/u", vocab_size=40, model_type="unigram", hard_vocab_limit=False, minloglevel=2)
+    model = sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/u.model")
+    weights = {(p.startswith("▁"), p.removeprefix("▁").encode()): math.exp(model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i)) for p in [model.id_to_piece(i)]}
+    got = read_pieces(f"{tmp_path}/u.model")
+    assert len(weights) > 10 and {k: got[k] for k in weights} == pytest.approx(weights)
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    row = lattice_scores(spark.createDataFrame([(held, "houses é")], "doc_id bigint, text string"), f"{tmp_path}/u.model").first()
+    lattice = Lattice(got)
+    assert row.score == pytest.approx(lattice.score(b"houses") + lattice.score("é".encode()) - math.log10(2))
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
