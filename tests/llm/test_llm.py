@@ -294,6 +294,17 @@ def test_quality(spark):
     assert classify(df.limit(0), labels).count() == 0
 
 
+def test_quality_of_a_second_script(spark):
+    rng = random.Random(13)
+    latin = "".join(chr(c) for c in range(33, 127))
+    first = [(i, "".join(rng.choice(latin) for _ in range(8000)), "en") for i in range(60)]
+    good = [(i, " ".join(rng.choice(["читать", "большой", "дом", "стоит", "ночью", "река"]) for _ in range(40)), "ru") for i in range(100, 180)]
+    bad = [(i, "".join(rng.sample(t, len(t))), "ru") for i, (_, t, _) in enumerate(good[:20], 200)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(60), *range(100, 160)]], "doc_id bigint, quality int, toxic int")
+    df = spark.createDataFrame([*first, *good, *bad], "doc_id bigint, text string, lang string")
+    assert {r.doc_id: r.keep for r in classify(df, labels).collect()} == {i: i < 200 for i, _, _ in [*first, *good, *bad]}
+
+
 def test_model_probabilities_sum_to_one(spark):
     from pagetext.llm.op6_quality import fit, log_probabilities
 
