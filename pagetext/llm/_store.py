@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The shared folder that spark.checkpoint.dir or the session's checkpoint directory names."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="pagetext-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir() or named
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *, instead: DataFrame | None = None) -> DataFrame:
     """Write the rows to a table in the shared folder and read them back, so that no later
-    failure has to recompute what came before."""
+    failure has to recompute what came before. A table that the new one is written `instead` of is
+    dropped then."""
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/pagetext-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    if instead is not None:
+        dropped(instead)
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        if (path := _paths.pop(df, None)) is not None:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """df with a number for each row that stays the same whenever it is read again. Scans of files
+    have that; what comes out of a shuffle or of Python is stored first."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if not plan.nodeName().startswith(("LogicalRelation", "Relation")):
+        df = stored(df)
+    return df.withColumn(name, F.monotonically_increasing_id())

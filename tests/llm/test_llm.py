@@ -66,7 +66,7 @@ def components(n, links):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize(("width", "percent", "most"), [(3, 90, 6000), (5, 80, 6000), (3, 50, 4)])
+@pytest.mark.parametrize(("width", "percent", "most"), [(3, 90, 3_000_000), (5, 80, 3_000_000), (3, 50, 600), (5, 80, 300), (2, 30, 100)])
 def test_jaccard(spark, docs, width, percent, most):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     sets = []
