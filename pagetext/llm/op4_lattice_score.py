@@ -20,7 +20,8 @@ MOST_CACHED = 1 << 19
 LINEAR_BYTES = 32  # longer words are summed in logarithms
 LEAST_LINEAR = 1e-290  # and so are words of less probability
 UNKNOWN = 10.0  # below the least score: the score of bytes that have none
-FLAT = 0.01
+RANKED = 10.0  # a piece of rank r weighs 1 / (r + RANKED)
+PRIOR = 0.01  # words' worth of the vocabulary's own weights, for each piece, that expected counts are added to
 BATCH = 1 << 16
 
 
@@ -40,20 +41,19 @@ def _read(vocabulary: str) -> tuple[dict[tuple[bool, bytes], float], bool]:
         if (own or first) and "▁" not in piece[first:] and own == own.lower():
             scores[first, own] = score
     probable = any(x != int(x) for x in seen)
-    if not probable:
-        return {key: FLAT for key in [(True, b""), *((False, bytes([b])) for b in range(256)), *scores]}, False
+    weigh = math.exp if probable else lambda x: 1 / (RANKED - x)
     fair = [x for x in seen if x < 0]  # pieces set by the user have no score of their own
     top, least = max(fair), min(fair) - UNKNOWN
-    found = dict.fromkeys([(True, b""), *((False, bytes([b])) for b in range(256))], math.exp(least))
-    return found | {key: math.exp(x if x < 0 else top) for key, x in scores.items()}, True
+    found = dict.fromkeys([(True, b""), *((False, bytes([b])) for b in range(256))], weigh(least))
+    return found | {key: weigh(x if x < 0 else top) for key, x in scores.items()}, probable
 
 
 def read_pieces(vocabulary: str) -> dict[tuple[bool, bytes], float]:
     """(starts a word, bytes) -> weight of the pieces of a sentencepiece model; single bytes are
     among them, so that every text has a segmentation. A unigram model's scores are logarithms of
-    probabilities, which are the weights. A BPE model's are the ranks of its merges, whole numbers
-    that say nothing of probability: its pieces weigh alike, until counts are added. Pieces with
-    A-Z never fit lower-cased text and are left out."""
+    probabilities, which are the weights. A BPE model's are the ranks of its merges, whole numbers:
+    a piece's weight falls with its rank as word frequencies do (Zipf's law). Pieces with A-Z never
+    fit lower-cased text and are left out."""
     return _read(vocabulary)[0]
 
 
@@ -68,20 +68,34 @@ class Lattice:
         self.longest = max(len(b) for _, b in pieces)
         self.cache: dict[bytes, float] = {}
 
-    def segment(self, word: bytes) -> list[tuple[bool, bytes]]:
-        """Longest pieces first, from the left."""
-        n, i = len(word), 0
-        for i in range(min(n, self.longest), -1, -1):
-            if word[:i] in self.first:
-                break
-        found = [(True, word[:i])]
-        while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                if word[i:j] in self.inner:
-                    found.append((False, word[i:j]))
-                    i = j
-                    break
-        return found
+    def expected(self, word: bytes, into: dict[tuple[bool, bytes], float]) -> None:
+        """Add how often each piece is expected in the word, all its segmentations weighed: a forward and
+        a backward recursion, in logarithms where the word is improbable."""
+        n, longest = len(word), self.longest
+        arcs = [(0, j, True, p) for j in range(min(n, longest) + 1) if (p := self.first.get(word[:j]))]
+        inner = [(i, j, False, p) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if (p := self.inner.get(word[i:j]))]
+        if 10 ** self.score(word) > LEAST_LINEAR:
+            ahead, back = [0.0] * (n + 1), [0.0] * n + [1.0]
+            for _, j, _, p in arcs:
+                ahead[j] += p
+            for i, j, _, p in inner:
+                ahead[j] += ahead[i] * p
+            for i, j, _, p in reversed(inner):
+                back[i] += p * back[j]
+            for i, j, first, p in arcs + inner:
+                if x := (1.0 if first else ahead[i]) * p * back[j]:
+                    into[first, word[i:j]] = into.get((first, word[i:j]), 0.0) + x / ahead[n]
+            return
+        ahead, back = [-math.inf] * (n + 1), [-math.inf] * n + [0.0]
+        for _, j, _, p in arcs:
+            ahead[j] = _log_sum(ahead[j], math.log(p))
+        for i, j, _, p in inner:
+            ahead[j] = _log_sum(ahead[j], ahead[i] + math.log(p))
+        for i, j, _, p in reversed(inner):
+            back[i] = _log_sum(back[i], math.log(p) + back[j])
+        for i, j, first, p in arcs + inner:
+            if (x := (0.0 if first else ahead[i]) + math.log(p) + back[j] - ahead[n]) > -700:
+                into[first, word[i:j]] = into.get((first, word[i:j]), 0.0) + math.exp(x)
 
     def score(self, word: bytes) -> float:
         if (known := self.cache.get(word)) is not None:
@@ -118,6 +132,11 @@ class Lattice:
         return logs[n] / math.log(10)
 
 
+def _log_sum(a: float, b: float) -> float:
+    top, low = max(a, b), min(a, b)
+    return top if low == -math.inf else top + math.log1p(math.exp(low - top))
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         for first, last in slices(batch.column("text")):
@@ -135,11 +154,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pieces_of(pieces):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, seen = Lattice(pieces.value), Counter()
+        lattice, seen = Lattice(pieces.value), {}
         for batch in batches:
             for word in batch.column(0).cast(pa.binary()).to_pylist():
-                seen.update(lattice.segment(word))
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in seen], pa.bool_()), pa.array([b for _, b in seen], pa.binary()), pa.array(seen.values(), pa.int64())], ["first", "piece", "n"])
+                lattice.expected(word, seen)
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in seen], pa.bool_()), pa.array([b for _, b in seen], pa.binary()), pa.array(seen.values(), pa.float64())], ["first", "piece", "n"])
 
     return counted
 
@@ -222,14 +241,15 @@ def lattice_scores(docs: DataFrame, vocabulary: str, *, folds: int = 5, held_fol
     Words are split at white space, A-Z lower-cased, and each text has an end; rows with
     crc32(doc_id) mod folds = held_fold are not learnt from (a null id is learnt from). A token's
     probability is its discounted training share plus the mass so freed times the probability of
-    its spelling: the sum over all segmentations into vocabulary pieces, whose weights are the
-    vocabulary's probabilities, or where it has only ranks (BPE), their counts in longest-match
-    segmentations of every distinct training word. The end has no
+    its spelling: the sum over all segmentations into vocabulary pieces, weighed by the
+    vocabulary's own scores. Where these are probabilities (unigram) they stand as they are; ranks
+    (BPE) give weights that one round of expected counts over all segmentations of every distinct
+    training word refines, added to the vocabulary's own as a prior. The end has no
     spelling. Null and empty texts are the end alone; repeated rows and ids each count.
 
     Words with more than 1 / most_shared of all tokens, at most most_shared of them whatever the
-    corpus, are broadcast; every other word meets its count in a shuffled join in which no word
-    can be hot. Piece counts come to the driver, one number for each vocabulary piece."""
+    corpus, are broadcast; every other word meets its count in a shuffled join in which a
+    word has at most that share of the rows. Piece counts come to the driver, one number for each vocabulary piece."""
     spark = docs.sparkSession
     context = spark.sparkContext
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(-1))
@@ -244,8 +264,9 @@ def lattice_scores(docs: DataFrame, vocabulary: str, *, folds: int = 5, held_fol
     pieces, probable = _read(vocabulary)
     if not probable:
         prior = context.broadcast(pieces)
-        pieces = dict(pieces)
-        for first, piece, n in counts.select("word").mapInArrow(_pieces_of(prior), "first boolean, piece binary, n bigint").groupBy("first", "piece").agg(F.sum("n")).collect():
+        mass = PRIOR * len(pieces) / sum(pieces.values())
+        pieces = {key: p * mass for key, p in pieces.items()}
+        for first, piece, n in counts.select("word").mapInArrow(_pieces_of(prior), "first boolean, piece binary, n double").groupBy("first", "piece").agg(F.sum("n")).collect():
             pieces[first, bytes(piece)] += n
     model = context.broadcast(pieces)
     spelt = stored(counts.mapInArrow(_weighed(model), "word string, c bigint, spelt double"))

@@ -98,6 +98,58 @@ def test_long_repeats(spark, docs):
     assert long_repeats(empty(spark)).count() == 0
 
 
+def ranked_pieces(path):
+    """Weights by a vocabulary's own ranks, read apart from the library."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    weights, scores = {}, {}
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            scores[piece] = model.get_score(i)
+    least = min(x for x in scores.values() if x < 0) - 10
+    for key in [(True, b""), *((False, bytes([b])) for b in range(256))]:
+        weights[key] = 1 / (10 - least)
+    for piece, x in scores.items():
+        own = piece.removeprefix("▁")
+        if piece and "▁" not in own and own.encode() == own.encode().lower():
+            weights[piece.startswith("▁"), own.encode()] = 1 / (10 - (x if x < 0 else max(y for y in scores.values() if y < 0)))
+    return weights
+
+
+def arcs_of(word, weights):
+    total = sum(weights.values())
+    n, longest = len(word), max(len(b) for _, b in weights)
+    first = [(0, j, weights[True, word[:j]] / total) for j in range(min(n, longest) + 1) if (True, word[:j]) in weights]
+    return first, [(i, j, weights[False, word[i:j]] / total) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if (False, word[i:j]) in weights]
+
+
+def forward(word, weights):
+    first, inner = arcs_of(word, weights)
+    ahead = np.full(len(word) + 1, -np.inf)
+    for _, j, p in first:
+        ahead[j] = np.logaddexp(ahead[j], math.log(p))
+    for i, j, p in inner:
+        ahead[j] = np.logaddexp(ahead[j], ahead[i] + math.log(p))
+    return ahead
+
+
+def expected_counts(word, weights):
+    """By the probability with and without each arc's weight: d log p / d log w."""
+    first, inner = arcs_of(word, weights)
+    ahead = forward(word, weights)
+    back = np.full(len(word) + 1, -np.inf)
+    back[-1] = 0
+    for i, j, p in sorted(inner, reverse=True):
+        back[i] = np.logaddexp(back[i], math.log(p) + back[j])
+    found = Counter()
+    for start, arcs in ((True, first), (False, inner)):
+        for i, j, p in arcs:
+            found[start, word[i:j]] += math.exp((0 if start else ahead[i]) + math.log(p) + back[j] - ahead[-1])
+    return found
+
+
 @pytest.mark.parametrize("shared", [200_000, 20])
 def test_lattice(spark, docs, shared):
     path = P.path("piece_bpe_32k.model")
@@ -108,24 +160,43 @@ def test_lattice(spark, docs, shared):
     total, types = sum(counts.values()) + ends, len(counts) + 1
     once, two = (sum(c == k for c in counts.values()) for k in (1, 2))
     off = once / (once + 2 * two) if once and two else 0.5
-    pieces = read_pieces(path)
-    first, fitted = Lattice(pieces), dict.fromkeys(pieces, 0.01)
+    weights = ranked_pieces(path)
+    fitted = {key: w * 0.01 * len(weights) / sum(weights.values()) for key, w in weights.items()}
     for w in counts:
-        for s in first.segment(w):
-            fitted[s] += 1
-    model = Lattice(fitted)
+        for key, n in expected_counts(w, weights).items():
+            fitted[key] += n
+    spelt = {w: math.exp(forward(w, fitted)[-1]) for _, t in rows for w in t}
     got = lattice_scores(docs, path, most_shared=shared).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
     for i, t in rows:
         r = by[i]
         base = sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (types + 1))) for w in t) + math.log10((ends + 0.5) / (total + 0.5 * (types + 1)))
-        score = sum(math.log10(max(counts[w] - off, 0) / total + off * types / total * 10 ** model.score(w)) for w in t) + math.log10((ends - off) / total)
+        score = sum(math.log10(max(counts[w] - off, 0) / total + off * types / total * spelt[w]) for w in t) + math.log10((ends - off) / total)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(t) + 1, sum(counts[w] > 0 for w in t) + 1, total)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
     assert lattice_scores(empty(spark), path).count() == 0
 
 
+def test_expected_pieces_follow_the_weights():
+    weights = {(True, b""): 1.0, (True, b"a"): 2.0, (False, b"a"): 3.0, (False, b"b"): 4.0, (False, b"ab"): 5.0, (True, b"ab"): 6.0}
+    for change in (1.0, 9.0):
+        weights[True, b"ab"] = 6.0 * change
+        p = {k: w / sum(weights.values()) for k, w in weights.items()}
+        ways = {((True, b"ab"),): p[True, b"ab"], ((True, b"a"), (False, b"b")): p[True, b"a"] * p[False, b"b"], ((True, b""), (False, b"ab")): p[True, b""] * p[False, b"ab"], ((True, b""), (False, b"a"), (False, b"b")): p[True, b""] * p[False, b"a"] * p[False, b"b"]}
+        want = Counter()
+        for way, x in ways.items():
+            for piece in way:
+                want[piece] += x / sum(ways.values())
+        got: dict = {}
+        Lattice(weights).expected(b"ab", got)
+        assert got == pytest.approx(dict(want))
+    tiny = {(True, b""): 1.0, (False, b"x"): 1e-11, (False, b"xx"): 1e-24}
+    got = {}
+    Lattice(tiny).expected(b"x" * 60, got)
+    assert got[True, b""] == pytest.approx(1) and got[False, b"x"] + 2 * got[False, b"xx"] == pytest.approx(60)
+
+
 def test_lattice_sums_all_segmentations():
     model = Lattice({(True, b""): 1.0, (True, b"a"): 2.0, (False, b"a"): 3.0, (False, b"b"): 4.0, (False, b"ab"): 5.0, (True, b"ab"): 6.0})
     p = lambda x: x / 21
