@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetext.llm._arrays import SLICE_BYTES, buffers, mix, packed, powers, slices, spans, word_hashes
-from pagetext.llm._store import stored
+from pagetext.llm._store import numbered, stored
 
 LENGTH = 400
+PASSAGE_WORDS = 51
 BUCKETS = 4096
 _EXACT = np.arange(256, dtype=np.uint8)
 _LOOSE = np.uint64(0xA5A5_1234_9876_5A5B)
@@ -266,13 +267,26 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(run["row"][who]), pa.array(_packs(run["at"][who], o[a], o[b], np.ones(len(a), np.int64)))], ["row", "pack"])
 
 
-def _removed(batches: Iterator[pa.RecordBatch], shapes: list[_Shape], keep_text: bool) -> Iterator[pa.RecordBatch]:
+def _runs(found: list[tuple[int, int]]) -> list[list[int]]:
+    """Stretches that overlap or touch, as one."""
+    runs: list[list[int]] = []
+    for s, e in sorted(found):
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    return runs
+
+
+def _removed(batches: Iterator[pa.RecordBatch], shapes: list[_Shape], keep_text: bool, keep_passages: bool) -> Iterator[pa.RecordBatch]:
     """Bytes left of (id, text, packs by shape): counts and digest, or the text itself."""
+    names = ["row", "id", "n_bytes", "n_removed", "n_spans", "n_passages", "passage_bytes", "left"]
     for batch in batches:
         out = []
         for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
             text = text or b""
-            found: list[tuple[int, int]] = []
+            goes: list[tuple[int, int]] = []
+            passages: list[list[int]] = []
             for shape, packs in zip(shapes, batch.columns[3:], strict=True):
                 if p := packs[k].as_py():
                     p = np.array(p, np.int64)
@@ -281,22 +295,18 @@ def _removed(batches: Iterator[pa.RecordBatch], shapes: list[_Shape], keep_text:
                     if shape.words:
                         starts, ends, _ = spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
                         s, e = starts[s], ends[e - 1]
-                    found += zip(s.tolist(), e.tolist(), strict=True)
-            gone: list[list[int]] = []
-            for s, e in sorted(found):
-                if gone and s <= gone[-1][1]:
-                    gone[-1][1] = max(gone[-1][1], e)
-                else:
-                    gone.append([s, e])
-            kept, last = [], 0
+                        passages = _runs(list(zip(s.tolist(), e.tolist(), strict=True)))
+                    if not (shape.words and keep_passages):
+                        goes += zip(s.tolist(), e.tolist(), strict=True)
+            gone, kept, last = _runs(goes), [], 0
             for s, e in gone:
                 kept.append(text[last:s])
                 last = e
             kept.append(text[last:])
             left = b"".join(kept)
-            out.append((len(text), len(text) - len(left), len(gone), left.decode("utf-8", "ignore") if keep_text else hashlib.sha256(left).hexdigest()))
-        n, lost, runs, rest = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(runs, pa.int64()), pa.array(rest, pa.string())], ["row", "id", "n_bytes", "n_removed", "n_spans", "left"])
+            out.append((len(text), len(text) - len(left), len(gone), len(passages), sum(e - s for s, e in passages), left.decode("utf-8", "ignore") if keep_text else hashlib.sha256(left).hexdigest()))
+        *counts, rest = zip(*out, strict=True) if out else [()] * 6
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(rest, pa.string())], names)
 
 
 def _marked(rows: DataFrame, shape: _Shape) -> DataFrame:
@@ -313,26 +323,33 @@ def _marked(rows: DataFrame, shape: _Shape) -> DataFrame:
     return settled.join(more, "row", "full").select("row", F.concat(F.coalesce("packs", none), F.coalesce("more", none)).alias("packs"))
 
 
-def long_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False, length: int = LENGTH, words: int | None = None) -> DataFrame:
-    """(row, id, n_bytes, n_removed, n_spans, left) for each row: bytes covered by a string of
-    `length` bytes that also starts anywhere else in the table are removed, and with `words` those
-    covered by so many words that do, with the white space between them, whatever it is; `left` is
-    the SHA-256 of the rest, or with keep_text the rest itself, without broken characters at its seams.
+def long_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False, length: int = LENGTH, words: int | None = None, keep_passages: bool = False) -> DataFrame:
+    """(row, id, n_bytes, n_removed, n_spans, n_passages, passage_bytes, left) for each row: bytes
+    covered by a string of `length` bytes that also starts anywhere else in the table are removed,
+    and with `words` those covered by so many words that do, with the white space between them,
+    whatever it is; n_passages counts the maximal stretches of the latter and passage_bytes their
+    bytes, and with keep_passages they are told but not removed. `left` is the SHA-256 of the rest,
+    or with keep_text the rest itself, without broken characters at its seams.
 
     Texts are taken as UTF-8, null as empty; matches don't cross rows, overlaps count, and strings
     are judged on the input. Repeated rows remove each other's bytes altogether. Strings are
     compared by 64-bit hashes. Texts of any length are cut into overlapping stretches of 4 MB; a
-    stretch that very many rows share costs one shuffled suffix for each batch that holds it."""
-    read = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    stretch that very many rows share costs one shuffled suffix for each batch that holds it. Other
+    columns don't matter; an empty table gives no rows."""
+    read = numbered(docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text")))
     shapes = [_Shape(length), *([_Shape(words, words=True)] if words else [])]
     marks = None
     for i, shape in enumerate(shapes):
         own = _marked(read.select("row", "text"), shape).withColumnRenamed("packs", f"packs{i}")
         marks = own if marks is None else marks.join(own, "row", "full")
     kind = docs.schema[id_column].dataType.simpleString()
-    left = read.join(marks, "row", "left").select("row", "id", "text", *[f"packs{i}" for i in range(len(shapes))]).mapInArrow(lambda it: _removed(it, shapes, keep_text), f"row bigint, id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, left string")
-    return left.withColumnRenamed("id", id_column)
+    left = read.join(marks, "row", "left").select("row", "id", "text", *[f"packs{i}" for i in range(len(shapes))])
+    found = left.mapInArrow(lambda it: _removed(it, shapes, keep_text, keep_passages), f"row bigint, id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, n_passages bigint, passage_bytes bigint, left string")
+    return found.withColumnRenamed("id", id_column)
 
 
 def op10_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("left").alias("kept_sha256"))
+    """Strings of 400 bytes are removed. Passages of 51 words, of which two in five are shorter than that,
+    are told beside them: how many there are, and their bytes."""
+    found = long_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=PASSAGE_WORDS, keep_passages=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("left").alias("kept_sha256"), "n_passages", "passage_bytes")
