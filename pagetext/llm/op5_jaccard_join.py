@@ -22,7 +22,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from pagetext.llm._arrays import list_column, mix, packed, shingle_sets, slices
 from pagetext.llm._components import components, stars
@@ -95,13 +94,14 @@ def _undealt(bucket: int, keys: bytes) -> np.ndarray:
 _SENT = "bucket int, keys binary, offsets binary, twice binary, first bigint, block bigint, units binary, counts binary, row bigint, id {kind}, n bigint, seal bigint"
 
 
-def _keyed(width: int, percent: int, bits: int, kind: pa.DataType):
+def _keyed(width: int, percent: int, bits: int):
     """From (row, id, text): keys dealt by bucket, of a key that a slice holds more than once one, marked
     so; for each unit the shared keys that its slice shows, less those that it needs; and for each
     row its set's size and seal."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kind = batch.schema.field("id").type
             for first, last in slices(batch.column("text")):
                 part = batch.slice(first, last - first)
                 rows = part.column("row").to_numpy()
@@ -133,31 +133,28 @@ def _tallied(units: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Rec
     return _batch(len(block), kind, bucket=pa.array((block & 0xFFF).astype(np.int32)), block=pa.array(block), units=out.column(1), counts=out.column(2))
 
 
-def _shared(kind: pa.DataType):
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From one partition of dealt keys: for each unit how many of its keys other slices have too, packed
     by blocks of rows; what is known already goes through."""
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, units, twice = [], [], []
-        for batch in batches:
-            sent = batch.column("keys").is_valid()
-            rest = batch.filter(pc.invert(sent))
-            if rest.num_rows:
-                yield rest
-            own = batch.filter(sent)
-            for bucket, bits, offsets, more, first in zip(*(own.column(c).to_pylist() for c in ("bucket", "keys", "offsets", "twice", "first")), strict=True):
-                keys.append(_undealt(bucket, bits))
-                units.append(np.frombuffer(offsets, np.uint32).astype(np.int64) + 8 * first)
-                twice.append(np.frombuffer(more, bool))
-        if not keys:
-            return
-        key, unit, more = np.concatenate(keys), np.concatenate(units), np.concatenate(twice)
-        _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-        told, count = np.unique(unit[(n[back] > 1) & ~more], return_counts=True)
-        if len(told):
-            yield _tallied(told, count, kind)
-
-    return shared
+    keys, units, twice = [], [], []
+    for batch in batches:
+        kind = batch.schema.field("id").type
+        sent = batch.column("keys").is_valid()
+        rest = batch.filter(pc.invert(sent))
+        if rest.num_rows:
+            yield rest
+        own = batch.filter(sent)
+        for bucket, bits, offsets, more, first in zip(*(own.column(c).to_pylist() for c in ("bucket", "keys", "offsets", "twice", "first")), strict=True):
+            keys.append(_undealt(bucket, bits))
+            units.append(np.frombuffer(offsets, np.uint32).astype(np.int64) + 8 * first)
+            twice.append(np.frombuffer(more, bool))
+    if not keys:
+        return
+    key, unit, more = np.concatenate(keys), np.concatenate(units), np.concatenate(twice)
+    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
+    told, count = np.unique(unit[(n[back] > 1) & ~more], return_counts=True)
+    if len(told):
+        yield _tallied(told, count, kind)
 
 
 def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -494,8 +491,8 @@ def jaccard_groups(docs: DataFrame, *, width: int = 3, percent: int = 90, id_col
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     parts = max(1, int(size / BYTES_A_WORD * 2.2 * (100 - percent) / percent / KEYS_IN_TASK))
     kind, bits = docs.schema[id_column].dataType, _bits(parts)
-    arrow, sent = to_arrow_type(kind), _SENT.format(kind=kind.simpleString())
-    told = stored(read.select("row", "id", "text").mapInArrow(_keyed(width, percent, bits, arrow), sent).repartition(parts, "bucket").mapInArrow(_shared(arrow), sent))
+    sent = _SENT.format(kind=kind.simpleString())
+    told = stored(read.select("row", "id", "text").mapInArrow(_keyed(width, percent, bits), sent).repartition(parts, "bucket").mapInArrow(_shared, sent))
     judged = told.where("row IS NOT NULL").select("row", "id", "n", "seal")
     tallies = told.where("units IS NOT NULL").select("block", "units", "counts")
     alive = stored(tallies.repartition(parts, "block").mapInArrow(_alive, "row bigint"))
