@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetext.llm._store import stored
+from pagetext.llm._store import dropped, numbered, stored
 from pagetext.llm.op1_decontaminate import leaks
 from pagetext.llm.op5_jaccard_join import jaccard_groups
 from pagetext.llm.op6_quality import classify
@@ -31,24 +31,32 @@ def _unpacked(packed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's threshold."""
+    """Documents whose perplexity is within their language's threshold.
+
+    Null and empty texts are kept, and everything where no row is trusted. A null language has the
+    threshold of all trusted rows. Repeated rows are judged one by one, texts of any length as a whole."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = classify(_packed(docs, "doc_id", "lang"), labels, carry=("doc_id", "lang", "document"), keep_text=True)
     return _unpacked(judged.where("keep"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least doc_id (null last, then the first row)."""
-    groups = stored(jaccard_groups(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    stays = groups.groupBy("component").agg(F.min_by("row", order).alias("row"), F.count("*").alias("n")).where("n > 1")
-    goes = groups.join(stays.select("component"), "component", "left_semi").join(stays.select("row"), "row", "left_anti").select("row")
-    rows = _packed(docs).withColumn("row", F.monotonically_increasing_id())
+    """Of each group of similar documents the one with the least doc_id (null last, then the first row).
+
+    Null, empty and blank texts are similar to nothing and stay. Of repeated rows one stays."""
+    rows = numbered(_packed(docs, "doc_id"))
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("key"), "text")
+    groups = stored(jaccard_groups(keyed, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT, id_column="key"))
+    stays = groups.groupBy("component").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    goes = stored(groups.join(stays, "component").where("key <> first").select("key.row"), instead=groups)
     return _unpacked(rows.join(goes.hint("merge"), "row", "left_anti"), docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that repeated strings of 400 bytes or passages of 51 words cover; n_chars follows."""
+    """All documents, without the bytes that repeated strings of 400 bytes or passages of 51 words cover.
+
+    n_chars follows where something goes. Null texts stay null, empty ones empty; of rows that are
+    repeated as a whole nothing is left but the rows. Texts of any length are searched as a whole."""
     left = long_repeats(_packed(docs), id_column="document", keep_text=True, words=REPEATED_WORDS)
     text = F.when((F.col("n_removed") == 0) & F.col("document.no_text"), F.lit(None)).otherwise(F.col("left"))
     cut = left.select("document", text.alias("text"), "n_removed")
@@ -60,14 +68,20 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item was found."""
-    rows = _packed(docs).withColumn("row", F.monotonically_increasing_id())
+    """Documents in which no benchmark item was found.
+
+    Null and empty texts hold none and stay, as does everything where the benchmark is empty; of
+    repeated rows all go or stay. Every passage of a long text is searched."""
+    rows = numbered(_packed(docs))
     found = stored(leaks(rows.select("row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column="row").select("row").distinct())
     return _unpacked(rows.join(found.hint("merge"), "row", "left_anti"), docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies and words to take of each document."""
+    """Copies and words to take of each document.
+
+    Null and empty texts have no words and are taken no times; a null source is a source of its
+    own, the last; repeated rows each count."""
     return mix(docs)
 
 
@@ -77,7 +91,8 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats"
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = stored(docs)
+            dropped(before)
     return docs
