@@ -31,7 +31,9 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(F.levenshtein(a, b).cast("double"), F.greatest(F.length(a), F.length(b)))
 
 
+NOT_LETTERS, NOT_MARKED = r"[^A-Za-zÀ-ɏḀ-ỿ]", r"[^À-ɏḀ-ỿ]"
+
+
 def marked_share(c: Column) -> Column:
     """Share of letters that carry a mark (precomposed Latin letters)."""
-    letters = F.length(F.regexp_replace(c, r"[^A-Za-zÀ-ɏḀ-ỿ]", ""))
-    return F.try_divide(F.length(F.regexp_replace(c, r"[^À-ɏḀ-ỿ]", "")).cast("double"), letters)
+    return F.try_divide(F.length(F.regexp_replace(c, NOT_MARKED, "")).cast("double"), F.length(F.regexp_replace(c, NOT_LETTERS, "")))

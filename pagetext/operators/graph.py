@@ -1,9 +1,8 @@
-"""Connected components inside pages."""
+"""Work on whole pages: one shuffle by page, then page after page as the rows come; components inside pages."""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,47 +11,77 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that spark.checkpoint.dir names; one of our own where none is set."""
+    """Checkpoint in the shared folder that spark.checkpoint.dir names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagetext-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named)
     return df.checkpoint()
 
 
-def _labels(keys: list[str]):
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Least labels of all pages of a partition at once, by halving paths until nothing changes."""
-        edges = pd.concat([*batches, pd.DataFrame(columns=[*keys, "a", "b"])], ignore_index=True)
-        if edges.empty:
-            return
-        ends = pd.concat([edges[[*keys, side]].set_axis([*keys, "frag_id"], axis=1) for side in "ab"], ignore_index=True)
-        node = ends.groupby([*keys, "frag_id"], sort=True).ngroup().to_numpy()
-        a, b = node[: len(edges)], node[len(edges) :]
-        label = np.arange(node.max() + 1)
-        while True:
-            least = np.minimum(label[a], label[b])
-            after = label.copy()
-            np.minimum.at(after, a, least)
-            np.minimum.at(after, b, least)
-            after = after[after]
-            if (after == label).all():
-                break
-            label = after
-        first = np.zeros(len(label), int)
-        first[node] = np.arange(len(node))
-        rows = ends.iloc[first].reset_index(drop=True)
-        yield rows.assign(group_id=rows["frag_id"].to_numpy()[label])
-
-    return work
+def by_page(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, *order: str) -> DataFrame:
+    """work(rows, page) on whole pages, some at a time: rows of pages that ended with a batch, sorted by
+    keys and order, and the running number of each row's page. A task holds a batch and one page."""
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for rows in batches:
+            if rows.empty:
+                continue
+            page = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
+            if rest:
+                page[0] = (rest[-1][keys].iloc[-1] != rows[keys].iloc[0]).any()
+            starts = np.flatnonzero(page)
+            if not len(starts):
+                rest.append(rows)
+                continue
+            ended = [*rest, rows.iloc[: starts[-1]]] if starts[-1] or rest else []
+            if ended:
+                yield from done(ended)
+            rest = [rows.iloc[starts[-1] :]]
+        if rest:
+            yield from done(rest)
+
+    def done(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+        if len(rows):
+            yield work(rows, np.cumsum((rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()))
+
+    return df.dropna(subset=keys).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, schema)
+
+
+def _labels(edges: pd.DataFrame, page: np.ndarray, keys: list[str]) -> pd.DataFrame:
+    """Least labels of all pages at once, by halving paths until nothing changes."""
+    ids, pages = np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()]), np.concatenate([page, page])
+    order = np.lexsort((ids, pages))
+    fresh = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (pages[order][1:] != pages[order][:-1])])
+    node = np.empty(len(ids), np.int64)
+    node[order] = np.cumsum(fresh) - 1
+    a, b = node[: len(edges)], node[len(edges) :]
+    label = np.arange(fresh.sum())
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    first = order[fresh]
+    rows = edges[keys].iloc[first % len(edges)].reset_index(drop=True)
+    return rows.assign(frag_id=ids[first], group_id=ids[first][label])
 
 
 def group_components(nodes: DataFrame, edges: DataFrame, *also: str) -> DataFrame:
     """nodes(page_id, *also, frag_id) with group_id, the least member that edges(a, b) reach.
 
-    A component lies inside a page, so one shuffle by page brings each together; the pages of a
-    partition are labelled at once. Nodes without edges are groups of their own."""
+    A component lies inside a page, so one shuffle by page brings each together. Nodes without
+    edges are groups of their own."""
     keys = ["page_id", *also]
     kinds = dict(edges.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"frag_id {kinds['a']}", f"group_id {kinds['a']}"])
-    labels = edges.select(*keys, "a", "b").repartition(*keys).mapInPandas(_labels(keys), schema)
+    labels = by_page(edges.select(*keys, "a", "b"), keys, lambda rows, page: _labels(rows, page, keys), schema)
     return nodes.join(labels, [*keys, "frag_id"], "left").select(*keys, "frag_id", F.coalesce("group_id", "frag_id").alias("group_id"))

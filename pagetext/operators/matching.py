@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetext.functions.text import fold_text, levenshtein_ratio, marked_share, ratcliff
-from pagetext.operators.graph import cut
+from pagetext.functions.text import NOT_LETTERS, NOT_MARKED, fold_text, levenshtein_ratio, ratcliff
+from pagetext.operators.fragments import half_even, with_floor
+from pagetext.operators.graph import by_page, cut
+
+
+BOX = ("x1", "y1", "x2", "y2")
 
 
 def rescale_coords(items: DataFrame, min_batch: int = 1, page: tuple[str, ...] = ("side", "page_id")) -> DataFrame:
-    """cx and cy in percent, by what a page's values look like: all below 2, fractions; at least half
-    above 100, thousandths; some from 5 and some below 2, fractions mixed in. Then 1 to 99."""
+    """cx, cy and the box (x1, y1, x2, y2, where the rows have one) in percent with one decimal, by what
+    a page's centres look like: all below 2, fractions; at least half above 100, thousandths; some
+    from 5 and some below 2, fractions mixed in. Then centres are held to 1 .. 99, boxes to 0 .. 100."""
     w = Window.partitionBy(*page)
     values = F.array("cx", "cy")
     total = 2 * F.count("*").over(w)
@@ -22,69 +27,114 @@ def rescale_coords(items: DataFrame, min_batch: int = 1, page: tuple[str, ...] =
     large = F.sum(F.size(F.filter(values, lambda v: v > 100))).over(w)
     mode = F.when(F.count("*").over(w) < min_batch, "as is").when(top < 2, "fraction").when(2 * large >= total, "thousand").when((top >= 5) & (low < 2), "mixed").otherwise("as is")
     out = items.withColumn("_mode", mode)
-    for c in ("cx", "cy"):
+    for c in ("cx", "cy", *[b for b in BOX if b in items.columns]):
         v = F.col(c)
-        fixed = F.when(F.col("_mode") == "fraction", v * 100).when(F.col("_mode") == "thousand", v / 10).when((F.col("_mode") == "mixed") & (v < 2), v * 100).otherwise(v)
-        out = out.withColumn(c, F.greatest(F.lit(1.0), F.least(F.lit(99.0), fixed)))
+        plain = v if c in ("cx", "cy") else F.when(F.col("_mode") == "mixed", half_even(v, 1)).otherwise(v)
+        fixed = F.when((F.col("_mode") == "fraction") | ((F.col("_mode") == "mixed") & (v < 2)), half_even(v * 100, 1)).when(F.col("_mode") == "thousand", half_even(v / 10, 1)).otherwise(plain)
+        least, most = (1.0, 99.0) if c in ("cx", "cy") else (0.0, 100.0)
+        out = out.withColumn(c, F.when(v.isNotNull(), F.greatest(F.lit(least), F.least(F.lit(most), fixed))))
     return out.drop("_mode")
 
 
 def fix_right_cluster(items: DataFrame, page: tuple[str, ...] = ("side", "page_id"), order: str = "item_id") -> DataFrame:
-    """Pages of two or more items, 70 % of them beyond 85: cx is 8, and cy is spread evenly where it spans less than 10."""
+    """Pages of two or more items, 70 % of them beyond 85: cx is 8, and cy is spread evenly, in the order of
+    the items, where it spans less than 10; boxes are put round the new centres."""
     w = Window.partitionBy(*page)
     n = F.count("*").over(w)
     stuck = (n >= 2) & (F.avg((F.col("cx") > 85).cast("double")).over(w) >= 0.7)
     flat = F.max("cy").over(w) - F.min("cy").over(w) < 10
-    place = F.row_number().over(w.orderBy("cy", order)) - 1
-    out = items.withColumn("_stuck", stuck).withColumn("_cy", F.when(stuck & flat, 5 + place * F.try_divide(F.lit(90.0), n - 1)).otherwise(F.col("cy")))
-    return out.withColumn("cx", F.when(F.col("_stuck"), 8.0).otherwise(F.col("cx"))).withColumn("cy", F.col("_cy")).drop("_stuck", "_cy")
+    place = F.row_number().over(w.orderBy(order)) - 1
+    spread = half_even(5 + place * F.try_divide(F.lit(90.0), n - 1), 1)
+    out = items.withColumn("_stuck", stuck).withColumn("_flat", stuck & flat).withColumn("cy", F.when(F.col("_flat"), spread).otherwise(F.col("cy")))
+    top, end = F.col("cy") - 3.5, F.col("cy") + 3.5
+    moved = {"x1": F.lit(3.0), "y1": F.when(F.col("_flat"), top).otherwise(F.greatest(F.lit(1.0), top)), "x2": F.lit(13.0), "y2": F.when(F.col("_flat"), end).otherwise(F.least(F.lit(99.0), end))}
+    for c in [b for b in BOX if b in items.columns]:
+        out = out.withColumn(c, F.when(F.col("_stuck"), moved[c]).otherwise(F.col(c)))
+    return out.withColumn("cx", F.when(F.col("_stuck"), 8.0).otherwise(F.col("cx"))).drop("_stuck", "_flat")
+
+
+def fill_boxes(items: DataFrame) -> DataFrame:
+    """Boxes round the centre where there are none; last, when centres are final."""
+    away = {"x1": F.col("cx") - 8, "y1": F.col("cy") - 5, "x2": F.col("cx") + 8, "y2": F.col("cy") + 5}
+    none = F.col("x1").isNull()
+    return items.select(*[F.when(none, away[c]).otherwise(F.col(c)).alias(c) if c in away else F.col(c) for c in items.columns])
 
 
 def match_candidates(a: DataFrame, b: DataFrame, min_ratio: float = 0.45, metric: str = "levenshtein") -> DataFrame:
-    """(page_id, a, b, ratio) of a page's pairs of folded texts of 3 letters or more that are alike."""
-    side = lambda df, s: df.select("page_id", F.col("item_id").alias(s), fold_text(F.col("text")).alias(f"t{s}")).where(F.length(f"t{s}") >= 3)
+    """(page_id, a, b, ratio) of a page's pairs of folded texts of 3 letters or more that are alike.
+
+    Lengths bound either ratio, so most pairs of unlike lengths are never compared."""
+    side = lambda df, s: df.select("page_id", F.col("item_id").alias(s), fold_text(F.col("text")).alias(f"t{s}")).withColumn(f"n{s}", F.length(f"t{s}")).where(F.col(f"n{s}") >= 3)
     pairs = cut(side(a, "a")).join(cut(side(b, "b")), "page_id")
-    measure = levenshtein_ratio if metric == "levenshtein" else ratcliff
-    return pairs.select("page_id", "a", "b", F.round(measure(F.col("ta"), F.col("tb")), 6).alias("ratio")).where(F.col("ratio") >= min_ratio)
+    few, many = F.least("na", "nb"), F.greatest("na", "nb")
+    if metric == "levenshtein":
+        far = F.expr(f"levenshtein(ta, tb, cast(floor({1 - min_ratio} * greatest(na, nb) + 1e-6) as int))")
+        met = pairs.where(few >= min_ratio * many - 1e-6).withColumn("far", far).where("far >= 0")
+        ratio = 1 - F.try_divide(F.col("far").cast("double"), many)
+    else:
+        met = pairs.where(2 * few >= min_ratio * (few + many) - 1e-6)
+        ratio = ratcliff(F.col("ta"), F.col("tb"))
+    return met.select("page_id", "a", "b", F.round(ratio, 6).alias("ratio")).where(F.col("ratio") >= min_ratio)
+
+
+def _greedy(pairs: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+    """Pairs in the order they come, each if neither side is taken yet."""
+    taken: set = set()
+    keep = np.zeros(len(pairs), bool)
+    for i, (p, a, b) in enumerate(zip(page.tolist(), pairs["a"].tolist(), pairs["b"].tolist(), strict=True)):
+        if (p, "a", a) not in taken and (p, "b", b) not in taken:
+            taken |= {(p, "a", a), (p, "b", b)}
+            keep[i] = True
+    return pairs[keep].drop(columns="_order")
 
 
 def match_regions(a: DataFrame, b: DataFrame, min_ratio: float = 0.45, metric: str = "levenshtein") -> DataFrame:
-    """(page_id, a, b, ratio), one to one, as taken greedily by (ratio desc, a, b): each round keeps the
-    pairs that are first for both sides, which no better pair can take from either."""
-    left = cut(match_candidates(a, b, min_ratio, metric))
-    order = (F.desc("ratio"), "a", "b")
-    rounds = []
-    while not left.isEmpty():
-        first = left.withColumn("_a", F.row_number().over(Window.partitionBy("page_id", "a").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("page_id", "b").orderBy(*order)))
-        won = cut(first.where("_a = 1 AND _b = 1").drop("_a", "_b"))
-        rounds.append(won)
-        left = cut(left.join(won.select("page_id", "a"), ["page_id", "a"], "left_anti").join(won.select("page_id", "b"), ["page_id", "b"], "left_anti").select(*won.columns))
-    return reduce(DataFrame.unionByName, rounds) if rounds else left
+    """(page_id, a, b, ratio), one to one, taken greedily by (ratio desc, a, b): pages are dealt out once,
+    and each is matched in one pass over its sorted candidates."""
+    pairs = match_candidates(a, b, min_ratio, metric).withColumn("_order", -F.col("ratio"))
+    kinds = dict(pairs.dtypes)
+    return by_page(pairs, ["page_id"], _greedy, f"page_id {kinds['page_id']}, a {kinds['a']}, b {kinds['b']}, ratio double", "_order", "a", "b")
 
 
 def matched_regions(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
-    """Every row of a: matched rows take b's place and confidence, others keep theirs with none."""
-    place = b.select("page_id", F.col("item_id").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"), F.col("conf").alias("bc"))
+    """Every row of a: matched rows take b's centre, box, members and confidence; others keep their own
+    place, without confidence, and are their own only member (a negative id, as no fragment is theirs)."""
+    place = b.select("page_id", F.col("item_id").alias("b"), F.struct("cx", "cy", *BOX, "conf", "members").alias("other"))
     m = a.join(matches.select("page_id", F.col("a").alias("item_id"), "b"), ["page_id", "item_id"], "left").join(place, ["page_id", "b"], "left")
-    return m.select("page_id", "item_id", "text", F.coalesce("bx", "cx").alias("cx"), F.coalesce("by", "cy").alias("cy"), F.col("bc").alias("conf"))
+    taken = lambda c: F.when(F.col("other").isNotNull(), F.col(f"other.{c}")).otherwise(F.col(c)).alias(c)
+    own = F.array(-1 - F.col("item_id"))
+    return m.select("page_id", "item_id", "text", *[taken(c) for c in ("cx", "cy", *BOX)], F.col("other.conf").alias("conf"), F.coalesce("other.members", own).alias("members"))
 
 
-def orphans(a: DataFrame, matches: DataFrame, most: int = 4) -> DataFrame:
-    """The first rows of each page without a match."""
+def orphans(a: DataFrame, matches: DataFrame, most: int = 4, least_px: float = 6) -> DataFrame:
+    """The first `most` rows of each page without a match; of these, those whose box is at least least_px wide
+    and high on a page of img_w x img_h. The cap comes first, so fewer may be left."""
     alone = a.join(matches.select("page_id", F.col("a").alias("item_id")), ["page_id", "item_id"], "left_anti")
-    return alone.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("item_id"))).where(F.col("_n") <= most).drop("_n")
+    first = alone.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("item_id"))).where(F.col("_n") <= most).drop("_n")
+    wide, high = (F.col("x2") - F.col("x1")) / 100 * F.col("img_w"), (F.col("y2") - F.col("y1")) / 100 * F.col("img_h")
+    return first.where((wide >= least_px) & (high >= least_px))
 
 
 def engine_report(texts: DataFrame, engines: list[str]) -> DataFrame:
-    """For each language and engine, in columns: texts, characters and seconds."""
-    return texts.groupBy("lang").pivot("engine", engines).agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("text")).alias("chars"), F.round(F.sum("millis") / 1000, 3).alias("seconds"))
-
-
-def text_quality(texts: DataFrame, truth: str = "truth") -> DataFrame:
-    """For each language and engine: share of marked letters, and mean similarity to the truth."""
-    real = texts.where(F.col("engine") == truth).select("doc_id", F.col("text").alias("real"))
-    met = texts.join(real, "doc_id")
-    return met.groupBy("lang", "engine").agg(F.round(F.avg(marked_share(F.col("text"))), 6).alias("marked"), F.round(F.avg(levenshtein_ratio(F.col("text"), F.col("real"))), 6).alias("similarity"))
+    """For each language and engine, in columns: files, fragments, regions, characters, seconds and errors of
+    texts(lang, doc_id, engine, fragments, regions, text, millis, error)."""
+    of = lambda c: F.sum(F.when(F.col("error").isNull(), F.col(c)))
+    counts = [F.count(F.lit(1)).alias("files"), of("fragments").alias("fragments"), of("regions").alias("regions"), F.sum(F.when(F.col("error").isNull(), F.length("text"))).alias("chars")]
+    return texts.groupBy("lang").pivot("engine", engines).agg(*counts, F.round(F.sum("millis") / 1000, 3).alias("seconds"), F.count("error").alias("errors"))
+
+
+def text_quality(lines: DataFrame, engines: list[str], truth: str = "truth", key: tuple[str, ...] = ("doc_id", "line")) -> DataFrame:
+    """For each language and engine of lines(key, lang, engine, text, conf): share of marked letters, mean
+    similarity of folded text to the truth's line (0 where the engine has none), and the share of
+    lines that the language's confidence floor drops."""
+    lines = lines.withColumn("folded", fold_text(F.col("text")))
+    real = lines.where(F.col("engine") == truth).select(*key, F.col("lang").alias("_lang"), F.col("folded").alias("real"))
+    wanted = real.withColumn("engine", F.explode(F.array(*map(F.lit, engines))))
+    met = wanted.join(with_floor(lines).select(*key, "engine", "text", "folded", "conf", "min_conf"), [*key, "engine"], "left")
+    marked = F.sum(F.length(F.regexp_replace("text", NOT_MARKED, ""))) / F.sum(F.length(F.regexp_replace("text", NOT_LETTERS, "")))
+    alike = F.avg(F.when(F.col("text").isNull(), 0.0).otherwise(F.coalesce(levenshtein_ratio(F.col("folded"), F.col("real")), F.lit(1.0))))
+    dropped = F.avg(F.when(F.col("text").isNotNull(), (F.col("conf") < F.col("min_conf")).cast("double")))
+    return met.groupBy(F.col("_lang").alias("lang"), "engine").agg(F.round(marked, 6).alias("marked"), F.round(alike, 6).alias("similarity"), F.round(dropped, 6).alias("dropped"))
 
 
 def engine_advice(pages: DataFrame, advice: DataFrame, available: list[str]) -> DataFrame:

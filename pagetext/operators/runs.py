@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from pagetext.operators.graph import group_components
 
-WIDE = 100_000  # a run's node number is y * WIDE + x0
-
-
 def components_of_runs(runs: DataFrame, reach: int = 1) -> DataFrame:
-    """runs with label, the least node of its component; runs of neighbouring rows that overlap within
-    `reach` columns connect (1: eight ways, 0: four ways)."""
-    node = (F.col("y") * WIDE + F.col("x0")).cast("bigint")
+    """runs with label, the least node (y * 2**32 + x0) of its component; runs of neighbouring rows that
+    overlap within `reach` columns connect (1: eight ways, 0: four ways)."""
+    node = F.shiftleft(F.col("y").cast("bigint"), 32) + F.col("x0")
     n = runs.select("page_id", "y", "x0", "x1", node.alias("frag_id"))
     a, b = n.alias("a"), n.alias("b")
     touch = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("b.x0") <= F.col("a.x1") + reach) & (F.col("b.x1") >= F.col("a.x0") - reach)
@@ -76,7 +73,7 @@ def box_coverage(boxes: DataFrame, territory: DataFrame) -> DataFrame:
 def pairs_of(boxes: DataFrame) -> DataFrame:
     """(page_id, a, b, centres and labels of both) of a page's boxes."""
     side = lambda s: boxes.select("page_id", F.col("box_id").alias(s), ((F.col("x1") + F.col("x2")) / 2).alias(f"{s}x"), ((F.col("y1") + F.col("y2")) / 2).alias(f"{s}y"), *[F.col(c).alias(s + c) for c in boxes.columns if c in ("label", "share")])
-    return side("a").join(side("b"), "page_id").where("a < b")
+    return side("a").join(side("b"), "page_id").where("a < b")  # boxes of one page are few
 
 
 def container_veto(boxes: DataFrame, territory: DataFrame, inside: float = 0.6, outside: float = 0.15) -> DataFrame:

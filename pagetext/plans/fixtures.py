@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
+_ROWS = """WITH r AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+    l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS rn
+  FROM lineitem),
+g AS (
+  SELECT CAST(floor(l_orderkey / 32) AS BIGINT) AS page_id, CAST(l_orderkey % 32 AS INT) AS y, rn,
+    l_partkey AS p, l_suppkey AS s, l_orderkey % 4 = 0 AS bridge, l_orderkey % 13 IN (5, 6) AS long_run
+  FROM r)"""
+
 SQL = {
     "f1_fragments": """WITH r AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
@@ -37,20 +46,20 @@ SELECT page_id, 'v' AS axis, 262 + page_id % 20 AS pos FROM p WHERE page_id % 3
 g AS (
   SELECT CAST(floor(l_orderkey / 4) AS BIGINT) AS page_id, (l_orderkey % 4) * 100 + rn AS item_id,
     5 + (l_orderkey % 4) * 22 + l_partkey % 17 AS cx, 5 + (l_partkey * 3 + rn * 11) % 90 AS cy,
-    p_name || ' ' || p_type || ' ' || p_brand AS t, l_partkey
+    p_name || ' ' || p_type || ' ' || p_brand AS t, l_partkey,
+    CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_partkey % 5 = 1 THEN CAST(0.25 AS DOUBLE) ELSE CAST(3 AS DOUBLE) END AS w
   FROM r JOIN part ON p_partkey = l_partkey),
 m AS (SELECT *, CASE page_id % 4 WHEN 0 THEN 'percent' WHEN 1 THEN 'fraction' WHEN 2 THEN 'thousand'
-        ELSE 'mixed' END AS scale, CASE WHEN page_id % 13 = 0 THEN 97 ELSE cx END AS ax FROM g)
+        ELSE 'mixed' END AS scale, CASE WHEN page_id % 13 = 0 THEN 97 ELSE cx END AS ax FROM g),
+k AS (SELECT *, CAST(CASE WHEN scale = 'fraction' OR (scale = 'mixed' AND item_id % 2 = 0) THEN 100
+  WHEN scale = 'thousand' THEN 0.1 ELSE 1 END AS DOUBLE) AS f FROM m)
 SELECT 'b' AS side, page_id, item_id, t AS text, 'percent' AS scale, CAST(cx AS DOUBLE) AS cx,
-  CAST(cy AS DOUBLE) AS cy, CAST(l_partkey % 100 AS DOUBLE) / 100 AS conf FROM m
+  CAST(cy AS DOUBLE) AS cy, CAST(l_partkey % 100 AS DOUBLE) / 100 AS conf, cx - w AS x1, cy - w / 2 AS y1,
+  cx + w AS x2, cy + w / 2 AS y2 FROM k WHERE page_id % 3 <> 0 OR l_partkey % 4 = 0
 UNION ALL
-SELECT 'a', page_id, item_id, replace(replace(t, 'o', 'ó'), 'e', 'è'), scale,
-  CASE WHEN scale = 'fraction' OR (scale = 'mixed' AND item_id % 2 = 0) THEN CAST(ax AS DOUBLE) / 100
-       WHEN scale = 'thousand' THEN CAST(ax AS DOUBLE) * 10 ELSE CAST(ax AS DOUBLE) END,
-  CASE WHEN scale = 'fraction' OR (scale = 'mixed' AND item_id % 2 = 0) THEN CAST(cy AS DOUBLE) / 100
-       WHEN scale = 'thousand' THEN CAST(cy AS DOUBLE) * 10 ELSE CAST(cy AS DOUBLE) END,
-  CAST(NULL AS DOUBLE)
-FROM m WHERE item_id % 5 <> 0""",
+SELECT 'a', page_id, item_id, replace(replace(t, 'o', 'ó'), 'e', 'è'), scale, CAST(ax AS DOUBLE) / f,
+  CAST(cy AS DOUBLE) / f, CAST(NULL AS DOUBLE), (ax - w) / f, (cy - w / 2) / f, (ax + w) / f, (cy + w / 2) / f
+FROM k WHERE item_id % 5 <> 0""",
     "f4_calls": """SELECT event_id AS call_id, ts, user_id % 20 AS chapter_id,
   CASE event_id % 3 WHEN 0 THEN 'translate' WHEN 1 THEN 'ocr' ELSE 'vision-crop' END AS feature,
   CASE event_type WHEN 'purchase' THEN 'deepseek' WHEN 'error' THEN 'deepseek' WHEN 'signup' THEN 'deepl'
@@ -66,6 +75,15 @@ FROM m WHERE item_id % 5 <> 0""",
     THEN CAST(floor(value * 100 + 0.5) AS BIGINT) * 4 END AS cache_hit_tokens,
   event_id % 900 AS chars
 FROM events""",
+    "f5_cards": """SELECT CASE WHEN p_partkey % 17 = 0 THEN '_notes' ELSE p_mfgr END AS provider,
+  CASE WHEN p_partkey % 19 = 0 THEN '_' ELSE '' END || p_brand || '/' || p_partkey AS model, p_size AS card,
+  p_retailprice / 1000 AS input, p_retailprice / 250 AS output,
+  CASE WHEN p_partkey % 3 = 0 THEN p_retailprice / 50000 END AS cache_hit,
+  CASE WHEN p_partkey % 7 = 0 THEN CAST(p_size * 1000 AS BIGINT) END AS threshold_tokens,
+  CASE WHEN p_partkey % 7 = 0 THEN p_retailprice / 500 END AS input_above,
+  CASE WHEN p_partkey % 7 = 0 THEN p_retailprice / 125 END AS output_above,
+  CAST(NULL AS DOUBLE) AS per_million_chars
+FROM part""",
     "f5_rates": """SELECT provider, model, CAST(input AS DOUBLE) AS input, CAST(output AS DOUBLE) AS output,
   CAST(cache_hit AS DOUBLE) AS cache_hit, CAST(threshold_tokens AS BIGINT) AS threshold_tokens,
   CAST(input_above AS DOUBLE) AS input_above, CAST(output_above AS DOUBLE) AS output_above,
@@ -135,26 +153,31 @@ FROM part""",
      WHEN 3 THEN 'page' || doc_id || '.PNG' WHEN 4 THEN 'page' || doc_id || '.webp'
      ELSE 'page' || doc_id || '.jpg' END AS path
 FROM documents""",
-    "f13_mask_runs": """WITH y AS (SELECT p_partkey AS y FROM part WHERE p_partkey >= 10 AND p_partkey < 50),
-g AS (SELECT n_nationkey AS page_id, y, n_nationkey % 3 = 0 AND y >= 20 AND y < 24 AS hole,
-        n_nationkey % 2 = 0 AND y >= 25 AND y < 35 AS neck FROM nation CROSS JOIN y)
-SELECT page_id, y, 10 AS x0, CASE WHEN hole THEN 19 WHEN neck THEN 110 ELSE 50 END AS x1 FROM g
-UNION ALL SELECT page_id, y, 31, 50 FROM g WHERE hole
-UNION ALL SELECT page_id, y, 70, 110 FROM g WHERE NOT neck""",
-    "f14_ink_runs": """WITH y AS (SELECT p_partkey AS y FROM part WHERE p_partkey >= 140 AND p_partkey < 180)
-SELECT n_nationkey AS page_id, y, CASE WHEN n_nationkey % 5 = 3 THEN 150 ELSE 100 END AS x0,
-  CASE WHEN n_nationkey % 5 = 3 THEN 155 ELSE 299 END AS x1,
-  CASE WHEN n_nationkey % 5 = 4 THEN 'light' ELSE 'dark' END AS level
-FROM nation CROSS JOIN y
-WHERE n_nationkey % 5 = 2 OR (n_nationkey % 5 IN (1, 3, 4) AND y >= 158 AND y < 162)
-UNION ALL
-SELECT n_nationkey, 300 + s_suppkey, 100, 599, 'dark' FROM nation JOIN supplier ON s_suppkey < 4
+    "f13_mask_runs": f"""{_ROWS}
+SELECT page_id, y, CAST(rn * 30 + CASE WHEN bridge THEN 0 ELSE p % 12 END AS INT) AS x0,
+  CAST(rn * 30 + CASE WHEN bridge THEN 57 ELSE p % 12 + 2 + (s * 7 + p) % 15 END AS INT) AS x1
+FROM g WHERE NOT (bridge AND rn % 2 = 0)""",
+    "f13_boxes": f"""{_ROWS}
+SELECT page_id, CAST(y * 16 + rn AS INT) AS box_id, CAST(rn * 30 - 3 + p % 12 AS INT) AS x1, y - 4 AS y1,
+  CAST(rn * 30 + 17 + p % 12 AS INT) AS x2, y + 6 AS y2
+FROM g WHERE y % 16 = 5""",
+    "f14_ink_runs": f"""{_ROWS}
+SELECT page_id, y, CAST(10 + p % 40 AS INT) AS x0, CAST(100 + p % 40 + s % 60 AS INT) AS x1,
+  CASE WHEN page_id % 5 = 4 THEN 'light' ELSE 'dark' END AS level FROM g WHERE long_run AND rn = 1
 UNION ALL
-SELECT n_nationkey, 320, 100, 498, 'dark' FROM nation""",
-    "f15_engine_text": """SELECT doc_id, lang, 'truth' AS engine, substr(text, 1, 60) AS text, CAST(0 AS BIGINT) AS millis FROM documents
-UNION ALL SELECT doc_id, lang, 'light', replace(replace(replace(substr(text, 1, 60), 'ä', 'a'), 'é', 'e'), 'ñ', 'n'),
-  500 + doc_id % 300 FROM documents
-UNION ALL SELECT doc_id, lang, 'heavy', substr(text, 1, 54), 3000 + doc_id % 900 FROM documents WHERE doc_id % 40 <> 0""",
+SELECT page_id, y, CAST(rn * 30 + p % 12 AS INT), CAST(rn * 30 + p % 12 + 2 + (s * 7 + p) % 15 AS INT),
+  CASE WHEN p % 3 = 0 THEN 'light' ELSE 'dark' END FROM g WHERE NOT long_run""",
+    "f14_bands": f"""{_ROWS}
+SELECT page_id, CAST(20 + p % 50 AS INT) AS gx1, y AS gy1, CAST(22 + p % 50 + s % 60 AS INT) AS gx2,
+  CAST(y + 1 + p % 9 AS INT) AS gy2, CASE WHEN p % 11 = 0 THEN NULL ELSE CAST((p * 5) % 256 AS INT) END AS tone
+FROM g WHERE y % 4 = 3 AND rn = 2""",
+    "f15_engine_text": """WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, lang, 'truth' AS engine, text, CAST(0 AS BIGINT) AS millis, CAST(NULL AS STRING) AS error FROM d
+UNION ALL SELECT doc_id, lang, 'light', replace(replace(replace(text, 'ä', 'a'), 'é', 'e'), 'ñ', 'n'),
+  500 + doc_id % 300, NULL FROM d
+UNION ALL SELECT doc_id, lang, 'heavy',
+  CASE WHEN length(text) % 40 = 0 THEN '' ELSE substr(text, 1, CAST(length(text) - floor(length(text) / 10) AS INT)) END,
+  3000 + doc_id % 900, CASE WHEN length(text) % 40 = 0 THEN 'out of memory' END FROM d""",
     "f16_tones": """SELECT l_orderkey AS region_id, CASE WHEN l_orderkey % 2 = 0 THEN 240 + l_partkey % 12
   ELSE (l_partkey * 5) % 256 END AS tone, count(*) AS n
 FROM lineitem GROUP BY 1, 2""",

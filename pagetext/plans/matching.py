@@ -1,4 +1,4 @@
-"""Queries over two OCR outputs, engines and run tables, with their DuckDB equivalents."""
+"""Queries over two OCR outputs and engines, with their DuckDB equivalents."""
 
 from __future__ import annotations
 
@@ -6,100 +6,129 @@ from pyspark.sql import functions as F
 
 from pagetext.functions.text import fold_text, marked_share
 from pagetext.operators import matching as op
-from pagetext.operators import runs
 from pagetext.plans.fixtures import SQL, fixture
 
 
+PAGE_W, PAGE_H = 960, 1500
+CHUNK = "(?s).{1,60}"
+ENGINES = ["heavy", "light"]
+
+
 def _two(s, d, side):
-    return fixture(s, d, "f3_two_outputs").where(F.col("side") == side)
+    rows = op.fill_boxes(fixture(s, d, "f3_two_outputs").where(F.col("side") == side))
+    return rows.withColumn("members", F.array(F.col("item_id") * 10, F.col("item_id") * 10 + 1)).withColumn("img_w", F.lit(PAGE_W)).withColumn("img_h", F.lit(PAGE_H))
+
+
+def _placed(s, d, side):
+    return op.rescale_coords(_two(s, d, side))
 
 
 def _matches(s, d, metric="levenshtein"):
     return op.match_regions(_two(s, d, "a"), _two(s, d, "b"), metric=metric)
 
 
-def _mask(s, d):
-    return fixture(s, d, "f13_mask_runs").select("page_id", F.col("y").cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
+def _rounded(df):
+    return df.select("side", "page_id", "item_id", *[F.round(c, 6).alias(c) for c in ("cx", "cy", *op.BOX)])
 
 
-def _pages(s, d):
-    return _mask(s, d).select("page_id").distinct().withColumn("w", F.lit(200)).withColumn("h", F.lit(80))
+def _lines(s, d):
+    """Whole texts as lines of 60 characters, each with a confidence."""
+    texts = fixture(s, d, "f15_engine_text")
+    lines = texts.select("doc_id", "lang", "engine", F.posexplode(F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0))).alias("line", "text"))
+    return lines.withColumn("conf", (F.col("doc_id") * 37 + F.col("line") * 11 + F.length("text")) % 100 / F.lit(100.0))
 
 
-def _boxes(s, d):
-    spots = F.array(*[F.struct(F.lit(i).alias("box_id"), F.lit(x).alias("x1"), F.lit(18).alias("y1"), F.lit(x + 30).alias("x2"), F.lit(30).alias("y2")) for i, x in ((1, 15), (2, 75), (3, 130))])
-    return _pages(s, d).select("page_id", F.inline(spots))
+def _texts(s, d):
+    size = F.length("text")
+    return fixture(s, d, "f15_engine_text").withColumn("fragments", F.ceil(size / 60)).withColumn("regions", F.ceil(size / 300))
 
 
-def _ink(s, d):
-    return fixture(s, d, "f14_ink_runs").select("page_id", F.col("y").cast("int").alias("y"), "x0", "x1", "level")
+def rescale_coords(s, d):
+    return _rounded(op.rescale_coords(fixture(s, d, "f3_two_outputs")))
 
 
-def gap_profile_veto(s, d):
-    bands = _ink(s, d).select("page_id").distinct().select("page_id", F.lit(100).alias("gx1"), F.lit(140).alias("gy1"), F.lit(300).alias("gx2"), F.lit(180).alias("gy2"), F.when(F.col("page_id") % 5 == 4, 40).otherwise(200).alias("tone"))
-    return runs.gap_profile_veto(bands, _ink(s, d)).select("page_id", "veto")
+def fix_right_cluster(s, d):
+    return _rounded(op.fill_boxes(op.fix_right_cluster(op.rescale_coords(fixture(s, d, "f3_two_outputs")))))
 
 
-def residual_check(s, d):
-    mask = _mask(s, d)
-    after = mask.where("y % 4 < 3").select("page_id", "y", (F.col("x0") + 5).alias("x0"), F.col("x1"))
-    return runs.residual_check(mask, after, _boxes(s, d)).select("page_id", "box_id", "pixels", "blob", "share", "flagged")
+def matched_regions(s, d):
+    found = op.matched_regions(_two(s, d, "a"), _two(s, d, "b"), _matches(s, d))
+    return found.select("page_id", "item_id", *[F.round(c, 6).alias(c) for c in ("cx", "cy", *op.BOX)], "conf", F.array_join("members", ",").alias("members"))
+
+
+def orphans(s, d):
+    return op.orphans(_placed(s, d, "a"), op.match_regions(_two(s, d, "a"), _two(s, d, "b"), min_ratio=0.8)).select("page_id", "item_id")
 
 
 QUERIES = {
     "fold_text": lambda s, d: fixture(s, d, "f3_two_outputs").select("side", "page_id", "item_id", fold_text(F.col("text")).alias("folded")),
-    "rescale_coords": lambda s, d: op.rescale_coords(fixture(s, d, "f3_two_outputs")).select("side", "page_id", "item_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy")),
-    "fix_right_cluster": lambda s, d: op.fix_right_cluster(op.rescale_coords(fixture(s, d, "f3_two_outputs"))).select("side", "page_id", "item_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy")),
+    "rescale_coords": rescale_coords,
+    "fix_right_cluster": fix_right_cluster,
     "match_candidates": lambda s, d: op.match_candidates(_two(s, d, "a"), _two(s, d, "b")),
     "match_regions": _matches,
     "match_regions_ratcliff": lambda s, d: _matches(s, d, "ratcliff"),
-    "matched_regions": lambda s, d: op.matched_regions(_two(s, d, "a"), _two(s, d, "b"), _matches(s, d)).select("page_id", "item_id", "cx", "cy", "conf"),
-    "orphans": lambda s, d: op.orphans(_two(s, d, "a"), _matches(s, d)).select("page_id", "item_id"),
-    "engine_report": lambda s, d: op.engine_report(fixture(s, d, "f15_engine_text"), ["heavy", "light"]),
-    "text_quality": lambda s, d: op.text_quality(fixture(s, d, "f15_engine_text")),
+    "matched_regions": matched_regions,
+    "orphans": orphans,
+    "engine_report": lambda s, d: op.engine_report(_texts(s, d), ENGINES),
+    "text_quality": lambda s, d: op.text_quality(_lines(s, d), [*ENGINES, "truth"]),
     "marked_share": lambda s, d: fixture(s, d, "f15_engine_text").select("doc_id", "engine", F.round(marked_share(F.col("text")), 6).alias("marked")),
-    "engine_advice": lambda s, d: op.engine_advice(fixture(s, d, "f15_engine_text").select("doc_id", "lang", "engine"), s.createDataFrame([("de", "heavy"), ("fr", "light"), ("es", "absent")], "lang string, advised string"), ["heavy", "light"]),
+    "engine_advice": lambda s, d: op.engine_advice(fixture(s, d, "f15_engine_text").select("doc_id", "lang", "engine"), s.createDataFrame([("de", "heavy"), ("fr", "light"), ("es", "absent")], "lang string, advised string"), ENGINES),
     "background_route": lambda s, d: op.background_route(fixture(s, d, "f16_tones")),
-    "components_of_runs": lambda s, d: runs.components_of_runs(_mask(s, d)),
-    "fill_holes": lambda s, d: runs.fill_holes(_mask(s, d), _pages(s, d)).groupBy("page_id", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("pixels")),
-    "column_extents": lambda s, d: runs.column_extents(runs.components_of_runs(_mask(s, d))),
-    "box_label": lambda s, d: runs.box_label(_boxes(s, d), runs.components_of_runs(_mask(s, d))).select("page_id", "box_id", "label"),
-    "box_coverage": lambda s, d: runs.box_coverage(_boxes(s, d), runs.fill_holes(_mask(s, d), _pages(s, d))).select("page_id", "box_id", F.round("share", 6).alias("share")),
-    "container_veto": lambda s, d: runs.container_veto(_boxes(s, d), runs.fill_holes(_mask(s, d), _pages(s, d))),
-    "waist_veto": lambda s, d: runs.waist_veto(_boxes(s, d), runs.components_of_runs(_mask(s, d))),
-    "path_label_veto": lambda s, d: runs.path_label_veto(_boxes(s, d), runs.components_of_runs(_mask(s, d))),
-    "panel_borders": lambda s, d: runs.panel_borders(_ink(s, d).where("level = 'dark'"), F.lit(1000)),
-    "gap_profile_veto": gap_profile_veto,
-    "residual_check": residual_check,
 }
 
-F3, F13, F14, F15, F16 = (f"({SQL[n]})" for n in ("f3_two_outputs", "f13_mask_runs", "f14_ink_runs", "f15_engine_text", "f16_tones"))
+F3, F15, F16 = (f"({SQL[n].replace('STRING', 'VARCHAR')})" for n in ("f3_two_outputs", "f15_engine_text", "f16_tones"))
 _FOLD = "regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g')"
+_E1 = "round_even(round({0}, 6), 1)"
+
+
+def _percent(c: str) -> str:
+    plain = c if c[0] == "c" else f"CASE WHEN mode = 'm' THEN {_E1.format(c)} ELSE {c} END"
+    low, high = ("1.0", "99.0") if c[0] == "c" else ("0.0", "100.0")
+    return f"CASE WHEN {c} IS NOT NULL THEN greatest({low}::DOUBLE, least({high}::DOUBLE, CASE WHEN mode = 'f' OR (mode = 'm' AND {c} < 2) THEN {_E1.format(c + ' * 100')} WHEN mode = 't' THEN {_E1.format(c + ' / 10')} ELSE {plain} END)) END AS {c}"
+
+
 _SCALED = f"""k AS (SELECT *, max(greatest(cx, cy)) OVER w AS top, min(least(cx, cy)) OVER w AS low, sum(CASE WHEN cx > 100 THEN 1 ELSE 0 END + CASE WHEN cy > 100 THEN 1 ELSE 0 END) OVER w AS large, count(*) OVER w AS n FROM {F3} WINDOW w AS (PARTITION BY side, page_id)),
 m AS (SELECT *, CASE WHEN top < 2 THEN 'f' WHEN 2 * large >= 2 * n THEN 't' WHEN top >= 5 AND low < 2 THEN 'm' END AS mode FROM k),
-z AS (SELECT side, page_id, item_id, greatest(1.0::DOUBLE, least(99.0::DOUBLE, CASE WHEN mode = 'f' OR (mode = 'm' AND cx < 2) THEN cx * 100 WHEN mode = 't' THEN cx / 10 ELSE cx END)) AS cx, greatest(1.0::DOUBLE, least(99.0::DOUBLE, CASE WHEN mode = 'f' OR (mode = 'm' AND cy < 2) THEN cy * 100 WHEN mode = 't' THEN cy / 10 ELSE cy END)) AS cy FROM m)"""
-_LOBES = f"l AS (SELECT page_id, y, x0, x1, CASE WHEN page_id % 2 = 0 OR x0 < 60 THEN 1000010 ELSE 1000070 END AS label FROM {F13})"
-_COLUMNS = "ext AS (SELECT page_id, label, x, max(y) - min(y) + 1 AS extent FROM (SELECT page_id, label, y, unnest(range(x0, x1 + 1)) AS x FROM l) GROUP BY 1, 2, 3)"
+z AS (SELECT side, page_id, item_id, {", ".join(map(_percent, ("cx", "cy", *op.BOX)))} FROM m)"""
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in ("cx", "cy", *op.BOX))
+_FILL = "coalesce(x1, cx - 8) AS x1, coalesce(y1, cy - 5) AS y1, coalesce(x2, cx + 8) AS x2, coalesce(y2, cy + 5) AS y2"
+
+
+def _pairs(least: float) -> str:
+    return f"""f AS MATERIALIZED (SELECT side, page_id, item_id, {_FOLD} AS t FROM {F3}), d AS MATERIALIZED (SELECT side, page_id, item_id, t, length(t) AS n FROM f WHERE length(t) >= 3),
+p AS MATERIALIZED (SELECT * FROM (SELECT a.page_id, a.item_id AS a, b.item_id AS b, round(1 - levenshtein(a.t, b.t) / greatest(a.n, b.n)::DOUBLE, 6) AS ratio FROM d a JOIN d b ON a.page_id = b.page_id AND a.side = 'a' AND b.side = 'b' AND least(a.n, b.n) >= {least} * greatest(a.n, b.n) - 1e-6) WHERE ratio >= {least}),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ratio DESC, a, b) AS k FROM p),
+w AS (SELECT page_id, k, a, b, ratio, [a] AS ua, [b] AS ub, true AS won FROM o WHERE k = 1 UNION ALL
+  SELECT o.page_id, o.k, o.a, o.b, o.ratio, CASE WHEN list_contains(ua, o.a) OR list_contains(ub, o.b) THEN ua ELSE list_append(ua, o.a) END, CASE WHEN list_contains(ua, o.a) OR list_contains(ub, o.b) THEN ub ELSE list_append(ub, o.b) END, NOT (list_contains(ua, o.a) OR list_contains(ub, o.b))
+  FROM w JOIN o ON o.page_id = w.page_id AND o.k = w.k + 1),
+won AS MATERIALIZED (SELECT page_id, a, b, ratio FROM w WHERE won)"""
+
+
+_LINES = f"""c AS (SELECT doc_id, lang, engine, regexp_extract_all(text, '{CHUNK}') AS parts FROM {F15}),
+l AS MATERIALIZED (SELECT doc_id, lang, engine, unnest(range(len(parts))) AS line, unnest(parts) AS text FROM c), n AS MATERIALIZED (SELECT *, {_FOLD} AS folded FROM l)"""
+_FLOOR = "CASE l.lang WHEN 'vi' THEN 0.25::DOUBLE WHEN 'ko' THEN 0.3::DOUBLE WHEN 'pt' THEN 0.3::DOUBLE ELSE 0.35::DOUBLE END"
 
 ORACLES = {
     "fold_text": f"SELECT side, page_id, item_id, {_FOLD} AS folded FROM {F3}",
-    "rescale_coords": f"WITH {_SCALED} SELECT side, page_id, item_id, round(cx, 6) AS cx, round(cy, 6) AS cy FROM z",
-    "fix_right_cluster": f"""WITH {_SCALED}, s AS (SELECT *, count(*) OVER w >= 2 AND avg(CASE WHEN cx > 85 THEN 1.0 ELSE 0.0 END) OVER w >= 0.7 AS stuck, max(cy) OVER w - min(cy) OVER w < 10 AS flat, row_number() OVER (PARTITION BY side, page_id ORDER BY cy, item_id) - 1 AS k, count(*) OVER w AS n FROM z WINDOW w AS (PARTITION BY side, page_id))
-SELECT side, page_id, item_id, CASE WHEN stuck THEN 8.0::DOUBLE ELSE round(cx, 6) END AS cx, round(CASE WHEN stuck AND flat THEN 5 + k * (90.0::DOUBLE / (n - 1)) ELSE cy END, 6) AS cy FROM s""",
-    "match_candidates": f"""WITH f AS (SELECT side, page_id, item_id, {_FOLD} AS t FROM {F3}), p AS (SELECT a.page_id, a.item_id AS a, b.item_id AS b, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t))::DOUBLE, 6) AS ratio FROM f a JOIN f b ON a.page_id = b.page_id AND a.side = 'a' AND b.side = 'b' AND length(a.t) >= 3 AND length(b.t) >= 3) SELECT * FROM p WHERE ratio >= 0.45""",
-    "engine_report": "SELECT lang, " + ", ".join(f"count(*) FILTER (engine = '{e}') AS {e}_texts, CAST(sum(length(text)) FILTER (engine = '{e}') AS BIGINT) AS {e}_chars, round(sum(millis) FILTER (engine = '{e}') / 1000, 3) AS {e}_seconds" for e in ("heavy", "light")) + f" FROM {F15} GROUP BY 1",
+    "rescale_coords": f"WITH {_SCALED} SELECT side, page_id, item_id, {_ROUNDED} FROM z",
+    "fix_right_cluster": f"""WITH {_SCALED}, s AS (SELECT *, count(*) OVER w >= 2 AND avg(CASE WHEN cx > 85 THEN 1.0 ELSE 0.0 END) OVER w >= 0.7 AS stuck, max(cy) OVER w - min(cy) OVER w < 10 AS flat, row_number() OVER (PARTITION BY side, page_id ORDER BY item_id) - 1 AS k, count(*) OVER w AS n FROM z WINDOW w AS (PARTITION BY side, page_id)),
+t AS (SELECT side, page_id, item_id, stuck, flat, CASE WHEN stuck THEN 8.0::DOUBLE ELSE cx END AS cx, CASE WHEN stuck AND flat THEN {_E1.format("5 + k * (90.0::DOUBLE / (n - 1))")} ELSE cy END AS cy, x1, y1, x2, y2 FROM s),
+u AS (SELECT side, page_id, item_id, cx, cy, CASE WHEN stuck THEN 3.0::DOUBLE ELSE x1 END AS x1, CASE WHEN stuck AND flat THEN cy - 3.5 WHEN stuck THEN greatest(1.0::DOUBLE, cy - 3.5) ELSE y1 END AS y1, CASE WHEN stuck THEN 13.0::DOUBLE ELSE x2 END AS x2, CASE WHEN stuck AND flat THEN cy + 3.5 WHEN stuck THEN least(99.0::DOUBLE, cy + 3.5) ELSE y2 END AS y2 FROM t),
+v AS (SELECT side, page_id, item_id, cx, cy, {_FILL} FROM u) SELECT side, page_id, item_id, {_ROUNDED} FROM v""",
+    "match_candidates": f"WITH RECURSIVE {_pairs(0.45)} SELECT page_id, a, b, ratio FROM p",
+    "match_regions": f"WITH RECURSIVE {_pairs(0.45)} SELECT * FROM won",
+    "matched_regions": f"""WITH RECURSIVE {_pairs(0.45)}, x AS (SELECT side, page_id, item_id, cx, cy, conf, {_FILL} FROM {F3})
+SELECT a.page_id, a.item_id, {", ".join(f"round(CASE WHEN b.item_id IS NULL THEN a.{c} ELSE b.{c} END, 6) AS {c}" for c in ("cx", "cy", *op.BOX))}, b.conf, coalesce((b.item_id * 10) || ',' || (b.item_id * 10 + 1), CAST(-1 - a.item_id AS VARCHAR)) AS members
+FROM x a LEFT JOIN won ON won.page_id = a.page_id AND won.a = a.item_id LEFT JOIN x b ON b.side = 'b' AND b.page_id = a.page_id AND b.item_id = won.b WHERE a.side = 'a'""",
+    "orphans": f"""WITH RECURSIVE {_pairs(0.8)}, f3b AS (SELECT side, page_id, item_id, cx, cy, {_FILL} FROM {F3}), {_SCALED.replace(f"FROM {F3}", "FROM f3b")},
+r AS (SELECT z.* FROM z WHERE side = 'a' AND NOT EXISTS (SELECT 1 FROM won WHERE won.page_id = z.page_id AND won.a = z.item_id) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY item_id) <= 4)
+SELECT page_id, item_id FROM r WHERE (x2 - x1) / 100 * {PAGE_W} >= 6 AND (y2 - y1) / 100 * {PAGE_H} >= 6""",
+    "engine_report": "SELECT lang, " + ", ".join(f"count(*) FILTER (engine = '{e}') AS {e}_files, CAST(sum(ceil(length(text) / 60)) FILTER (engine = '{e}' AND error IS NULL) AS BIGINT) AS {e}_fragments, CAST(sum(ceil(length(text) / 300)) FILTER (engine = '{e}' AND error IS NULL) AS BIGINT) AS {e}_regions, CAST(sum(length(text)) FILTER (engine = '{e}' AND error IS NULL) AS BIGINT) AS {e}_chars, round(sum(millis) FILTER (engine = '{e}') / 1000, 3) AS {e}_seconds, count(error) FILTER (engine = '{e}') AS {e}_errors" for e in ENGINES) + f" FROM {F15} GROUP BY 1",
+    "text_quality": f"""WITH {_LINES}, e AS (SELECT unnest(['heavy', 'light', 'truth']) AS engine), t AS (SELECT doc_id, line, lang, folded AS real, e.engine FROM n, e WHERE n.engine = 'truth'),
+j AS (SELECT t.lang, t.engine, t.real, l.text, l.folded, (l.doc_id * 37 + l.line * 11 + length(l.text)) % 100 / 100.0::DOUBLE AS conf, {_FLOOR} AS floor FROM t LEFT JOIN n l ON l.doc_id = t.doc_id AND l.line = t.line AND l.engine = t.engine)
+SELECT lang, engine, round(sum(length(regexp_replace(text, '[^À-ɏḀ-ỿ]', '', 'g'))) / sum(length(regexp_replace(text, '[^A-Za-zÀ-ɏḀ-ỿ]', '', 'g'))), 6) AS marked, round(avg(CASE WHEN text IS NULL THEN 0 WHEN folded = '' AND real = '' THEN 1 ELSE 1 - levenshtein(folded, real) / greatest(length(folded), length(real))::DOUBLE END), 6) AS similarity, round(avg(CASE WHEN text IS NOT NULL THEN CASE WHEN conf < floor THEN 1.0 ELSE 0.0 END END), 6) AS dropped FROM j GROUP BY 1, 2""",
     "marked_share": f"""SELECT doc_id, engine, round(length(regexp_replace(text, '[^À-ɏḀ-ỿ]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(text, '[^A-Za-zÀ-ɏḀ-ỿ]', '', 'g')), 0), 6) AS marked FROM {F15}""",
     "engine_advice": f"SELECT doc_id, lang, engine, CASE WHEN lang = 'de' AND engine <> 'heavy' THEN 'heavy' WHEN lang = 'fr' AND engine <> 'light' THEN 'light' END AS advice FROM {F15}",
     "background_route": f"""WITH r AS (SELECT region_id, tone, n, sum(n) OVER (PARTITION BY region_id ORDER BY tone) AS below, sum(n) OVER (PARTITION BY region_id) AS all_n FROM {F16}), m AS (SELECT *, min(CASE WHEN 2 * below >= all_n THEN tone END) OVER (PARTITION BY region_id) AS median FROM r)
 SELECT region_id, median, CASE WHEN sum(CASE WHEN abs(tone - median) <= 18 THEN n ELSE 0 END) / sum(n)::DOUBLE >= 0.85 THEN 'flat' ELSE 'inpaint' END AS route, CASE WHEN sum(tone * n) / sum(n)::DOUBLE < 128 THEN 'white' ELSE 'black' END AS label FROM m GROUP BY 1, 2""",
-    "components_of_runs": f"WITH {_LOBES} SELECT page_id, CAST(y AS INT) AS y, x0, x1, CAST(label AS BIGINT) AS label FROM l",
-    "fill_holes": f"WITH {_LOBES} SELECT page_id, CAST(label AS BIGINT) AS label, CAST(sum(x1 - x0 + 1) + CASE WHEN label = 1000010 AND page_id % 3 = 0 THEN 44 ELSE 0 END AS BIGINT) AS pixels FROM l GROUP BY page_id, label",
-    "column_extents": f"WITH {_LOBES}, {_COLUMNS} SELECT page_id, CAST(label AS BIGINT) AS label, CAST(x AS INT) AS x, CAST(extent AS INT) AS extent FROM ext",
-    "box_label": f"SELECT DISTINCT page_id, box_id, CAST(CASE WHEN box_id = 3 THEN 0 WHEN box_id = 1 OR page_id % 2 = 0 THEN 1000010 ELSE 1000070 END AS BIGINT) AS label FROM {F13}, (SELECT unnest([1, 2, 3]) AS box_id)",
-    "box_coverage": f"SELECT DISTINCT page_id, box_id, CASE WHEN box_id = 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS share FROM {F13}, (SELECT unnest([1, 2, 3]) AS box_id)",
-    "container_veto": f"SELECT DISTINCT page_id, a, b FROM {F13}, (VALUES (1, 2), (1, 3), (2, 3)) AS t(a, b) WHERE b = 3 OR page_id % 2 = 1",
-    "waist_veto": f"SELECT DISTINCT page_id, 1 AS a, 2 AS b, 0.25::DOUBLE AS ratio FROM {F13} WHERE page_id % 2 = 0",
-    "path_label_veto": f"SELECT DISTINCT page_id, 1 AS a, b FROM {F13}, (SELECT unnest([2, 3]) AS b) WHERE page_id % 2 = 1",
-    "panel_borders": f"SELECT DISTINCT page_id, CAST(301 AS INT) AS pos FROM {F14}",
-    "gap_profile_veto": f"SELECT DISTINCT page_id, page_id % 5 IN (1, 2, 4) AS veto FROM {F14}",
 }
