@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetext.operators.spend import fmt_ago
+
 IMAGE_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}
 BLANK = "—"
 SEPARATOR = "␟"
@@ -87,6 +89,35 @@ def lang_base(c: Column) -> Column:
     return F.upper(F.split_part(c, F.lit("-"), F.lit(1)))
 
 
+#: Codes of a translation provider by target language; others it doesn't have. Fixed values.
+TARGET_CODES = {
+    "English": "EN-US", "Malay": "MS", "Indonesian": "ID", "Filipino": "TL", "Japanese": "JA", "Chinese (Simplified)": "ZH-HANS",
+    "Chinese (Traditional)": "ZH-HANT", "Korean": "KO", "Thai": "TH", "Vietnamese": "VI", "Hindi": "HI", "Bengali": "BN",
+    "Tamil": "TA", "Burmese": "MY", "Spanish": "ES", "French": "FR", "German": "DE", "Portuguese": "PT-PT",
+    "Portuguese (Brazil)": "PT-BR", "Italian": "IT", "Russian": "RU", "Polish": "PL", "Dutch": "NL", "Turkish": "TR",
+    "Ukrainian": "UK", "Czech": "CS", "Romanian": "RO", "Hungarian": "HU", "Swedish": "SV", "Danish": "DA",
+    "Norwegian": "NB", "Finnish": "FI", "Greek": "EL", "Arabic": "AR", "Persian": "FA", "Hebrew": "HE", "Swahili": "SW",
+}
+
+
+def target_code(name: Column) -> Column:
+    """The provider's code of a target language, null where it has none."""
+    return pick(name, TARGET_CODES)
+
+
+def chapter_id(url: Column) -> Column:
+    """The UUID after chapter/, null without one."""
+    found = F.regexp_extract(url, "(?i)chapter/([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", 1)
+    return F.when(found != "", found)
+
+
+def split_composite_id(key: Column, kind: str, plain: str) -> Column:
+    """(kind, series, chapter) of `kind:series:chapter`; any other key is a chapter of the plain kind."""
+    parts = F.split(key, ":")
+    whole = (F.size(parts) == 3) & (F.get(parts, F.lit(0)) == kind)
+    return F.struct(F.when(whole, kind).otherwise(plain).alias("kind"), F.when(whole, F.get(parts, F.lit(1))).alias("series"), F.when(whole, F.get(parts, F.lit(2))).otherwise(key).alias("chapter"))
+
+
 def chapter_meta(feed: DataFrame, body: str = "body") -> DataFrame:
     """feed with title, manga_id, chapter, language and groups of landed chapter JSON."""
     rel = "array<struct<type:string,id:string,attributes:struct<title:map<string,string>,name:string>>>"
@@ -205,35 +236,42 @@ def seed_boxes(regions: DataFrame) -> DataFrame:
     return regions.select("chapter_id", "page_idx", "region_id", F.when(told, F.col("tl")).otherwise("").alias("tl"), F.when(told, "").otherwise(F.col("text")).alias("text"))
 
 
-def apply_edits(regions: DataFrame, edits: DataFrame) -> DataFrame:
-    """regions after a log of edits(…, region_id, seq, kind, text): the last text (translation reset), added
-    rows, deletions; the last edit of a region decides whether it is there."""
-    page = ["chapter_id", "page_idx", "region_id"]
-    last = edits.groupBy(*page).agg(F.max_by("kind", "seq").alias("kind"), F.max_by("text", F.when(F.col("kind").isin("text", "add"), F.col("seq"))).alias("new"))
-    both = regions.join(last, page, "full")
-    there = F.coalesce(F.col("kind") != "delete", F.lit(True)) & (F.col("text").isNotNull() | (F.col("kind") == "add"))
-    return both.where(there).select(*page, F.coalesce("new", "text").alias("text"), F.when(F.col("new").isNull(), F.col("tl")).alias("tl"))
-
-
-def route_pages(pages: DataFrame, target: str, hard: tuple[str, ...]) -> DataFrame:
-    """pages with route: skip (already in the target language), cached, vision (hard script) or local."""
+def route_pages(pages: DataFrame, target: str, hard: tuple[str, ...], mode: str = "smart", has_key: bool = True) -> DataFrame:
+    """pages with route: skip (already in the target language), cached, vision or local. Vision needs a key; it
+    takes all pages in mode `all`, hard scripts in mode `smart`, none in mode `off`."""
     base = F.split_part("lang", F.lit("-"), F.lit(1))
-    return pages.withColumn("route", F.when(base == target, "skip").when(F.col("cached"), "cached").when(base.isin(*hard), "vision").otherwise("local"))
+    seen = F.lit(has_key and mode != "off") & (F.lit(mode == "all") | F.col("lang").isin(*hard) | base.isin(*hard))
+    return pages.withColumn("route", F.when(base == target, "skip").when(F.col("cached"), "cached").when(seen, "vision").otherwise("local"))
 
 
-def status_summary(items: DataFrame) -> DataFrame:
+def status_summary(items: DataFrame, spend: DataFrame, budget: float) -> DataFrame:
+    """For each chapter items by status, what was spent of spend(chapter_id, cost), and whether that
+    reached the budget (0: none)."""
     is_ = lambda *s: F.count_if(F.col("status").isin(*s))
-    return items.groupBy("chapter_id").agg(is_("done").alias("done"), is_("error").alias("error"), is_("skipped").alias("skipped"), is_("pending", "working").alias("open"))
+    counts = items.groupBy("chapter_id").agg(is_("done").alias("done"), is_("error").alias("error"), is_("skipped").alias("skipped"), is_("pending", "working").alias("open"))
+    spent = spend.groupBy("chapter_id").agg(F.sum("cost").alias("spent"))
+    told = counts.join(spent, "chapter_id", "left").withColumn("spent", F.coalesce("spent", F.lit(0.0)))
+    return told.withColumn("over", F.lit(budget > 0) & (F.round("spent", 9) >= budget))
 
 
 def progress_pct(idx: Column, n: Column) -> Column:
     return F.when(n > 1, F.round((idx + 1) * 100 / n).cast("int"))
 
 
-def recent(history: DataFrame, n: int = 8) -> DataFrame:
-    """The n chapters last read of all, with progress."""
-    last = history.groupBy("chapter_id").agg(F.max("ts").alias("ts"), F.max_by("page_idx", F.struct("ts", "event_id")).alias("page_idx"), F.max_by("page_count", F.struct("ts", "event_id")).alias("page_count"))
-    return last.select("*", progress_pct(F.col("page_idx"), F.col("page_count")).alias("pct")).orderBy(F.desc("ts"), "chapter_id").limit(n)
+def recent(history: DataFrame, now: Column, n: int = 8, version: int = 1) -> DataFrame:
+    """The n chapters last read of all, with progress in percent and as text, and how long ago that was.
+    Rows of an older version or without a page are no entries."""
+    order = F.struct("ts", "event_id")
+    valid = history.where((F.coalesce("v", F.lit(1)) >= version) & F.col("page_idx").isNotNull())
+    last = valid.groupBy("chapter_id").agg(F.max("ts").alias("ts"), F.max_by("page_idx", order).alias("page_idx"), F.max_by("page_count", order).alias("page_count"))
+    pct = progress_pct(F.col("page_idx"), F.col("page_count"))
+    label = F.when(pct.isNotNull(), F.format_string("page %d/%d (%d%%)", F.col("page_idx") + 1, F.col("page_count"), pct)).otherwise("")
+    return last.select("*", pct.alias("pct"), label.alias("progress"), fmt_ago(F.col("ts"), now).alias("ago")).orderBy(F.desc("ts"), "chapter_id").limit(n)
+
+
+def latest(history: DataFrame, now: Column, version: int = 1) -> DataFrame:
+    """The one chapter last read."""
+    return recent(history, now, 1, version)
 
 
 def dominant_page(views: DataFrame) -> DataFrame:

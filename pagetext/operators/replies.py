@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -120,29 +121,36 @@ def reply_text(raw: DataFrame, body: str = "body") -> DataFrame:
 
 
 def _rescued(text: str | None, key: str) -> str:
-    """The innermost object round the last key that parses and holds it; else the key's list; else nothing."""
+    """What the brace round the last key opens, if it parses up to the end and holds the key; else the first
+    stretch that looks like an object with a list under the key; else nothing."""
     text = text or ""
-    at = text.rfind(f'"{key}"')
-    start = at
-    while start > 0 and (start := text.rfind("{", 0, start)) >= 0:
-        try:
-            found, _ = json.JSONDecoder().raw_decode(text, start)
-        except ValueError:
-            continue
-        if isinstance(found, dict) and key in found:
-            return json.dumps(found, ensure_ascii=False)
-    return ""
-
-
-def rescue_json(replies: DataFrame, text: str = "reasoning", key: str = "translations") -> DataFrame:
-    """replies with `rescued`, JSON found in a text beside a blank answer; Arrow batches, blank answers only."""
+    depth, at = 0, text.rfind(f'"{key}"')
+    for brace in reversed([m.start() for m in re.finditer(r"[{}]", text[: max(at, 0)])]):
+        depth += 1 if text[brace] == "}" else -1
+        if depth < 0:
+            try:
+                found = json.loads(text[brace:])
+            except ValueError:
+                break
+            if isinstance(found, dict) and key in found:
+                return text[brace:]
+            break
+    loose = re.search(rf'\{{[^{{}}]*?"{re.escape(key)}"\s*:\s*\[.*?\]\s*\}}', text, re.DOTALL)
+    return loose.group(0) if loose else ""
+
+
+def rescue_json(replies: DataFrame, answer: str = "answer", text: str = "reasoning", key: str = "translations") -> DataFrame:
+    """replies with `rescued`, JSON found in a text beside a blank answer, null beside others: only rows with
+    a blank answer go through Python, in Arrow batches."""
+    blank = F.coalesce(F.trim(answer), F.lit("")) == ""
 
     def rescue(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             yield rows.assign(rescued=[_rescued(t, key) for t in rows[text]])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in replies.schema)
-    return replies.mapInPandas(rescue, f"{kinds}, rescued string")
+    told = replies.where(blank).mapInPandas(rescue, f"{kinds}, rescued string")
+    return told.union(replies.where(~blank).withColumn("rescued", F.lit(None).cast("string")))
 
 
 def translate_pages(requests: DataFrame, call: Callable[[str, str], str], delays: tuple[float, ...] = (1.0, 4.0), rate_error: type[Exception] = ConnectionError) -> DataFrame:

@@ -75,8 +75,8 @@ FROM k WHERE item_id % 5 <> 0""",
     THEN CAST(floor(value * 100 + 0.5) AS BIGINT) * 4 END AS cache_hit_tokens,
   event_id % 900 AS chars
 FROM events""",
-    "f5_cards": """SELECT CASE WHEN p_partkey % 17 = 0 THEN '_notes' ELSE p_mfgr END AS provider,
-  CASE WHEN p_partkey % 19 = 0 THEN '_' ELSE '' END || p_brand || '/' || p_partkey AS model, p_size AS card,
+    "f5_cards": """SELECT CASE WHEN p_partkey % 17 = 0 THEN '_notes' ELSE p_brand END AS provider,
+  CASE WHEN p_partkey % 19 = 0 THEN '_' ELSE '' END || p_type || '/' || p_partkey AS model, p_size AS card,
   p_retailprice / 1000 AS input, p_retailprice / 250 AS output,
   CASE WHEN p_partkey % 3 = 0 THEN p_retailprice / 50000 END AS cache_hit,
   CASE WHEN p_partkey % 7 = 0 THEN CAST(p_size * 1000 AS BIGINT) END AS threshold_tokens,
@@ -108,10 +108,6 @@ SELECT reply_id, shape, CASE shape
   WHEN 4 THEN '{"model":{"name":"x"},"translations":' || items || '}'
   ELSE 'no json here at all' END AS body
 FROM b""",
-    "f6_sent": """SELECT conv_id * 100 + turn AS reply_id, n_nationkey AS i,
-  CASE n_nationkey WHEN 3 THEN substr(text, 1, 1) ELSE substr(text, 1 + 10 * n_nationkey, 9) END AS text,
-  CAST(10 + 20 * n_nationkey AS DOUBLE) AS cx, CAST(90 - 20 * n_nationkey AS DOUBLE) AS cy
-FROM conversations JOIN nation ON n_nationkey < 4 WHERE role = 'assistant'""",
     "f7_urls": """SELECT page_id, url FROM pages
 UNION ALL
 SELECT 1000000 + n_nationkey, CASE n_nationkey % 8

@@ -33,6 +33,33 @@ def _names(s, d):
     return fixture(s, d, "f11_glossary")
 
 
+READ_AT = "2024-03-01 12:00:00"
+
+
+def route_pages(s, d):
+    """Each mode, with and without a key."""
+    views, out = fixture(s, d, "f9_views").select("event_id", "lang", (F.col("event_id") % 4 == 0).alias("cached")), None
+    for mode in ("smart", "all", "off"):
+        for key in (True, False):
+            own = op.route_pages(views, "es", ("ja", "zh", "zh-hk", "ko"), mode, key).select("event_id", F.lit(mode).alias("mode"), F.lit(key).alias("has_key"), "route")
+            out = own if out is None else out.union(own)
+    return out
+
+
+def _history(s, d):
+    return fixture(s, d, "f9_views").withColumn("v", F.when(F.col("event_id") % 7 == 0, 0).when(F.col("event_id") % 2 == 0, 1)).withColumn("page_idx", F.when(F.col("event_id") % 11 != 0, F.col("page_idx")))
+
+
+def chapter_ids(s, d):
+    """UUIDs made of each url's digest, and keys of one part or three."""
+    m = F.md5("url")
+    made = F.concat_ws("-", F.substring(m, 1, 8), F.substring(m, 9, 4), F.substring(m, 13, 4), F.substring(m, 17, 4), F.substring(m, 21, 12))
+    url = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat(F.lit("https://h/Chapter/"), made, F.lit("/1")))
+    key = F.when(F.col("page_id") % 2 == 0, F.concat_ws(":", F.when(F.col("page_id") % 4 == 0, "shelf").otherwise("other"), F.lit("s1"), F.col("page_id").cast("string"))).otherwise(F.col("page_id").cast("string"))
+    parts = op.split_composite_id(key, "shelf", "web")
+    return fixture(s, d, "f7_urls").select("page_id", op.chapter_id(url).alias("uuid"), parts.alias("p")).select("page_id", "uuid", "p.*")
+
+
 QUERIES = {
     "page_files": lambda s, d: op.page_files(_paths(s, d)).select("doc_id", "mime", "page_idx"),
     "eval_listing": lambda s, d: op.eval_listing(_paths(s, d)),
@@ -58,10 +85,12 @@ QUERIES = {
     "nearest_context": lambda s, d: op.nearest_context(_r(s, d).withColumn("page_idx", F.col("page_idx") % 2)).select("region_id", F.array_join("context", "|").alias("context")),
     "legend": lambda s, d: op.legend(_r(s, d), F.col("t") == "sign").select("region_id", "number"),
     "seed_boxes": lambda s, d: op.seed_boxes(_r(s, d)).select("region_id", "tl", "text"),
-    "apply_edits": lambda s, d: op.apply_edits(_r(s, d).select("chapter_id", "page_idx", "region_id", "text", "tl"), fixture(s, d, "f8_drafts").select("chapter_id", "page_idx", F.when(F.col("region_id") % 4 == 2, F.col("region_id") + 100_000_000).otherwise(F.col("region_id")).alias("region_id"), F.col("region_id").alias("seq"), F.element_at(F.array(F.lit("text"), F.lit("delete"), F.lit("add"), F.lit("reorder")), (F.col("region_id") % 4 + 1).cast("int")).alias("kind"), F.col("tl").alias("text"))).select("region_id", "text", "tl"),
-    "route_pages": lambda s, d: op.route_pages(fixture(s, d, "f9_views").select("event_id", "lang", (F.col("event_id") % 4 == 0).alias("cached")), "es", ("ja", "zh", "ko")).select("event_id", "route"),
-    "status_summary": lambda s, d: op.status_summary(fixture(s, d, "f9_views")),
-    "recent": lambda s, d: op.recent(fixture(s, d, "f9_views")).select("chapter_id", "page_idx", "pct"),
+    "route_pages": route_pages,
+    "status_summary": lambda s, d: op.status_summary(fixture(s, d, "f9_views"), fixture(s, d, "f4_calls").select("chapter_id", (F.col("chars") / 1000).alias("cost")), 60.0).withColumn("spent", F.round("spent", 6)),
+    "recent": lambda s, d: op.recent(_history(s, d), F.lit(READ_AT)).select("chapter_id", "page_idx", "pct", "progress", "ago"),
+    "latest": lambda s, d: op.latest(_history(s, d), F.lit(READ_AT)).select("chapter_id", "page_idx", "pct", "progress", "ago"),
+    "target_codes": lambda s, d: fixture(s, d, "f9_views").select("event_id", op.target_code(op.lang_name(F.col("lang"))).alias("code")),
+    "chapter_ids": chapter_ids,
     "dominant_page": lambda s, d: op.dominant_page(fixture(s, d, "f9_views")),
     "resolve_choice": lambda s, d: op.resolve_choice(fixture(s, d, "f9_views").select("event_id", "chapter_id", "lang"), fixture(s, d, "f9_views").where("chapter_id % 5 = 0").select("chapter_id").distinct().withColumn("override", F.lit("heavy")), s.createDataFrame([("ja", "vision"), ("es", "light")], "lang string, picked string"), "standard").select("event_id", "engine"),
 }
@@ -77,6 +106,13 @@ _TTL = f"SELECT * FROM {R} WHERE v >= 6 AND date_diff('day', CAST(saved_at AS TI
 _LANG = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in op.LANGUAGES.items())
 _MIME = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in op.IMAGE_TYPES.items())
 
+_CODES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in op.TARGET_CODES.items())
+_PCT = "CASE WHEN page_count > 1 THEN CAST(floor((page_idx + 1) * 100.0 / page_count + 0.5) AS INT) END"
+_RECENT = f"""WITH l AS (SELECT chapter_id, ts, page_idx, page_count FROM {V} WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY ts DESC, event_id DESC) = 1),
+m AS (SELECT *, {_PCT} AS pct, CAST(floor((epoch_ms(TIMESTAMP '{READ_AT}') - epoch_us(ts) // 1000) / 60000) AS BIGINT) AS mi FROM l)
+SELECT chapter_id, page_idx, pct, CASE WHEN pct IS NULL THEN '' ELSE 'page ' || (page_idx + 1) || '/' || page_count || ' (' || pct || '%)' END AS progress, CASE WHEN mi < 1 THEN 'just now' WHEN mi < 60 THEN mi || 'm ago' WHEN mi < 1440 THEN (mi // 60) || 'h ago' WHEN mi < 10080 THEN (mi // 1440) || 'd ago' ELSE strftime(ts, '%Y-%m-%d') END AS ago
+FROM m ORDER BY ts DESC, chapter_id LIMIT {{n}}"""
+
 ORACLES = {
     "page_files": f"""WITH k AS (SELECT doc_id, path, {_NAME} AS name, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) {_MIME} END AS mime FROM {PATHS})
 SELECT doc_id, mime, CAST(row_number() OVER (PARTITION BY folder ORDER BY CAST(coalesce(nullif(regexp_extract(name, '[0-9]+', 0), ''), '0') AS BIGINT), lower(name), name) - 1 AS INT) AS page_idx FROM k WHERE mime IS NOT NULL AND NOT contains(path, '__MACOSX/') AND NOT starts_with(name, '.')""",
@@ -106,11 +142,14 @@ SELECT page_id, reason IN ('local', 'allowed') AS ok, reason FROM w""",
 QUALIFY row_number() OVER (PARTITION BY a.chapter_id, a.p, a.region_id ORDER BY abs(b.cy - a.cy), b.cy, b.cx, b.region_id) <= 8) SELECT own AS region_id, string_agg(tl, '|' ORDER BY cy, cx, region_id) AS context FROM m GROUP BY own""",
     "legend": f"SELECT region_id, CAST(row_number() OVER (PARTITION BY chapter_id, page_idx ORDER BY region_id) AS INT) AS number FROM {R} WHERE t = 'sign'",
     "seed_boxes": f"SELECT region_id, CASE WHEN {_TOLD} THEN tl ELSE '' END AS tl, CASE WHEN {_TOLD} THEN '' ELSE text END AS text FROM {R}",
-    "apply_edits": f"""WITH e AS (SELECT * FROM {D}) SELECT r.region_id, CASE WHEN e.region_id IS NOT NULL AND r.region_id % 4 = 0 THEN e.tl ELSE r.text END AS text, CASE WHEN e.region_id IS NOT NULL AND r.region_id % 4 = 0 THEN NULL ELSE r.tl END AS tl FROM {R} r LEFT JOIN e USING (chapter_id, page_idx, region_id) WHERE NOT (e.region_id IS NOT NULL AND r.region_id % 4 = 1)
-UNION ALL SELECT region_id + 100000000, tl, NULL FROM e WHERE region_id % 4 = 2""",
-    "route_pages": f"SELECT event_id, CASE WHEN split_part(lang, '-', 1) = 'es' THEN 'skip' WHEN event_id % 4 = 0 THEN 'cached' WHEN split_part(lang, '-', 1) IN ('ja', 'zh', 'ko') THEN 'vision' ELSE 'local' END AS route FROM {V}",
-    "status_summary": f"SELECT chapter_id, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'pending') AS open FROM {V} GROUP BY 1",
-    "recent": f"WITH l AS (SELECT chapter_id, ts, page_idx, page_count FROM {V} QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY ts DESC, event_id DESC) = 1) SELECT chapter_id, page_idx, CASE WHEN page_count > 1 THEN CAST(floor((page_idx + 1) * 100.0 / page_count + 0.5) AS INT) END AS pct FROM l ORDER BY ts DESC, chapter_id LIMIT 8",
+    "route_pages": f"""SELECT event_id, mode, has_key, CASE WHEN split_part(lang, '-', 1) = 'es' THEN 'skip' WHEN event_id % 4 = 0 THEN 'cached' WHEN has_key AND mode <> 'off' AND (mode = 'all' OR lang IN ('ja', 'zh', 'zh-hk', 'ko')) THEN 'vision' ELSE 'local' END AS route FROM {V}, (SELECT unnest(['smart', 'all', 'off']) AS mode), (SELECT unnest([true, false]) AS has_key)""",
+    "status_summary": f"""WITH i AS (SELECT chapter_id, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'pending') AS open FROM {V} GROUP BY 1), s AS (SELECT chapter_id, sum(chars / 1000.0::DOUBLE) AS spent FROM ({SQL['f4_calls']}) GROUP BY 1)
+SELECT i.*, round(coalesce(spent, 0), 6) AS spent, round(coalesce(spent, 0), 9) >= 60 AS over FROM i LEFT JOIN s USING (chapter_id)""",
+    "recent": _RECENT.format(n=8),
+    "latest": _RECENT.format(n=1),
+    "target_codes": f"SELECT event_id, CASE coalesce(CASE lang {_LANG} END, upper(lang)) {_CODES} END AS code FROM {V}",
+    "chapter_ids": f"""WITH u AS (SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN md5(url) END AS m, CASE WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 4 = 0 THEN 'shelf' ELSE 'other' END || ':s1:' || page_id ELSE CAST(page_id AS VARCHAR) END AS k FROM ({SQL['f7_urls']}))
+SELECT page_id, m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] AS uuid, CASE WHEN page_id % 4 = 0 THEN 'shelf' ELSE 'web' END AS kind, CASE WHEN page_id % 4 = 0 THEN split_part(k, ':', 2) END AS series, CASE WHEN page_id % 4 = 0 THEN split_part(k, ':', 3) ELSE k END AS chapter FROM u""",
     "dominant_page": f"SELECT reader_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, page_idx FROM {V} WHERE visible > 0 QUALIFY row_number() OVER (PARTITION BY reader_id, date_trunc('hour', ts) ORDER BY visible DESC, event_id) = 1",
     "resolve_choice": f"SELECT event_id, CASE WHEN chapter_id % 5 = 0 THEN 'heavy' WHEN lang = 'ja' THEN 'vision' WHEN lang = 'es' THEN 'light' ELSE 'standard' END AS engine FROM {V}",
 }

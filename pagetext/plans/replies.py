@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagetext.operators import replies as op
-from pagetext.plans.fixtures import SQL, fixture
+from pagetext.plans.fixtures import SQL, fixture, table
 
-REPLIES, SENT = SQL["f6_replies"], SQL["f6_sent"]
+REPLIES = SQL["f6_replies"]
+SENTENCE = "[^.!?\\n]+"
+SENT = f"""SELECT reply_id, CAST(i AS INT) AS i, text, CAST(10 + i * 20 % 80 AS DOUBLE) AS cx, CAST(90 - i * 7 % 80 AS DOUBLE) AS cy FROM (
+  SELECT reply_id, unnest(range(len(parts))) AS i, unnest(parts) AS text FROM (SELECT conv_id * 100 + turn AS reply_id, regexp_extract_all(text, '{SENTENCE}') AS parts FROM conversations WHERE role = 'assistant'))"""
 LANGS = ("ja", "vi", "pt")
 
 
 def _sent(spark, d):
-    return fixture(spark, d, "f6_sent")
+    """Every sentence of every reply."""
+    said = table(spark, d, "conversations").where("role = 'assistant'")
+    one = said.select((F.col("conv_id") * 100 + F.col("turn")).alias("reply_id"), F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("i", "text"))
+    return one.select("*", (10 + F.col("i") * 20 % 80).cast("double").alias("cx"), (90 - F.col("i") * 7 % 80).cast("double").alias("cy"))
 
 
 def _parsed(spark, d):
@@ -70,14 +76,15 @@ def reply_text(spark, d):
 
 
 def rescue_json(spark, d):
-    return op.rescue_json(fixture(spark, d, "f6_replies"), text="body").select("reply_id", "shape", "rescued")
+    replies = fixture(spark, d, "f6_replies").withColumn("answer", F.when(F.col("reply_id") % 3 == 0, "told").when(F.col("reply_id") % 3 == 1, " "))
+    return op.rescue_json(replies, text="body").select("reply_id", "shape", "rescued")
 
 
 QUERIES = {f.__name__: f for f in (send_set, parse_items, quarantine, apply_replies, apply_positional, flow_diff, build_requests, glossary_block, reply_text, rescue_json)}
 
 _NOISE = "length(trim(text)) < 2 OR length(trim(text)) > 150"
-_TOLD = f"""a AS (SELECT s.reply_id, s.i, s.text, s.cx, s.cy, r.shape <> 5 AND s.i IN (0, 1) AS told FROM ({SENT}) s JOIN ({REPLIES}) r USING (reply_id)),
-b AS (SELECT reply_id, i, cx, cy, CASE WHEN NOT told THEN '—' WHEN i = 0 THEN 'last ' || reply_id ELSE 'second' END AS tl, CASE WHEN NOT told THEN CASE WHEN {_NOISE} THEN 'sfx' ELSE 'speech' END WHEN i = 0 THEN 'sign' ELSE 'speech' END AS t FROM a)"""
+_TOLD = f"""a AS (SELECT s.reply_id, s.i, s.text, s.cx, s.cy, r.shape <> 5 AND s.i IN (0, 1, 9) AS told FROM ({SENT}) s JOIN ({REPLIES}) r USING (reply_id)),
+b AS (SELECT reply_id, i, cx, cy, CASE WHEN NOT told THEN '—' WHEN i = 0 THEN 'last ' || reply_id WHEN i = 9 THEN 'out of range' ELSE 'second' END AS tl, CASE WHEN NOT told THEN CASE WHEN {_NOISE} THEN 'sfx' ELSE 'speech' END WHEN i = 0 THEN 'sign' ELSE 'speech' END AS t FROM a)"""
 ORACLES = {
     "send_set": f"WITH n AS (SELECT reply_id, i, {_NOISE} AS noise FROM ({SENT})) SELECT reply_id, i, noise, NOT noise OR sum(CASE WHEN noise THEN 0 ELSE 1 END) OVER (PARTITION BY reply_id) = 0 AS sent FROM n",
     "parse_items": f"SELECT reply_id, CASE WHEN shape IN (0, 1, 2, 4) THEN 1 WHEN shape = 3 THEN 2 END AS strategy, CASE WHEN shape < 5 THEN json_array_length(regexp_extract(body, '\\[.*\\]', 0)) END AS n, CASE WHEN shape = 5 THEN 'no JSON list' END AS reason FROM ({REPLIES})",
@@ -88,5 +95,6 @@ ORACLES = {
     "build_requests": f"""WITH n AS (SELECT reply_id, {_NOISE} AS noise FROM ({SENT})), m AS (SELECT reply_id, count(*) AS all_n, sum(CASE WHEN noise THEN 0 ELSE 1 END) AS real FROM n GROUP BY 1)
 SELECT reply_id, 'Translate.' || CASE reply_id % 3 WHEN 0 THEN chr(10) || 'Keep honorifics.' WHEN 1 THEN chr(10) || 'Mind pronouns.' ELSE '' END AS instruction, CASE WHEN reply_id % 2 = 0 THEN 'a → b' ELSE '' END AS glossary, CAST(CASE WHEN real = 0 THEN all_n ELSE real END AS BIGINT) AS expected, CAST(CASE WHEN real = 0 THEN all_n ELSE real END AS INT) AS n_items FROM m""",
     "glossary_block": f"""WITH g AS ({SQL['f11_glossary']}) SELECT series_name, coalesce(string_agg(trim(src) || ' → ' || trim(tl) || CASE WHEN trim(note) <> '' THEN ' (' || trim(note) || ')' ELSE '' END, chr(10) ORDER BY pos) FILTER (trim(src) <> '' AND trim(tl) <> ''), '') AS block FROM g GROUP BY 1""",
+    "rescue_json": f"SELECT reply_id, shape, CASE WHEN reply_id % 3 = 0 THEN NULL WHEN contains(body, '\"translations\"') THEN regexp_extract(body, '\\{{.*\\}}', 0) ELSE '' END AS rescued FROM ({REPLIES})",
     "reply_text": f"SELECT reply_id, 'said ' || reply_id AS answer, CAST(CASE WHEN shape % 2 = 0 THEN 7 ELSE 5 END AS BIGINT) AS prompt_tokens, CAST(CASE WHEN shape % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS completion_tokens FROM ({REPLIES})",
 }

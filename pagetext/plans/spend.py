@@ -53,11 +53,11 @@ def registry_check(spark, d):
 
 
 def load_rates(spark, d):
-    """The card as nested JSON, built from the rows, and read back."""
-    rates = fixture(spark, d, "f5_rates")
-    models = rates.groupBy("provider").agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct(*op.RATES)))).alias("models"))
-    card = models.agg(F.map_from_entries(F.collect_list(F.struct("provider", "models"))).alias("m")).select(F.to_json("m").alias("card"))
-    return op.load_rates(card)
+    """Cards of many providers and models as nested JSON, one for each size of part, read back."""
+    rows = fixture(spark, d, "f5_cards")
+    models = rows.groupBy("card", "provider").agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct(*op.RATES)))).alias("models"))
+    cards = models.groupBy("card").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("provider", "models")))).alias("card_json"))
+    return op.load_rates(cards, "card_json")
 
 
 def formats(spark, d):
@@ -88,7 +88,7 @@ ORACLES = {
 SELECT call_id, n AS in_window, n >= 12 AS limited, CASE WHEN n >= 12 THEN 86400000 - (ms - oldest) + 250 ELSE 0 END AS wait_ms FROM w""",
     "registry_check": f"""WITH r AS ({RATES}), o AS (SELECT DISTINCT provider, model FROM ({CALLS}))
 SELECT coalesce(o.provider, r.provider) AS provider, coalesce(o.model, r.model) AS model, o.model IS NOT NULL AS offered, r.model IS NOT NULL AS described, r.model IS NOT NULL OR coalesce(o.provider, r.provider) = 'deepl' AS priced FROM o FULL JOIN r ON o.provider = r.provider AND o.model = r.model""",
-    "load_rates": RATES,
+    "load_rates": f"SELECT provider, model, {', '.join(op.RATES)} FROM ({SQL['f5_cards']}) WHERE NOT starts_with(provider, '_') AND NOT starts_with(model, '_')",
     "formats": f"""WITH c AS (SELECT *, max(ts) OVER (PARTITION BY provider) AS now, call_id * 37 AS n FROM ({CALLS})), m AS (SELECT *, chars / 1000.0::DOUBLE AS cost, CAST(floor(((epoch_us(now) // 1000) - (epoch_us(ts) // 1000)) / 60000) AS BIGINT) AS mi FROM c)
 SELECT call_id, CASE WHEN cost = 0 THEN '$0.00' WHEN cost < 0.01 THEN '<$0.01' ELSE '$' || printf('%.2f', round(cost + 1e-9, 2)) END AS money,
   CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', round(n / 1024, 1)) || ' KB' ELSE printf('%.2f', round(n / 1048576, 2)) || ' MB' END AS size,
