@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetext.operators.graph import group_components
+from pagetext.operators.graph import component_labels, group_components
 
 LINE_GAP, SIDE_GAP, LEAST_MARGIN = 1.6, 0.3, 4
 TALL_RATIO, TALL_SCALE = 2.0, 0.6
 BUCKET_PX = 64
+BOX = ("x1", "y1", "x2", "y2")
 #: Confidence floors by language; others take DEFAULT_FLOOR.
 FLOORS = {"vi": 0.25, "ko": 0.3, "pt": 0.3}
 DEFAULT_FLOOR = 0.35
@@ -53,32 +54,43 @@ def box_to_pct(df: DataFrame) -> DataFrame:
 def merge_margins(frags: DataFrame, scale: float | Column = 0.5) -> DataFrame:
     """margin_v and margin_h: how far a fragment reaches, from its height; tall strips reach less."""
     scale = F.lit(float(scale)) if isinstance(scale, (int, float)) else scale
-    k = F.when(F.col("img_h") / F.greatest(F.col("img_w"), F.lit(1)) > TALL_RATIO, F.lit(TALL_SCALE)).otherwise(1.0)
     height = F.col("y2") - F.col("y1")
-    reach = lambda factor: F.greatest(F.lit(LEAST_MARGIN), (height * (scale * factor * k)).cast("int"))
-    return frags.withColumn("margin_v", reach(LINE_GAP)).withColumn("margin_h", reach(SIDE_GAP))
+    return frags.withColumn("margin_v", _reach(height, scale, LINE_GAP)).withColumn("margin_h", _reach(height, scale, SIDE_GAP))
 
 
-def overlap_pairs(frags: DataFrame, *also: str) -> DataFrame:
-    """(page_id, *also, a, b) of fragments of a page whose reaches touch, a < b.
+def _reach(height: Column, scale: Column, factor: float) -> Column:
+    k = F.when(F.col("img_h") / F.greatest(F.col("img_w"), F.lit(1)) > TALL_RATIO, F.lit(TALL_SCALE)).otherwise(1.0)
+    return F.greatest(F.lit(LEAST_MARGIN), (height * (scale * factor * k)).cast("int"))
+
+
+def boxed_pairs(frags: DataFrame, *also: str) -> DataFrame:
+    """(page_id, *also, a, b, ax1 .. by2) of fragments of a page whose reaches touch, a < b, with both boxes.
 
     The theta join is an equi-join on y-buckets of BUCKET_PX; a pair is taken in the first bucket
     that both boxes have, so nothing has to be made distinct."""
     keys = ["page_id", *also]
     low, high = F.col("y1") - F.col("margin_v"), F.col("y2") + F.col("margin_v")
     slot = lambda c: F.floor(c / BUCKET_PX)
-    reach = frags.select(*keys, "frag_id", (F.col("x1") - F.col("margin_h")).alias("l"), low.alias("t"), (F.col("x2") + F.col("margin_h")).alias("r"), high.alias("d"), slot(low).alias("first"))
+    reach = frags.select(*keys, "frag_id", *BOX, (F.col("x1") - F.col("margin_h")).alias("l"), low.alias("t"), (F.col("x2") + F.col("margin_h")).alias("r"), high.alias("d"), slot(low).alias("first"))
     spread = reach.withColumn("slot", F.explode(F.sequence(F.col("first"), slot(F.col("d")))))
     a, b = spread.alias("a"), spread.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "slot"]]
     touch = (F.col("a.frag_id") < F.col("b.frag_id")) & (F.col("a.l") <= F.col("b.r")) & (F.col("b.l") <= F.col("a.r")) & (F.col("a.t") <= F.col("b.d")) & (F.col("b.t") <= F.col("a.d")) & (F.col("a.slot") == F.greatest("a.first", "b.first"))
-    return a.join(b, reduce(Column.__and__, [*same, touch])).select(*[F.col(f"a.{k}") for k in keys], F.col("a.frag_id").alias("a"), F.col("b.frag_id").alias("b"))
+    boxes = [F.col(f"{s}.{c}").alias(s + c) for s in "ab" for c in BOX]
+    return a.join(b, reduce(Column.__and__, [*same, touch])).select(*[F.col(f"a.{k}") for k in keys], F.col("a.frag_id").alias("a"), F.col("b.frag_id").alias("b"), *boxes)
+
+
+def overlap_pairs(frags: DataFrame, *also: str) -> DataFrame:
+    """(page_id, *also, a, b) of fragments of a page whose reaches touch, a < b."""
+    return boxed_pairs(frags, *also).select("page_id", *also, "a", "b")
 
 
 def with_boxes(pairs: DataFrame, frags: DataFrame) -> DataFrame:
-    """pairs with both boxes as ax1 .. by2."""
+    """pairs with both boxes as ax1 .. by2, where they don't have them yet."""
+    if "ax1" in pairs.columns:
+        return pairs
     for side in "ab":
-        box = frags.select("page_id", F.col("frag_id").alias(side), *[F.col(c).alias(side + c) for c in ("x1", "y1", "x2", "y2")])
+        box = frags.select("page_id", F.col("frag_id").alias(side), *[F.col(c).alias(side + c) for c in BOX])
         pairs = pairs.join(box, ["page_id", side])
     return pairs
 
@@ -112,7 +124,7 @@ def veto_pairs(pairs: DataFrame, frags: DataFrame, borders: DataFrame | None = N
             boxed = boxed.join(tables[name].select("page_id", "a", "b"), ["page_id", "a", "b"], "left_anti")
     for refuse in extra or []:
         boxed = boxed.where(~F.coalesce(refuse, F.lit(False)))
-    return boxed.select(*pairs.columns)
+    return boxed.select("page_id", "a", "b")
 
 
 def filter_by_confidence(grouped: DataFrame, min_conf: str = "min_conf", floor: float = 0.1) -> DataFrame:
@@ -167,24 +179,23 @@ def _split(groups: DataFrame) -> DataFrame:
 
 
 def order_fragments(grouped: DataFrame) -> DataFrame:
-    """(page_id, group_id, split, ordered): members of a group in reading order, the left column
-    before the right where the group splits."""
-    groups = grouped.groupBy("page_id", "group_id").agg(F.expr(_FRAGS).alias("fs"))
-    return _split(groups).select("page_id", "group_id", "split", F.when(F.col("split"), F.concat("lo", "ro")).otherwise(F.expr(_ordered("fs"))).alias("ordered"))
+    """(page_id, group_id, img_w, img_h, split, ordered): members of a group in reading order, the left
+    column before the right where the group splits."""
+    groups = grouped.groupBy("page_id", "group_id").agg(F.expr(_FRAGS).alias("fs"), F.max("img_w").alias("img_w"), F.max("img_h").alias("img_h"))
+    return _split(groups).select("page_id", "group_id", "img_w", "img_h", "split", F.when(F.col("split"), F.concat("lo", "ro")).otherwise(F.expr(_ordered("fs"))).alias("ordered"))
 
 
-def assemble(ordered: DataFrame, pages: DataFrame) -> DataFrame:
+def assemble(ordered: DataFrame) -> DataFrame:
     """One region for each group: joined text, box and centre in percent, least confidence, members."""
     text = "aggregate(ordered, '', (t, m) -> CASE WHEN t = '' THEN m.text WHEN endswith(t, '-') THEN concat(substring(t, 1, length(t) - 1), m.text) ELSE concat(t, ' ', m.text) END)"
-    box = {c: F.expr(f"array_{'min' if c[1] == '1' else 'max'}(transform(ordered, m -> m.{c}))").alias(c) for c in ("x1", "y1", "x2", "y2")}
-    regions = ordered.select("page_id", "group_id", F.expr(text).alias("text"), *box.values(), F.bround(F.expr("array_min(transform(ordered, m -> m.conf))"), 3).alias("confidence"), F.expr("transform(ordered, m -> m.id)").alias("members"))
-    placed = box_to_pct(regions.join(pages, "page_id"))
-    return placed.select("page_id", "group_id", "text", "cx", "cy", *[F.col(f"pct_{c}").alias(c) for c in box], "confidence", "members")
+    box = {c: F.expr(f"array_{'min' if c[1] == '1' else 'max'}(transform(ordered, m -> m.{c}))").alias(c) for c in BOX}
+    regions = ordered.select("page_id", "group_id", "img_w", "img_h", F.expr(text).alias("text"), *box.values(), F.bround(F.expr("array_min(transform(ordered, m -> m.conf))"), 3).alias("confidence"), F.expr("transform(ordered, m -> m.id)").alias("members"))
+    return box_to_pct(regions).select("page_id", "group_id", "text", "cx", "cy", *[F.col(f"pct_{c}").alias(c) for c in box], "confidence", "members")
 
 
 def grouped_fragments(frags: DataFrame, scale: float = 0.5, borders: DataFrame | None = None, **vetoes) -> DataFrame:
     """frags with group_id, the least member of the group."""
-    pairs = overlap_pairs(merge_margins(frags, scale))
+    pairs = boxed_pairs(merge_margins(frags, scale))
     if borders is not None or vetoes:
         pairs = veto_pairs(pairs, frags, borders, **vetoes)
     return frags.join(group_components(frags.select("page_id", "frag_id"), pairs), ["page_id", "frag_id"])
@@ -195,21 +206,31 @@ def merge_regions(frags: DataFrame, scale: float = 0.5, borders: DataFrame | Non
     grouped = grouped_fragments(frags, scale, borders, **vetoes)
     if confidence:
         grouped = filter_by_confidence(with_floor(grouped))
-    pages = frags.select("page_id", "img_w", "img_h").distinct()
-    return assemble(order_fragments(grouped), pages)
+    return assemble(order_fragments(grouped))
 
 
 def merge_sweep(frags: DataFrame, scales: list[float], baseline: float) -> DataFrame:
-    """For each scale (held to 0.1 .. 1.5) regions, fragments and pages whose groups differ from the baseline's."""
-    spark = frags.sparkSession
+    """For each scale (held to 0.1 .. 1.5) regions, fragments and pages whose groups differ from the baseline's.
+
+    Reaches grow with the scale, so pairs are searched once, at the largest, and each is tried at
+    every scale. Only fragments that are in a pair are labelled; the others are regions of their own."""
     held = sorted({min(1.5, max(0.1, s)) for s in [*scales, baseline]})
-    table = F.broadcast(spark.createDataFrame([(s,) for s in held], "scale double"))
-    swept = frags.crossJoin(table)
-    pairs = overlap_pairs(merge_margins(swept, F.col("scale")), "scale")
-    groups = group_components(swept.select("page_id", "scale", "frag_id"), pairs, "scale")
-    shape = groups.groupBy("scale", "page_id").agg(F.count("*").alias("fragments"), F.countDistinct("group_id").alias("regions"), F.expr("sha2(array_join(transform(array_sort(collect_list(struct(frag_id, group_id))), m -> concat_ws(':', m.frag_id, m.group_id)), ','), 256)").alias("shape"))
-    base = shape.where(F.col("scale") == min(1.5, max(0.1, baseline))).select("page_id", F.col("shape").alias("base"))
-    return shape.join(base, "page_id").groupBy("scale").agg(F.sum("regions").alias("regions"), F.sum("fragments").alias("fragments"), F.count_if(F.col("shape") != F.col("base")).alias("changed_pages"))
+    pages = frags.groupBy("page_id").agg(F.count("*").alias("n"), F.max("img_w").alias("img_w"), F.max("img_h").alias("img_h"))
+    widest = boxed_pairs(merge_margins(frags, held[-1])).join(pages.select("page_id", "img_w", "img_h"), "page_id")
+
+    def touches(scale: Column) -> Column:
+        margin = lambda side, way: _reach(F.col(f"{side}y2") - F.col(f"{side}y1"), scale, way)
+        mh, mv = margin("a", SIDE_GAP) + margin("b", SIDE_GAP), margin("a", LINE_GAP) + margin("b", LINE_GAP)
+        return (F.col("ax1") - F.col("bx2") <= mh) & (F.col("bx1") - F.col("ax2") <= mh) & (F.col("ay1") - F.col("by2") <= mv) & (F.col("by1") - F.col("ay2") <= mv)
+
+    every = F.array(*map(F.lit, held))
+    edges = widest.withColumn("scale", F.explode(F.filter(every, touches))).select("page_id", "scale", "a", "b")
+    labels = component_labels(edges, "scale")
+    shape = labels.groupBy("page_id", "scale").agg(F.count("*").alias("tied"), F.countDistinct("group_id").alias("groups"), F.expr("sha2(array_join(transform(array_sort(collect_list(struct(frag_id, group_id))), m -> concat_ws(':', m.frag_id, m.group_id)), ','), 256)").alias("shape"))
+    grid = pages.select("page_id", "n", F.explode(every).alias("scale")).join(shape, ["page_id", "scale"], "left").withColumn("shape", F.coalesce("shape", F.lit("")))
+    base = F.max(F.when(F.col("scale") == min(1.5, max(0.1, baseline)), F.col("shape"))).over(Window.partitionBy("page_id"))
+    regions = F.col("n") - F.coalesce("tied", F.lit(0)) + F.coalesce("groups", F.lit(0))
+    return grid.withColumn("base", base).groupBy("scale").agg(F.sum(regions).alias("regions"), F.sum("n").alias("fragments"), F.count_if(F.col("shape") != F.col("base")).alias("changed_pages"))
 
 
 def diff_regions(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -75,13 +75,18 @@ def _labels(edges: pd.DataFrame, page: np.ndarray, keys: list[str]) -> pd.DataFr
     return rows.assign(frag_id=ids[first], group_id=ids[first][label])
 
 
-def group_components(nodes: DataFrame, edges: DataFrame, *also: str) -> DataFrame:
-    """nodes(page_id, *also, frag_id) with group_id, the least member that edges(a, b) reach.
+def component_labels(edges: DataFrame, *also: str) -> DataFrame:
+    """(page_id, *also, frag_id, group_id) of the nodes that edges(a, b) have: the least member they reach.
 
-    A component lies inside a page, so one shuffle by page brings each together. Nodes without
-    edges are groups of their own."""
+    A component lies inside a page, so one shuffle by page brings each together."""
     keys = ["page_id", *also]
     kinds = dict(edges.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"frag_id {kinds['a']}", f"group_id {kinds['a']}"])
-    labels = by_page(edges.select(*keys, "a", "b"), keys, lambda rows, page: _labels(rows, page, keys), schema)
+    return by_page(edges.select(*keys, "a", "b"), keys, lambda rows, page: _labels(rows, page, keys), schema)
+
+
+def group_components(nodes: DataFrame, edges: DataFrame, *also: str) -> DataFrame:
+    """nodes(page_id, *also, frag_id) with group_id; nodes without edges are groups of their own."""
+    keys = ["page_id", *also]
+    labels = component_labels(edges, *also)
     return nodes.join(labels, [*keys, "frag_id"], "left").select(*keys, "frag_id", F.coalesce("group_id", "frag_id").alias("group_id"))

@@ -68,6 +68,19 @@ def line_ids(spark, d):
     return op.line_ids(op.grouped_fragments(fixture(spark, d, "f1_fragments")))
 
 
+def _wide(spark, d):
+    """Two neighbouring orders of a page as a group, whose lines often stand in two columns."""
+    return op.order_fragments(fixture(spark, d, "f1_fragments").withColumn("group_id", F.floor(F.col("frag_id") / 200)))
+
+
+def column_split(spark, d):
+    return _wide(spark, d).select("page_id", "group_id", "split")
+
+
+def order_fragments(spark, d):
+    return _wide(spark, d).select("page_id", "group_id", F.posexplode("ordered").alias("p", "m")).select("page_id", "group_id", F.col("m.id").alias("frag_id"), (F.col("p") + 1).alias("pos"))
+
+
 def merge_sweep(spark, d):
     return op.merge_sweep(fixture(spark, d, "f1_fragments"), [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.2], 0.5)
 
@@ -116,7 +129,7 @@ def reading_order(spark, d):
     return op.reading_order(_regions(spark, d), F.col("page_id") % 2 == 0)
 
 
-QUERIES = {f.__name__: f for f in (merge_margins, overlap_pairs, veto_pairs, gap_bands, group_components, group_components_bordered, filter_by_confidence, region_boxes, merge_regions, line_ids, merge_sweep, diff_regions, short_text_floor, language_floor, box_to_pct, box_to_px, best_iou, point_in_box, reading_order)}
+QUERIES = {f.__name__: f for f in (merge_margins, overlap_pairs, veto_pairs, gap_bands, group_components, group_components_bordered, filter_by_confidence, region_boxes, merge_regions, line_ids, column_split, order_fragments, merge_sweep, diff_regions, short_text_floor, language_floor, box_to_pct, box_to_px, best_iou, point_in_box, reading_order)}
 
 _PCT = "round_even(round({0} / {1} * 100, 6), 1)"
 _BOX = ", ".join(f"{_PCT.format(c, 'img_w' if c[0] == 'x' else 'img_h')} AS pct_{c}" for c in ("x1", "y1", "x2", "y2"))
@@ -126,7 +139,41 @@ _KEPT = f"""q AS (SELECT f.*, g.group_id, {_FLOOR} AS mc FROM f JOIN g USING (pa
 k AS (SELECT *, max(CASE WHEN conf >= mc THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, group_id) AS sure FROM q),
 c AS (SELECT * FROM k WHERE conf >= CASE WHEN sure = 1 THEN 0.1::DOUBLE ELSE mc END)"""
 
+_KEYS = "page_id, group_id, side"
+_WIDE = f"wide AS MATERIALIZED (SELECT *, CAST(floor(frag_id / 200) AS BIGINT) AS group_id FROM ({F1}))"
+
+
+def _ordered(frags: str) -> str:
+    """CTEs of the fragments of groups by line, and in reading order (od), from a table with group_id."""
+    return f"""b0 AS (SELECT page_id, group_id, min(x1) AS gx, max(x2) - min(x1) AS gw, count(*) AS gn FROM {frags} GROUP BY 1, 2),
+b1 AS (SELECT t.page_id, t.group_id, gx, gw, greatest(CAST(trunc((x1 - gx) * (200 / gw)) AS INT), 0) AS a, least(CAST(trunc((x2 - gx) * (200 / gw)) AS INT), 200) AS b FROM {frags} t JOIN b0 USING (page_id, group_id) WHERE gn >= 4 AND gw > 0),
+b2 AS (SELECT *, coalesce(max(b) OVER (PARTITION BY page_id, group_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 AS s FROM b1),
+b3 AS (SELECT page_id, group_id, gx + (s + a) / 2 / (200 / gw) AS cut FROM b2 WHERE a - s >= 6 QUALIFY row_number() OVER (PARTITION BY page_id, group_id ORDER BY a - s DESC, a, b) = 1),
+sd AS (SELECT t.*, 'w' AS side FROM {frags} t UNION ALL SELECT t.*, CASE WHEN (x1 + x2) / 2 < cut THEN 'l' ELSE 'r' END FROM {frags} t JOIN b3 USING (page_id, group_id)),
+n0 AS MATERIALIZED (SELECT *, (y1 + y2) / 2 AS yc, y2 - y1 AS fh, row_number() OVER (PARTITION BY {_KEYS} ORDER BY (y1 + y2) / 2, frag_id) AS k FROM sd),
+fold AS (SELECT {_KEYS}, k, [{{'c': yc, 'h': fh, 'n': 1}}] AS ls, CAST(1 AS BIGINT) AS line FROM n0 WHERE k = 1 UNION ALL
+  SELECT {_KEYS}, k, CASE WHEN hit > 0 THEN list_transform(ls, lambda l, i: CASE WHEN i = hit THEN {{'c': l.c + yc, 'h': l.h + fh, 'n': l.n + 1}} ELSE l END) ELSE list_append(ls, {{'c': yc, 'h': fh, 'n': 1}}) END, CASE WHEN hit > 0 THEN hit ELSE len(ls) + 1 END
+  FROM (SELECT n.page_id, n.group_id, n.side, n.k, n.yc, n.fh, w.ls, CAST(coalesce(list_position(list_transform(w.ls, lambda l: abs(n.yc - l.c / l.n) <= 0.5 * greatest(n.fh, l.h / l.n)), true), 0) AS BIGINT) AS hit FROM fold w JOIN n0 n ON n.page_id = w.page_id AND n.group_id = w.group_id AND n.side = w.side AND n.k = w.k + 1)),
+ln AS MATERIALIZED (SELECT n0.*, fold.line FROM n0 JOIN fold USING (page_id, group_id, side, k)),
+tp AS (SELECT *, min(y1) OVER (PARTITION BY {_KEYS}, line) AS top FROM ln),
+lm AS (SELECT {_KEYS}, line, (min(y1) + max(y2)) / 2 AS mid FROM ln GROUP BY {_KEYS}, line),
+sm AS (SELECT {_KEYS}, min(y1) AS t0, max(y2) AS t1, count(*) AS m, count(DISTINCT line) AS lines FROM ln GROUP BY {_KEYS}),
+s2 AS (SELECT l.page_id, l.group_id, l.m AS lm, r.m AS rm, l.t0 AS l0, l.t1 AS l1, r.t0 AS r0, r.t1 AS r1, l.lines AS ll, r.lines AS rl FROM sm l JOIN sm r ON l.page_id = r.page_id AND l.group_id = r.group_id AND l.side = 'l' AND r.side = 'r'),
+s3 AS (SELECT s2.page_id, s2.group_id, count(*) FILTER (lm.side = 'l' AND mid BETWEEN r0 AND r1) AS in_r, count(*) FILTER (lm.side = 'r' AND mid BETWEEN l0 AND l1) AS in_l FROM s2 JOIN lm ON lm.page_id = s2.page_id AND lm.group_id = s2.group_id GROUP BY 1, 2),
+sp AS (SELECT page_id, group_id, lm >= 2 AND rm >= 2 AND greatest(0, least(l1, r1) - greatest(l0, r0)) / nullif(least(l1 - l0, r1 - r0), 0) >= 0.7 AND CASE WHEN ll <= rl THEN ll >= in_l ELSE rl >= in_r END AS split FROM s2 JOIN s3 USING (page_id, group_id)),
+od AS (SELECT tp.*, coalesce(split, false) AS split, row_number() OVER w AS pos, count(*) OVER (PARTITION BY page_id, group_id) AS all_n FROM tp LEFT JOIN sp USING (page_id, group_id) WHERE CASE WHEN coalesce(split, false) THEN side <> 'w' ELSE side = 'w' END WINDOW w AS (PARTITION BY page_id, group_id ORDER BY side, top, line, x1, k))"""
+
+
+_ASSEMBLED = f"""o AS (SELECT page_id, group_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round_even(min(conf), 3) AS confidence, min(img_w) AS img_w, min(img_h) AS img_h, string_agg(CAST(frag_id AS VARCHAR), ',' ORDER BY pos) AS members,
+  string_agg(CASE WHEN pos = all_n THEN text WHEN ends_with(text, '-') THEN left(text, length(text) - 1) ELSE text || ' ' END, '' ORDER BY pos) AS text FROM od GROUP BY 1, 2)
+SELECT page_id, group_id, text, {_CENTRE}, {_BOX.replace('pct_', '')}, confidence, members FROM o"""
+MERGED = f"WITH RECURSIVE {_FRAGS}, {_REACH}, {_components('p')}, {_KEPT}, {_ordered('c')}, {_ASSEMBLED}"
+
 ORACLES = {
+    "merge_regions": f"WITH RECURSIVE {_FRAGS}, {_REACH}, {_BORDERED}, {_components('v')}, {_KEPT}, {_ordered('c')}, {_ASSEMBLED}",
+    "line_ids": f"WITH RECURSIVE {_FRAGS}, {_REACH}, {_components('p')}, q AS (SELECT f.*, g.group_id FROM f JOIN g USING (page_id, frag_id)), {_ordered('q')} SELECT page_id, group_id, frag_id, CAST(dense_rank() OVER (PARTITION BY page_id, group_id ORDER BY top, line) AS INT) AS line FROM tp WHERE side = 'w'",
+    "column_split": f"WITH RECURSIVE {_WIDE}, {_ordered('wide')} SELECT DISTINCT page_id, group_id, split FROM od",
+    "order_fragments": f"WITH RECURSIVE {_WIDE}, {_ordered('wide')} SELECT page_id, group_id, frag_id, CAST(pos AS INT) AS pos FROM od",
     "merge_margins": f"WITH {_FRAGS}, {_REACH} SELECT page_id, frag_id, mv AS margin_v, mh AS margin_h FROM m",
     "overlap_pairs": f"WITH {_FRAGS}, {_REACH} SELECT page_id, a, b FROM p",
     "veto_pairs": f"WITH {_FRAGS}, {_REACH}, {_BORDERED} SELECT page_id, a, b FROM v",

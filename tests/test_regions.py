@@ -54,7 +54,7 @@ def test_lines_and_text(spark):
     stack = page(spark, [(10, 18 * i, 90, 18 * i + 20) for i in range(5)])
     assert sorted(r.line for r in op.line_ids(stack).collect()) == [1, 2, 3, 4, 5]
     df = page(spark, [(100, 100, 130, 120), (140, 102, 200, 121), (100, 125, 150, 145)], 1000, 1000, {0: "un", 1: "pa-", 2: "seo."})
-    region = op.assemble(op.order_fragments(df), df.select("page_id", "img_w", "img_h").distinct()).first()
+    region = op.assemble(op.order_fragments(df)).first()
     assert region.text == "un paseo." and region.members == [0, 1, 2] and (region.x1, region.y2) == (10.0, 14.5)
 
 
