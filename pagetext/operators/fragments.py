@@ -155,7 +155,7 @@ def line_ids(grouped: DataFrame, *keys: str) -> DataFrame:
     keys = keys or ("page_id", "group_id")
     folded = grouped.groupBy(*keys).agg(F.expr(_FRAGS).alias("fs")).withColumn("o", F.expr(_ordered("fs")))
     tops = F.expr("array_sort(array_distinct(transform(o, m -> struct(m.top AS top, m.line AS line))))")
-    one = folded.withColumn("tops", tops).select(*keys, "tops", F.explode("o").alias("m"))
+    one = folded.withColumn("tops", tops).select(*keys, "tops", F.explode_outer("o").alias("m"))  # outer: no filter is inferred that would fold the lines again
     return one.select(*keys, F.col("m.id").alias("frag_id"), F.expr("cast(array_position(tops, struct(m.top AS top, m.line AS line)) AS int)").alias("line"))
 
 
@@ -270,4 +270,4 @@ def reading_order(regions: DataFrame, rtl: Column, band: float = 8.0) -> DataFra
     bands = F.expr(f"""aggregate(rs, cast(struct(array() AS at, -1D AS start, 0 AS n) AS struct<at:array<int>,start:double,n:int>), (a, x) -> if(a.n = 0 OR x.cy - a.start >= {band},
       struct(concat(a.at, array(a.n + 1)) AS at, x.cy AS start, a.n + 1 AS n), struct(concat(a.at, array(a.n)) AS at, a.start AS start, a.n AS n))).at""")
     placed = folded.withColumn("bands", bands).withColumn("o", F.expr("array_sort(zip_with(rs, bands, (r, b) -> struct(b AS band, if(rtl, -r.cx, r.cx) AS x, r.cy AS cy, r.region_id AS id)))"))
-    return placed.select("page_id", F.posexplode("o").alias("p", "m")).select("page_id", F.col("m.id").alias("region_id"), F.col("m.band").alias("band"), (F.col("p") + 1).alias("pos"))
+    return placed.select("page_id", F.posexplode_outer("o").alias("p", "m")).select("page_id", F.col("m.id").alias("region_id"), F.col("m.band").alias("band"), (F.col("p") + 1).alias("pos"))

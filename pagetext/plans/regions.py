@@ -69,8 +69,9 @@ def line_ids(spark, d):
 
 
 def _wide(spark, d):
-    """Two neighbouring orders of a page as a group, whose lines often stand in two columns."""
-    return op.order_fragments(fixture(spark, d, "f1_fragments").withColumn("group_id", F.floor(F.col("frag_id") / 200)))
+    """Two orders of a page as a group: the first and the last stand side by side, in two columns."""
+    side = F.when(F.floor(F.col("frag_id") / 100).isin(0, 3), 0).otherwise(1).cast("bigint")
+    return op.order_fragments(fixture(spark, d, "f1_fragments").withColumn("group_id", side))
 
 
 def column_split(spark, d):
@@ -78,7 +79,7 @@ def column_split(spark, d):
 
 
 def order_fragments(spark, d):
-    return _wide(spark, d).select("page_id", "group_id", F.posexplode("ordered").alias("p", "m")).select("page_id", "group_id", F.col("m.id").alias("frag_id"), (F.col("p") + 1).alias("pos"))
+    return _wide(spark, d).select("page_id", "group_id", F.posexplode_outer("ordered").alias("p", "m")).select("page_id", "group_id", F.col("m.id").alias("frag_id"), (F.col("p") + 1).alias("pos"))
 
 
 def merge_sweep(spark, d):
@@ -140,7 +141,7 @@ k AS (SELECT *, max(CASE WHEN conf >= mc THEN 1 ELSE 0 END) OVER (PARTITION BY p
 c AS (SELECT * FROM k WHERE conf >= CASE WHEN sure = 1 THEN 0.1::DOUBLE ELSE mc END)"""
 
 _KEYS = "page_id, group_id, side"
-_WIDE = f"wide AS MATERIALIZED (SELECT *, CAST(floor(frag_id / 200) AS BIGINT) AS group_id FROM ({F1}))"
+_WIDE = f"wide AS MATERIALIZED (SELECT *, CAST(CASE WHEN floor(frag_id / 100) IN (0, 3) THEN 0 ELSE 1 END AS BIGINT) AS group_id FROM ({F1}))"
 
 
 def _ordered(frags: str) -> str:
