@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pagetext.operators.graph import group_components
 
 def components_of_runs(runs: DataFrame, reach: int = 1) -> DataFrame:
-    """runs with label, the least node (y * 2**32 + x0) of its component; runs of neighbouring rows that
+    """runs with label, the least node ((y + 1) * 2**32 + x0, never 0) of its component; runs of neighbouring rows that
     overlap within `reach` columns connect (1: eight ways, 0: four ways)."""
-    node = F.shiftleft(F.col("y").cast("bigint"), 32) + F.col("x0")
+    node = F.shiftleft(F.col("y").cast("bigint") + 1, 32) + F.col("x0")
     n = runs.select("page_id", "y", "x0", "x1", node.alias("frag_id"))
     a, b = n.alias("a"), n.alias("b")
     touch = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("b.x0") <= F.col("a.x1") + reach) & (F.col("b.x1") >= F.col("a.x0") - reach)

@@ -84,7 +84,7 @@ _N = f"n AS MATERIALIZED ({SQL['f13_mask_runs']})"
 
 def _labels(source: str, name: str, reach: int) -> str:
     """CTEs that label the runs of `source` as `name`: the least node that a path of touching runs reaches."""
-    return f"""{name}_n AS MATERIALIZED (SELECT page_id, y, x0, x1, CAST(y AS BIGINT) * 4294967296 + x0 AS node FROM {source}),
+    return f"""{name}_n AS MATERIALIZED (SELECT page_id, y, x0, x1, (CAST(y AS BIGINT) + 1) * 4294967296 + x0 AS node FROM {source}),
 {name}_e AS MATERIALIZED (SELECT a.page_id, a.node AS a, b.node AS b FROM {name}_n a JOIN {name}_n b ON a.page_id = b.page_id AND b.y = a.y + 1 AND b.x0 <= a.x1 + {reach} AND b.x1 >= a.x0 - {reach}),
 {name}_u AS MATERIALIZED (SELECT page_id, a, b FROM {name}_e UNION ALL SELECT page_id, b, a FROM {name}_e),
 {name}_w AS (SELECT page_id, node, node AS root FROM {name}_n UNION SELECT w.page_id, u.b, w.root FROM {name}_w w JOIN {name}_u u ON u.page_id = w.page_id AND u.a = w.node WHERE w.root < u.b),

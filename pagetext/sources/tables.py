@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetext.operators.graph import cut
+
 
 def expand_archives(files: DataFrame) -> DataFrame:
     """(archive, path, content, error): one row an entry of files(path, content), zip or cbz; an archive
@@ -70,7 +72,7 @@ def ocr_pages(images: DataFrame, engine: Callable[[bytes, float], list[tuple]],
 
         return work
 
-    first = images.select("page_id", "content").mapInPandas(read(engine, min_conf), FRAGMENT).persist()
+    first = cut(images.select("page_id", "content").mapInPandas(read(engine, min_conf), FRAGMENT))  # no page is read twice by one engine, whatever is lost
     empty = images.join(first.where("reason = 'empty'").select("page_id"), "page_id", "left_semi")
     again = empty.select("page_id", "content").mapInPandas(read(fallback, max(min_conf - 0.05, LEAST_RETRY_FLOOR)), FRAGMENT)
     return first.where("reason IS NULL OR reason <> 'empty'").union(again)

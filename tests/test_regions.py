@@ -95,11 +95,87 @@ def test_runs(spark):
     assert runs.fill_holes(df, pages).agg(F.sum(F.col("x1") - F.col("x0") + 1)).first()[0] == 48
 
 
-def test_rescue_and_calls(spark):
-    texts = [('I think {"model":{"a":1},"translations":[{"i":0}]} done', True), ("nothing", False), (None, False), ('"translations" : [1', False)]
-    got = replies.rescue_json(spark.createDataFrame([(t,) for t, _ in texts], "reasoning string")).collect()
-    assert [bool(r.rescued) for r in got] == [ok for _, ok in texts]
+def strip(spark, rows):
+    return spark.createDataFrame(rows, "page_id bigint, y int, x0 int, x1 int")
 
+
+def boxes_of(spark, rows):
+    return spark.createDataFrame([(1, *r) for r in rows], "page_id bigint, box_id int, x1 int, y1 int, x2 int, y2 int")
+
+
+def pairs(df):
+    return sorted((r.a, r.b) for r in df.collect())
+
+
+def test_runs_of_tall_and_wide_pages(spark):
+    df = strip(spark, [(1, 21_600, 0, 5), (1, 21_601, 150_000, 150_005), (1, 21_601, 3, 9)])
+    got = {(r.y, r.x0): r.label for r in runs.components_of_runs(df).collect()}
+    assert got[21_600, 0] == got[21_601, 3] == 21_601 * 2**32 and got[21_601, 150_000] == 21_602 * 2**32 + 150_000
+
+
+def test_waist_veto(spark):
+    """Two lobes of 20 rows joined by a neck of 6: pinched; by one of 18: not; boxes one above the other: not asked."""
+    lobes = lambda neck: strip(spark, [(1, y, 0, 30) for y in range(20)] + [(1, y, 31, 50) for y in range(neck)] + [(1, y, 51, 80) for y in range(20)])
+    boxes = boxes_of(spark, [(1, 5, 5, 15, 15), (2, 60, 5, 70, 15), (3, 5, 16, 15, 19)])
+    found = lambda neck: {(r.a, r.b): round(r.ratio, 2) for r in runs.waist_veto(boxes, runs.components_of_runs(lobes(neck)), most=0.85).collect()}
+    assert found(6) == {(1, 2): 0.3, (2, 3): 0.3} and found(18) == {}
+
+
+def test_container_veto(spark):
+    """In different containers, one in and one out, both in one: vetoed, vetoed, not."""
+    solid = runs.components_of_runs(strip(spark, [(1, y, x, x + 19) for y in range(20) for x in (0, 40)]))
+    boxes = boxes_of(spark, [(1, 2, 2, 8, 8), (2, 10, 10, 16, 16), (3, 42, 2, 50, 10), (4, 100, 2, 110, 10)])
+    assert pairs(runs.container_veto(boxes, solid)) == [(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
+def test_path_label_veto(spark):
+    solid = runs.components_of_runs(strip(spark, [(1, y, x, x + 19) for y in range(20) for x in (0, 40)]))
+    boxes = boxes_of(spark, [(1, 2, 2, 8, 8), (2, 10, 2, 16, 8), (3, 42, 2, 50, 8)])
+    assert pairs(runs.path_label_veto(boxes, solid)) == [(1, 3), (2, 3)]
+
+
+@pytest.mark.parametrize(("rows", "tone", "veto"), [(range(0), 200, False), (range(4, 6), 200, False), (range(10), 200, True), ([0, 2, 3, 5, 6, 8], 200, True), (range(10), 40, False), (range(10), None, None)])
+def test_gap_profile_veto(spark, rows, tone, veto):
+    """Rows of full ink veto, as does a band whose clear stretches are short; ink of the other level doesn't count."""
+    ink = spark.createDataFrame([(1, y, 0, 30 if len(rows) == 6 else 3 if len(rows) == 2 else 99, "dark") for y in rows], "page_id bigint, y int, x0 int, x1 int, level string")
+    bands = spark.createDataFrame([(1, 0, 0, 100, 10, tone)], "page_id bigint, gx1 int, gy1 int, gx2 int, gy2 int, tone int")
+    assert runs.gap_profile_veto(bands, ink).first().veto == veto
+
+
+def test_residual_check(spark):
+    before = strip(spark, [(1, y, 0, 50) for y in range(20)])
+    boxes = boxes_of(spark, [(1, 0, 0, 40, 20), (2, 45, 0, 60, 20)])
+    after = strip(spark, [(1, 3, 5, 9), (1, 4, 5, 9), (1, 9, 20, 20), (1, 15, 55, 59)])
+    got = {r.box_id: (r.pixels, r.blob, r.flagged) for r in runs.residual_check(before, after, boxes).collect()}
+    assert got == {1: (11, 10, True), 2: (0, 0, False)}
+
+
+def test_sweep_agrees_with_groups(spark):
+    rng = random.Random(5)
+    rows = [(p, i, float(x := rng.randrange(600)), float(y := rng.randrange(400)), float(x + 40), float(y + 12), "t", 0.9, 900, 2000 if p else 600, "es") for p in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA.replace(", group_id bigint", ""))
+    scales = [0.1, 0.5, 1.0, 1.5]
+    sweep = {r.scale: (r.regions, r.fragments, r.changed_pages) for r in op.merge_sweep(df, scales, 0.5).collect()}
+    groups = {s: {(r.page_id, r.frag_id): r.group_id for r in op.grouped_fragments(df, s).collect()} for s in scales}
+    changed = lambda s: sum(any(groups[s][k] != groups[0.5][k] for k in groups[s] if k[0] == p) for p in range(3))
+    assert sweep == {s: (len({(k[0], g) for k, g in groups[s].items()}), 120, changed(s)) for s in scales}
+
+
+def test_rescale_and_cluster(spark):
+    rows = [("a", 1, i, 0.97, 0.5 + i * 0.01, 0.9, 0.4, 0.99, 0.6) for i in range(4)] + [("a", 2, 0, 970.0, 400.0, None, None, None, None), ("a", 2, 1, 300.0, 1200.0, 100.0, 2.0, 1500.0, 30.0)]
+    df = spark.createDataFrame(rows, "side string, page_id int, item_id int, cx double, cy double, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.page_id, r.item_id): tuple(r)[3:] for r in matching.fill_boxes(matching.fix_right_cluster(matching.rescale_coords(df))).collect()}
+    assert got[1, 3] == (8.0, 95.0, 3.0, 91.5, 13.0, 98.5) and got[1, 1][:2] == (8.0, 35.0)
+    assert got[2, 0] == (97.0, 40.0, 89.0, 35.0, 105.0, 45.0) and got[2, 1] == (30.0, 99.0, 10.0, 0.2, 100.0, 3.0)
+
+
+def test_orphans_cap_before_size(spark):
+    rows = [(1, i, 0.0, 0.0, 0.1 if i < 3 else 50.0, 50.0, 960, 1500) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id int, item_id int, x1 double, y1 double, x2 double, y2 double, img_w int, img_h int")
+    assert [r.item_id for r in matching.orphans(df, spark.createDataFrame([], "page_id int, a int")).collect()] == [3]
+
+
+def test_calls(spark):
     def call(instruction, items):
         if items == "bad":
             raise ValueError("no")
