@@ -93,8 +93,8 @@ def _cells(vectors: DataFrame, cell: int, reach: float) -> DataFrame:
     """(lead, many, vector, home, cell) of vectors(lead, many, label, dim, vector): each row in its own cell
     and copied into those that its partners may call home.
 
-    Labels and lengths are the first cells. Each level cuts the cells of more than twice `cell` rows
-    into at most FAN parts by k-means on a sample of their rows, until none is larger or centroids
+    Labels and lengths are the first cells. Each level cuts the cells that more than twice `cell` rows
+    call home into at most FAN parts by k-means on a sample of their rows, until none is larger or centroids
     cut no more (equal directions): those are left to the blocks. Rows and centroids meet by cell and
     salt, so a task assigns about ASSIGNED rows however large the cell is."""
     level = vectors.select("lead", "many", "vector", F.lit(True).alias("home"), F.xxhash64("label", "dim").alias("cell"))
@@ -102,8 +102,8 @@ def _cells(vectors: DataFrame, cell: int, reach: float) -> DataFrame:
     schema = f"lead bigint, many bigint, vector {kind['vector']}, home boolean, cell bigint, part int"
     level, done = stored(level), None
     while True:
-        size = stored(level.groupBy("cell").agg(F.count("*").alias("n")))
-        large = size.where(F.col("n") > 2 * cell).select("cell", "n", F.least(F.lit(FAN), F.ceil(F.col("n") / cell)).cast("int").alias("fan"), F.ceil(F.col("n") / ASSIGNED).cast("int").alias("salts"))
+        size = stored(level.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")))
+        large = size.where(F.col("homes") > 2 * cell).select("cell", "n", F.least(F.lit(FAN), F.ceil(F.col("homes") / cell)).cast("int").alias("fan"), F.ceil(F.col("n") / ASSIGNED).cast("int").alias("salts"))
         if not large.limit(1).count():
             return level.select("lead", "many", "vector", "home", "cell") if done is None else done.union(level.select("lead", "many", "vector", "home", "cell"))
         rows = level.join(large, "cell")
