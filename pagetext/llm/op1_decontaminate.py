@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetext.llm._arrays import slices
+from pagetext.llm._store import stored
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -238,6 +239,9 @@ def leaks(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, le
         listed = [(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect() if words_of(r.text)]
         shared = spark.sparkContext.broadcast((f"{spark.sparkContext.applicationId}-{hash(tuple(listed))}", listed))
         part = rows.mapInArrow(_searched(shared, threshold, least_overlap), f"id {kind}, item bigint, passage bigint, score double, question_overlap double, answer_overlap double")
+        if shards > 1:  # each shard's finds are written, and its items released, before the next is broadcast
+            part = stored(part)
+            shared.unpersist()
         found = part if found is None else found.union(part)
     return found.withColumnRenamed("id", id_column).withColumnRenamed("item", "item_id")
 

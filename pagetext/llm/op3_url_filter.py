@@ -12,6 +12,7 @@ from pagetext.llm._store import stored
 WORDS = 8  # a block is 8 words of 64 bits; a key sets one bit in each
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Pages that mention one of these words are put on the list by the registered query.
+#: Pages that mention one of these make up the list of the registered query: a fixture, not a part of the filter.
 LISTING_TERMS = ["idiot", "moron", "worthless"]
 
 
@@ -34,8 +35,9 @@ def blocked_bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 def listed_flag(pages: DataFrame, listed: DataFrame, *, bits_per_key: int = 12, broadcast_bytes: int = 32 << 20, salts: int = 8) -> DataFrame:
     """`pages` plus `listed`: whether the row's canonical URL is one of `listed.canonical`.
 
-    pages needs a column `canonical` and no column named block, w0..w7, salt or listed. Null
-    canonical URLs are not listed; repeated rows stay; an empty list gives false everywhere.
+    pages needs a column `canonical`; other columns may have any names, and an own column `listed`
+    gives way. Null canonical URLs are not listed; repeated rows stay; an empty list gives false
+    everywhere.
     The filter takes bits_per_key bits for each distinct listed URL: it is broadcast only while
     that is at most broadcast_bytes, and joined by block beyond. Possible hits alone are shuffled
     to the exact join; each listed URL is copied `salts` times there, so that a URL with very many
@@ -47,17 +49,18 @@ def listed_flag(pages: DataFrame, listed: DataFrame, *, bits_per_key: int = 12,
     bloom = blocked_bloom(keys, "canonical", blocks)
     if blocks * (WORDS + 1) * 8 <= broadcast_bytes:
         bloom = F.broadcast(bloom)
-    names = pages.columns
-    seen = pages.withColumn("block", _block(F.col("canonical"), blocks)).join(bloom, "block", "left")
+    names = [c for c in pages.columns if c != "listed"]
+    page = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("page")
+    seen = pages.select(page, "canonical").withColumn("block", _block(F.col("canonical"), blocks)).join(bloom, "block", "left")
     all_set = F.lit(True)
     for i in range(WORDS):
         all_set &= F.call_function("shiftright", F.col(f"w{i}"), _bit(F.col("canonical"), i)).bitwiseAND(F.lit(1)) == 1
     maybe = F.coalesce(all_set & F.col("canonical").isNotNull(), F.lit(False))
-    misses = seen.where(~maybe).select(*names, F.lit(False).alias("listed"))
+    misses = seen.where(~maybe).select("page", F.lit(False).alias("listed"))
     copies = keys.select("canonical", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(True).alias("listed"))
-    hits = seen.where(maybe).select(*names, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("salt"))
-    exact = hits.join(copies.hint("shuffle_hash"), ["canonical", "salt"], "left").select(*names, F.coalesce("listed", F.lit(False)).alias("listed"))
-    return misses.union(exact)
+    hits = seen.where(maybe).select("page", "canonical", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("salt"))
+    exact = hits.join(copies.hint("shuffle_hash"), ["canonical", "salt"], "left").select("page", F.coalesce("listed", F.lit(False)).alias("listed"))
+    return misses.union(exact).select(*[F.col(f"page.c{i}").alias(c) for i, c in enumerate(names)], "listed")
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], **how) -> DataFrame:

@@ -211,7 +211,9 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_column: str = "doc_id",
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, pairs, mark = shared.value
-        counts = _compiled.setdefault(name, PieceCounts(pairs))
+        if name not in _compiled:
+            _compiled[name] = PieceCounts(pairs)
+        counts = _compiled[name]
         for batch in batches:
             for first, last in slices(batch.column(1)):
                 part = batch.slice(first, last - first)
