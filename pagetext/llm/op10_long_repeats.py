@@ -5,7 +5,7 @@ holds the suffixes that start at anchors, places whose next bytes hash below a b
 depend on content alone, so two copies of a window have the same first anchor at the same offset.
 Suffixes are ordered by the hash of their first KEY bytes and of the whole stretch that their
 windows span. Hash-partitioned parts of the array are kept as families of sorted levels: each new
-batch is sorted, levels of like size merge, and a scan over neighbours finds suffixes that agree.
+batch is sorted and merge-scanned against the levels that are there, then levels of like size merge.
 Stretches equal as a whole are repeated; where only the keys agree, the windows are compared one
 by one in a second pass. Passages of so many words go the same way, over one hash a word.
 """
@@ -150,7 +150,12 @@ def _anchored(shape: _Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 class Levels:
-    """Sorted runs of suffixes: a new batch is a level of its own, and levels of like size merge."""
+    """A family of sorted runs of suffixes, no two of like size.
+
+    A new batch is sorted into a run of its own and scanned against each run that is there: where
+    both have a key, stretches equal as a whole are `settled`, and where a key has several stretches
+    each of these has one suffix, its `first`, to be probed. Then runs of like size merge, so that a
+    suffix moves a logarithmic number of times however many batches come."""
 
     def __init__(self):
         self.runs: list[dict[str, np.ndarray]] = []
@@ -158,20 +163,48 @@ class Levels:
     @staticmethod
     def _sorted(run: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         order = np.lexsort((run["whole"], run["key"]))
-        return {k: v[order] for k, v in run.items()}
+        return {k: v[order] for k, v in run.items() if k not in ("group", "opens")}
+
+    @staticmethod
+    def _grouped(run: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        fresh = np.concatenate([[True], run["key"][1:] != run["key"][:-1]])
+        return run | {"group": np.cumsum(fresh) - 1, "opens": np.flatnonzero(fresh)}
 
     def add(self, batch: dict[str, np.ndarray]) -> None:
-        run = self._sorted(batch)
+        run = self._grouped(self._sorted(batch | {"pair": batch["key"] ^ mix(batch["whole"])}))
+        whole, opens = run["whole"], run["opens"]
+        kind = np.concatenate([[True], (whole[1:] != whole[:-1]) | (run["group"][1:] != run["group"][:-1])])
+        number = np.cumsum(kind) - 1
+        run |= {"first": kind, "settled": (np.bincount(number)[number] > 1) | run["twice"], "several": (whole[opens] != whole[np.append(opens[1:], len(whole)) - 1])[run["group"]]}
+        for level in self.runs:
+            self._scan(run, level)
         while self.runs and len(self.runs[-1]["key"]) <= 2 * len(run["key"]):
             old = self.runs.pop()
-            run = self._sorted({k: np.concatenate([old[k], run[k]]) for k in run})
+            run = self._grouped(self._sorted({k: np.concatenate([old[k], run[k]]) for k in run if k not in ("group", "opens")}))
         self.runs.append(run)
 
-    def whole(self) -> dict[str, np.ndarray] | None:
-        while len(self.runs) > 1:
-            new, old = self.runs.pop(), self.runs.pop()
-            self.runs.append(self._sorted({k: np.concatenate([old[k], new[k]]) for k in new}))
-        return self.runs[0] if self.runs else None
+    @staticmethod
+    def _scan(new: dict[str, np.ndarray], old: dict[str, np.ndarray]) -> None:
+        """Keys that both runs have: their stretches against each other."""
+        _, a, b = np.intersect1d(new["key"][new["opens"]], old["key"][old["opens"]], assume_unique=True, return_indices=True)
+        if not len(a):
+            return
+        ends, met = [], []
+        for run, at in ((new, a), (old, b)):
+            last = np.append(run["opens"][1:], len(run["key"])) - 1
+            ends += [run["whole"][run["opens"][at]], run["whole"][last[at]]]
+            held = np.zeros(len(run["opens"]), bool)
+            held[at] = True
+            met.append(np.flatnonzero(held[run["group"]]))
+        differ = (ends[0] != ends[1]) | (ends[2] != ends[3]) | (ends[0] != ends[2])
+        for run, at in ((new, a), (old, b)):
+            mixed = np.zeros(len(run["opens"]), bool)
+            mixed[at[differ]] = True
+            run["several"] |= mixed[run["group"]]
+        known = np.isin(new["pair"][met[0]], old["pair"][met[1]])
+        new["settled"][met[0][known]] = True
+        new["first"][met[0][known]] = False
+        old["settled"][met[1][np.isin(old["pair"][met[1]], new["pair"][met[0]])]] = True
 
 
 def _packs(at: np.ndarray, near: np.ndarray, far: np.ndarray, settled: np.ndarray) -> np.ndarray:
@@ -182,28 +215,19 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, pack) of suffixes that aren't alone: settled where the whole stretch is repeated, and to
     be probed where another with the same key has another stretch."""
     levels = Levels()
+    told = lambda run, which, done: pa.RecordBatch.from_arrays([pa.array(run["row"][which]), pa.array(_packs(run["at"][which], run["near"][which], run["far"][which], np.full(which.sum(), done)))], ["row", "pack"])
     for batch in batches:
-        if batch.num_rows:
-            levels.add({k: np.frombuffer(b"".join(batch.column(k).to_pylist()), kind) for k, kind in _SUFFIX.items()})
-    run = levels.whole()
-    if run is None:
-        return
-    settled_early = run["whole"] == 0
-    early = {k: v[settled_early] for k, v in run.items()}
-    yield pa.RecordBatch.from_arrays([pa.array(early["row"]), pa.array(_packs(early["at"], early["near"], early["far"], np.ones(len(early["at"]), np.int64)))], ["row", "pack"])
-    run = {k: v[~settled_early] for k, v in run.items()}
-    key, whole = run["key"], run["whole"]
-    n = len(key)
-    if not n:
-        return
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])
-    new_whole = new_key | np.concatenate([[True], whole[1:] != whole[:-1]])
-    group, kind = np.cumsum(new_key) - 1, np.cumsum(new_whole) - 1
-    settled = (np.bincount(kind)[kind] > 1) | run["twice"]
-    several = np.bincount(group[new_whole])[group] > 1
-    probe = several & new_whole
-    for keep, done in ((settled, 1), (probe, 0)):
-        yield pa.RecordBatch.from_arrays([pa.array(run["row"][keep]), pa.array(_packs(run["at"][keep], run["near"][keep], run["far"][keep], np.full(keep.sum(), done)))], ["row", "pack"])
+        if not batch.num_rows:
+            continue
+        run = {k: np.frombuffer(b"".join(batch.column(k).to_pylist()), kind) for k, kind in _SUFFIX.items()}
+        early = run["whole"] == 0
+        if early.any():
+            yield told(run, early, 1)
+        if not early.all():
+            levels.add({k: v[~early] for k, v in run.items()})
+    for run in levels.runs:
+        yield told(run, run["settled"], 1)
+        yield told(run, run["several"] & run["first"], 0)
 
 
 _WINDOW = {"row": np.int64, "at": np.int32, "near": np.int16, "far": np.int16, "hashes": np.uint64}

@@ -81,7 +81,43 @@ def test_jaccard(spark, docs, width, percent, most):
     assert jaccard_groups(empty(spark)).count() == 0
 
 
-def test_long_repeats(spark, docs):
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_long_repeats(spark, docs, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        _long_repeats(spark, docs)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_levels_find_what_one_sort_finds():
+    """Suffixes of few keys and stretches, in batches of any size: the marks don't depend on how they came."""
+    from pagetext.llm.op10_long_repeats import _SUFFIX, Levels
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        n = int(rng.integers(1, 400))
+        every = {k: np.arange(n).astype(kind) for k, kind in _SUFFIX.items()} | {"key": rng.integers(0, 40, n).astype(np.uint64), "twice": rng.random(n) < 0.05}
+        every["whole"] = rng.integers(1, 4, n).astype(np.uint64) + every["key"]
+        cuts = [0, *sorted(rng.integers(0, n + 1, 9).tolist()), n]
+        levels = Levels()
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e > s:
+                levels.add({k: v[s:e] for k, v in every.items()})
+        sizes = [len(r["key"]) for r in levels.runs]
+        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False)) and sum(sizes) == n
+        kinds = Counter(zip(every["key"].tolist(), every["whole"].tolist(), strict=True))
+        per_key = Counter(k for k, _ in kinds)
+        probed = []
+        for run in levels.runs:
+            for i, row in enumerate(run["row"].tolist()):
+                k, w = int(every["key"][row]), int(every["whole"][row])
+                assert run["settled"][i] == (kinds[k, w] > 1 or bool(every["twice"][row])) and run["several"][i] == (per_key[k] > 1)
+                probed += [(k, w)] * bool(run["several"][i] and run["first"][i])
+        assert Counter(probed) == Counter(kw for kw in kinds if per_key[kw[0]] > 1)
+
+
+def _long_repeats(spark, docs):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     seen = Counter(t[k : k + 400] for _, t in rows for k in range(len(t) - 399))
     want = Counter()
