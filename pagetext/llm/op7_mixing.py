@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagetext.llm._store import stored
+from pagetext.llm._store import numbered, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -18,24 +18,40 @@ MOST_COPIES = 2
 FAN_IN = 1000
 
 
+def _placed(totals: DataFrame) -> DataFrame:
+    """totals with `place`, the source's number from 0 in code-point order, null last: sources are dealt
+    out in ranges, and a range's numbers go on where those before it end."""
+    ranges = totals.withColumn("none", F.col("source").isNull()).repartitionByRange("none", "source")
+    spread = stored(ranges.withColumn("range", F.spark_partition_id()))
+    sizes = sorted((r.range, r.n) for r in spread.groupBy("range").agg(F.count("*").alias("n")).collect())
+    first, at = [], 0
+    for number, n in sizes:
+        first.append((number, at))
+        at += n
+    starts = F.broadcast(totals.sparkSession.createDataFrame(first, "range int, first bigint"))  # one row for each partition
+    own = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    return spread.withColumn("own", own).join(starts, "range").select("source", "source_size", "n", (F.col("first") + F.col("own") - 1).alias("place"))
+
+
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
     """(source, place, source_size, n, target) of sizes(source, size).
 
     Sources stand in code-point order, null last, and take the weights in turn. Targets share
     share * all words by weight; a target above most * source_size stops there and its excess is
-    shared again by weight: with the sources ordered by most * size / weight, the stopped ones are
-    a prefix, found by running sums. The windows run over one row for each source."""
+    shared again by weight: the level (words for each unit of weight) rises in rounds, each one
+    aggregation over the sources, until no further source stops."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    placed = totals.withColumn("place", place).withColumn("weight", weight).withColumn("cap", (most * F.col("source_size")).cast("double"))
-    every = Window.partitionBy()
-    rising = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    level = (share * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    levelled = placed.withColumn("level", level).withColumn("open", F.col("cap") > F.col("level") * F.col("weight")).withColumn("order", F.row_number().over(rising))
-    final = F.min_by("level", F.when(F.col("open"), F.col("order"))).over(every)
-    return levelled.withColumn("target", F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap")))).select("source", "place", "source_size", "n", "target")
+    placed = stored(_placed(totals).withColumn("weight", weight).withColumn("cap", (most * F.col("source_size")).cast("double")))
+    level, stopped = 0.0, -1
+    while True:
+        open_ = F.col("cap") > level * F.col("weight")
+        seen = placed.agg(F.sum("source_size").alias("words"), F.sum(F.when(open_, F.col("weight"))).alias("weight"), F.coalesce(F.sum(F.when(~open_, F.col("cap"))), F.lit(0.0)).alias("caps"), F.count_if(~open_).alias("stopped")).first()
+        if not seen.weight or seen.stopped == stopped:
+            break
+        level, stopped = (share * seen.words - seen.caps) / seen.weight, seen.stopped
+    target = F.least("cap", level * F.col("weight")) if seen.weight else F.col("cap")
+    return placed.select("source", "place", "source_size", "n", target.alias("target"))
 
 
 def _pivot(rows: pd.DataFrame, seed: int, level: int) -> pd.DataFrame:
@@ -87,15 +103,15 @@ def mix(docs: DataFrame, *, group: int = 20_000, seed: int = 7, **how) -> DataFr
     Sources are cut into groups of about `group` rows by a hash of doc_id, and level after level
     one open row of each group goes on, FAN_IN groups together; a source with very many rows has
     many groups. Draws depend on seed, source and group alone, so reruns agree; repeated rows each
-    count; an empty table gives no rows."""
+    count; rows without an id are told apart by their number; an empty table gives no rows."""
     sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
-    sizes = stored(sizes)
+    sizes = numbered(stored(sizes))
     targets = stored(source_targets(sizes, **how))
     known = F.coalesce("source", F.lit(""))
     joined = sizes.withColumn("key", known).withColumn("none", F.col("source").isNull()).join(targets.select(known.alias("key"), F.col("source").isNull().alias("none"), "place", "source_size", "n", "target"), ["key", "none"])
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(wanted + 1e-12)
-    drawn = joined.select("doc_id", "source", "size", "source_size", "target", "place", "n", base.alias("base"), F.greatest(wanted - base, F.lit(0.0)).alias("part"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)).alias("draw"))
+    drawn = joined.select("doc_id", "source", "size", "source_size", "target", "place", "n", base.alias("base"), F.greatest(wanted - base, F.lit(0.0)).alias("part"), F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(seed))).otherwise(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))).alias("draw"))
     level = drawn.withColumn("bucket", F.pmod(F.col("draw"), F.ceil(F.col("n") / group))).withColumn("open", F.lit(False))
     columns = ["doc_id", "source", "size", "source_size", "target", "place", "n", "base", "part", "draw", "bucket", "open"]
     largest = targets.agg(F.max("n")).first()[0] or 0
