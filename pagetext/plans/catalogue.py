@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pagetext.plans import edits, library, matching, regions, replies, runs, spend, streams
+from pagetext.plans import edits, library, matching, regions, replies, runs, sources, spend, streams
 
-_MODULES = (edits, library, matching, regions, replies, runs, spend, streams)
+_MODULES = (edits, library, matching, regions, replies, runs, sources, spend, streams)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
