@@ -72,6 +72,37 @@ def test_reading_order(spark):
     assert order(True) == [0, 1, 2] and order(False) == [1, 0, 2]
 
 
+def test_candidates_by_either_metric(spark):
+    """Every pair of a page compared, with no regard to lengths."""
+    import difflib
+
+    rng = random.Random(7)
+    make = lambda: "".join(rng.choice("abé d-") for _ in range(rng.randrange(0, 14)))
+    fold = lambda t: "".join(c for c in t.replace("é", "e") if c.isalnum())
+    a, b = ([(p, i, make()) for p in range(2) for i in range(25)] for _ in range(2))
+    frames = [spark.createDataFrame(rows, "page_id int, item_id int, text string") for rows in (a, b)]
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            before, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+        return row[-1]
+
+    measures = {"levenshtein": lambda x, y: 1 - distance(x, y) / max(len(x), len(y)), "ratcliff": lambda x, y: difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()}
+    for metric, measure in measures.items():
+        every = {(p, i, j): round(measure(fold(x), fold(y)), 6) for p, i, x in a for q, j, y in b if p == q and min(len(fold(x)), len(fold(y))) >= 3}
+        want = {k: v for k, v in every.items() if v >= 0.45}
+        assert {(r.page_id, r.a, r.b): r.ratio for r in matching.match_candidates(*frames, metric=metric).collect()} == pytest.approx(want) and want
+        taken, kept = set(), set()
+        for (p, i, j), _ in sorted(want.items(), key=lambda kv: (-kv[1], kv[0])):
+            if not {(p, "a", i), (p, "b", j)} & taken:
+                taken |= {(p, "a", i), (p, "b", j)}
+                kept.add((p, i, j))
+        assert {(r.page_id, r.a, r.b) for r in matching.match_regions(*frames, metric=metric).collect()} == kept
+
+
 def test_matches_are_greedy(spark):
     rng = random.Random(0)
     make = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(3, 7)))
