@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline as pipeline
 from pagetext.llm._store import stored
 from pagetext.llm.op10_long_repeats import long_repeats
@@ -58,3 +60,13 @@ def test_word_windows_against_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).cache()
     got = {r.doc_id: r.left.split() for r in long_repeats(docs, keep_text=True, length=1000, words=20).collect()}
     assert got == want and sum(map(len, want.values())) < sum(len(t.split()) for t in texts)
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None, None, None), (None, "", None, None, None, None, None), (1, " ", "en", "a", 1, None, None), (1, " ", "en", "a", 1, None, None)]])
+def test_empty_and_null_tables(spark, tmp_path, rows):
+    """No rows give none; null and blank rows pass every stage, with nothing to take."""
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.taken == 0 for r in got)
