@@ -5,10 +5,16 @@ the page and `members` an array of (id, text, x1, y1, x2, y2)."""
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagetext.operators.graph import by_page
+
 BLANK = "—"
 MEMBERS = "array<struct<id:bigint,text:string,x1:double,y1:double,x2:double,y2:double>>"
 REGION = f"page_id bigint, region_id bigint, pos int, text string, tl string, t string, x1 double, y1 double, x2 double, y2 double, members {MEMBERS}"
@@ -121,17 +127,24 @@ def replay_edits(regions: DataFrame, edits: DataFrame) -> DataFrame:
     with a live neighbour), split and join. Edits of regions that aren't there do nothing; an add of
     one that is there neither. Pages without edits don't pass through Python."""
     touched = edits.select("page_id").distinct()
-
-    def work(_: tuple, rows: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        own = rows.sort_values("pos").to_dict("records")
-        for r in own:
-            r["members"] = [m if isinstance(m, dict) else m.asDict() for m in (r["members"] if r["members"] is not None else [])]
-        page = log["page_id"].iloc[0]
-        left = _replay(own, log.sort_values("seq").to_dict("records"))
-        return pd.DataFrame([{**r, "page_id": page, "pos": i} for i, r in enumerate(left)], columns=COLUMNS)
-
-    changed = regions.join(touched, "page_id", "left_semi").select(*COLUMNS).groupBy("page_id").cogroup(edits.groupBy("page_id")).applyInPandas(work, REGION)
-    return regions.join(touched, "page_id", "left_anti").select(*COLUMNS).union(changed)
+    log = edits.select("page_id", "seq", "kind", "region_id", F.lit(None).cast("int").alias("pos"), "text", F.lit(None).cast("string").alias("tl"), F.lit(None).cast("string").alias("t"), *BOX, F.lit(None).cast(MEMBERS).alias("members"), "other_id", "after", "by")
+    changed = regions.join(touched, "page_id", "left_semi").select(*COLUMNS)
+    rows = changed.select(*[F.col(c) if c in COLUMNS else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns])
+
+    def work(part: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        out = []
+        for _, records in groupby(zip(page.tolist(), part.to_dict("records"), strict=True), key=itemgetter(0)):
+            own, told = [], []
+            for _, r in records:
+                (told if r["kind"] is not None else own).append(r)
+            for r in own:
+                r["members"] = [m if isinstance(m, dict) else m.asDict() for m in (r["members"] if r["members"] is not None else [])]
+            name = (own or told)[0]["page_id"]
+            out += [{**{c: r[c] for c in COLUMNS if c not in ("page_id", "pos")}, "page_id": name, "pos": i} for i, r in enumerate(_replay(own, told))]
+        return pd.DataFrame(out, columns=COLUMNS)
+
+    replayed = by_page(rows.unionByName(log), ["page_id"], work, REGION, "seq", "pos")
+    return regions.join(touched, "page_id", "left_anti").select(*COLUMNS).union(replayed)
 
 
 def cacheable(rows: DataFrame, chapters: DataFrame) -> DataFrame:
