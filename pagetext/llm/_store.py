@@ -5,9 +5,12 @@ from __future__ import annotations
 import uuid
 from weakref import WeakKeyDictionary
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MOST_FILES = 20_000
+
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -43,11 +46,16 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def numbered(df: DataFrame, name: str = "row") -> DataFrame:
-    """df with a number for each row that stays the same whenever it is read again. Scans of files
-    have that; what comes out of a shuffle or of Python is stored first."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    while plan.nodeName() in ("Project", "Filter"):
-        plan = plan.children().head()
-    if not plan.nodeName().startswith(("LogicalRelation", "Relation")):
-        df = stored(df)
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """df with a number for each row that stays the same whenever it is read again, however the
+    session splits its scans then: the place of its Parquet file among all files that are read, and of the row
+    in the file. What isn't read straight from Parquet, or comes from more than MOST_FILES
+    files, is written out with its numbers."""
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+        files = sorted(r[0] for r in placed.select("__file").distinct().limit(MOST_FILES + 1).collect())
+    except AnalysisException:
+        files = None
+    if files is None or len(files) > MOST_FILES:
+        return stored(df.withColumn(name, F.monotonically_increasing_id()))
+    order = df.sparkSession.createDataFrame(list(enumerate(files)), "__order bigint, __file string")
+    return placed.join(F.broadcast(order), "__file").withColumn(name, F.shiftleft("__order", 33) + F.col("__place")).select(*df.columns, name)
