@@ -4,8 +4,12 @@ overlap of the item's question and answer with the passage."""
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetext.llm._arrays import slices
-from pagetext.llm._store import stored
+from pagetext.llm._store import dropped, stored
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.6
 BLOCK = 64
 LEAST_STRIDE = 64
-MOST_WORDS = 2_000_000
+MOST_WORDS = 2_000_000  # of the items of one index
+SHARDS_AT_ONCE = 16  # indexes that one scan of the documents searches
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -52,31 +57,53 @@ def overlap(part: list[bytes], passage: list[bytes]) -> float:
     return len(own & _grams(passage, n)) / len(own)
 
 
+@dataclass
+class Statistics:
+    """Of all items with words: how many, their mean and greatest length, and in how many each term is."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[bytes, int]
+
+    @staticmethod
+    def of(docs: list[list[bytes]]) -> Statistics:
+        n = [len(d) for d in docs]
+        return Statistics(len(docs), sum(n) / max(1, len(n)), max(n, default=0), Counter(w for d in docs for w in set(d)))
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (shard, text): each shard's terms, with the number of its items that have them; and, without
+    a term, its items, their words and the longest."""
+    for batch in batches:
+        df: dict[int, Counter] = defaultdict(Counter)
+        n: dict[int, list[int]] = defaultdict(list)
+        for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if words := words_of(text):
+                df[shard].update(set(words))
+                n[shard].append(len(words))
+        rows = [(shard, w, c, None, None) for shard, own in df.items() for w, c in own.items()] + [(shard, None, len(own), sum(own), max(own)) for shard, own in n.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(("shard", "term", "n", "words", "longest"), r, strict=True)) for r in rows], pa.schema([("shard", pa.int32()), ("term", pa.binary()), ("n", pa.int64()), ("words", pa.int64()), ("longest", pa.int64())]))
+
+
 class Index:
     """Postings by term in item order, in blocks with their greatest impact. An impact is the
     term's BM25 weight in the item over the item's whole weight, so a score is the weighted share of the
-    item's terms that the query has."""
+    item's terms that the query has. Weights depend on statistics of the whole benchmark, so an
+    item scores the same in whatever shard it is."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         self.items = [(i, *question_and_answer(t)) for i, t in items]
         docs = [q + a for _, q, a in self.items]
-        self.longest = max((len(d) for d in docs), default=0)
-        mean = sum(map(len, docs)) / max(1, len(docs))
-        counts: list[dict[bytes, int]] = []
-        df: dict[bytes, int] = {}
-        for d in docs:
-            tf: dict[bytes, int] = {}
-            for w in d:
-                tf[w] = tf.get(w, 0) + 1
-            counts.append(tf)
-            for w in tf:
-                df[w] = df.get(w, 0) + 1
-        self.terms = {w: n for n, w in enumerate(df)}
-        idf = {w: np.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-        lists: list[list[tuple[int, float]]] = [[] for _ in df]
+        known = statistics or Statistics.of(docs)
+        self.longest = known.longest
+        counts = [Counter(d) for d in docs]
+        self.terms = {w: n for n, w in enumerate(dict.fromkeys(w for tf in counts for w in tf))}
+        idf = {w: math.log(1 + (known.items - known.df[w] + 0.5) / (known.df[w] + 0.5)) for w in self.terms}
+        lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for at, tf in enumerate(counts):
-            own = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(docs[at]) / mean)) for w, n in tf.items()}
-            whole = sum(own.values())
+            own = {w: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(docs[at]) / known.mean)) for w, n in tf.items()}
+            whole = math.fsum(own.values())
             for w, x in own.items():
                 lists[self.terms[w]].append((at, x / whole))
         self.at = [np.array([a for a, _ in p]) for p in lists]
@@ -114,7 +141,7 @@ class Index:
                     jump = min(jump, int(self.at[t][last]) + 1)
             if bound >= slip:
                 if cursors[0][0] == item:
-                    score = sum(self.impact[t][place] for at, place, t in cursors[: pivot + 1])
+                    score = math.fsum(self.impact[t][place] for at, place, t in cursors[: pivot + 1])  # whatever the order of terms
                     if score >= slip:
                         found.append((item, float(score)))
                     target = item + 1
@@ -192,57 +219,80 @@ def _passages(index: Index, texts: list[bytes], threshold: float) -> Iterator[tu
 _indexes: dict[str, Index] = {}
 
 
-def _searched(shared, threshold: float, least: float):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, items = shared.value
-        if name not in _indexes:
+def _index(shared, alone: bool) -> Index:
+    """The worker's index of a shard; it keeps one, or all of a scan that has few words."""
+    name, items, statistics = shared.value
+    if name not in _indexes:
+        if alone:
             _indexes.clear()
-            _indexes[name] = Index(items)
-        index = _indexes[name]
+        _indexes[name] = Index(items, statistics)
+    return _indexes[name]
+
+
+def _searched(shards: list, run: str, alone: bool, threshold: float, least: float):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [n for n in _indexes if not n.startswith(run)]:
+            del _indexes[name]
         for batch in batches:
-            for first, last in slices(batch.column("text")):
-                part = batch.slice(first, last - first)
-                best: dict[tuple[int, int], tuple] = {}
-                for t, low, words, terms in _passages(index, part.column("text").cast(pa.binary()).to_pylist(), threshold):
-                    for item, score in index.search(terms, threshold):
-                        number, question, answer = index.items[item]
-                        q, a = overlap(question, words), overlap(answer, words)
-                        if q >= least and a >= least and (score, -low) > best.get((t, item), (0.0, 0))[:2]:
-                            best[t, item] = (score, -low, number, q, a)
-                at = sorted(best)
-                rows = [best[k] for k in at]
-                columns = [part.column("id").take(pa.array([t for t, _ in at], pa.int64())), pa.array([r[2] for r in rows], pa.int64()), pa.array([-r[1] for r in rows], pa.int64()), *(pa.array([float(r[i]) for r in rows], pa.float64()) for i in (0, 3, 4))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "item", "passage", "score", "question_overlap", "answer_overlap"])
+            for shared in shards:
+                index = _index(shared, alone)
+                for first, last in slices(batch.column("text")):
+                    yield found(index, batch.slice(first, last - first))
+
+    def found(index: Index, part: pa.RecordBatch) -> pa.RecordBatch:
+        best: dict[tuple[int, int], tuple] = {}
+        for t, low, words, terms in _passages(index, part.column("text").cast(pa.binary()).to_pylist(), threshold):
+            for item, score in index.search(terms, threshold):
+                number, question, answer = index.items[item]
+                q, a = overlap(question, words), overlap(answer, words)
+                if q >= least and a >= least and (score, -low) > best.get((t, item), (0.0, 0))[:2]:
+                    best[t, item] = (score, -low, number, q, a)
+        at = sorted(best)
+        rows = [best[k] for k in at]
+        columns = [part.column("id").take(pa.array([t for t, _ in at], pa.int64())), pa.array([r[2] for r in rows], pa.int64()), pa.array([-r[1] for r in rows], pa.int64()), *(pa.array([float(r[i]) for r in rows], pa.float64()) for i in (0, 3, 4))]
+        return pa.RecordBatch.from_arrays(columns, ["id", "item", "passage", "score", "question_overlap", "answer_overlap"])
 
     return search
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, least_overlap: float = OVERLAP, most_words: int = MOST_WORDS, id_column: str = "doc_id") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, least_overlap: float = OVERLAP, most_words: int = MOST_WORDS, at_once: int = SHARDS_AT_ONCE, id_column: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, passage, score, question_overlap, answer_overlap): for each row of
     docs(doc_id, text) and row of items(item_id, text) its best passage (first word, ties the
     earliest) that scores at least `threshold` and has at least `least_overlap` of both the
     item's question and its answer.
 
-    The index is broadcast, at most most_words words of items at once: a larger benchmark is dealt
-    into shards by a hash of its rows, and every passage is searched in each. Documents never move.
-    Null, empty and wordless texts and items are found nowhere; repeated rows each count; an id may
-    be null."""
+    An index has at most about most_words words of items: a larger benchmark is dealt into shards by a
+    hash of its rows, and every passage is searched in each, at_once of them in one scan of the
+    documents. Document frequencies, the mean length and the length of passages are those of the
+    whole benchmark, so rows and scores are the same however many shards there are. Documents never
+    move. Null, empty and wordless texts and items are found nowhere; repeated rows each count; an
+    id may be null."""
     spark = docs.sparkSession
     known = items.select("item_id", "text").where("text IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // (6 * most_words)))
+    known = known.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    terms = stored(known.select("shard", "text").mapInArrow(_terms, "shard int, term binary, n bigint, words bigint, longest bigint"))
+    whole = terms.where("term IS NULL").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest")).first()
+    df = stored(terms.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")))
     kind = docs.schema[id_column].dataType.simpleString()
-    found = None
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    for shard in range(shards):
-        own = known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        listed = [(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect() if words_of(r.text)]
-        shared = spark.sparkContext.broadcast((f"{spark.sparkContext.applicationId}-{hash(tuple(listed))}", listed))
-        part = rows.mapInArrow(_searched(shared, threshold, least_overlap), f"id {kind}, item bigint, passage bigint, score double, question_overlap double, answer_overlap double")
-        if shards > 1:  # each shard's finds are written, and its items released, before the next is broadcast
+    found = None
+    for first in range(0, shards, at_once):
+        run, held = uuid.uuid4().hex, []
+        for shard in range(first, min(first + at_once, shards)):
+            own = [(r.item_id, r.text) for r in known.where(F.col("shard") == shard).orderBy("item_id", "text").collect() if words_of(r.text)]
+            met = terms.where((F.col("shard") == shard) & F.col("term").isNotNull()).select("term").distinct()
+            counts = {bytes(r.term): r.n for r in df.join(met, "term", "left_semi").collect()}
+            statistics = Statistics(whole.n or 0, (whole.words or 0) / max(1, whole.n or 0), whole.longest or 0, counts)
+            held.append(spark.sparkContext.broadcast((f"{run}-{shard}", own, statistics)))
+        part = rows.mapInArrow(_searched(held, run, size > 12 * most_words, threshold, least_overlap), f"id {kind}, item bigint, passage bigint, score double, question_overlap double, answer_overlap double")
+        if shards > at_once:  # a scan's finds are written, and its items released, before the next
             part = stored(part)
-            shared.unpersist()
+            for shared in held:
+                shared.unpersist()
         found = part if found is None else found.union(part)
+    dropped(terms, df)
     return found.withColumnRenamed("id", id_column).withColumnRenamed("item", "item_id")
 
 
