@@ -23,7 +23,7 @@ SLICE_BYTES = 4 << 20
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE and its inverse to the powers 0 .. n - 1, modulo 2**64."""
     if len(_powers["up"]) < n:
-        size = max(n, SLICE_BYTES + 1024)
+        size = max(n, 1 << 20)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

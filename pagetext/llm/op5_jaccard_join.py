@@ -30,6 +30,7 @@ from pagetext.llm._store import dropped, numbered, stored
 MOST_IN_TASK = 3_000_000  # shingles of a region that one task joins
 KEYS_IN_TASK = 2_000_000
 SLICE_SHINGLES = 1_000_000
+SLICE_BYTES = 1 << 20  # of text that a task turns into keys at once
 BYTES_A_WORD = 6
 SPREAD = 1.43  # classes for each element by which two linked sets of a band may differ
 PIVOTS = 8
@@ -75,7 +76,7 @@ def _units(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
 
 def _bits(parts: int) -> int:
     """Of a key by which it is dealt out: several buckets for each partition, whatever their number."""
-    return max(12, (4 * parts).bit_length())
+    return max(10, (16 * parts).bit_length())
 
 
 def _dealt(flat: np.ndarray, bits: int, **columns: np.ndarray) -> pa.RecordBatch:
@@ -94,6 +95,15 @@ def _undealt(bucket: int, keys: bytes) -> np.ndarray:
 _SENT = "bucket int, keys binary, offsets binary, twice binary, first bigint, block bigint, units binary, counts binary, row bigint, id {kind}, n bigint, seal bigint"
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Slices of a batch whose rows are numbered one after another."""
+    row = batch.column("row").to_numpy()
+    ends = np.append(np.flatnonzero(np.diff(row) != 1) + 1, len(row))
+    for start, end in zip(np.append(0, ends), ends, strict=False):
+        for first, last in slices(batch.column("text").slice(start, end - start), SLICE_BYTES):
+            yield start + first, start + last
+
+
 def _keyed(width: int, percent: int, bits: int):
     """From (row, id, text): keys dealt by bucket, of a key that a slice holds more than once one, marked
     so; for each unit the shared keys that its slice shows, less those that it needs; and for each
@@ -102,7 +112,7 @@ def _keyed(width: int, percent: int, bits: int):
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.schema.field("id").type
-            for first, last in slices(batch.column("text")):
+            for first, last in _runs(batch):
                 part = batch.slice(first, last - first)
                 rows = part.column("row").to_numpy()
                 sets = shingle_sets(part.column("text"), width)
@@ -172,7 +182,7 @@ def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _valued(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last in slices(batch.column("text")):
+            for first, last in slices(batch.column("text"), SLICE_BYTES):
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("slice"), part.column("n"), list_column(shingle_sets(part.column("text"), width), pa.int64())], ["row", "slice", "n", "values"])
 
@@ -486,7 +496,7 @@ def jaccard_groups(docs: DataFrame, *, width: int = 3, percent: int = 90, id_col
     it, however many rows do. Regions of more than most_in_task shingles are cut by pivots in
     rounds of their own; what pivots don't cut meets in pairs of blocks, without rows that are known
     to be together; only links that join groups are returned, never all pairs. Keys are told apart
-    by 60 bits at least: a false meeting only lets two sets be looked at together."""
+    by 58 bits at least: a false meeting only lets two sets be looked at together."""
     read = numbered(docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text")))
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     parts = max(1, int(size / BYTES_A_WORD * 2.2 * (100 - percent) / percent / KEYS_IN_TASK))
