@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetext.operators.graph import group_components
+from pagetext.operators.graph import by_page, cut, group_components
+
+TILE = 64  # pixels, either way, of the tiles in which runs and boxes meet
+REACH = 256  # pixels between boxes that count as near
+WAIST_SPAN = 12
+_FAR = np.int64(1 << 40)
+
 
 def components_of_runs(runs: DataFrame, reach: int = 1) -> DataFrame:
     """runs with label, the least node ((y + 1) * 2**32 + x0, never 0) of its component; runs of neighbouring rows that
@@ -43,18 +53,97 @@ def merged_runs(runs: DataFrame) -> DataFrame:
     return runs.select("page_id", "y", "x0", "x1", island.alias("k")).groupBy("page_id", "y", "k").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("k")
 
 
+def _envelope(group: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(group, x0, x1, extent) of the stretches between the ends of a group's runs: lowest run less topmost,
+    plus one, 0 where no run is. Groups are numbered in order.
+
+    A run is laid on the two blocks of 2**k stretches that cover it; blocks hand their topmost and
+    lowest run down to their halves, so n runs take n log n steps and no pixel is looked at."""
+    low = int(x0.min(initial=0))
+    wide = int(x1.max(initial=0)) - low + 2
+    ends, at = np.unique(np.concatenate([group * wide + x0 - low, group * wide + x1 + 1 - low]), return_inverse=True)
+    left, right = at[: len(y)], at[len(y) :]
+    level = np.frexp(np.maximum(right - left, 1))[1] - 1
+    top, bottom = np.full(len(ends), _FAR), np.full(len(ends), -_FAR)
+    for k in range(int(level.max(initial=0)), -1, -1):
+        own = level == k
+        for i in (left[own], right[own] - (1 << k)):
+            np.minimum.at(top, i, y[own])
+            np.maximum.at(bottom, i, y[own])
+        if k and (half := 1 << (k - 1)) < len(ends):
+            top, bottom = (np.concatenate([t[:half], f(t[half:], t[:-half])]) for t, f in ((top, np.minimum), (bottom, np.maximum)))
+    extent = np.where(bottom >= top, bottom - top + 1, 0)
+    within = np.append(ends[1:] // wide == ends[:-1] // wide, False) if len(ends) else np.zeros(0, bool)
+    fresh = np.flatnonzero(within & ~np.concatenate([[False], within[:-1] & (extent[1:] == extent[:-1])])) if len(ends) else at
+    last = np.flatnonzero(within & ~np.concatenate([within[1:] & (extent[1:] == extent[:-1]), [False]])) if len(ends) else at
+    return ends[fresh] // wide, ends[fresh] % wide + low, ends[last + 1] % wide + low - 1, extent[fresh]
+
+
+def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of values[first .. last], for each of many stretches, from a sparse table."""
+    level, table, found = np.frexp(last - first + 1)[1] - 1, values, values[first]
+    for k in range(int(level.max(initial=0)) + 1):
+        own = level == k
+        found[own] = np.minimum(table[first[own]], table[last[own] - (1 << k) + 1])
+        table = np.minimum(table[: -(1 << k) or None], table[1 << k :]) if len(table) > 1 << k else table
+    return found
+
+
+def _numbers(page: np.ndarray) -> np.ndarray:
+    return page.astype(np.int64) - 1
+
+
 def column_extents(labelled: DataFrame) -> DataFrame:
-    """(page_id, label, x, extent): bottom less top, plus one; holes don't count."""
-    cells = labelled.select("page_id", "label", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    return cells.groupBy("page_id", "label", "x").agg((F.max("y") - F.min("y") + 1).alias("extent"))
+    """(page_id, label, x0, x1, extent): the stretches of columns where bottom less top, plus one, is the
+    same; holes don't count. Rows grow with the runs, not with their width."""
+    keys, kinds = ["page_id", "label"], dict(labelled.dtypes)
+
+    def swept(rows: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        group = _numbers(page)
+        g, x0, x1, extent = _envelope(group, *(rows[c].to_numpy(np.int64) for c in ("y", "x0", "x1")))
+        named = rows[keys].iloc[np.searchsorted(group, g)].reset_index(drop=True)
+        return named.assign(x0=x0, x1=x1, extent=extent)[extent > 0]
+
+    return by_page(labelled.select(*keys, "y", "x0", "x1"), keys, swept, f"page_id {kinds['page_id']}, label {kinds['label']}, x0 int, x1 int, extent int")
+
+
+def _tiled_runs(runs: DataFrame) -> DataFrame:
+    """Runs cut at the edges of tiles, with the tile (ty, tx) of each piece."""
+    split = runs.withColumn("ty", F.floor(F.col("y") / TILE).cast("int")).withColumn("tx", F.explode(_tiles("x0", "x1")))
+    edge = F.col("tx") * TILE
+    return split.withColumns({"x0": F.greatest("x0", edge), "x1": F.least(F.col("x1"), edge + TILE - 1)})
+
+
+def _tiles(low: str | Column, high: str | Column) -> Column:
+    """The numbers of the tiles from low to high, both inclusive."""
+    tile = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / TILE).cast("int")
+    return F.sequence(tile(low), tile(high))
+
+
+def _tiled_boxes(boxes: DataFrame, pad: int = 0) -> DataFrame:
+    """(page_id, box_id, l, t, r, d, ty, tx, whole) of padded boxes, half-open, for each tile they meet."""
+    own = boxes.select("page_id", "box_id", (F.col("x1") - pad).alias("l"), (F.col("y1") - pad).alias("t"), (F.col("x2") + pad).alias("r"), (F.col("y2") + pad).alias("d")).where("l < r AND t < d")
+    tiled = own.withColumn("ty", F.explode(_tiles("t", F.col("d") - 1))).withColumn("tx", F.explode(_tiles("l", F.col("r") - 1)))
+    inside = lambda low, high, tile: (F.col(low) <= F.col(tile) * TILE) & (F.col(high) >= F.col(tile) * TILE + TILE)
+    return tiled.withColumn("whole", inside("l", "r", "tx") & inside("t", "d", "ty"))
+
+
+def _clipped(tiles: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The parts of pieces of runs that lie in boxes, tile by tile."""
+    met = tiles.join(pieces, ["page_id", "ty", "tx"]).where((F.col("y") >= F.col("t")) & (F.col("y") < F.col("d")))
+    return met.withColumns({"x0": F.greatest("x0", "l"), "x1": F.least(F.col("x1"), F.col("r") - 1)}).where("x0 <= x1")
 
 
 def _overlap(labelled: DataFrame, boxes: DataFrame, pad: int) -> DataFrame:
-    """(page_id, box_id, label, pixels) of padded boxes, half-open."""
-    r, b = labelled.alias("r"), boxes.alias("b")
-    low, high = F.greatest("r.x0", F.col("b.x1") - pad), F.least(F.col("r.x1") + 1, F.col("b.x2") + pad)
-    met = b.join(r, (F.col("b.page_id") == F.col("r.page_id")) & (F.col("r.y") >= F.col("b.y1") - pad) & (F.col("r.y") < F.col("b.y2") + pad) & (high > low))
-    return met.groupBy("b.page_id", "b.box_id", "r.label").agg(F.sum(high - low).alias("pixels"))
+    """(page_id, box_id, label, pixels) of padded boxes.
+
+    Runs and boxes meet in tiles of TILE x TILE pixels. A tile wholly inside a box adds its labels' pixels,
+    summed once; only in tiles that a box's edge crosses are runs looked at one by one."""
+    pieces, tiles, keys = _tiled_runs(labelled), _tiled_boxes(boxes, pad), ["page_id", "ty", "tx"]
+    length = F.sum(F.col("x1") - F.col("x0") + 1)
+    inner = tiles.where("whole").join(pieces.groupBy(*keys, "label").agg(length.alias("pixels")), keys)
+    edge = _clipped(tiles.where("NOT whole"), pieces).groupBy("page_id", "box_id", "label").agg(length.alias("pixels"))
+    return inner.select("page_id", "box_id", "label", "pixels").union(edge).groupBy("page_id", "box_id", "label").agg(F.sum("pixels").alias("pixels"))
 
 
 def box_label(boxes: DataFrame, labelled: DataFrame, pad: int = 14) -> DataFrame:
@@ -70,33 +159,71 @@ def box_coverage(boxes: DataFrame, territory: DataFrame) -> DataFrame:
     return boxes.join(best, ["page_id", "box_id"], "left").select(*boxes.columns, F.coalesce("m.label", F.lit(0)).alias("label"), F.coalesce(F.try_divide("m.pixels", area), F.lit(0.0)).alias("share"))
 
 
-def pairs_of(boxes: DataFrame) -> DataFrame:
-    """(page_id, a, b, centres and labels of both) of a page's boxes."""
-    side = lambda s: boxes.select("page_id", F.col("box_id").alias(s), ((F.col("x1") + F.col("x2")) / 2).alias(f"{s}x"), ((F.col("y1") + F.col("y2")) / 2).alias(f"{s}y"), *[F.col(c).alias(s + c) for c in boxes.columns if c in ("label", "share")])
-    return side("a").join(side("b"), "page_id").where("a < b")  # boxes of one page are few
+def near_pairs(boxes: DataFrame, reach: int = REACH) -> DataFrame:
+    """(page_id, a, b), a < b, of boxes of a page less than `reach` pixels apart: they meet in tiles, and a pair
+    is taken in the first tile that one and the other's surroundings share. Empty boxes are near nothing."""
+    boxes = boxes.where("x1 < x2 AND y1 < y2")
+    first = lambda c: F.floor(F.col(c) / TILE)
+    a, b = (_tiled_boxes(boxes, pad).withColumns({"fy": first("t"), "fx": first("l")}).alias(s) for s, pad in (("a", 0), ("b", reach)))
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("page_id", "ty", "tx")]
+    once = (F.col("a.ty") == F.greatest("a.fy", "b.fy")) & (F.col("a.tx") == F.greatest("a.fx", "b.fx"))
+    apart = lambda low, high: (F.col(f"a.{low}") < F.col(f"b.{high}")) & (F.col(f"b.{low}") < F.col(f"a.{high}"))
+    met = a.join(b, reduce(Column.__and__, [*same, F.col("a.box_id") < F.col("b.box_id"), once, apart("l", "r"), apart("t", "d")]))
+    return met.select("a.page_id", F.col("a.box_id").alias("a"), F.col("b.box_id").alias("b"))
 
 
-def container_veto(boxes: DataFrame, territory: DataFrame, inside: float = 0.6, outside: float = 0.15) -> DataFrame:
-    """(page_id, a, b) of boxes in different containers, or one inside and one outside."""
-    p = pairs_of(box_coverage(boxes, territory))
-    a_in, b_in, a_out, b_out = F.col("ashare") >= inside, F.col("bshare") >= inside, F.col("ashare") <= outside, F.col("bshare") <= outside
-    return p.where((a_in & b_in & (F.col("alabel") != F.col("blabel"))) | (a_in & b_out) | (a_out & b_in)).select("page_id", "a", "b")
+def _sided(pairs: DataFrame | None, boxes: DataFrame) -> DataFrame:
+    """pairs(page_id, a, b), by default the near ones, with the columns of both boxes as ax1 .. bshare."""
+    pairs = near_pairs(boxes) if pairs is None else pairs.select("page_id", "a", "b")
+    for side in "ab":
+        pairs = pairs.join(boxes.select("page_id", F.col("box_id").alias(side), *[F.col(c).alias(side + c) for c in boxes.columns if c not in ("page_id", "box_id")]), ["page_id", side])
+    return pairs
 
 
-def waist_veto(boxes: DataFrame, labelled: DataFrame, most: float = 0.85) -> DataFrame:
-    """(page_id, a, b) of boxes side by side in one component that is pinched between their centres."""
-    p = pairs_of(box_label(boxes, labelled)).where("alabel = blabel AND alabel <> 0 AND abs(ax - bx) > abs(ay - by) AND abs(ax - bx) >= 12")
-    x0, x1 = F.least("ax", "bx").cast("int"), F.greatest("ax", "bx").cast("int")
-    spans = p.select("page_id", "a", "b", F.col("alabel").alias("label"), x0.alias("l"), x1.alias("r"))
-    met = spans.join(column_extents(labelled), ["page_id", "label"]).where("x BETWEEN l AND r")
-    ends = F.least(F.max(F.when(F.col("x") == F.col("l"), F.col("extent"))), F.max(F.when(F.col("x") == F.col("r"), F.col("extent"))))
-    return met.groupBy("page_id", "a", "b").agg(F.try_divide(F.min("extent").cast("double"), ends).alias("ratio")).where(F.col("ratio") <= most)
+def container_veto(boxes: DataFrame, territory: DataFrame, inside: float = 0.6, outside: float = 0.15, pairs: DataFrame | None = None) -> DataFrame:
+    """(page_id, a, b) of the pairs whose boxes are in different containers, or one inside and one outside."""
+    p = _sided(pairs, cut(box_coverage(boxes, territory)))
+    a_in, b_in, a_out, b_out = F.col("ashare") >= inside, F.col("bshare") >= inside, F.col("ashare") <= outside, F.col("bshare") <= outside
+    return p.where((a_in & b_in & (F.col("alabel") != F.col("blabel"))) | (a_in & b_out) | (a_out & b_in)).select("page_id", "a", "b")
 
 
-def path_label_veto(boxes: DataFrame, labelled: DataFrame, points: int = 9, radius: int = 3) -> DataFrame:
-    """(page_id, a, b) where the patches on the way between two centres have two labels or more."""
-    p = pairs_of(boxes)
-    at = p.select("page_id", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"), "ax", "ay", "bx", "by")
+def _waists(rows: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+    """From the runs of labels and spans of columns: each span's least extent over the smaller one at its ends."""
+    group, asked = _numbers(page), rows["asked"].to_numpy()
+    y, x0, x1 = (rows[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
+    g, left, right, extent = _envelope(group[~asked], y[~asked], x0[~asked], x1[~asked])
+    at = np.flatnonzero(asked)
+    first, after = np.searchsorted(g, group[at]), np.searchsorted(g, group[at], "right")
+    at, first, last = at[after > first], first[after > first], after[after > first] - 1
+    ends = [np.clip(x[at], left[first], right[last]) for x in (x0, x1)]
+    low, wide = int(left.min(initial=0)), int(right.max(initial=0)) - int(left.min(initial=0)) + 2
+    i, j = (np.searchsorted(g * wide + left - low, group[at] * wide + x - low, "right") - 1 for x in ends)
+    thin = np.minimum(extent[i], extent[j])
+    keep = (ends[1] - ends[0] >= WAIST_SPAN) & (thin > 0)
+    return rows.iloc[at][["page_id", "a", "b"]].assign(ratio=_least(extent, i, j) / np.maximum(thin, 1))[keep]
+
+
+def waist_veto(boxes: DataFrame, labelled: DataFrame, most: float = 0.85, pairs: DataFrame | None = None, pad: int = 14) -> DataFrame:
+    """(page_id, a, b, ratio) of the pairs side by side in one component that is pinched between their centres.
+
+    The span between two centres and the runs of its component meet in one stream; the least extent
+    of a span comes from a table of minima over the component's stretches."""
+    p = _sided(pairs, cut(box_label(boxes, labelled, pad))).where("alabel = blabel AND alabel <> 0")
+    centre = lambda s, c: F.floor((F.col(f"{s}{c}1") + F.col(f"{s}{c}2")) / 2).cast("int")
+    p = p.select("page_id", "a", "b", F.col("alabel").alias("label"), *[centre(s, c).alias(s + c) for s in "ab" for c in "xy"]).where(f"abs(ax - bx) > abs(ay - by) AND abs(ax - bx) >= {WAIST_SPAN}")
+    spans = p.select("page_id", "label", F.lit(True).alias("asked"), F.lit(0).alias("y"), F.least("ax", "bx").alias("x0"), F.greatest("ax", "bx").alias("x1"), "a", "b")
+    kinds = dict(spans.dtypes)
+    shapes = labelled.join(spans.select("page_id", "label").distinct(), ["page_id", "label"], "left_semi")
+    rows = shapes.select("page_id", "label", F.lit(False).alias("asked"), "y", "x0", "x1", *[F.lit(0).cast(kinds[c]).alias(c) for c in "ab"]).union(spans)
+    schema = f"page_id {kinds['page_id']}, a {kinds['a']}, b {kinds['b']}, ratio double"
+    return by_page(rows, ["page_id", "label"], _waists, schema).where(F.col("ratio") <= most)
+
+
+def path_label_veto(boxes: DataFrame, labelled: DataFrame, points: int = 9, radius: int = 3, pairs: DataFrame | None = None) -> DataFrame:
+    """(page_id, a, b) of the pairs where the patches on the way between the centres have two labels or more."""
+    p = _sided(pairs, boxes)
+    centre = lambda s, c: (F.col(f"{s}{c}1") + F.col(f"{s}{c}2")) / 2
+    at = p.select("page_id", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"), *[centre(s, c).alias(s + c) for s in "ab" for c in "xy"])
     step = lambda s: F.bround(F.col(f"a{s}") + (F.col(f"b{s}") - F.col(f"a{s}")) * F.col("k") / (points - 1)).cast("int")
     patches = at.select("page_id", "a", "b", "k", (step("x") - radius).alias("x1"), (step("y") - radius).alias("y1"), (step("x") + radius + 1).alias("x2"), (step("y") + radius + 1).alias("y2")).withColumn("box_id", F.struct("a", "b", "k"))
     seen = box_label(patches, labelled, pad=0).where("label <> 0")
@@ -118,17 +245,17 @@ def gap_profile_veto(bands: DataFrame, ink: DataFrame) -> DataFrame:
     level = F.when(F.col("tone") >= 128, "dark").otherwise("light")
     usable = F.col("tone").isNotNull() & (F.col("gx2") - F.col("gx1") >= 4) & (F.col("gy2") - F.col("gy1") >= 2)
     key = ["page_id", "gx1", "gy1", "gx2", "gy2", "tone"]
-    rows = bands.where(usable).select(*key, F.explode(F.sequence(F.col("gy1"), F.col("gy2") - 1)).alias("y"), level.alias("level"))
+    rows = bands.where(usable).select(*key).distinct().select(*key, F.explode(F.sequence(F.col("gy1"), F.col("gy2") - 1)).alias("y"), level.alias("level"))
     b, r = rows.alias("b"), ink.alias("r")
     low, high = F.greatest("r.x0", "b.gx1"), F.least(F.col("r.x1") + 1, F.col("b.gx2"))
     met = b.join(r, (F.col("b.page_id") == F.col("r.page_id")) & (F.col("b.y") == F.col("r.y")) & (F.col("b.level") == F.col("r.level")), "left")
     lines = met.groupBy(*[F.col(f"b.{k}") for k in key], F.col("b.y")).agg((F.sum(F.when(F.col("r.y").isNull(), 0).otherwise(F.greatest(F.lit(0), high - low))) / (F.col("gx2") - F.col("gx1"))).alias("ink"))
-    w = Window.partitionBy(*[k for k in key if k != "tone"]).orderBy("y")
+    w = Window.partitionBy(*key).orderBy("y")
     clear = F.col("ink") < 0.04
     runs = lines.withColumn("k", F.sum(F.when(clear, 0).otherwise(1)).over(w)).groupBy(*key, "k").agg(F.sum(F.when(clear, 1).otherwise(0)).alias("clear"), F.max("ink").alias("ink"))
     veto = (F.max("ink") > 0.6) | (F.max("clear") == 0) | (F.max("clear") < 0.25 * F.first(F.col("gy2") - F.col("gy1")))
-    told = runs.groupBy(*key).agg(veto.alias("veto")).drop("tone")
-    return bands.join(told, [k for k in key if k != "tone"], "left")
+    told = runs.groupBy(*key).agg(veto.alias("veto"))
+    return bands.join(told, key, "left")  # bands without a tone have no veto
 
 
 def residual_check(before: DataFrame, after: DataFrame, boxes: DataFrame, share: float = 0.006, blob: int = 12) -> DataFrame:
@@ -136,9 +263,8 @@ def residual_check(before: DataFrame, after: DataFrame, boxes: DataFrame, share:
     p, q = before.alias("p"), after.alias("q")
     low, high = F.greatest("p.x0", "q.x0"), F.least("p.x1", "q.x1")
     both = p.join(q, (F.col("p.page_id") == F.col("q.page_id")) & (F.col("p.y") == F.col("q.y")) & (low <= high)).select("p.page_id", "p.y", low.alias("x0"), high.alias("x1"))
-    b, r = boxes.alias("b"), both.alias("r")
-    l2, h2 = F.greatest("r.x0", "b.x1"), F.least("r.x1", F.col("b.x2") - 1)
-    inside = b.join(r, (F.col("b.page_id") == F.col("r.page_id")) & (F.col("r.y") >= F.col("b.y1")) & (F.col("r.y") < F.col("b.y2")) & (l2 <= h2)).select(F.concat_ws(":", F.col("b.page_id"), F.col("b.box_id")).alias("page_id"), F.col("r.y").alias("y"), l2.alias("x0"), h2.alias("x1"))
+    parts = _clipped(_tiled_boxes(boxes), _tiled_runs(both)).select(F.concat_ws(":", "page_id", "box_id").alias("page_id"), "y", "x0", "x1")
+    inside = merged_runs(parts)  # what the tiles have cut
     blobs = components_of_runs(inside).groupBy("page_id", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")).groupBy("page_id").agg(F.sum("n").alias("pixels"), F.max("n").alias("blob"))
     told = boxes.join(blobs.select(F.split_part("page_id", F.lit(":"), F.lit(1)).cast("bigint").alias("page_id"), F.split_part("page_id", F.lit(":"), F.lit(2)).cast("int").alias("box_id"), "pixels", "blob"), ["page_id", "box_id"], "left").na.fill(0, ["pixels", "blob"])
     part = F.try_divide(F.col("pixels").cast("double"), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))

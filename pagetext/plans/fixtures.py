@@ -154,19 +154,19 @@ SELECT page_id, y, CAST(rn * 30 + CASE WHEN bridge THEN 0 ELSE p % 12 END AS INT
   CAST(rn * 30 + CASE WHEN bridge THEN 57 ELSE p % 12 + 2 + (s * 7 + p) % 15 END AS INT) AS x1
 FROM g WHERE NOT (bridge AND rn % 2 = 0)""",
     "f13_boxes": f"""{_ROWS}
-SELECT page_id, CAST(y * 16 + rn AS INT) AS box_id, CAST(rn * 30 - 3 + p % 12 AS INT) AS x1, y - 4 AS y1,
-  CAST(rn * 30 + 17 + p % 12 AS INT) AS x2, y + 6 AS y2
-FROM g WHERE y % 16 = 5""",
+SELECT page_id, CAST(floor(y / 8) * 16 + rn AS INT) AS box_id, CAST(rn * 30 - 3 + min(p % 12) AS INT) AS x1,
+  CAST(min(y) - 4 AS INT) AS y1, CAST(rn * 30 + 10 + max((p + s) % 24) AS INT) AS x2, CAST(max(y) + 6 AS INT) AS y2
+FROM g GROUP BY page_id, CAST(floor(y / 8) * 16 + rn AS INT), rn""",
     "f14_ink_runs": f"""{_ROWS}
-SELECT page_id, y, CAST(10 + p % 40 AS INT) AS x0, CAST(100 + p % 40 + s % 60 AS INT) AS x1,
-  CASE WHEN page_id % 5 = 4 THEN 'light' ELSE 'dark' END AS level FROM g WHERE long_run AND rn = 1
+SELECT page_id, y, CAST(10 + min(p % 40) AS INT) AS x0, CAST(60 + max(p % 40 + s % 60) AS INT) AS x1,
+  CASE WHEN page_id % 5 = 4 THEN 'light' ELSE 'dark' END AS level FROM g WHERE long_run GROUP BY page_id, y
 UNION ALL
 SELECT page_id, y, CAST(rn * 30 + p % 12 AS INT), CAST(rn * 30 + p % 12 + 2 + (s * 7 + p) % 15 AS INT),
   CASE WHEN p % 3 = 0 THEN 'light' ELSE 'dark' END FROM g WHERE NOT long_run""",
     "f14_bands": f"""{_ROWS}
 SELECT page_id, CAST(20 + p % 50 AS INT) AS gx1, y AS gy1, CAST(22 + p % 50 + s % 60 AS INT) AS gx2,
-  CAST(y + 1 + p % 9 AS INT) AS gy2, CASE WHEN p % 11 = 0 THEN NULL ELSE CAST((p * 5) % 256 AS INT) END AS tone
-FROM g WHERE y % 4 = 3 AND rn = 2""",
+  CAST(y + 1 + p % 9 AS INT) AS gy2, CASE WHEN p % 11 = 0 THEN NULL ELSE CAST((p * 5) % 256 AS INT) END AS tone, rn AS band_id
+FROM g""",
     "f15_engine_text": """WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)
 SELECT doc_id, lang, 'truth' AS engine, text, CAST(0 AS BIGINT) AS millis, CAST(NULL AS STRING) AS error FROM d
 UNION ALL SELECT doc_id, lang, 'light', replace(replace(replace(text, 'ä', 'a'), 'é', 'e'), 'ñ', 'n'),
