@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetext.operators.graph import component_labels, group_components
+from pagetext.operators.graph import forest_weights, group_components
 
 LINE_GAP, SIDE_GAP, LEAST_MARGIN = 1.6, 0.3, 4
 TALL_RATIO, TALL_SCALE = 2.0, 0.6
@@ -212,9 +212,12 @@ def merge_regions(frags: DataFrame, scale: float = 0.5, borders: DataFrame | Non
 def merge_sweep(frags: DataFrame, scales: list[float], baseline: float) -> DataFrame:
     """For each scale (held to 0.1 .. 1.5) regions, fragments and pages whose groups differ from the baseline's.
 
-    Reaches grow with the scale, so pairs are searched once, at the largest, and each is tried at
-    every scale. Only fragments that are in a pair are labelled; the others are regions of their own."""
+    Reaches grow with the scale, so a pair touches from some scale on, which is its weight: pairs are
+    searched once, at the largest, and a page's minimum spanning forest, cut at each scale, gives
+    its groups there. A scale has as many regions as fragments less edges up to it; a page differs
+    from the baseline where an edge lies between the two."""
     held = sorted({min(1.5, max(0.1, s)) for s in [*scales, baseline]})
+    base = held.index(min(1.5, max(0.1, baseline)))
     pages = frags.groupBy("page_id").agg(F.count("*").alias("n"), F.max("img_w").alias("img_w"), F.max("img_h").alias("img_h"))
     widest = boxed_pairs(merge_margins(frags, held[-1])).join(pages.select("page_id", "img_w", "img_h"), "page_id")
 
@@ -223,14 +226,15 @@ def merge_sweep(frags: DataFrame, scales: list[float], baseline: float) -> DataF
         mh, mv = margin("a", SIDE_GAP) + margin("b", SIDE_GAP), margin("a", LINE_GAP) + margin("b", LINE_GAP)
         return (F.col("ax1") - F.col("bx2") <= mh) & (F.col("bx1") - F.col("ax2") <= mh) & (F.col("ay1") - F.col("by2") <= mv) & (F.col("by1") - F.col("ay2") <= mv)
 
-    every = F.array(*map(F.lit, held))
-    edges = widest.withColumn("scale", F.explode(F.filter(every, touches))).select("page_id", "scale", "a", "b")
-    labels = component_labels(edges, "scale")
-    shape = labels.groupBy("page_id", "scale").agg(F.count("*").alias("tied"), F.countDistinct("group_id").alias("groups"), F.expr("sha2(array_join(transform(array_sort(collect_list(struct(frag_id, group_id))), m -> concat_ws(':', m.frag_id, m.group_id)), ','), 256)").alias("shape"))
-    grid = pages.select("page_id", "n", F.explode(every).alias("scale")).join(shape, ["page_id", "scale"], "left").withColumn("shape", F.coalesce("shape", F.lit("")))
-    base = F.max(F.when(F.col("scale") == min(1.5, max(0.1, baseline)), F.col("shape"))).over(Window.partitionBy("page_id"))
-    regions = F.col("n") - F.coalesce("tied", F.lit(0)) + F.coalesce("groups", F.lit(0))
-    return grid.withColumn("base", base).groupBy("scale").agg(F.sum(regions).alias("regions"), F.sum("n").alias("fragments"), F.count_if(F.col("shape") != F.col("base")).alias("changed_pages"))
+    first = reduce(lambda rest, i: F.when(touches(F.lit(held[i])), i).otherwise(rest), range(len(held) - 2, -1, -1), F.lit(len(held) - 1))
+    forest = forest_weights(widest.select("page_id", "a", "b", first.alias("weight")))
+    w = F.col("weight")
+    merged = forest.groupBy("page_id").agg(F.min(F.when(w > base, w)).alias("up"), F.max(F.when(w <= base, w)).alias("down"), *[F.sum(F.when(w <= i, F.col("n")).otherwise(0)).alias(f"m{i}") for i in range(len(held))])
+    regions = [F.sum(F.col("n") - F.coalesce(f"m{i}", F.lit(0))).alias(f"r{i}") for i in range(len(held))]
+    changed = [F.count_if(F.coalesce(F.col("up") <= i if i > base else F.col("down") > i, F.lit(False))).alias(f"c{i}") for i in range(len(held))]
+    total = pages.join(merged, "page_id", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("fragments"), *regions, *changed).where("fragments > 0")
+    rows = F.array(*[F.struct(F.lit(s).alias("scale"), F.col(f"r{i}").alias("regions"), F.col("fragments"), F.col(f"c{i}").alias("changed_pages")) for i, s in enumerate(held)])
+    return total.select(F.inline(rows))
 
 
 def diff_regions(before: DataFrame, after: DataFrame) -> DataFrame:

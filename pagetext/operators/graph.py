@@ -75,6 +75,45 @@ def _labels(edges: pd.DataFrame, page: np.ndarray, keys: list[str]) -> pd.DataFr
     return rows.assign(frag_id=ids[first], group_id=ids[first][label])
 
 
+def _merges(edges: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+    """How many groups of each page are merged at each weight: the edges of its minimum spanning forest.
+
+    Edges are taken weight by weight, of all pages at once, and what a weight joins is one node for the next."""
+    ids, pages = np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()]), np.concatenate([page, page]) - 1
+    order = np.lexsort((ids, pages))
+    fresh = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (pages[order][1:] != pages[order][:-1])])
+    node = np.empty(len(ids), np.int64)
+    node[order] = np.cumsum(fresh) - 1
+    a, b, weight = node[: len(edges)], node[len(edges) :], edges["weight"].to_numpy()
+    of = pages[order[fresh]]
+    label = np.arange(len(of))
+    groups = np.bincount(of)
+    found = []
+    for w in np.unique(weight):
+        x, y = a[weight == w], b[weight == w]
+        while True:
+            least = np.minimum(label[x], label[y])
+            after = label.copy()
+            for ends in (x, y, label[x], label[y]):
+                np.minimum.at(after, ends, least)
+            after = after[after]
+            if (after == label).all():
+                break
+            label = after
+        left = np.bincount(of[label == np.arange(len(of))], minlength=len(groups))
+        found.append((np.full(len(groups), w), groups - left))
+        groups = left
+    named = edges["page_id"].iloc[np.flatnonzero(np.diff(page, prepend=page[0] - 1))]
+    out = pd.DataFrame({"page_id": np.tile(named.to_numpy(), len(found)), "weight": np.concatenate([w for w, _ in found]), "n": np.concatenate([n for _, n in found])})
+    return out[out["n"] > 0]
+
+
+def forest_weights(edges: DataFrame) -> DataFrame:
+    """(page_id, weight, n) of edges(page_id, a, b, weight int): of each page's minimum spanning forest, how
+    many edges have each weight. Cut at a weight, the forest gives the groups of all edges up to it."""
+    return by_page(edges.select("page_id", "a", "b", "weight"), ["page_id"], _merges, f"page_id {dict(edges.dtypes)['page_id']}, weight int, n bigint")
+
+
 def component_labels(edges: DataFrame, *also: str) -> DataFrame:
     """(page_id, *also, frag_id, group_id) of the nodes that edges(a, b) have: the least member they reach.
 

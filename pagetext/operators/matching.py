@@ -13,6 +13,10 @@ from pagetext.operators.graph import by_page, cut
 
 
 BOX = ("x1", "y1", "x2", "y2")
+LIKELY = 0.8
+#: Letters and digits by how rare they are in text, about: any order gives right results.
+LETTERS = "qzjxkvbpgyfwmcuhdlrsnioate0123456789"
+RANKS = "".join(sorted(LETTERS))
 
 
 def rescale_coords(items: DataFrame, min_batch: int = 1, page: tuple[str, ...] = ("side", "page_id")) -> DataFrame:
@@ -60,12 +64,14 @@ def fill_boxes(items: DataFrame) -> DataFrame:
     return items.select(*[F.when(none, away[c]).otherwise(F.col(c)).alias(c) if c in away else F.col(c) for c in items.columns])
 
 
-def match_candidates(a: DataFrame, b: DataFrame, min_ratio: float = 0.45, metric: str = "levenshtein") -> DataFrame:
-    """(page_id, a, b, ratio) of a page's pairs of folded texts of 3 letters or more that are alike.
+def _folded(df: DataFrame, side: str) -> DataFrame:
+    """(page_id, <side>, t<side>, n<side>) of the rows whose folded text has 3 letters or more."""
+    return df.select("page_id", F.col("item_id").alias(side), fold_text(F.col("text")).alias(f"t{side}")).withColumn(f"n{side}", F.length(f"t{side}")).where(F.col(f"n{side}") >= 3)
+
 
-    Lengths bound either ratio, so most pairs of unlike lengths are never compared."""
-    side = lambda df, s: df.select("page_id", F.col("item_id").alias(s), fold_text(F.col("text")).alias(f"t{s}")).withColumn(f"n{s}", F.length(f"t{s}")).where(F.col(f"n{s}") >= 3)
-    pairs = cut(side(a, "a")).join(cut(side(b, "b")), "page_id")
+def _verified(pairs: DataFrame, min_ratio: float, metric: str) -> DataFrame:
+    """(page_id, a, b, ratio) of the pairs of texts that are alike; lengths bound either ratio, so most pairs
+    of unlike lengths are never compared."""
     few, many = F.least("na", "nb"), F.greatest("na", "nb")
     if metric == "levenshtein":
         far = F.expr(f"levenshtein(ta, tb, cast(floor({1 - min_ratio} * greatest(na, nb) + 1e-6) as int))")
@@ -77,6 +83,36 @@ def match_candidates(a: DataFrame, b: DataFrame, min_ratio: float = 0.45, metric
     return met.select("page_id", "a", "b", F.round(ratio, 6).alias("ratio")).where(F.col("ratio") >= min_ratio)
 
 
+def match_candidates(a: DataFrame, b: DataFrame, min_ratio: float = 0.45, metric: str = "levenshtein") -> DataFrame:
+    """(page_id, a, b, ratio) of a page's pairs of folded texts of 3 letters or more that are alike."""
+    return _verified(cut(_folded(a, "a")).join(cut(_folded(b, "b")), "page_id"), min_ratio, metric)
+
+
+def _marked(side: DataFrame, name: str, min_ratio: float, metric: str) -> DataFrame:
+    """side with its letters as `all<name>`, each told apart by how often it came before, and their
+    prefix as `pre<name>`, rare ones first: a partner shares one of the prefix."""
+    letter, before = (lambda i: F.substring(f"t{name}", i, F.lit(1))), (lambda i: F.substring(f"t{name}", F.lit(1), i))
+    n = F.col(f"n{name}")
+    nth = lambda i: F.length(F.replace(before(i), letter(i), F.lit("")))
+    marks = F.array_sort(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((nth(i) - i).alias("often"), F.translate(letter(i), LETTERS, RANKS).alias("rank"))))
+    need = F.ceil(min_ratio * n - 1e-6) if metric == "levenshtein" else F.ceil(min_ratio / (2 - min_ratio) * n - 1e-6)
+    return side.withColumn(f"all{name}", marks).withColumn(f"pre{name}", F.slice(f"all{name}", 1, (n - need + 1).cast("int")))
+
+
+def indexed_candidates(left: DataFrame, right: DataFrame, min_ratio: float, metric: str) -> DataFrame:
+    """The pairs of _folded() sides that are alike, by an inverted index of letters.
+
+    Texts that are alike share so many letters (each counted as often as it occurs in both) that, in one
+    order of all letters, the first few of each must have one in common. These meet in an
+    equi-join; a pair is taken at the first that both have, and compared only if they share enough
+    letters in all. The higher min_ratio, the shorter these beginnings."""
+    sides = [_marked(side, name, min_ratio, metric).withColumn("mark", F.explode(f"pre{name}")) for side, name in ((left, "a"), (right, "b"))]
+    met = sides[0].join(sides[1], ["page_id", "mark"]).where(F.col("mark") == F.array_intersect("prea", "preb")[0])
+    both = F.size(F.array_intersect("alla", "allb"))
+    enough = both >= min_ratio * F.greatest("na", "nb") - 1e-6 if metric == "levenshtein" else 2 * both >= min_ratio * (F.col("na") + F.col("nb")) - 1e-6
+    return _verified(met.where(enough), min_ratio, metric)
+
+
 def _greedy(pairs: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
     """Pairs in the order they come, each if neither side is taken yet."""
     taken: set = set()
@@ -88,12 +124,25 @@ def _greedy(pairs: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
     return pairs[keep].drop(columns="_order")
 
 
-def match_regions(a: DataFrame, b: DataFrame, min_ratio: float = 0.45, metric: str = "levenshtein") -> DataFrame:
-    """(page_id, a, b, ratio), one to one, taken greedily by (ratio desc, a, b): pages are dealt out once,
-    and each is matched in one pass over its sorted candidates."""
-    pairs = match_candidates(a, b, min_ratio, metric).withColumn("_order", -F.col("ratio"))
+def _one_to_one(pairs: DataFrame) -> DataFrame:
     kinds = dict(pairs.dtypes)
-    return by_page(pairs, ["page_id"], _greedy, f"page_id {kinds['page_id']}, a {kinds['a']}, b {kinds['b']}, ratio double", "_order", "a", "b")
+    return by_page(pairs.withColumn("_order", -F.col("ratio")), ["page_id"], _greedy, f"page_id {kinds['page_id']}, a {kinds['a']}, b {kinds['b']}, ratio double", "_order", "a", "b")
+
+
+def match_regions(a: DataFrame, b: DataFrame, min_ratio: float = 0.45, metric: str = "levenshtein", likely: float = LIKELY) -> DataFrame:
+    """(page_id, a, b, ratio), one to one, taken greedily by (ratio desc, a, b).
+
+    What is taken at a ratio depends on higher ones alone, so three levels follow one another: equal
+    texts, the k-th of one side with the k-th of the other, by an equi-join; pairs from `likely` on, by
+    the index; and of what is left all pairs of a page, in one pass over its sorted candidates."""
+    left, right = cut(_folded(a, "a")), cut(_folded(b, "b"))
+    nth = lambda side, name: side.select("page_id", name, F.col(f"t{name}").alias("t"), F.row_number().over(Window.partitionBy("page_id", f"t{name}").orderBy(name)).alias("nth"))
+    found = cut(nth(left, "a").join(nth(right, "b"), ["page_id", "t", "nth"]).select("page_id", "a", "b", F.lit(1.0).alias("ratio")))
+    for least in [r for r in (likely,) if r > min_ratio] + [min_ratio]:
+        free = [side.join(found.select("page_id", name), ["page_id", name], "left_anti") for side, name in ((left, "a"), (right, "b"))]
+        pairs = indexed_candidates(*free, least, metric) if least > min_ratio else _verified(free[0].join(free[1], "page_id"), least, metric)
+        found = cut(found.union(_one_to_one(pairs)))
+    return found
 
 
 def matched_regions(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:

@@ -103,6 +103,28 @@ def test_candidates_by_either_metric(spark):
         assert {(r.page_id, r.a, r.b) for r in matching.match_regions(*frames, metric=metric).collect()} == kept
 
 
+@pytest.mark.parametrize("metric", ["levenshtein", "ratcliff"])
+def test_index_finds_what_all_pairs_do(spark, metric):
+    """Texts of few letters, repeated and alike ones among them, at several thresholds."""
+    rng = random.Random(8)
+    make = lambda: "".join(rng.choice("abcde1") for _ in range(rng.randrange(3, 14)))
+    base = [make() for _ in range(30)]
+    near = lambda: (lambda t: t[:2] + rng.choice("abz") + t[3:])(rng.choice(base))
+    frames = [spark.createDataFrame([(p, i, rng.choice([make, near, near, lambda: rng.choice(base)])()) for p in range(2) for i in range(50)], "page_id int, item_id int, text string") for _ in range(2)]
+    for ratio in (0.5, 0.8, 0.95):
+        every = {tuple(r) for r in matching.match_candidates(*frames, ratio, metric).collect()}
+        sides = [matching._folded(f, s) for f, s in zip(frames, "ab", strict=True)]
+        indexed = [tuple(r) for r in matching.indexed_candidates(*sides, ratio, metric).collect()]
+        assert len(indexed) == len(set(indexed)) and set(indexed) == every and every
+    taken, kept = set(), set()
+    for p, i, j, r in sorted((tuple(r) for r in matching.match_candidates(*frames, 0.45, metric).collect()), key=lambda r: (-r[3], r[1], r[2])):
+        if not {(p, "a", i), (p, "b", j)} & taken:
+            taken |= {(p, "a", i), (p, "b", j)}
+            kept.add((p, i, j, r))
+    for likely in (0.3, 0.7, 0.9):
+        assert {tuple(r) for r in matching.match_regions(*frames, metric=metric, likely=likely).collect()} == kept
+
+
 def test_matches_are_greedy(spark):
     rng = random.Random(0)
     make = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(3, 7)))
