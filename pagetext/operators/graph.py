@@ -49,7 +49,9 @@ def by_page(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame, np.nda
         if len(rows):
             yield work(rows, np.cumsum((rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()))
 
-    return df.dropna(subset=keys).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, schema)
+    # Dealt by a hash of the keys: Spark drops a repartition by columns that a union's sides are dealt by
+    # already, and may then coalesce the sides differently, which parts a page.
+    return df.dropna(subset=keys).repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(stream, schema)
 
 
 def _labels(edges: pd.DataFrame, page: np.ndarray, keys: list[str]) -> pd.DataFrame:
