@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetext.operators.graph import by_page
+from pagetext.sources.batches import write_batch
 
 BLANK = "—"
 MEMBERS = "array<struct<id:bigint,text:string,x1:double,y1:double,x2:double,y2:double>>"
@@ -152,14 +153,13 @@ def cacheable(rows: DataFrame, chapters: DataFrame) -> DataFrame:
     return rows.join(chapters.where("cacheable").select("chapter_id"), "chapter_id", "left_semi")
 
 
-def write_regions(regions: DataFrame, chapters: DataFrame, path: str, mode: str = "append", buckets: int = 256) -> None:
-    """Cacheable chapters' regions as Parquet, in folders of a hash of the chapter."""
+def write_regions(regions: DataFrame, chapters: DataFrame, path: str, batch: int | str, buckets: int = 256) -> None:
+    """Cacheable chapters' regions as Parquet, in folders of a hash of the chapter, as a batch of the table: a
+    retry of the batch writes it over. read_batches reads the table."""
     kept = cacheable(regions, chapters).withColumn("bucket", F.pmod(F.xxhash64("chapter_id"), F.lit(buckets)).cast("int"))
-    kept.repartition("bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+    write_batch(kept.repartition("bucket"), path, batch, "bucket")
 
 
-def write_spend(spend: DataFrame, path: str, mode: str = "append") -> None:
-    """Priced calls as Parquet, in folders by day; every chapter's, cacheable or not."""
-    days = spend.withColumn("day", F.to_date("ts"))
-    days.repartition("day").write.mode(mode).partitionBy("day").parquet(path)
-
+def write_spend(spend: DataFrame, path: str, batch: int | str) -> None:
+    """Priced calls as Parquet, in folders by day, as a batch of the table; every chapter's, cacheable or not."""
+    write_batch(spend.withColumn("day", F.to_date("ts")).repartition("day"), path, batch, "day")

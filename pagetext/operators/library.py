@@ -22,9 +22,10 @@ def pick(key: Column, table: dict[str, str]) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """Runs of digits and of other characters; two digit runs compare as numbers, else as text."""
+    """Runs of digits and of other characters; two digit runs compare as numbers, whatever their length, else as text."""
     runs = F.regexp_extract_all(F.lower(path), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.concat(F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), 40, "0"))).otherwise(r))
+    number = lambda r: F.regexp_replace(r, "^0+(?=.)", "")
+    return F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.concat(F.lpad(F.length(number(r)).cast("string"), 10, "0"), number(r))).otherwise(r))
 
 
 def page_files(paths: DataFrame) -> DataFrame:
@@ -131,8 +132,10 @@ def chapter_meta(feed: DataFrame, body: str = "body") -> DataFrame:
 
 
 def chapter_feed(pages: DataFrame, key: str = "series_id", order: tuple[str, ...] = ("released", "chapter_id")) -> DataFrame:
-    """Landed feed pages as one feed for each series: no repeats, numbered."""
-    once = pages.dropDuplicates([key, "chapter_id"])
+    """Landed feed pages as one feed for each series: no repeats, numbered. Of rows that repeat a chapter the
+    first in order stays, ties by a hash of the row."""
+    first = F.row_number().over(Window.partitionBy(key, "chapter_id").orderBy(*order, F.xxhash64(*pages.columns)))
+    once = pages.withColumn("_first", first).where("_first = 1").drop("_first")
     return once.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
@@ -184,10 +187,12 @@ def effective_regions(base: DataFrame, drafts: DataFrame, check_signature: bool
     return base.join(drafts.select(*page).distinct(), page, "left_anti").select(*columns, F.lit("base").alias("origin")).union(live)
 
 
-def retain_ttl(cache: DataFrame, now: Column, days: int, version: int) -> DataFrame:
-    """Rows of the current version that are at most `days` old."""
+def retain_ttl(cache: DataFrame, now: Column, days: int, version: int, target: str | None = None) -> DataFrame:
+    """Rows of the current version that are at most `days` old; with `target` only those translated into it: a
+    chapter that is cached in another language, or in none, is a miss."""
     age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("saved_at").cast("timestamp"))
-    return cache.where((F.col("v") >= version) & (age <= days * 86400))
+    live = cache.where((F.col("v") >= version) & (age <= days * 86400))
+    return live if target is None else live.where(F.col("target_lang") == target)
 
 
 def retain_newest(table: DataFrame, cap: int, key: str, *order: str) -> DataFrame:
@@ -196,10 +201,15 @@ def retain_newest(table: DataFrame, cap: int, key: str, *order: str) -> DataFram
     return table.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
 
 
-def chapter_list(regions: DataFrame) -> DataFrame:
-    """For each chapter its pages, pages with a translation, and when it was saved, newest first."""
+def chapter_list(regions: DataFrame, chapters: DataFrame) -> DataFrame:
+    """For each cached chapter with an entry in chapters(chapter_id, title, chapter, chapter_title, source_lang,
+    target_lang, manga_id) its pages, pages with a translation, when it was saved and what it is called,
+    newest first. Chapters without an entry, or entries without pages, are partial and left out."""
     pages = regions.groupBy("chapter_id", "page_idx").agg(F.max("saved_at").alias("saved_at"), F.bool_or(~is_pending(F.col("tl"))).alias("told"))
-    return pages.groupBy("chapter_id").agg(F.count("*").alias("pages"), F.count_if("told").alias("told_pages"), F.max("saved_at").alias("saved_at"))
+    kept = pages.groupBy("chapter_id").agg(F.count("*").alias("pages"), F.count_if("told").alias("told_pages"), F.max("saved_at").alias("saved_at"))
+    given = lambda c, default: F.when(F.coalesce(c, F.lit("")) == "", default).otherwise(F.col(c)).alias(c)
+    named = chapters.select("chapter_id", given("title", "Unknown Manga"), given("chapter", "?"), given("chapter_title", ""), given("source_lang", ""), given("target_lang", ""), "manga_id")
+    return kept.join(named, "chapter_id").orderBy(F.desc("saved_at"), "chapter_id")
 
 
 def cache_stats(regions: DataFrame) -> DataFrame:
@@ -207,21 +217,47 @@ def cache_stats(regions: DataFrame) -> DataFrame:
 
 
 def export_manifest(regions: DataFrame) -> DataFrame:
-    """One row a page: file name, regions to draw, what is done with it."""
+    """One row a page: the chapter's folder, in which page numbers don't collide with others', file name, regions to
+    draw, what is done with it."""
     n = F.count_if(~is_pending(F.col("tl")) & (F.col("t") != "sfx"))
     pages = regions.groupBy("chapter_id", "page_idx").agg(n.alias("regions"))
-    name = F.concat(safe_name(F.concat(F.lit("Chapter "), F.col("chapter_id").cast("string"))), F.lit("_"), F.lpad((F.col("page_idx") + 1).cast("string"), 3, "0"), F.lit(".png"))
-    return pages.select("*", name.alias("file"), F.when(F.col("regions") > 0, "typeset").otherwise("original").alias("action"))
+    folder = safe_name(F.concat(F.lit("Chapter "), F.col("chapter_id").cast("string")))
+    name = F.concat(folder, F.lit("_"), F.lpad((F.col("page_idx") + 1).cast("string"), 3, "0"), F.lit(".png"))
+    return pages.select("*", folder.alias("folder"), name.alias("file"), F.when(F.col("regions") > 0, "typeset").otherwise("original").alias("action"))
+
+
+def export_status(manifest: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(chapter_id, folder, pages, status, error) of a run over all chapters, from fetched(chapter_id, page_idx, error):
+    a chapter ends at its first page with an error, which is told; others go on, and are done where all
+    their pages are there, else open."""
+    met = manifest.join(fetched.select("chapter_id", "page_idx", F.lit(True).alias("there"), "error"), ["chapter_id", "page_idx"], "left")
+    told = met.groupBy("chapter_id", "folder").agg(F.count("*").alias("pages"), F.bool_and(F.coalesce("there", F.lit(False))).alias("whole"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("page_idx"))).alias("error"))
+    return told.select("chapter_id", "folder", "pages", F.when(F.col("error").isNotNull(), "error").when(F.col("whole"), "done").otherwise("open").alias("status"), "error")
 
 
 def nearest_context(regions: DataFrame, k: int = 8) -> DataFrame:
-    """(…, region_id, context): the k nearest other translated regions of the page by |cy|, in (cy, cx) order."""
+    """(…, region_id, context): the k nearest other translated regions of the page by |cy|, in (cy, cx) order.
+
+    Regions of one height are a group that knows its first k + 1 and those of the k groups before and the
+    k + 1 after it, in one sort of the page: what is nearest is among them, and regions meet their
+    group by height, not each other. Regions without a height neither have a context nor are in one."""
     page = ["chapter_id", "page_idx"]
-    a = regions.select(*page, F.col("region_id").alias("own"), F.col("cy").alias("own_cy"))
-    b = regions.where(~is_pending(F.col("tl")) & (F.trim("tl") != "-")).select(*page, "region_id", "cx", "cy", "tl")
-    met = a.join(b, page).where("own <> region_id").withColumn("_n", F.row_number().over(Window.partitionBy(*page, "own").orderBy(F.abs(F.col("cy") - F.col("own_cy")), "cy", "cx", "region_id"))).where(F.col("_n") <= k)
-    told = F.array_sort(F.collect_list(F.struct("cy", "cx", "region_id", "tl")))
-    return met.groupBy(*page, F.col("own").alias("region_id")).agg(F.transform(told, lambda x: x["tl"]).alias("context"))
+    told = regions.where(~is_pending(F.col("tl")) & (F.trim("tl") != "-") & F.col("cy").isNotNull())
+    groups = told.groupBy(*page, "cy").agg(F.slice(F.array_sort(F.collect_list(F.struct("cy", "cx", "region_id", "tl"))), 1, k + 1).alias("own"))
+    down = Window.partitionBy(*page).orderBy("cy")
+    around = groups.select(*page, "cy", F.flatten(F.collect_list("own").over(down.rowsBetween(-k, k + 1))).alias("near"))
+    asked = regions.where("cy IS NOT NULL").select(*page, "cy").distinct().withColumn("near", F.lit(None).cast(around.schema["near"].dataType)).withColumn("asked", F.lit(1))
+    both = around.withColumn("asked", F.lit(0)).unionByName(asked)
+    whole = Window.partitionBy(*page).orderBy("cy", "asked")
+    before = F.last("near", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("near", ignorenulls=True).over(whole.rowsBetween(0, Window.unboundedFollowing))
+    found = both.withColumn("near", F.coalesce(before, after)).where("asked = 1").drop("asked")
+    others = F.filter("near", lambda x: x["region_id"] != F.col("region_id"))
+    far = F.transform(others, lambda x: F.struct(F.abs(x["cy"] - F.col("cy")).alias("far"), x["cy"].alias("cy"), x["cx"].alias("cx"), x["region_id"].alias("region_id"), x["tl"].alias("tl")))
+    best = F.array_sort(F.transform(F.slice(F.array_sort(far), 1, k), lambda x: F.struct(x["cy"].alias("cy"), x["cx"].alias("cx"), x["region_id"].alias("region_id"), x["tl"].alias("tl"))))
+    some = (F.size("near") > 1) | (F.col("near")[0]["region_id"] != F.col("region_id"))
+    met = regions.select(*page, "region_id", "cy").join(found, [*page, "cy"]).where(some)
+    return met.select(*page, "region_id", F.transform(best, lambda x: x["tl"]).alias("context"))
 
 
 def legend(regions: DataFrame, outside: Column) -> DataFrame:

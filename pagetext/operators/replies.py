@@ -65,9 +65,9 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 def apply_replies(sent: DataFrame, parsed: DataFrame, key: str = "reply_id") -> DataFrame:
     """sent(key, i, text) with tl and t. An item counts where its index is all digits and that of a row; the
     last of several wins; rows without one keep the blank, as sfx where they are noise."""
-    items = parsed.select(key, F.posexplode("items").alias("pos", "item")).where(F.trim("item.i").rlike(r"^\d{1,9}$"))
-    told = items.groupBy(key, F.trim("item.i").cast("int").alias("i")).agg(F.max_by("item", "pos").alias("item"))
-    out = sent.join(told, [key, "i"], "left")
+    items = parsed.select(key, F.posexplode("items").alias("pos", "item")).where(F.trim("item.i").rlike(r"^\d+$"))
+    told = items.groupBy(key, F.regexp_replace(F.trim("item.i"), "^0+(?=.)", "").alias("_i")).agg(F.max_by("item", "pos").alias("item"))
+    out = sent.withColumn("_i", F.col("i").cast("string")).join(told, [key, "_i"], "left")
     tl = F.coalesce("item.tl", "item.translation", "item.text", F.lit(BLANK))
     kept = F.col("item").isNull()
     return out.select(*sent.columns, F.when(kept, BLANK).otherwise(tl).alias("tl"), F.when(kept, F.when(is_noise(F.col("text")), "sfx").otherwise("speech")).otherwise(clean_type(F.col("item.t"))).alias("t"))

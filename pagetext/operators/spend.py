@@ -61,21 +61,38 @@ def spend_by(spend: DataFrame, column: str) -> DataFrame:
     return spend.groupBy(column).agg(F.sum("cost").alias("cost"), F.count("*").alias("calls"))
 
 
-def budget_cut(items: DataFrame, limit: float, run: str = "chapter_id", order: tuple[str, ...] = ("ts", "call_id")) -> DataFrame:
-    """items with `before`, the run's spend before each, and whether it is skipped as that reaches the limit."""
-    w = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("cost").over(w), F.lit(0.0))
-    return items.withColumn("before", before).withColumn("skipped", F.lit(limit > 0) & (F.round("before", 9) >= limit))
+def budget_cut(items: DataFrame, limit: float, run: str = "chapter_id", order: tuple[str, ...] = ("ts", "call_id"), slot_seconds: int = 86_400) -> DataFrame:
+    """items with `before`, the run's spend before each, and whether it is skipped as that reaches the limit.
+
+    A run is cut into slots of time by the first column of the order: each slot is summed up by itself,
+    and starts from what the slots before it have spent, so a long run isn't one task's. Sums are decimal
+    inside, so that their order doesn't matter."""
+    slot = F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / slot_seconds)
+    told = items.withColumn("_slot", slot).withColumn("_cost", F.col("cost").cast("decimal(30,15)"))
+    slots = told.groupBy(run, "_slot").agg(F.sum("_cost").alias("_spent"))
+    earlier = F.sum("_spent").over(Window.partitionBy(run).orderBy(F.col("_slot").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    carried = slots.select(F.col(run).alias("_run"), F.col("_slot").alias("_own"), F.coalesce(earlier, F.lit(0)).alias("_carried"))
+    own = F.sum("_cost").over(Window.partitionBy(run, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    met = told.withColumn("_before", own).join(carried, F.col(run).eqNullSafe(F.col("_run")) & F.col("_slot").eqNullSafe(F.col("_own")))
+    before = (F.coalesce("_before", F.lit(0)) + F.col("_carried")).cast("double")
+    return met.select(*items.columns, before.alias("before")).withColumn("skipped", F.lit(limit > 0) & (F.round("before", 9) >= limit))
 
 
 def call_rate(calls: DataFrame, limit: int = 12, seconds: int = 60, slack_ms: int = 250) -> DataFrame:
     """calls with the number in the provider's trailing window (a call exactly `seconds` old is out),
-    whether one more would exceed the limit, and the wait until then in ms."""
+    whether one more would exceed the limit, and the wait until then in ms.
+
+    Time is cut into slots as long as the window; a call is looked at in its own slot and, as one that
+    came before, in the next, so a provider's calls are spread by time. Calls without a time are in
+    no window."""
+    size = seconds * 1000
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("provider").orderBy("ms").rangeBetween(-(seconds * 1000 - 1), 0)
-    seen = calls.withColumn("ms", ms).withColumn("in_window", F.count("*").over(w)).withColumn("oldest", F.min("ms").over(w))
+    own = calls.withColumn("ms", ms).withColumn("slot", F.floor(F.col("ms") / size)).withColumn("own", F.lit(True))
+    before = own.where("ms IS NOT NULL").select("provider", "ms", (F.col("slot") + 1).alias("slot"), F.lit(False).alias("own"))
+    w = Window.partitionBy("provider", "slot").orderBy("ms").rangeBetween(-(size - 1), 0)
+    seen = own.unionByName(before, allowMissingColumns=True).withColumn("in_window", F.when(F.col("ms").isNotNull(), F.count("*").over(w)).otherwise(0)).withColumn("oldest", F.min("ms").over(w)).where("own")
     full = F.col("in_window") >= limit
-    return seen.withColumn("limited", full).withColumn("wait_ms", F.when(full, seconds * 1000 - (F.col("ms") - F.col("oldest")) + slack_ms).otherwise(F.lit(0))).drop("ms", "oldest")
+    return seen.withColumn("limited", full).withColumn("wait_ms", F.when(full, size - (F.col("ms") - F.col("oldest")) + slack_ms).otherwise(F.lit(0))).drop("ms", "oldest", "slot", "own")
 
 
 def registry_check(offered: DataFrame, described: DataFrame, priced: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagetext.operators import edits as op
 from pagetext.plans.fixtures import SQL, fixture
+from pagetext.sources.batches import read_batches
 from pagetext.streaming.jobs import shared_folder
 
 _MEMBER = "struct(frag_id AS id, text, x1, y1, x2, y2)"
@@ -81,17 +82,18 @@ def _chapters(s, d):
 
 
 def write_regions(s, d):
-    """Written twice, in batches of even and odd pages, and read back."""
+    """Written in batches of even and odd pages, each run twice, and read back."""
     path, rows = f"{shared_folder(s)}-{uuid.uuid4().hex}", fixture(s, d, "f8_regions")
-    for half in (0, 1):
-        op.write_regions(rows.where(F.col("page_idx") % 2 == half), _chapters(s, d), path)
-    return s.read.parquet(path).select("chapter_id", "page_idx", "region_id", "tl")
+    for half in (0, 1, 0, 1):
+        op.write_regions(rows.where(F.col("page_idx") % 2 == half), _chapters(s, d), path, half)
+    return read_batches(s, path).select("chapter_id", "page_idx", "region_id", "tl")
 
 
 def write_spend(s, d):
     path = f"{shared_folder(s)}-{uuid.uuid4().hex}"
-    op.write_spend(fixture(s, d, "f4_calls"), path, "overwrite")
-    return s.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("calls"), F.sum("chars").alias("chars"))
+    for _ in range(2):
+        op.write_spend(fixture(s, d, "f4_calls"), path, "calls")
+    return read_batches(s, path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("calls"), F.sum("chars").alias("chars"))
 
 
 QUERIES = {f.__name__: f for f in (split_regions, join_regions, manual_order, replay_edits, write_regions, write_spend)}

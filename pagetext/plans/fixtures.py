@@ -123,6 +123,14 @@ FROM nation""",
   CASE WHEN o_orderkey % 9 = 0 THEN '—' WHEN o_orderkey % 10 = 0 THEN ' ' ELSE 'tl ' || o_orderkey END AS tl,
   CASE WHEN o_custkey % 5 = 0 THEN 5 ELSE 6 END AS v, o_orderdate AS saved_at
 FROM orders""",
+    "f8_chapters": """SELECT c_custkey AS chapter_id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS title,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 90 AS STRING) END AS chapter,
+  CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS chapter_title, CASE c_nationkey % 3 WHEN 0 THEN 'vi' WHEN 1 THEN 'ko' END AS source_lang,
+  CASE WHEN c_nationkey % 4 = 0 THEN 'es' ELSE 'en' END AS target_lang, CASE WHEN c_custkey % 3 = 1 THEN 'm' || c_nationkey END AS manga_id
+FROM customer WHERE c_acctbal >= 0""",
+    "f8_fetched": """SELECT DISTINCT o_custkey AS chapter_id, o_orderkey % 8 AS page_idx,
+  CASE WHEN (o_custkey * 11 + o_orderkey % 8) % 23 = 0 THEN 'HTTP ' || (400 + o_custkey % 9) END AS error
+FROM orders WHERE (o_custkey + o_orderkey % 8) % 31 <> 0""",
     "f8_drafts": """SELECT o_custkey AS chapter_id, o_orderkey % 8 AS page_idx, o_orderkey AS region_id,
   'fixed ' || o_orderkey AS tl, o_orderpriority AS text, (o_orderkey % 6 = 0) AS deleted,
   CASE o_custkey % 3 WHEN 0 THEN 'same' WHEN 1 THEN 'stale' ELSE 'none' END AS signature_kind

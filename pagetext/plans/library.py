@@ -77,11 +77,12 @@ QUERIES = {
     "fresh_drafts": lambda s, d: op.fresh_drafts(_drafts(s, d), _r(s, d)).select("region_id", "fresh"),
     "effective_regions": lambda s, d: op.effective_regions(_r(s, d), _drafts(s, d)).select("region_id", "tl", "origin"),
     "drawable": lambda s, d: op.drawable(_r(s, d)).select("region_id"),
-    "retain_ttl": lambda s, d: op.retain_ttl(_r(s, d), F.lit(NOW), DAYS, 6).select("region_id"),
+    "retain_ttl": lambda s, d: op.retain_ttl(_r(s, d).join(fixture(s, d, "f8_chapters").select("chapter_id", "target_lang"), "chapter_id", "left"), F.lit(NOW), DAYS, 6, "en").select("region_id"),
     "retain_newest": lambda s, d: op.retain_newest(_r(s, d), 3, "chapter_id", "saved_at", "region_id").select("region_id"),
-    "chapter_list": lambda s, d: op.chapter_list(op.retain_ttl(_r(s, d), F.lit(NOW), DAYS, 6)).select("chapter_id", "pages", "told_pages"),
+    "chapter_list": lambda s, d: op.chapter_list(op.retain_ttl(_r(s, d), F.lit(NOW), DAYS, 6), fixture(s, d, "f8_chapters")).withColumn("saved_at", F.col("saved_at").cast("date").cast("string")),
     "cache_stats": lambda s, d: op.cache_stats(_r(s, d)),
     "export_manifest": lambda s, d: op.export_manifest(_r(s, d)),
+    "export_status": lambda s, d: op.export_status(op.export_manifest(_r(s, d)), fixture(s, d, "f8_fetched")),
     "nearest_context": lambda s, d: op.nearest_context(_r(s, d).withColumn("page_idx", F.col("page_idx") % 2)).select("region_id", F.array_join("context", "|").alias("context")),
     "legend": lambda s, d: op.legend(_r(s, d), F.col("t") == "sign").select("region_id", "number"),
     "seed_boxes": lambda s, d: op.seed_boxes(_r(s, d)).select("region_id", "tl", "text"),
@@ -133,11 +134,16 @@ SELECT page_id, reason IN ('local', 'allowed') AS ok, reason FROM w""",
     "fresh_drafts": f"WITH {_SIG}, {_FRESH} SELECT region_id, fresh FROM fr",
     "effective_regions": f"WITH {_SIG}, {_FRESH}, k AS (SELECT * FROM fr WHERE fresh) SELECT region_id, tl, 'base' AS origin FROM {R} r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.chapter_id = r.chapter_id AND k.page_idx = r.page_idx) UNION ALL SELECT region_id, tl, 'draft' FROM k WHERE NOT deleted",
     "drawable": f"SELECT region_id FROM {R} WHERE t <> 'sfx' AND {_TOLD}",
-    "retain_ttl": f"SELECT region_id FROM ({_TTL})",
+    "retain_ttl": f"SELECT t.region_id FROM ({_TTL}) t JOIN ({SQL['f8_chapters']}) c USING (chapter_id) WHERE target_lang = 'en'",
     "retain_newest": f"SELECT region_id FROM {R} QUALIFY row_number() OVER (PARTITION BY chapter_id ORDER BY saved_at DESC, region_id DESC) <= 3",
-    "chapter_list": f"WITH p AS (SELECT chapter_id, page_idx, bool_or({_TOLD}) AS told FROM ({_TTL}) GROUP BY 1, 2) SELECT chapter_id, count(*) AS pages, count(*) FILTER (told) AS told_pages FROM p GROUP BY 1",
+    "chapter_list": f"""WITH p AS (SELECT chapter_id, page_idx, bool_or({_TOLD}) AS told, max(saved_at) AS saved_at FROM ({_TTL}) GROUP BY 1, 2),
+k AS (SELECT chapter_id, count(*) AS pages, count(*) FILTER (told) AS told_pages, CAST(CAST(max(saved_at) AS DATE) AS VARCHAR) AS saved_at FROM p GROUP BY 1)
+SELECT k.*, CASE WHEN title = '' THEN 'Unknown Manga' ELSE title END AS title, coalesce(chapter, '?') AS chapter, coalesce(chapter_title, '') AS chapter_title, coalesce(source_lang, '') AS source_lang, target_lang, manga_id FROM k JOIN ({SQL['f8_chapters']}) USING (chapter_id)""",
     "cache_stats": f"SELECT count(DISTINCT chapter_id) AS entries, CAST(sum(2 * (length(text) + length(tl))) AS BIGINT) AS bytes FROM {R}",
-    "export_manifest": f"WITH p AS (SELECT chapter_id, page_idx, count(*) FILTER ({_TOLD} AND t <> 'sfx') AS regions FROM {R} GROUP BY 1, 2) SELECT *, 'Chapter_' || chapter_id || '_' || lpad(CAST(page_idx + 1 AS VARCHAR), 3, '0') || '.png' AS file, CASE WHEN regions > 0 THEN 'typeset' ELSE 'original' END AS action FROM p",
+    "export_manifest": f"WITH p AS (SELECT chapter_id, page_idx, count(*) FILTER ({_TOLD} AND t <> 'sfx') AS regions FROM {R} GROUP BY 1, 2) SELECT *, 'Chapter_' || chapter_id AS folder, 'Chapter_' || chapter_id || '_' || lpad(CAST(page_idx + 1 AS VARCHAR), 3, '0') || '.png' AS file, CASE WHEN regions > 0 THEN 'typeset' ELSE 'original' END AS action FROM p",
+    "export_status": f"""WITH p AS (SELECT DISTINCT chapter_id, page_idx FROM {R}), m AS (SELECT p.*, f.chapter_id IS NOT NULL AS there, f.error FROM p LEFT JOIN ({SQL['f8_fetched']}) f USING (chapter_id, page_idx)),
+t AS (SELECT chapter_id, count(*) AS pages, bool_and(there) AS whole, arg_min(error, page_idx) FILTER (error IS NOT NULL) AS error FROM m GROUP BY 1)
+SELECT chapter_id, 'Chapter_' || chapter_id AS folder, pages, CASE WHEN error IS NOT NULL THEN 'error' WHEN whole THEN 'done' ELSE 'open' END AS status, error FROM t""",
     "nearest_context": f"""WITH r AS (SELECT chapter_id, page_idx % 2 AS p, region_id, cx, cy, tl FROM {R}), m AS (SELECT a.chapter_id, a.p, a.region_id AS own, b.* EXCLUDE (chapter_id, p) FROM r a JOIN r b ON a.chapter_id = b.chapter_id AND a.p = b.p AND a.region_id <> b.region_id AND trim(b.tl) NOT IN ('', '—', '-')
 QUALIFY row_number() OVER (PARTITION BY a.chapter_id, a.p, a.region_id ORDER BY abs(b.cy - a.cy), b.cy, b.cx, b.region_id) <= 8) SELECT own AS region_id, string_agg(tl, '|' ORDER BY cy, cx, region_id) AS context FROM m GROUP BY own""",
     "legend": f"SELECT region_id, CAST(row_number() OVER (PARTITION BY chapter_id, page_idx ORDER BY region_id) AS INT) AS number FROM {R} WHERE t = 'sign'",

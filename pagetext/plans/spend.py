@@ -38,7 +38,7 @@ def spend_by_feature(spark, d):
 
 
 def budget_cut(spark, d):
-    return op.budget_cut(_priced(spark, d), LIMIT).select("call_id", F.round("before", 6).alias("before"), "skipped")
+    return op.budget_cut(_priced(spark, d), LIMIT).select("call_id", F.round("before", 10).alias("before"), "skipped")
 
 
 def call_rate(spark, d):
@@ -83,7 +83,7 @@ ORACLES = {
     "spend_totals": f"WITH {_PRICED} SELECT chapter_id, round(sum(cost), 6) AS cost, count(*) AS calls, bool_or(NOT exact) AS estimated FROM s GROUP BY ROLLUP (chapter_id)",
     "spend_by_model": f"WITH {_PRICED} SELECT model, round(sum(cost), 6) AS cost, count(*) AS calls FROM s GROUP BY 1",
     "spend_by_feature": f"WITH {_PRICED} SELECT feature, round(sum(cost), 6) AS cost, count(*) AS calls FROM s GROUP BY 1",
-    "budget_cut": f"WITH {_PRICED}, b AS (SELECT call_id, coalesce(sum(cost) OVER (PARTITION BY chapter_id ORDER BY ts, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT call_id, round(before, 6) AS before, round(before, 9) >= {LIMIT} AS skipped FROM b",
+    "budget_cut": f"WITH {_PRICED}, b AS (SELECT call_id, coalesce(sum(cost) OVER (PARTITION BY chapter_id ORDER BY ts, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT call_id, round(before, 10) AS before, round(before, 9) >= {LIMIT} AS skipped FROM b",
     "call_rate": f"""WITH c AS (SELECT call_id, provider, (epoch_us(ts) // 1000) AS ms FROM ({CALLS})), w AS (SELECT call_id, ms, count(*) OVER x AS n, min(ms) OVER x AS oldest FROM c WINDOW x AS (PARTITION BY provider ORDER BY ms RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW))
 SELECT call_id, n AS in_window, n >= 12 AS limited, CASE WHEN n >= 12 THEN 86400000 - (ms - oldest) + 250 ELSE 0 END AS wait_ms FROM w""",
     "registry_check": f"""WITH r AS ({RATES}), o AS (SELECT DISTINCT provider, model FROM ({CALLS}))

@@ -1,14 +1,16 @@
 """Corrections against hand-made pages, sinks, streams' helpers, replies and routes."""
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagetext.operators import edits as op
-from pagetext.operators import library
+from pagetext.operators import library, replies, spend
 from pagetext.operators.graph import by_page, component_labels
 from pagetext.operators.replies import rescue_json
+from pagetext.sources.batches import read_batches
 
 
 def member(i, y):
@@ -87,8 +89,9 @@ def test_pages_longer_than_a_batch(spark):
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (2, 1, "c")], "chapter_id bigint, page_idx int, tl string")
     chapters = spark.createDataFrame([(1, True), (2, False), (3, True)], "chapter_id bigint, cacheable boolean")
-    op.write_regions(rows, chapters, f"{tmp_path}/r")
-    assert [r.tl for r in spark.read.parquet(f"{tmp_path}/r").collect()] == ["a"]
+    for batch in (1, 2, 1):  # a retry leaves the same rows
+        op.write_regions(rows, chapters, f"{tmp_path}/r", batch)
+    assert sorted((r.batch, r.tl) for r in read_batches(spark, f"{tmp_path}/r").collect()) == [("1", "a"), ("2", "a")]
 
 
 def test_rescue(spark):
@@ -117,3 +120,77 @@ def test_ids_and_routes(spark):
     routes = lambda **how: [r.route for r in library.route_pages(pages, "es", ("ja",), **how).collect()]
     assert routes() == ["vision", "skip", "cached", "local"] and routes(mode="all") == ["vision", "skip", "cached", "vision"]
     assert routes(mode="all", has_key=False) == ["local", "skip", "cached", "local"] == routes(mode="off")
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["9" * 41, "1" + "0" * 40 + "2", "1" + "0" * 40 + "10", "a2", "a10", "a002b", "10", "010x"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(library.natural_key(F.col("n")), "n").collect()]
+    assert got == ["10", "010x", "9" * 41, "1" + "0" * 40 + "2", "1" + "0" * 40 + "10", "a2", "a002b", "a10"]
+
+
+def test_indices_of_any_length(spark):
+    sent = spark.createDataFrame([(1, 0, "a"), (1, 7, "b"), (1, 12345678901, "c")], "reply_id int, i bigint, text string")
+    item = "struct<i:string,tl:string,translation:string,text:string,t:string>"
+    parsed = spark.createDataFrame([(1, [("0000000000000", "x", None, None, "sfx"), (" 07 ", "y", None, None, None), ("12345678901", "z", None, None, None), ("7a", "no", None, None, None)])], f"reply_id int, items array<{item}>")
+    assert {r.i: r.tl for r in replies.apply_replies(sent, parsed).collect()} == {0: "x", 7: "y", 12345678901: "z"}
+
+
+def test_feed_keeps_the_first_of_differing_repeats(spark):
+    rows = [(1, 5, "2024-01-02", "late"), (1, 5, "2024-01-01", "early"), (1, 6, "2024-01-03", "x")]
+    frame = spark.createDataFrame(rows, "series_id int, chapter_id int, released string, body string")
+    for f in (frame, frame.orderBy(F.desc("released"))):
+        assert sorted((r.n, r.body) for r in library.chapter_feed(f).collect()) == [(1, "early"), (2, "x")]
+
+
+def test_cache_in_another_language_is_a_miss(spark):
+    cache = spark.createDataFrame([(1, 6, "2024-01-01", "en"), (2, 6, "2024-01-01", "es"), (3, 6, "2024-01-01", None), (4, 5, "2024-01-01", "en")], "chapter_id int, v int, saved_at string, target_lang string")
+    live = lambda target: sorted(r.chapter_id for r in library.retain_ttl(cache, F.lit("2024-01-02"), 7, 6, target).collect())
+    assert live("en") == [1] and live(None) == [1, 2, 3]
+
+
+def test_export_status(spark):
+    manifest = spark.createDataFrame([(c, p, f"Chapter_{c}") for c in (1, 2, 3) for p in (0, 1)], "chapter_id int, page_idx int, folder string")
+    fetched = spark.createDataFrame([(1, 0, None), (1, 1, None), (2, 0, None), (2, 1, "HTTP 404"), (3, 0, None)], "chapter_id int, page_idx int, error string")
+    assert {r.chapter_id: (r.status, r.error) for r in library.export_status(manifest, fetched).collect()} == {1: ("done", None), 2: ("error", "HTTP 404"), 3: ("open", None)}
+
+
+def test_nearest_context_equals_all_pairs(spark):
+    """Few heights, so that groups of equal ones are larger than k; regions without translation or height among them."""
+    rng = random.Random(1)
+    rows = [(1, p, i, float(rng.randrange(4)), rng.choice([None, *[float(x) for x in range(n)]]), rng.choice(["—", "-", "", *[f"t{i}"] * 4])) for p, n in ((0, 2), (1, 9), (2, 60)) for i in range(50)]
+    frame = spark.createDataFrame(rows, "chapter_id int, page_idx int, region_id int, cx double, cy double, tl string")
+    for k in (1, 3, 8):
+        want = {}
+        for c, p, i, _, cy, _ in rows:
+            others = sorted((abs(r[4] - cy), r[4], r[3], r[2], r[5]) for r in rows if r[1] == p and r[2] != i and r[4] is not None and r[5] not in ("—", "-", "")) if cy is not None else []
+            if others:
+                want[p, i] = [r[4] for r in sorted(others[:k], key=lambda r: r[1:4])]
+        found = library.nearest_context(frame, k)
+        assert {(r.page_idx, r.region_id): r.context for r in found.collect()} == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert all("cy" in line for line in plan.splitlines() if "Join " in line)
+
+
+def test_trailing_windows_by_slots(spark):
+    rng = random.Random(2)
+    calls = [(i, rng.choice("pq"), datetime(2024, 1, 1) + timedelta(milliseconds=rng.choice([rng.randrange(400_000), 60_000 * rng.randrange(5)]))) for i in range(300)]
+    frame = spark.createDataFrame(calls, "call_id int, provider string, ts timestamp")
+    got = {r.call_id: (r.in_window, r.limited, r.wait_ms) for r in spend.call_rate(frame, limit=20).collect()}
+    for i, p, ts in calls:
+        ago = sorted((ts - t) // timedelta(milliseconds=1) for _, q, t in calls if q == p and timedelta(0) <= ts - t < timedelta(seconds=60))
+        assert got[i] == (len(ago), len(ago) >= 20, 60_000 - ago[-1] + 250 if len(ago) >= 20 else 0)
+    partitions = [line for line in spend.call_rate(frame)._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.lstrip("+- :").startswith("Window")]
+    assert partitions and all("slot" in line for line in partitions)
+
+
+def test_budget_by_slots(spark):
+    rng = random.Random(3)
+    items = [(i, rng.choice([1, 2, None]), rng.choice([None, datetime(2024, 1, 1) + timedelta(hours=rng.randrange(200))]), rng.choice([0.1, 0.0007, 2.5, None])) for i in range(200)]
+    frame = spark.createDataFrame(items, "call_id int, chapter_id int, ts timestamp, cost double")
+    got = {r.call_id: (r.before, r.skipped) for r in spend.budget_cut(frame, 20.0).collect()}
+    for run in (1, 2, None):
+        before = 0.0
+        for i, _, _, cost in sorted((r for r in items if r[1] == run), key=lambda r: (r[2] is not None, r[2] or datetime.min, r[0])):
+            assert got[i][0] == pytest.approx(before, abs=1e-9) and got[i][1] == (round(before, 9) >= 20.0)
+            before += cost or 0.0
+    assert len(got) == 200
