@@ -49,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = stored(jaccard_groups(keyed, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT, id_column="key"))
     stays = groups.groupBy("component").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     goes = stored(groups.join(stays, "component").where("key <> first").select("key.row"), instead=groups)
-    return _unpacked(rows.join(goes.hint("merge"), "row", "left_anti"), docs.columns)
+    return _unpacked(rows.join(goes, "row", "left_anti"), docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     repeated rows all go or stay. Every passage of a long text is searched."""
     rows = numbered(_packed(docs))
     found = stored(leaks(rows.select("row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column="row").select("row").distinct())
-    return _unpacked(rows.join(found.hint("merge"), "row", "left_anti"), docs.columns)
+    return _unpacked(rows.join(found, "row", "left_anti"), docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
