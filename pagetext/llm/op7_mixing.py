@@ -103,7 +103,8 @@ def mix(docs: DataFrame, *, group: int = 20_000, seed: int = 7, **how) -> DataFr
     Sources are cut into groups of about `group` rows by a hash of doc_id, and level after level
     one open row of each group goes on, FAN_IN groups together; a source with very many rows has
     many groups. Draws depend on seed, source and group alone, so reruns agree; repeated rows each
-    count; rows without an id are told apart by their number; an empty table gives no rows."""
+    count; rows without an id, or of one that more than `group` rows have, are told apart by their number, so
+    that they make many groups too; an empty table gives no rows."""
     sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
     sizes = numbered(stored(sizes))
     targets = stored(source_targets(sizes, **how))
@@ -111,7 +112,9 @@ def mix(docs: DataFrame, *, group: int = 20_000, seed: int = 7, **how) -> DataFr
     joined = sizes.withColumn("key", known).withColumn("none", F.col("source").isNull()).join(targets.select(known.alias("key"), F.col("source").isNull().alias("none"), "place", "source_size", "n", "target"), ["key", "none"])
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.floor(wanted + 1e-12)
-    drawn = joined.select("doc_id", "source", "size", "source_size", "target", "place", "n", base.alias("base"), F.greatest(wanted - base, F.lit(0.0)).alias("part"), F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(seed))).otherwise(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))).alias("draw"))
+    hot = F.broadcast(sizes.groupBy("doc_id").agg(F.count("*").alias("alike")).where(F.col("alike") > group).select("doc_id", F.lit(True).alias("hot")))  # at most one id for each `group` rows
+    joined = joined.join(hot, "doc_id", "left")
+    drawn = joined.select("doc_id", "source", "size", "source_size", "target", "place", "n", base.alias("base"), F.greatest(wanted - base, F.lit(0.0)).alias("part"), F.when(F.col("doc_id").isNull() | F.col("hot"), F.xxhash64("row", F.lit(seed))).otherwise(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))).alias("draw"))
     level = drawn.withColumn("bucket", F.pmod(F.col("draw"), F.ceil(F.col("n") / group))).withColumn("open", F.lit(False))
     columns = ["doc_id", "source", "size", "source_size", "target", "place", "n", "base", "part", "draw", "bucket", "open"]
     largest = targets.agg(F.max("n")).first()[0] or 0
