@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +49,12 @@ def numbered(df: DataFrame, name: str = "row") -> DataFrame:
     session splits its scans then: the place of its Parquet file among all files that are read, and of the row
     in the file. What isn't read straight from Parquet, or comes from more than MOST_FILES
     files, is written out with its numbers."""
-    try:
+    plan, files = df._jdf.queryExecution().analyzed(), None
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if plan.nodeName().startswith(("LogicalRelation", "Relation")) and "parquet" in plan.toString():
         placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
         files = sorted(r[0] for r in placed.select("__file").distinct().limit(MOST_FILES + 1).collect())
-    except AnalysisException:
-        files = None
     if files is None or len(files) > MOST_FILES:
         return stored(df.withColumn(name, F.monotonically_increasing_id()))
     order = df.sparkSession.createDataFrame(list(enumerate(files)), "__order bigint, __file string")
