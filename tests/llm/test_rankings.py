@@ -18,6 +18,7 @@ from pagetext.llm import op12_hard_negatives as op12
 from pagetext.llm import op13_toxicity as op13
 from pagetext.llm._store import numbered
 from pagetext.llm.op5_jaccard_join import jaccard_groups
+from pagetext.llm.op7_mixing import mix
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = {c: c + 32 for c in range(65, 91)}
@@ -227,3 +228,13 @@ def test_leaks_by_shards(spark, most, at_once):
     whole = sorted(map(tuple, op1.leaks(frame, bench, threshold=0.4, least_overlap=0.3).collect()))
     dealt = sorted(map(tuple, op1.leaks(frame, bench, threshold=0.4, least_overlap=0.3, most_words=most, at_once=at_once).collect()))
     assert whole == dealt and len(whole) >= 40
+
+
+def test_mix_of_one_id(spark):
+    """50,000 rows of one id are cut into groups like others; words taken meet the target, twice the same."""
+    rows = spark.range(50_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.concat_ws(" ", *[F.col("id") % 9] * 3).alias("text"), F.lit("a").alias("source")).union(spark.createDataFrame([(8, "x y", "b"), (9, "z " * 40, None)], "doc_id bigint, text string, source string"))
+    first, again = (mix(rows, group=2_000) for _ in range(2))
+    got = {r.source: (r.taken, r.target, r.n) for r in first.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()}
+    assert got["a"][2] == 50_000 and all(abs(taken - target) <= 1 for taken, target, _ in got.values())
+    count = lambda df: Counter((r.source, r.taken) for r in df.collect())
+    assert count(first) == count(again)
