@@ -108,6 +108,17 @@ SELECT reply_id, shape, CASE shape
   WHEN 4 THEN '{"model":{"name":"x"},"translations":' || items || '}'
   ELSE 'no json here at all' END AS body
 FROM b""",
+    "f6_bodies": """WITH a AS (SELECT conv_id * 100 + turn AS reply_id, (conv_id + turn) % 6 AS shape, length(text) AS n,
+  '"' || replace(replace(replace(replace(replace(coalesce(text, ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'),
+    chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '"' AS said FROM conversations WHERE role = 'assistant')
+SELECT reply_id, CASE shape
+  WHEN 0 THEN '{"candidates":[{"content":{"parts":[{"text":"so","thought":true},{"text":' || said || '}]}}],"usageMetadata":{"promptTokenCount":' || n || ',"candidatesTokenCount":' || (n % 97) || '}}'
+  WHEN 1 THEN '{"choices":[{"message":{"content":' || said || '}}],"usage":{"prompt_tokens":' || (n % 1000) || ',"completion_tokens":' || n || '}}'
+  WHEN 2 THEN '{"candidates":[{"content":{"parts":[{"text":' || said || ',"thought":true},{"text":" "}]}}]}'
+  WHEN 3 THEN '{"candidates":[{"content":{"parts":[{"text":" "},{"text":' || said || '},{"text":"end"}]}}],"usageMetadata":{"promptTokenCount":' || n || '}}'
+  WHEN 4 THEN '{"choices":[],"usage":{"prompt_tokens":' || n || '}}'
+  ELSE said END AS body
+FROM a""",
     "f7_urls": """SELECT page_id, url FROM pages
 UNION ALL
 SELECT 1000000 + n_nationkey, CASE n_nationkey % 8

@@ -68,11 +68,7 @@ def glossary_block(spark, d):
 
 
 def reply_text(spark, d):
-    said = F.concat(F.lit("said "), F.col("reply_id").cast("string"))
-    gem = F.concat(F.lit('{"candidates":[{"content":{"parts":[{"text":"hm","thought":true},{"text":"'), said, F.lit('"}]}}],"usageMetadata":{"promptTokenCount":7,"candidatesTokenCount":3}}'))
-    chat = F.concat(F.lit('{"choices":[{"message":{"content":"'), said, F.lit('"}}],"usage":{"prompt_tokens":5,"completion_tokens":2}}'))
-    raw = fixture(spark, d, "f6_replies").select("reply_id", F.when(F.col("shape") % 2 == 0, gem).otherwise(chat).alias("body"))
-    return op.reply_text(raw).drop("body")
+    return op.reply_text(fixture(spark, d, "f6_bodies")).drop("body")
 
 
 def rescue_json(spark, d):
@@ -96,5 +92,9 @@ ORACLES = {
 SELECT reply_id, 'Translate.' || CASE reply_id % 3 WHEN 0 THEN chr(10) || 'Keep honorifics.' WHEN 1 THEN chr(10) || 'Mind pronouns.' ELSE '' END AS instruction, CASE WHEN reply_id % 2 = 0 THEN 'a → b' ELSE '' END AS glossary, CAST(CASE WHEN real = 0 THEN all_n ELSE real END AS BIGINT) AS expected, CAST(CASE WHEN real = 0 THEN all_n ELSE real END AS INT) AS n_items FROM m""",
     "glossary_block": f"""WITH g AS ({SQL['f11_glossary']}) SELECT series_name, coalesce(string_agg(trim(src) || ' → ' || trim(tl) || CASE WHEN trim(note) <> '' THEN ' (' || trim(note) || ')' ELSE '' END, chr(10) ORDER BY pos) FILTER (trim(src) <> '' AND trim(tl) <> ''), '') AS block FROM g GROUP BY 1""",
     "rescue_json": f"SELECT reply_id, shape, CASE WHEN reply_id % 3 = 0 THEN NULL WHEN contains(body, '\"translations\"') THEN regexp_extract(body, '\\{{.*\\}}', 0) ELSE '' END AS rescued FROM ({REPLIES})",
-    "reply_text": f"SELECT reply_id, 'said ' || reply_id AS answer, CAST(CASE WHEN shape % 2 = 0 THEN 7 ELSE 5 END AS BIGINT) AS prompt_tokens, CAST(CASE WHEN shape % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS completion_tokens FROM ({REPLIES})",
+    "reply_text": f"""WITH b AS (SELECT reply_id, CASE WHEN json_valid(body) THEN body END AS body FROM ({SQL['f6_bodies']})),
+p AS (SELECT *, from_json(json_extract(body, '$.candidates[0].content.parts'), '[{{"text":"VARCHAR","thought":"BOOLEAN"}}]') AS parts FROM b)
+SELECT reply_id, coalesce(list_filter(parts, lambda x: NOT coalesce(x.thought, false) AND trim(coalesce(x.text, '')) <> '')[1].text, parts[1].text, body ->> '$.choices[0].message.content') AS answer,
+coalesce(CAST(body ->> '$.usageMetadata.promptTokenCount' AS BIGINT), CAST(body ->> '$.usage.prompt_tokens' AS BIGINT)) AS prompt_tokens,
+coalesce(CAST(body ->> '$.usageMetadata.candidatesTokenCount' AS BIGINT), CAST(body ->> '$.usage.completion_tokens' AS BIGINT)) AS completion_tokens FROM p""",
 }
