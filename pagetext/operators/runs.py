@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetext.operators.graph import by_page, cut, group_components
+from pagetext.operators.graph import by_page, component_labels, cut
 
 TILE = 64  # pixels, either way, of the tiles in which runs and boxes meet
 REACH = 256  # pixels between boxes that count as near
@@ -25,8 +25,8 @@ def components_of_runs(runs: DataFrame, reach: int = 1) -> DataFrame:
     a, b = n.alias("a"), n.alias("b")
     touch = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("b.x0") <= F.col("a.x1") + reach) & (F.col("b.x1") >= F.col("a.x0") - reach)
     edges = a.join(b, touch).select("a.page_id", F.col("a.frag_id").alias("a"), F.col("b.frag_id").alias("b"))
-    labels = group_components(n.select("page_id", "frag_id"), edges)
-    return n.join(labels, ["page_id", "frag_id"]).select("page_id", "y", "x0", "x1", F.col("group_id").alias("label"))
+    labels = component_labels(edges)
+    return n.join(labels, ["page_id", "frag_id"], "left").select("page_id", "y", "x0", "x1", F.coalesce("group_id", "frag_id").alias("label"))
 
 
 def background_runs(runs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def background_runs(runs: DataFrame, pages: DataFrame) -> DataFrame:
 
 def fill_holes(runs: DataFrame, pages: DataFrame) -> DataFrame:
     """runs with the holes in them, labelled: background that doesn't reach the corner four ways is inside."""
-    back = components_of_runs(background_runs(runs, pages), reach=0)
+    back = cut(components_of_runs(background_runs(runs, pages), reach=0))
     corner = back.where("y = 0 AND x0 = 0").select("page_id", "label")
     holes = back.join(corner, ["page_id", "label"], "left_anti").select("page_id", "y", "x0", "x1")
     return components_of_runs(merged_runs(runs.select("page_id", "y", "x0", "x1").union(holes)))
