@@ -12,21 +12,34 @@ from pyspark.sql import functions as F
 from pagetext.operators.graph import by_page, component_labels, cut
 
 TILE = 64  # pixels, either way, of the tiles in which runs and boxes meet
+BAND = 4096  # rows of a page that one task labels
 REACH = 256  # pixels between boxes that count as near
 WAIST_SPAN = 12
 _FAR = np.int64(1 << 40)
 
 
-def components_of_runs(runs: DataFrame, reach: int = 1) -> DataFrame:
+def components_of_runs(runs: DataFrame, reach: int = 1, band: int = BAND) -> DataFrame:
     """runs with label, the least node ((y + 1) * 2**32 + x0, never 0) of its component; runs of neighbouring rows that
-    overlap within `reach` columns connect (1: eight ways, 0: four ways)."""
+    overlap within `reach` columns connect (1: eight ways, 0: four ways).
+
+    A page is cut into bands of `band` rows, each labelled by itself, so a tall strip is many tasks' work. Then the
+    labels on either side of a cut that touch are joined: the least of them names the component, which is
+    the least node of all, however high the bands are."""
     node = F.shiftleft(F.col("y").cast("bigint") + 1, 32) + F.col("x0")
-    n = runs.select("page_id", "y", "x0", "x1", node.alias("frag_id"))
+    n = runs.select("page_id", "y", "x0", "x1", node.alias("frag_id"), F.floor(F.col("y") / band).alias("band"))
     a, b = n.alias("a"), n.alias("b")
     touch = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("b.x0") <= F.col("a.x1") + reach) & (F.col("b.x1") >= F.col("a.x0") - reach)
-    edges = a.join(b, touch).select("a.page_id", F.col("a.frag_id").alias("a"), F.col("b.frag_id").alias("b"))
-    labels = component_labels(edges)
-    return n.join(labels, ["page_id", "frag_id"], "left").select("page_id", "y", "x0", "x1", F.coalesce("group_id", "frag_id").alias("label"))
+    edges = a.join(b, touch).select("a.page_id", F.col("a.frag_id").alias("a"), F.col("b.frag_id").alias("b"), F.col("a.band").alias("band"), (F.col("a.band") == F.col("b.band")).alias("inside"))
+    own = component_labels(edges.where("inside"), "band").drop("band")
+    labelled = n.join(own, ["page_id", "frag_id"], "left").select("page_id", "frag_id", "y", "x0", "x1", F.coalesce("group_id", "frag_id").alias("label"))
+    bands = n.agg(F.min("band").alias("first"), F.max("band").alias("last")).first()
+    if bands.first == bands.last:  # no page is cut
+        return labelled.select("page_id", "y", "x0", "x1", "label")
+    labelled, seams = cut(labelled), edges.where("NOT inside").select("page_id", "a", "b")
+    for side in "ab":
+        seams = seams.join(labelled.select("page_id", F.col("frag_id").alias(side), F.col("label").alias(f"l{side}")), ["page_id", side])
+    joined = component_labels(seams.select("page_id", F.col("la").alias("a"), F.col("lb").alias("b")).distinct()).select("page_id", F.col("frag_id").alias("label"), "group_id")
+    return labelled.join(joined, ["page_id", "label"], "left").select("page_id", "y", "x0", "x1", F.coalesce("group_id", "label").alias("label"))
 
 
 def background_runs(runs: DataFrame, pages: DataFrame) -> DataFrame:

@@ -138,3 +138,35 @@ def test_bands_of_one_box_and_two_tones(spark):
     ink = spark.createDataFrame([(1, y, 0, 99, "dark") for y in range(10)], "page_id bigint, y int, x0 int, x1 int, level string")
     bands = spark.createDataFrame([(1, 0, 0, 100, 10, 200), (1, 0, 0, 100, 10, 20), (1, 0, 0, 100, 10, None), (1, 0, 0, 100, 10, 200)], "page_id bigint, gx1 int, gy1 int, gx2 int, gy2 int, tone int")
     assert sorted((r.tone or -1, r.veto) for r in runs.gap_profile_veto(bands, ink).collect()) == [(-1, None), (20, False), (200, True), (200, True)]
+
+
+def test_components_whatever_the_bands(spark):
+    """Random runs with snakes through many bands, against a flood over pixels; a page larger than a batch."""
+    rng = random.Random(7)
+    rows = [(p, y, x0, x1) for p, _, y, x0, x1 in random_runs(rng, pages=2, height=60, width=120, labels=1)]
+    rows += [(2, y, 5 * (y % 2), 5 * (y % 2) + 5) for y in range(500)]
+    df = spark.createDataFrame(rows, "page_id bigint, y int, x0 int, x1 int").repartition(3)
+    root = {}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for reach in (0, 1):
+        root = {r: r for r in rows}
+        by = {}
+        for r in rows:
+            by.setdefault(r[:2], []).append(r)
+        for r in rows:
+            for t in by.get((r[0], r[1] + 1), []):
+                if t[2] <= r[3] + reach and t[3] >= r[2] - reach:
+                    u, v = find(r), find(t)
+                    root[max(u, v)] = min(u, v)
+        want = {r: (find(r)[1] + 1 << 32) + find(r)[2] for r in rows}
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+        try:
+            for band in (1, 7, 64, 4096):
+                assert {(r.page_id, r.y, r.x0, r.x1): r.label for r in runs.components_of_runs(df, reach, band).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
