@@ -26,7 +26,7 @@ from pagetext.llm._store import numbered, stored
 
 LENGTH = 400
 PASSAGE_WORDS = 51
-BUCKETS = 4096
+BYTES_IN_TASK = 32 << 20  # of text whose suffixes one task sorts, about
 _EXACT = np.arange(256, dtype=np.uint8)
 _LOOSE = np.uint64(0xA5A5_1234_9876_5A5B)
 
@@ -127,7 +127,12 @@ _SUFFIX = {"key": np.uint64, "whole": np.uint64, "row": np.int64, "at": np.int32
 _SUFFIX_ROWS = "bucket int, " + ", ".join(f"{k} binary" for k in _SUFFIX)
 
 
-def _anchored(shape: _Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _bits(parts: int) -> int:
+    """Of a key by which it is dealt out: many buckets for each partition, whatever their number."""
+    return max(10, (16 * parts).bit_length())
+
+
+def _anchored(shape: _Shape, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Suffixes of (row, text), dealt by key. Of stretches that a batch holds more than once, one goes
     on to its key and the others, settled, to buckets of their own."""
 
@@ -140,9 +145,9 @@ def _anchored(shape: _Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 piece, place, near, far, key, whole = _suffixes(data, low, high, shape)
                 _, lead, back, n = np.unique(key ^ mix(whole), return_index=True, return_inverse=True, return_counts=True)
                 twice = n[back] > 1
-                bucket = key >> np.uint64(52)
+                bucket = key >> np.uint64(64 - bits)
                 rest = lead[back] != np.arange(len(key))
-                bucket[rest] = mix(np.arange(len(key), dtype=np.uint64))[rest] >> np.uint64(52)
+                bucket[rest] = mix(np.arange(len(key), dtype=np.uint64))[rest] >> np.uint64(64 - bits)
                 rows = part.column("row").to_numpy()[row[piece]]
                 yield packed(bucket, {"key": key, "whole": np.where(rest, np.uint64(0), whole), "row": rows, "at": (place + low[piece] - at[row[piece]]).astype(np.int32), "near": near.astype(np.int16), "far": far.astype(np.int16), "twice": twice})
 
@@ -234,7 +239,7 @@ _WINDOW = {"row": np.int64, "at": np.int32, "near": np.int16, "far": np.int16, "
 _WINDOW_ROWS = "bucket int, " + ", ".join(f"{k} binary" for k in _WINDOW)
 
 
-def _probed(shape: _Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _probed(shape: _Shape, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Hashes of the windows to be compared, of (row, text, packs), dealt by suffix key."""
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +267,7 @@ def _probed(shape: _Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 if not out:
                     continue
                 key, row, at, near, far, hashes = (np.concatenate(x) for x in zip(*out, strict=True))
-                bucket = (key >> np.uint64(52)).astype(np.int64)
+                bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
                 wide = np.repeat(bucket, far - near + 1)
                 plain = packed(bucket, {"row": row, "at": at.astype(np.int32), "near": near.astype(np.int16), "far": far.astype(np.int16)})
                 yield pa.RecordBatch.from_arrays([*plain.columns, packed(wide, {"hashes": hashes}).column(1)], ["bucket", *_WINDOW])
@@ -333,15 +338,16 @@ def _removed(batches: Iterator[pa.RecordBatch], shapes: list[_Shape], keep_text:
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(rest, pa.string())], names)
 
 
-def _marked(rows: DataFrame, shape: _Shape) -> DataFrame:
-    """(row, packs) of the repeated windows of rows(row, text)."""
+def _marked(rows: DataFrame, shape: _Shape, parts: int) -> DataFrame:
+    """(row, packs) of the repeated windows of rows(row, text), whose suffixes are dealt to so many tasks."""
+    bits = _bits(parts)
     least = 2 * shape.length - 1 if shape.words else shape.length  # words of a byte, and blanks between them
     long = rows.where(F.octet_length("text") >= least)
-    scanned = long.mapInArrow(_anchored(shape), _SUFFIX_ROWS).repartition("bucket").mapInArrow(_scanned, "row bigint, pack bigint")
+    scanned = long.mapInArrow(_anchored(shape, bits), _SUFFIX_ROWS).repartition(parts, "bucket").mapInArrow(_scanned, "row bigint, pack bigint")
     marks = stored(scanned.groupBy("row").agg(F.collect_list("pack").alias("packs")))
     open_marks = marks.select("row", F.filter("packs", lambda p: p.bitwiseAND(F.lit(1)) == 0).alias("packs")).where("size(packs) > 0")
-    probed = long.join(open_marks, "row").select("row", "text", "packs").mapInArrow(_probed(shape), _WINDOW_ROWS)
-    more = stored(probed.repartition("bucket").mapInArrow(_compared, "row bigint, pack bigint").groupBy("row").agg(F.collect_list("pack").alias("more")))
+    probed = long.join(open_marks, "row").select("row", "text", "packs").mapInArrow(_probed(shape, bits), _WINDOW_ROWS)
+    more = stored(probed.repartition(parts, "bucket").mapInArrow(_compared, "row bigint, pack bigint").groupBy("row").agg(F.collect_list("pack").alias("more")))
     settled = marks.select("row", F.filter("packs", lambda p: p.bitwiseAND(F.lit(1)) == 1).alias("packs"))
     none = F.array().cast("array<bigint>")
     return settled.join(more, "row", "full").select("row", F.concat(F.coalesce("packs", none), F.coalesce("more", none)).alias("packs"))
@@ -357,14 +363,16 @@ def long_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
 
     Texts are taken as UTF-8, null as empty; matches don't cross rows, overlaps count, and strings
     are judged on the input. Repeated rows remove each other's bytes altogether. Strings are
-    compared by 64-bit hashes. Texts of any length are cut into overlapping stretches of 4 MB; a
+    compared by 64-bit hashes. Suffixes are dealt to as many tasks as the texts' size asks for, so a task's
+    share stays the same however much there is. Texts of any length are cut into overlapping stretches of 4 MB; a
     stretch that very many rows share costs one shuffled suffix for each batch that holds it. Other
     columns don't matter; an empty table gives no rows."""
     read = numbered(docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text")))
     shapes = [_Shape(length), *([_Shape(words, words=True)] if words else [])]
+    parts = -(-(read.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // BYTES_IN_TASK)
     marks = None
     for i, shape in enumerate(shapes):
-        own = _marked(read.select("row", "text"), shape).withColumnRenamed("packs", f"packs{i}")
+        own = _marked(read.select("row", "text"), shape, parts).withColumnRenamed("packs", f"packs{i}")
         marks = own if marks is None else marks.join(own, "row", "full")
     kind = docs.schema[id_column].dataType.simpleString()
     left = read.join(marks, "row", "left").select("row", "id", "text", *[f"packs{i}" for i in range(len(shapes))])
