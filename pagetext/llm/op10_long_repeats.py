@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetext.llm._arrays import SLICE_BYTES, buffers, mix, packed, powers, slices, spans, word_hashes
-from pagetext.llm._store import numbered, stored
+from pagetext.llm._store import dropped, numbered, stored
 
 LENGTH = 400
 PASSAGE_WORDS = 51
@@ -175,14 +175,30 @@ class Levels:
         fresh = np.concatenate([[True], run["key"][1:] != run["key"][:-1]])
         return run | {"group": np.cumsum(fresh) - 1, "opens": np.flatnonzero(fresh)}
 
-    def add(self, batch: dict[str, np.ndarray]) -> None:
-        run = self._grouped(self._sorted(batch | {"pair": batch["key"] ^ mix(batch["whole"])}))
-        whole, opens = run["whole"], run["opens"]
+    @classmethod
+    def _run(cls, batch: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """A batch as a sorted run, without flags but `first`: the first of each stretch; and the number of each
+        suffix's stretch."""
+        run = cls._grouped(cls._sorted(batch | {"pair": batch["key"] ^ mix(batch["whole"])}))
+        whole, none = run["whole"], np.zeros(len(run["key"]), bool)
         kind = np.concatenate([[True], (whole[1:] != whole[:-1]) | (run["group"][1:] != run["group"][:-1])])
-        number = np.cumsum(kind) - 1
-        run |= {"first": kind, "settled": (np.bincount(number)[number] > 1) | run["twice"], "several": (whole[opens] != whole[np.append(opens[1:], len(whole)) - 1])[run["group"]]}
+        return run | {"first": kind, "settled": none, "several": none.copy()}, np.cumsum(kind) - 1
+
+    def hold(self, batch: dict[str, np.ndarray]) -> None:
+        """A run that was scanned against all others before."""
+        self.runs.append(self._run(batch)[0])
+
+    def scan(self, batch: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """A new batch as a run, with what it finds in itself and in the runs that are there."""
+        run, number = self._run(batch)
+        whole, opens = run["whole"], run["opens"]
+        run |= {"settled": (np.bincount(number)[number] > 1) | run["twice"], "several": (whole[opens] != whole[np.append(opens[1:], len(whole)) - 1])[run["group"]]}
         for level in self.runs:
             self._scan(run, level)
+        return run
+
+    def add(self, batch: dict[str, np.ndarray]) -> None:
+        run = self.scan(batch)
         while self.runs and len(self.runs[-1]["key"]) <= 2 * len(run["key"]):
             old = self.runs.pop()
             run = self._grouped(self._sorted({k: np.concatenate([old[k], run[k]]) for k in run if k not in ("group", "opens")}))
@@ -380,6 +396,93 @@ def long_repeats(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     return found.withColumnRenamed("id", id_column)
 
 
+def _met_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, pack) as _scanned() tells them, from one partition of a new batch's suffixes (level -1) and those
+    of stored levels: the new run's own, and what it and each level find in one another. What levels
+    have found among themselves was told when their batches came."""
+    parts: dict[int, list] = {}
+    for batch in batches:
+        for level, *columns in zip(batch.column("level").to_pylist(), *(batch.column(k).to_pylist() for k in _SUFFIX), strict=True):
+            parts.setdefault(level, []).append([np.frombuffer(c, kind) for c, kind in zip(columns, _SUFFIX.values(), strict=True)])
+    runs = {level: {k: np.concatenate(x) for k, x in zip(_SUFFIX, zip(*own, strict=True), strict=True)} for level, own in parts.items()}
+    told = lambda run, which, done: pa.RecordBatch.from_arrays([pa.array(run["row"][which]), pa.array(_packs(run["at"][which], run["near"][which], run["far"][which], np.full(which.sum(), done)))], ["row", "pack"])
+    if -1 not in runs:
+        return
+    early = runs[-1]["whole"] == 0
+    yield told(runs[-1], early, 1)
+    new = {k: v[~early] for k, v in runs.pop(-1).items()}
+    if not len(new["key"]):
+        return
+    levels = Levels()
+    for _, run in sorted(runs.items()):
+        run = {k: v[run["whole"] != 0] for k, v in run.items()}
+        if len(run["key"]):
+            levels.hold(run)
+    for run in [levels.scan(new), *levels.runs]:
+        yield told(run, run["settled"], 1)
+        yield told(run, run["several"] & run["first"], 0)
+
+
+class RepeatIndex:
+    """Long repeats of a corpus that comes batch by batch: the levels of suffixes, kept as tables in `path`.
+
+    A new batch's suffixes are scanned against every level that is there, and marks both the new
+    documents and the earlier ones that it repeats; then it becomes a level, and levels of like size
+    merge, so a suffix is written a logarithmic number of times. Levels are dealt to `parts`
+    partitions by their keys' first bits. Texts and marks of each batch are kept beside them."""
+
+    def __init__(self, spark: SparkSession, path: str, *, length: int = LENGTH, parts: int = 64):
+        self.spark, self.path, self.shape, self.parts = spark, path, _Shape(length), parts
+        self.sizes: dict[int, int] = {}  # of the levels that are there, by number
+        self.batches = 0
+
+    def _level(self, number: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/levels/{number}")
+
+    def add(self, docs: DataFrame) -> None:
+        """A further batch of documents(id, text)."""
+        at, shape, bits = self.batches, self.shape, _bits(self.parts)
+        rows = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
+        rows.select("id", "text", (F.monotonically_increasing_id() + F.lit(at << 52)).alias("row")).write.mode("overwrite").parquet(f"{self.path}/texts/batch={at}")
+        texts = self.spark.read.parquet(f"{self.path}/texts/batch={at}")
+        suffixes = stored(texts.where(F.octet_length("text") >= shape.length).select("row", "text").mapInArrow(_anchored(shape, bits), _SUFFIX_ROWS))
+        levels = [self._level(n).withColumn("level", F.lit(n)) for n in sorted(self.sizes)]
+        met = suffixes.withColumn("level", F.lit(-1))
+        for level in levels:
+            met = met.unionByName(level)
+        found = stored(met.repartition(self.parts, "bucket").mapInArrow(_met_levels, "row bigint, pack bigint").groupBy("row").agg(F.collect_set("pack").alias("packs")))
+        doubtful = found.select("row", F.filter("packs", lambda p: p.bitwiseAND(F.lit(1)) == 0).alias("packs")).where("size(packs) > 0")
+        every = self.spark.read.parquet(f"{self.path}/texts").select("row", "text")
+        probed = every.join(doubtful, "row").select("row", "text", "packs").mapInArrow(_probed(shape, bits), _WINDOW_ROWS)
+        more = probed.repartition(self.parts, "bucket").mapInArrow(_compared, "row bigint, pack bigint")
+        settled = found.select("row", F.explode(F.filter("packs", lambda p: p.bitwiseAND(F.lit(1)) == 1)).alias("pack"))
+        settled.union(more).write.mode("overwrite").parquet(f"{self.path}/marks/batch={at}")
+        self._merge(suffixes, at)
+        dropped(suffixes, found)
+        self.batches += 1
+
+    def _merge(self, run: DataFrame, number: int) -> None:
+        """The new run as a level, joined with all of at most twice its size, smallest first."""
+        size = run.agg(F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("n")).first().n
+        gone = []
+        for n in sorted(self.sizes, key=self.sizes.get):
+            if self.sizes[n] <= 2 * size:
+                run, size = run.unionByName(self._level(n)), size + self.sizes[n]
+                gone.append(n)
+        run.repartition(self.parts, "bucket").sortWithinPartitions("bucket").write.mode("overwrite").parquet(f"{self.path}/levels/{number}")
+        for n in gone:
+            del self.sizes[n]
+        self.sizes[number] = size
+
+    def repeats(self, keep_text: bool = False) -> DataFrame:
+        """(id, n_bytes, n_removed, n_spans, left) of all documents so far, as long_repeats() has them."""
+        marks = self.spark.read.parquet(f"{self.path}/marks").groupBy("row").agg(F.collect_set("pack").alias("packs0"))
+        left = self.spark.read.parquet(f"{self.path}/texts").join(marks, "row", "left").select("row", "id", "text", "packs0")
+        kind, shapes = left.schema["id"].dataType.simpleString(), [self.shape]
+        found = left.mapInArrow(lambda it: _removed(it, shapes, keep_text, False), f"row bigint, id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, n_passages bigint, passage_bytes bigint, left string")
+        return found.select("id", "n_bytes", "n_removed", "n_spans", "left")
+
+
 def op10_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes are removed. Passages of 51 words, of which two in five are shorter than that,
     are told beside them: how many there are, and their bytes."""
