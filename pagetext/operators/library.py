@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from pagetext.operators.spend import fmt_ago
 
+#: Media types by extension. Fixed values.
 IMAGE_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}
 BLANK = "—"
 SEPARATOR = "␟"
-#: Display names by language code; others show the code in capitals.
+#: Display names by language code; others show the code in capitals. Fixed values.
 LANGUAGES = {"vi": "Vietnamese", "it": "Italian", "pt": "Portuguese", "pt-br": "Portuguese (BR)", "ru": "Russian", "fr": "French", "es": "Spanish", "de": "German", "ja": "Japanese", "ko": "Korean", "zh": "Chinese", "zh-hk": "Chinese (HK)", "en": "English"}
 
 
