@@ -55,11 +55,11 @@ k AS (SELECT *, CAST(CASE WHEN scale = 'fraction' OR (scale = 'mixed' AND item_i
   WHEN scale = 'thousand' THEN 0.1 ELSE 1 END AS DOUBLE) AS f FROM m)
 SELECT 'b' AS side, page_id, item_id, t AS text, 'percent' AS scale, CAST(cx AS DOUBLE) AS cx,
   CAST(cy AS DOUBLE) AS cy, CAST(l_partkey % 100 AS DOUBLE) / 100 AS conf, cx - w AS x1, cy - w / 2 AS y1,
-  cx + w AS x2, cy + w / 2 AS y2 FROM k WHERE page_id % 3 <> 0 OR l_partkey % 4 = 0
+  cx + w AS x2, cy + w / 2 AS y2 FROM k WHERE t NOT LIKE 'small %'
 UNION ALL
 SELECT 'a', page_id, item_id, replace(replace(t, 'o', 'ó'), 'e', 'è'), scale, CAST(ax AS DOUBLE) / f,
   CAST(cy AS DOUBLE) / f, CAST(NULL AS DOUBLE), (ax - w) / f, (cy - w / 2) / f, (ax + w) / f, (cy + w / 2) / f
-FROM k WHERE item_id % 5 <> 0""",
+FROM k WHERE t NOT LIKE 'cold %'""",
     "f4_calls": """SELECT event_id AS call_id, ts, user_id % 20 AS chapter_id,
   CASE event_id % 3 WHEN 0 THEN 'translate' WHEN 1 THEN 'ocr' ELSE 'vision-crop' END AS feature,
   CASE event_type WHEN 'purchase' THEN 'deepseek' WHEN 'error' THEN 'deepseek' WHEN 'signup' THEN 'deepl'
@@ -145,7 +145,7 @@ FROM orders WHERE (o_custkey + o_orderkey % 8) % 31 <> 0""",
     "f8_drafts": """SELECT o_custkey AS chapter_id, o_orderkey % 8 AS page_idx, o_orderkey AS region_id,
   'fixed ' || o_orderkey AS tl, o_orderpriority AS text, (o_orderkey % 6 = 0) AS deleted,
   CASE o_custkey % 3 WHEN 0 THEN 'same' WHEN 1 THEN 'stale' ELSE 'none' END AS signature_kind
-FROM orders WHERE o_custkey % 4 = 0""",
+FROM orders WHERE o_orderpriority = '1-URGENT'""",
     "f9_views": """SELECT event_id, ts, user_id AS reader_id, user_id % 12 AS chapter_id, 1 + user_id % 30 AS page_count,
   event_id % (1 + user_id % 30) AS page_idx, value / 500 AS visible, event_id AS seq,
   CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'skipped' WHEN 'view' THEN 'pending'

@@ -116,7 +116,7 @@ def _regions(spark, d):
 
 def best_iou(spark, d):
     r = _regions(spark, d)
-    boxes = r.where("region_id % 3 = 0").select("page_id", F.col("region_id").alias("box_id"), (F.col("x1") + 6).alias("x1"), (F.col("y1") + 3).alias("y1"), (F.col("x2") + 6).alias("x2"), (F.col("y2") + 3).alias("y2"))
+    boxes = r.select("page_id", F.col("region_id").alias("box_id"), (F.col("x1") + 6).alias("x1"), (F.col("y1") + 3).alias("y1"), (F.col("x2") + 6).alias("x2"), (F.col("y2") + 3).alias("y2"))
     return op.best_iou(boxes, r)
 
 
@@ -202,7 +202,7 @@ SELECT x.page_id, CASE WHEN x.shape = y.shape THEN 'unchanged' WHEN y.n > x.n TH
     "box_to_px": f"""WITH q AS (SELECT page_id, frag_id, img_w, img_h, {_BOX} FROM ({F1})),
 a AS (SELECT *, greatest(0, least(CAST(round_even(round(pct_x1 * img_w / 100, 6), 0) AS INT), img_w - 1)) AS px_x1, greatest(0, least(CAST(round_even(round(pct_y1 * img_h / 100, 6), 0) AS INT), img_h - 1)) AS px_y1 FROM q)
 SELECT page_id, frag_id, px_x1, px_y1, least(img_w, greatest(CAST(round_even(round(pct_x2 * img_w / 100, 6), 0) AS INT), px_x1 + 1)) AS px_x2, least(img_h, greatest(CAST(round_even(round(pct_y2 * img_h / 100, 6), 0) AS INT), px_y1 + 1)) AS px_y2 FROM a""",
-    "best_iou": f"""WITH {_REGIONS}, b AS (SELECT page_id, region_id AS box_id, x1 + 6 AS x1, y1 + 3 AS y1, x2 + 6 AS x2, y2 + 3 AS y2 FROM r WHERE region_id % 3 = 0),
+    "best_iou": f"""WITH {_REGIONS}, b AS (SELECT page_id, region_id AS box_id, x1 + 6 AS x1, y1 + 3 AS y1, x2 + 6 AS x2, y2 + 3 AS y2 FROM r),
 i AS (SELECT b.page_id, box_id, region_id, least(b.x2, r.x2) - greatest(b.x1, r.x1) AS w, least(b.y2, r.y2) - greatest(b.y1, r.y1) AS h, (b.x2 - b.x1) * (b.y2 - b.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) AS ab FROM b JOIN r ON b.page_id = r.page_id AND NOT deleted),
 u AS (SELECT page_id, box_id, region_id, w * h / (ab - w * h) AS iou FROM i WHERE w > 0 AND h > 0)
 SELECT page_id, box_id, region_id, iou FROM u WHERE iou > 0.35 QUALIFY row_number() OVER (PARTITION BY page_id, box_id ORDER BY iou DESC, region_id) = 1""",
