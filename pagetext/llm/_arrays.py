@@ -143,7 +143,7 @@ def packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     fresh = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
-    ends = np.append(fresh[1:], len(bucket))
+    ends = np.append(fresh[1:], len(bucket)) if len(bucket) else fresh
     arrays = [pa.array(bucket[fresh].astype(np.int32))]
     for values in columns.values():
         values = np.ascontiguousarray(values[order])

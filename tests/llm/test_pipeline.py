@@ -47,6 +47,12 @@ def test_repeated_passages_of_over_50_words_go(spark):
     assert got == {i: (t, len(t or "")) for i, t in enumerate(left)}
 
 
+def test_long_texts_of_few_words(spark):
+    """Batches whose texts are long enough in bytes but not in words have no windows."""
+    docs = spark.createDataFrame([(i, f"{'x' * 150} {i}", 152) for i in range(6)], "doc_id bigint, text string, n_chars bigint").repartition(6).cache()
+    assert sorted((r.doc_id, r.text) for r in pipeline.repeats(spark, docs, "").collect()) == [(i, f"{'x' * 150} {i}") for i in range(6)]
+
+
 def test_word_windows_against_brute_force(spark):
     rng = random.Random(12)
     base = words(rng, 200, 3).split()
