@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pagetext.llm._arrays import slices
 from pagetext.llm._store import numbered, stored
 
+WORDS_IN_TASK = 200_000  # distinct ones that a task looks counts up in
 MOST_SHARED = 200_000
 MOST_CACHED = 1 << 19
 LINEAR_BYTES = 32  # longer words are summed in logarithms
@@ -274,7 +275,9 @@ def lattice_scores(docs: DataFrame, vocabulary: str, *, folds: int = 5, held_fol
     frequent = {r.word.encode(): (math.log10(r.c + 0.5), token(r.c, r.spelt)) for r in spelt.where(F.col("c") * most_shared > total).collect()}
     end_score = math.log10((ends - discount) / total) if ends > 1 else -math.log10(max(total, 1) + 1)
     rare = read.select("row", "text").mapInArrow(_split(context.broadcast(frequent), math.log10(ends + 0.5), end_score, int(ends > 0)), "row bigint, word string, n int, tokens bigint, known bigint, base double, score double")
-    joined = rare.join(spelt.where(F.col("c") * most_shared <= total).hint("merge"), "word", "left")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-seen.v // WORDS_IN_TASK))
+    table = spelt.where(F.col("c") * most_shared <= total).repartition(parts, "word")
+    joined = rare.repartition(parts, "word").join(table.hint("shuffle_hash"), "word", "left")  # a task's words fit its memory
     sums = joined.mapInArrow(_summed(model, total, discount, spread), "row bigint, tokens bigint, known bigint, base double, score double").groupBy("row").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")])
     scale = math.log10(total + 0.5 * (types + 1))
     return read.select("row", "doc_id", "held_out").join(sums, "row").select("doc_id", "held_out", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), (F.col("base") - F.col("tokens") * scale).alias("base_score"), "score")
