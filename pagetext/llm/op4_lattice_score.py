@@ -75,17 +75,21 @@ class Lattice:
         n, longest = len(word), self.longest
         arcs = [(0, j, True, p) for j in range(min(n, longest) + 1) if (p := self.first.get(word[:j]))]
         inner = [(i, j, False, p) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if (p := self.inner.get(word[i:j]))]
-        if 10 ** self.score(word) > LEAST_LINEAR:
-            ahead, back = [0.0] * (n + 1), [0.0] * n + [1.0]
-            for _, j, _, p in arcs:
-                ahead[j] += p
-            for i, j, _, p in inner:
-                ahead[j] += ahead[i] * p
+        ahead = [0.0] * (n + 1)
+        for _, j, _, p in arcs:
+            ahead[j] += p
+        for i, j, _, p in inner:
+            ahead[j] += ahead[i] * p
+        if ahead[n] > LEAST_LINEAR:
+            back = [0.0] * n + [1 / ahead[n]]
             for i, j, _, p in reversed(inner):
                 back[i] += p * back[j]
-            for i, j, first, p in arcs + inner:
-                if x := (1.0 if first else ahead[i]) * p * back[j]:
-                    into[first, word[i:j]] = into.get((first, word[i:j]), 0.0) + x / ahead[n]
+            for _, j, _, p in arcs:
+                if x := p * back[j]:
+                    into[True, word[:j]] = into.get((True, word[:j]), 0.0) + x
+            for i, j, _, p in inner:
+                if x := ahead[i] * p * back[j]:
+                    into[False, word[i:j]] = into.get((False, word[i:j]), 0.0) + x
             return
         ahead, back = [-math.inf] * (n + 1), [-math.inf] * n + [0.0]
         for _, j, _, p in arcs:
