@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -484,12 +483,13 @@ def _joined(regions: DataFrame, sets: DataFrame, percent: int, most: int) -> Dat
     return out
 
 
-def jaccard_groups(docs: DataFrame, *, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text", most_in_task: int = MOST_IN_TASK) -> DataFrame:
+def jaccard_groups(docs: DataFrame, *, width: int = 3, percent: int = 90, id_column: str = "doc_id", text_column: str = "text", row_column: str | None = None, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     """(row, id, n_shingles, component) for each row: `component` is the row number of the least row
     that links reach. Two rows are linked where 100 * intersection >= percent * union of their sets
     of `width`-word shingles (64-bit hashes of A-Z lower-cased words); with fewer words the whole
     sequence is the one shingle; null, empty and blank texts are linked with nothing. Row numbers
-    stand for rows, so repeated ids and rows are told apart; other columns don't matter.
+    stand for rows, so repeated ids and rows are told apart; row_column names numbers that numbered() has given
+    already; other columns don't matter.
 
     All texts are read once for their keys, and those of documents that share enough of them once
     more. Equal sets meet as one set. A key costs one entry for each slice of the input that has
@@ -497,7 +497,8 @@ def jaccard_groups(docs: DataFrame, *, width: int = 3, percent: int = 90, id_col
     rounds of their own; what pivots don't cut meets in pairs of blocks, without rows that are known
     to be together; only links that join groups are returned, never all pairs. Keys are told apart
     by 58 bits at least: a false meeting only lets two sets be looked at together."""
-    read = numbered(docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text")))
+    read = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"), *([F.col(row_column).alias("row")] if row_column else []))
+    read = read if row_column else numbered(read)
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     parts = max(1, int(size / BYTES_A_WORD * 2.2 * (100 - percent) / percent / KEYS_IN_TASK))
     kind, bits = docs.schema[id_column].dataType, _bits(parts)
