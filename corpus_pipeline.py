@@ -45,8 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null, empty and blank texts are similar to nothing and stay. Of repeated rows one stays."""
     rows = numbered(_packed(docs, "doc_id"))
-    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("key"), "text")
-    groups = stored(jaccard_groups(keyed, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT, id_column="key"))
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("key"), "text", "row")
+    groups = stored(jaccard_groups(keyed, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT, id_column="key", row_column="row"))
     stays = groups.groupBy("component").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     goes = stored(groups.join(stays, "component").where("key <> first").select("key.row"), instead=groups)
     return _unpacked(rows.join(goes, "row", "left_anti"), docs.columns)
