@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ TILE = 64  # pixels, either way, of the tiles in which runs and boxes meet
 BAND = 4096  # rows of a page that one task labels
 REACH = 256  # pixels between boxes that count as near
 WAIST_SPAN = 12
+MOST_AT_ONCE = 1 << 18  # pairs, or rows of boxes, that a task lays out at once
 _FAR = np.int64(1 << 40)
 
 
@@ -172,32 +173,106 @@ def box_coverage(boxes: DataFrame, territory: DataFrame) -> DataFrame:
     return boxes.join(best, ["page_id", "box_id"], "left").select(*boxes.columns, F.coalesce("m.label", F.lit(0)).alias("label"), F.coalesce(F.try_divide("m.pixels", area), F.lit(0.0)).alias("share"))
 
 
+def _chunks(n: np.ndarray, most: int = MOST_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Stretches (first, after) of items that have n rows each, with at most `most` rows or one item."""
+    total, first = np.cumsum(n), 0
+    while first < len(n):
+        after = max(int(np.searchsorted(total, (total[first - 1] if first else 0) + most, "right")), first + 1)
+        yield first, after
+        first = after
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items that have n places each from `first` on: the item of each place, and the place."""
+    n = np.maximum(n, 0)
+    item = np.repeat(np.arange(len(n)), n)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n) + first[item]
+
+
+def _all_pairs(page: np.ndarray, ids: pd.Series, most: int = MOST_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b), rows of a page with the id of a below that of b, some at a time; rows are sorted by page and id, and
+    those of one id stay together as a."""
+    fresh = np.append(True, (page[1:] != page[:-1]) | (ids.iloc[1:].to_numpy() != ids.iloc[:-1].to_numpy()))
+    starts = np.flatnonzero(fresh)
+    sizes = np.diff(np.append(starts, len(page)))
+    group = np.cumsum(fresh) - 1
+    later = (starts + sizes)[group]
+    n = np.searchsorted(page, page, "right") - later
+    for i, j in _chunks(np.add.reduceat(n, starts), most):
+        first, after = starts[i], starts[j] if j < len(starts) else len(page)
+        a, b = _spread(later[first:after], n[first:after])
+        yield a + first, b
+
+
 def near_pairs(boxes: DataFrame, reach: int = REACH) -> DataFrame:
-    """(page_id, a, b), a < b, of boxes of a page less than `reach` pixels apart: they meet in tiles, and a pair
-    is taken in the first tile that one and the other's surroundings share. Empty boxes are near nothing."""
-    boxes = boxes.where("x1 < x2 AND y1 < y2")
-    first = lambda c: F.floor(F.col(c) / TILE)
-    a, b = (_tiled_boxes(boxes, pad).withColumns({"fy": first("t"), "fx": first("l")}).alias(s) for s, pad in (("a", 0), ("b", reach)))
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("page_id", "ty", "tx")]
-    once = (F.col("a.ty") == F.greatest("a.fy", "b.fy")) & (F.col("a.tx") == F.greatest("a.fx", "b.fx"))
-    apart = lambda low, high: (F.col(f"a.{low}") < F.col(f"b.{high}")) & (F.col(f"b.{low}") < F.col(f"a.{high}"))
-    met = a.join(b, reduce(Column.__and__, [*same, F.col("a.box_id") < F.col("b.box_id"), once, apart("l", "r"), apart("t", "d")]))
-    return met.select("a.page_id", F.col("a.box_id").alias("a"), F.col("b.box_id").alias("b"))
+    """(page_id, a, b), a < b, of boxes of a page less than `reach` pixels apart. Empty boxes are near nothing."""
+    return _beside(boxes.select("page_id", "box_id", "x1", "y1", "x2", "y2"), reach).select("page_id", "a", "b")
+
+
+def _beside(boxes: DataFrame, reach: int = REACH) -> DataFrame:
+    """The near pairs with the columns of both boxes as ax1 .. bshare. A page's boxes are swept from the top: a
+    box meets those that begin below its own beginning and less than `reach` below its end."""
+    kinds, own = dict(boxes.dtypes), [c for c in boxes.columns if c not in ("page_id", "box_id")]
+
+    def swept(rows: pd.DataFrame, page: np.ndarray) -> Iterator[pd.DataFrame]:
+        x1, y1, x2, y2 = (rows[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
+        page = _numbers(page)
+        low, wide = y1.min(), y2.max() - y1.min() + reach + 2
+        last = np.searchsorted(page * wide + y1 - low, page * wide + y2 + reach + 0.5 - low)
+        n = last - np.arange(len(page)) - 1
+        for i, j in _chunks(n):
+            a, b = _spread(np.arange(i, j) + 1, n[i:j])
+            a += i
+            near = (x1[a] - reach < x2[b]) & (x1[b] - reach < x2[a]) & (y1[b] - reach < y2[a])
+            a, b = a[near], b[near]
+            ids = rows["box_id"].to_numpy()
+            turn, apart = ids[a] > ids[b], ids[a] != ids[b]
+            a, b = np.where(turn, b, a)[apart], np.where(turn, a, b)[apart]
+            sides = [rows.iloc[k][["box_id", *own]].set_axis([s, *[s + c for c in own]], axis=1).reset_index(drop=True) for s, k in (("a", a), ("b", b))]
+            yield pd.concat([rows["page_id"].iloc[a].reset_index(drop=True), *sides], axis=1)
+
+    schema = [f"page_id {kinds['page_id']}", *[f"{s} {kinds['box_id']}, " + ", ".join(f"{s}{c} {kinds[c]}" for c in own) for s in "ab"]]
+    return by_page(boxes.where("x1 < x2 AND y1 < y2 AND box_id IS NOT NULL"), ["page_id"], swept, ", ".join(schema), "y1")
 
 
 def _sided(pairs: DataFrame | None, boxes: DataFrame) -> DataFrame:
     """pairs(page_id, a, b), by default the near ones, with the columns of both boxes as ax1 .. bshare."""
-    pairs = near_pairs(boxes) if pairs is None else pairs.select("page_id", "a", "b")
+    if pairs is None:
+        return _beside(boxes)
+    pairs = pairs.select("page_id", "a", "b")
     for side in "ab":
         pairs = pairs.join(boxes.select("page_id", F.col("box_id").alias(side), *[F.col(c).alias(side + c) for c in boxes.columns if c not in ("page_id", "box_id")]), ["page_id", side])
     return pairs
 
 
 def container_veto(boxes: DataFrame, territory: DataFrame, inside: float = 0.6, outside: float = 0.15, pairs: DataFrame | None = None) -> DataFrame:
-    """(page_id, a, b) of the pairs whose boxes are in different containers, or one inside and one outside."""
-    p = _sided(pairs, cut(box_coverage(boxes, territory)))
-    a_in, b_in, a_out, b_out = F.col("ashare") >= inside, F.col("bshare") >= inside, F.col("ashare") <= outside, F.col("bshare") <= outside
-    return p.where((a_in & b_in & (F.col("alabel") != F.col("blabel"))) | (a_in & b_out) | (a_out & b_in)).select("page_id", "a", "b")
+    """(page_id, a, b) of the pairs, by default all of a page, whose boxes are in different containers, or one
+    inside and one outside."""
+    told = box_coverage(boxes, territory)
+
+    def veto(label_a, label_b, share_a, share_b):
+        a_in, b_in, a_out, b_out = share_a >= inside, share_b >= inside, share_a <= outside, share_b <= outside
+        return (a_in & b_in & (label_a != label_b)) | (a_in & b_out) | (a_out & b_in)
+
+    def vetoed(rows: pd.DataFrame, page: np.ndarray) -> Iterator[pd.DataFrame]:
+        label, share = rows["label"].to_numpy(), rows["share"].to_numpy()
+        for a, b in _all_pairs(page, rows["box_id"]):
+            off = veto(label[a], label[b], share[a], share[b])
+            yield _named(rows, a[off], b[off])
+
+    if pairs is not None:
+        p = _sided(pairs, cut(told))
+        return p.where(veto(*(F.col(c) for c in ("alabel", "blabel", "ashare", "bshare")))).select("page_id", "a", "b")
+    return by_page(told.select("page_id", "box_id", "label", "share").dropna(subset=["box_id"]), ["page_id"], vetoed, _pair_schema(boxes), "box_id")
+
+
+def _named(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"page_id": rows["page_id"].to_numpy()[a], "a": rows["box_id"].to_numpy()[a], "b": rows["box_id"].to_numpy()[b]})
+
+
+def _pair_schema(boxes: DataFrame) -> str:
+    kinds = dict(boxes.dtypes)
+    return f"page_id {kinds['page_id']}, a {kinds['box_id']}, b {kinds['box_id']}"
 
 
 def _waists(rows: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
@@ -221,7 +296,7 @@ def waist_veto(boxes: DataFrame, labelled: DataFrame, most: float = 0.85, pairs:
 
     The span between two centres and the runs of its component meet in one stream; the least extent
     of a span comes from a table of minima over the component's stretches."""
-    p = _sided(pairs, cut(box_label(boxes, labelled, pad))).where("alabel = blabel AND alabel <> 0")
+    p = _sided(pairs, box_label(boxes, labelled, pad).select("page_id", "box_id", "x1", "y1", "x2", "y2", "label")).where("alabel = blabel AND alabel <> 0")
     centre = lambda s, c: F.floor((F.col(f"{s}{c}1") + F.col(f"{s}{c}2")) / 2).cast("int")
     p = p.select("page_id", "a", "b", F.col("alabel").alias("label"), *[centre(s, c).alias(s + c) for s in "ab" for c in "xy"]).where(f"abs(ax - bx) > abs(ay - by) AND abs(ax - bx) >= {WAIST_SPAN}")
     spans = p.select("page_id", "label", F.lit(True).alias("asked"), F.lit(0).alias("y"), F.least("ax", "bx").alias("x0"), F.greatest("ax", "bx").alias("x1"), "a", "b")
@@ -232,8 +307,84 @@ def waist_veto(boxes: DataFrame, labelled: DataFrame, most: float = 0.85, pairs:
     return by_page(rows, ["page_id", "label"], _waists, schema).where(F.col("ratio") <= most)
 
 
+def _meet(row: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, run) for each run [x0, x1] of row `own` that meets a stretch [low, high] of row `row`; runs are sorted
+    by row and x0."""
+    if not len(own) or not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    base = int(x0.min()) - 1
+    wide = max(int(x1.max()), int(x0.max())) - base + 2
+    at = lambda x: np.clip(x - base, 0, wide - 1)
+    ends = np.maximum.accumulate(own * wide + at(x1))
+    first = np.searchsorted(ends, row * wide + np.maximum(at(low), 1), "left")
+    stretch, run = _spread(first, np.searchsorted(own * wide + at(x0), row * wide + at(high), "right") - first)
+    met = (x1[run] >= low[stretch]) & (x0[run] <= high[stretch])
+    return stretch[met], run[met]
+
+
+def _most(item: np.ndarray, label: np.ndarray, pixels: np.ndarray, n: int) -> np.ndarray:
+    """The label that has most pixels of each of n items, ties the least; 0 for items without any."""
+    best = np.zeros(n, np.int64)
+    if len(item):
+        names, code = np.unique(label, return_inverse=True)
+        key, at = np.unique(item * len(names) + code, return_inverse=True)
+        total = np.bincount(at, pixels)
+        owner = key // len(names)
+        order = np.lexsort((key, -total, owner))
+        first = order[np.append(True, owner[order][1:] != owner[order][:-1])]
+        best[owner[first]] = names[key[first] % len(names)]
+    return best
+
+
+def _paths(points: int, radius: int):
+    def vetoed(rows: pd.DataFrame, page: np.ndarray) -> Iterator[pd.DataFrame]:
+        page, asked = _numbers(page), rows["asked"].to_numpy()
+        boxes = rows[asked].assign(of=page[asked]).sort_values(["of", "box_id"], kind="stable").reset_index(drop=True)
+        runs, of = rows[~asked], boxes["of"].to_numpy()
+        if not len(boxes) or not len(runs):
+            return
+        y, x0, x1, label = (runs[c].to_numpy(np.int64) for c in ("y", "x0", "x1", "label"))
+        top, high = int(y.min()), int(y.max()) - int(y.min()) + 1
+        own = page[~asked] * high + y - top
+        cx, cy = ((boxes[low].to_numpy(float) + boxes[up].to_numpy(float)) / 2 for low, up in (("x0", "x1"), ("y", "y2")))
+        ids, code = boxes["box_id"].to_numpy(), np.unique(boxes["box_id"].to_numpy(), return_inverse=True)[1]
+        twin = np.append(False, (of[1:] == of[:-1]) & (ids[1:] == ids[:-1]))
+        twin |= np.append(twin[1:], False)
+        k = np.arange(points)
+        for a, b in _all_pairs(of, boxes["box_id"], MOST_AT_ONCE // 8):
+            if not len(a):
+                continue
+            x, y_ = (np.rint(c[a][:, None] + (c[b] - c[a])[:, None] * k / (points - 1)).astype(np.int64).ravel() for c in (cx, cy))
+            # Patches at one place have one label; those of boxes that share an id count together.
+            place = (np.repeat(of[a], points) * (np.ptp(y_) + 1) + y_ - y_.min()) * (np.ptp(x) + 1) + x - x.min()
+            if (double := twin[a] | twin[b]).any():
+                pair = np.unique(np.stack([of[a], code[a], code[b]]), axis=1, return_inverse=True)[1].ravel()
+                place = np.where(np.repeat(double, points), -1 - (pair[:, None] * points + k).ravel(), place)
+            _, one, patch = np.unique(place, return_index=True, return_inverse=True)
+            looked = np.concatenate([one[place[one] >= 0], np.flatnonzero(place < 0)])
+            row, line = np.repeat(looked, 2 * radius + 1), np.tile(np.arange(-radius, radius + 1), len(looked))
+            line = y_[row] + line
+            row, line = row[(line >= top) & (line < top + high)], line[(line >= top) & (line < top + high)]
+            at, run = _meet(np.repeat(of[a], points)[row] * high + line - top, x[row] - radius, x[row] + radius, own, x0, x1)
+            row = row[at]
+            best = _most(patch[row], label[run], np.minimum(x1[run], x[row] + radius) - np.maximum(x0[run], x[row] - radius) + 1, len(one))
+            seen = best[patch].reshape(len(a), points)
+            off = np.where(seen == 0, np.iinfo(np.int64).max, seen).min(axis=1) < np.where(seen == 0, np.iinfo(np.int64).min, seen).max(axis=1)
+            found = pd.DataFrame({"page_id": boxes["page_id"].to_numpy()[a[off]], "a": ids[a[off]], "b": ids[b[off]]})
+            yield found.drop_duplicates() if twin.any() else found
+
+    return vetoed
+
+
 def path_label_veto(boxes: DataFrame, labelled: DataFrame, points: int = 9, radius: int = 3, pairs: DataFrame | None = None) -> DataFrame:
-    """(page_id, a, b) of the pairs where the patches on the way between the centres have two labels or more."""
+    """(page_id, a, b) of the pairs, by default all of a page, where the patches on the way between the centres have
+    two labels or more."""
+    if pairs is None:
+        kinds = dict(boxes.dtypes)
+        whole = boxes.dropna(subset=["box_id", "x1", "y1", "x2", "y2"])
+        asked = whole.select("page_id", F.lit(True).alias("asked"), "box_id", F.lit(0).cast("bigint").alias("label"), F.col("y1").alias("y"), F.col("y2"), F.col("x1").alias("x0"), F.col("x2").alias("x1"))
+        seen = labelled.select("page_id", F.lit(False).alias("asked"), F.lit(0).cast(kinds["box_id"]).alias("box_id"), "label", "y", F.col("y").alias("y2"), "x0", "x1")
+        return by_page(seen.union(asked), ["page_id"], _paths(points, radius), _pair_schema(boxes), "y", "x0")
     p = _sided(pairs, boxes)
     centre = lambda s, c: (F.col(f"{s}{c}1") + F.col(f"{s}{c}2")) / 2
     at = p.select("page_id", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"), *[centre(s, c).alias(s + c) for s in "ab" for c in "xy"])

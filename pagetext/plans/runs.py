@@ -111,9 +111,10 @@ best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY page_id, box_
 _SHARES = f"s AS (SELECT b.page_id, b.box_id, coalesce(best.label, 0) AS label, coalesce(pixels / ((x2 - x1) * (y2 - y1))::DOUBLE, 0) AS share, floor((x1 + x2) / 2) AS x, floor((y1 + y2) / 2) AS y, x1, y1, x2, y2 FROM {_BOXES} b LEFT JOIN best USING (page_id, box_id))"
 _NEAR = f"a.x1 - {op.REACH} < b.x2 AND b.x1 - {op.REACH} < a.x2 AND a.y1 - {op.REACH} < b.y2 AND b.y1 - {op.REACH} < a.y2"
 _PAIRS = f"p AS (SELECT a.page_id, a.box_id AS a, b.box_id AS b, a.label AS al, b.label AS bl, a.share AS ash, b.share AS bsh, a.x AS ax, a.y AS a_y, b.x AS bx, b.y AS b_y FROM s a JOIN s b ON a.page_id = b.page_id AND a.box_id < b.box_id AND {_NEAR})"
+_ALL = _PAIRS.replace(f" AND {_NEAR}", "")  # of a page, near or not
 _COLUMNS = "ext AS MATERIALIZED (SELECT page_id, label, CAST(x AS INT) AS x, CAST(max(y) - min(y) + 1 AS INT) AS extent FROM (SELECT page_id, label, y, unnest(range(x0, x1 + 1)) AS x FROM l) GROUP BY 1, 2, 3)"
 _PATCHES = f"""c AS (SELECT page_id, box_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, x1, y1, x2, y2 FROM {_BOXES}),
-way AS (SELECT a.page_id, a.box_id AS a, b.box_id AS b, k, CAST(round_even(a.x + (b.x - a.x) * k / 8, 0) AS INT) AS x, CAST(round_even(a.y + (b.y - a.y) * k / 8, 0) AS INT) AS y FROM c a JOIN c b ON a.page_id = b.page_id AND a.box_id < b.box_id AND {_NEAR}, (SELECT unnest(range(9)) AS k)),
+way AS (SELECT a.page_id, a.box_id AS a, b.box_id AS b, k, CAST(round_even(a.x + (b.x - a.x) * k / 8, 0) AS INT) AS x, CAST(round_even(a.y + (b.y - a.y) * k / 8, 0) AS INT) AS y FROM c a JOIN c b ON a.page_id = b.page_id AND a.box_id < b.box_id, (SELECT unnest(range(9)) AS k)),
 patches AS (SELECT page_id, (a * 4096 + b) * 16 + k AS box_id, a, b, x - 3 AS x1, y - 3 AS y1, x + 4 AS x2, y + 4 AS y2 FROM way)"""
 _AFTER = "(SELECT page_id, y, x0 + 5 AS x0, x1 FROM n WHERE y % 4 < 3)"
 
@@ -123,7 +124,7 @@ ORACLES = {
     "column_extents": f"WITH RECURSIVE {_L}, {_COLUMNS}, k AS (SELECT *, x - row_number() OVER (PARTITION BY page_id, label, extent ORDER BY x) AS k FROM ext) SELECT page_id, label, CAST(min(x) AS INT) AS x0, CAST(max(x) AS INT) AS x1, extent FROM k GROUP BY page_id, label, extent, k",
     "box_label": f"WITH RECURSIVE {_L}, {_met(2)} SELECT b.page_id, b.box_id, coalesce(label, 0) AS label FROM {_BOXES} b LEFT JOIN best USING (page_id, box_id)",
     "box_coverage": f"WITH RECURSIVE {_FILLED}, {_met(0)}, {_SHARES} SELECT page_id, box_id, label, round(share, 6) AS share FROM s",
-    "container_veto": f"WITH RECURSIVE {_FILLED}, {_met(0)}, {_SHARES}, {_PAIRS} SELECT page_id, a, b FROM p WHERE (ash >= 0.5 AND bsh >= 0.5 AND al <> bl) OR (ash >= 0.5 AND bsh <= 0.3) OR (ash <= 0.3 AND bsh >= 0.5)",
+    "container_veto": f"WITH RECURSIVE {_FILLED}, {_met(0)}, {_SHARES}, {_ALL} SELECT page_id, a, b FROM p WHERE (ash >= 0.5 AND bsh >= 0.5 AND al <> bl) OR (ash >= 0.5 AND bsh <= 0.3) OR (ash <= 0.3 AND bsh >= 0.5)",
     "waist_veto": f"""WITH RECURSIVE {_L}, {_met(14)}, {_SHARES}, {_PAIRS}, {_COLUMNS},
 q AS (SELECT p.page_id, a, b, al AS label, greatest(least(ax, bx), w.lo) AS lo, least(greatest(ax, bx), w.hi) AS hi FROM p JOIN (SELECT page_id, label, min(x) AS lo, max(x) AS hi FROM ext GROUP BY 1, 2) w ON w.page_id = p.page_id AND w.label = al
 WHERE al = bl AND al <> 0 AND abs(ax - bx) > abs(a_y - b_y) AND abs(ax - bx) >= 12 AND least(greatest(ax, bx), w.hi) - greatest(least(ax, bx), w.lo) >= 12),

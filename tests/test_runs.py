@@ -170,3 +170,32 @@ def test_components_whatever_the_bands(spark):
                 assert {(r.page_id, r.y, r.x0, r.x1): r.label for r in runs.components_of_runs(df, reach, band).collect()} == want
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_container_veto_of_far_boxes_and_shared_ids(spark):
+    """Boxes 900 px apart are a pair too; of boxes that share an id each has its own rows, and no more."""
+    solid = spark.createDataFrame([(1, x, y, x, x + 19) for y in range(20) for x in (40, 1000)], RUN)
+    boxes = spark.createDataFrame([(1, 1, 42, 2, 50, 10), (1, 2, 1002, 2, 1010, 10), (1, 2, 1004, 2, 1012, 10), (1, 3, 44, 2, 52, 10)], BOX)
+    assert sorted((r.a, r.b) for r in runs.container_veto(boxes, solid).collect()) == [(1, 2), (1, 2), (2, 3), (2, 3)]
+
+
+def test_path_label_veto_of_far_boxes(spark):
+    """All pairs of a page, against patches pixel by pixel."""
+    rng = random.Random(11)
+    rows, boxes = random_runs(rng, pages=2, height=40, width=1500), []
+    rows = [(p, label + 1, y, x0, x1) for p, label, y, x0, x1 in rows]
+    for i in range(24):
+        x, y = rng.randrange(0, 1400), rng.randrange(0, 30)
+        boxes.append((i % 2, i // 2 if i > 3 else 1, x, y, x + 9, y + 7))
+    got = [(r.page_id, r.a, r.b) for r in runs.path_label_veto(spark.createDataFrame(boxes, BOX), spark.createDataFrame(rows, RUN)).collect()]
+    maps, seen = [label_map(rows, p, 40, 1500) for p in range(2)], {}
+    for p, a, *s in boxes:
+        for q, b, *t in boxes:
+            if p == q and a < b:
+                (ax, ay), (bx, by) = (((k[0] + k[2]) / 2, (k[1] + k[3]) / 2) for k in (s, t))
+                for k in range(9):
+                    x, y = round(ax + (bx - ax) * k / 8) + 200, round(ay + (by - ay) * k / 8) + 200
+                    seen.setdefault((p, a, b), {}).setdefault(k, []).extend(maps[p][y - 3 : y + 4, x - 3 : x + 4].ravel())
+    top = lambda cells: max(((cells.count(v), -v) for v in set(cells) if v), default=(0, 0))[1]
+    want = {key for key, at in seen.items() if len({top(c) for c in at.values()} - {0}) > 1}
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(seen)
