@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetext.operators.graph import by_page, component_labels, cut
+from pagetext.operators.graph import by_page, component_labels, cut, kept, least_labels
 
 TILE = 64  # pixels, either way, of the tiles in which runs and boxes meet
 BAND = 4096  # rows of a page that one task labels
@@ -17,32 +17,53 @@ REACH = 256  # pixels between boxes that count as near
 WAIST_SPAN = 12
 MOST_AT_ONCE = 1 << 18  # pairs, or rows of boxes, that a task lays out at once
 _FAR = np.int64(1 << 40)
+_NO_END = -(1 << 31)  # stands for the end of a run that has none
+
+
+def _touching(row: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.ndarray:
+    """For runs sorted by row and x0, the first run of each one's component: runs of neighbouring rows that overlap
+    within `reach` columns connect. Runs of one row and x0 are one."""
+    fresh = np.append(True, (row[1:] != row[:-1]) | (x0[1:] != x0[:-1]))
+    node = np.cumsum(fresh) - 1
+    a, b = _meet(row + 1, x0 - reach, x1 + reach, row, x0, x1)
+    return np.flatnonzero(fresh)[least_labels(int(fresh.sum()), node[a], node[b])][node]
 
 
 def components_of_runs(runs: DataFrame, reach: int = 1, band: int = BAND) -> DataFrame:
     """runs with label, the least node ((y + 1) * 2**32 + x0, never 0) of its component; runs of neighbouring rows that
-    overlap within `reach` columns connect (1: eight ways, 0: four ways).
+    overlap within `reach` columns connect (1: eight ways, 0: four ways). Runs without a page, a row or a beginning have
+    no place and are left out; those without an end touch nothing.
 
     A page is cut into bands of `band` rows, each labelled by itself, so a tall strip is many tasks' work. Then the
     labels on either side of a cut that touch are joined: the least of them names the component, which is
-    the least node of all, however high the bands are."""
-    node = F.shiftleft(F.col("y").cast("bigint") + 1, 32) + F.col("x0")
-    n = runs.select("page_id", "y", "x0", "x1", node.alias("frag_id"), F.floor(F.col("y") / band).alias("band"))
-    a, b = n.alias("a"), n.alias("b")
-    touch = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("b.x0") <= F.col("a.x1") + reach) & (F.col("b.x1") >= F.col("a.x0") - reach)
-    edges = a.join(b, touch).select("a.page_id", F.col("a.frag_id").alias("a"), F.col("b.frag_id").alias("b"), F.col("a.band").alias("band"), (F.col("a.band") == F.col("b.band")).alias("inside"))
-    own = component_labels(edges.where("inside"), "band").drop("band")
-    labelled = n.join(own, ["page_id", "frag_id"], "left").select("page_id", "frag_id", "y", "x0", "x1", F.coalesce("group_id", "frag_id").alias("label"))
-    bands = n.agg(F.min("band").alias("first"), F.max("band").alias("last")).first()
+    the least node of all, however high the bands are. Labelled bands are kept as a table."""
+    kinds = dict(runs.dtypes)
+
+    def named(rows: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+        y, x0, x1 = (rows[c].to_numpy(np.int64) for c in ("y", "x0", "end"))
+        first = _touching(_lines(_numbers(page), y), x0, x1, reach)
+        return rows.assign(label=((y + 1 << 32) + x0)[first])[["page_id", "y", "x0", "end", "label"]]
+
+    n = runs.dropna(subset=["page_id", "y", "x0"]).select("page_id", F.floor(F.col("y") / band).alias("band"), "y", "x0", F.coalesce("x1", F.lit(_NO_END)).alias("end"))
+    labelled = by_page(n, ["page_id", "band"], named, f"page_id {kinds['page_id']}, y {kinds['y']}, x0 {kinds['x0']}, end {kinds['x1']}, label bigint", "y", "x0")
+    labelled = kept(labelled.select("page_id", "y", "x0", F.when(F.col("end") > _NO_END, F.col("end")).alias("x1"), "label"))
+    edge = F.floor(F.col("y") / band)
+    bands = labelled.agg(F.min(edge).alias("first"), F.max(edge).alias("last")).first()
     if bands.first == bands.last:  # no page is cut
-        return labelled.select("page_id", "y", "x0", "x1", "label")
-    labelled, seams = cut(labelled), edges.where("NOT inside").select("page_id", "a", "b")
-    for side in "ab":
-        seams = seams.join(labelled.select("page_id", F.col("frag_id").alias(side), F.col("label").alias(f"l{side}")), ["page_id", side])
-    joined = component_labels(seams.select("page_id", F.col("la").alias("a"), F.col("lb").alias("b")).distinct()).select("page_id", F.col("frag_id").alias("label"), "group_id")
+        return labelled
+    a, b = (labelled.where(F.col("y") - edge * band == row).alias(side) for side, row in (("a", band - 1), ("b", 0)))
+    touch = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("b.x0") <= F.col("a.x1") + reach) & (F.col("b.x1") >= F.col("a.x0") - reach)
+    seams = a.join(b, touch).select("a.page_id", F.col("a.label").alias("a"), F.col("b.label").alias("b")).distinct()
+    joined = component_labels(seams).select("page_id", F.col("frag_id").alias("label"), "group_id")
     return labelled.join(joined, ["page_id", "label"], "left").select("page_id", "y", "x0", "x1", F.coalesce("group_id", "label").alias("label"))
 
 
+def _lines(page: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A number for each row of each page; the rows of two pages are never neighbours."""
+    low, high = int(y.min(initial=0)), int(y.max(initial=0))
+    return page * (high - low + 2) + y - low
+
+
 def background_runs(runs: DataFrame, pages: DataFrame) -> DataFrame:
     """The gaps between the runs of pages(page_id, w, h)."""
     rows = pages.select("page_id", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
@@ -51,12 +72,60 @@ def background_runs(runs: DataFrame, pages: DataFrame) -> DataFrame:
     return edges.select("page_id", "y", (F.col("x1") + 1).alias("x0"), (after - 1).alias("x1")).where("x0 <= x1")
 
 
-def fill_holes(runs: DataFrame, pages: DataFrame) -> DataFrame:
-    """runs with the holes in them, labelled: background that doesn't reach the corner four ways is inside."""
-    back = cut(components_of_runs(background_runs(runs, pages), reach=0))
+def _solid(rows: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+    """Runs of whole pages with their holes, labelled; a page's size comes as a row of its own."""
+    page, sized = _numbers(page), rows["sized"].to_numpy()
+    of, y, x0, x1 = page[~sized], *(rows[c].to_numpy(np.int64)[~sized] for c in ("y", "x0", "x1"))
+    w, h = np.full(page[-1] + 1, -1), np.zeros(page[-1] + 1, np.int64)
+    w[page[sized]], h[page[sized]] = rows["x0"].to_numpy()[sized], rows["x1"].to_numpy()[sized]
+    known = np.zeros(page[-1] + 1, bool)
+    known[page[sized]] = True
+    edge, line = _spread(np.zeros(len(h), np.int64), h)  # the left edge of each row
+    inside = known[of]
+    g, gy, gx, end = (np.concatenate([e, r[inside]]) for e, r in ((edge, of), (line, y), (np.full(len(edge), -1), x0), (np.full(len(edge), -1), x1)))
+    order = np.lexsort((gx, gy, g))
+    g, gy, gx, end = g[order], gy[order], gx[order], end[order]
+    same = np.append((g[1:] == g[:-1]) & (gy[1:] == gy[:-1]), False)[: len(g)]
+    until = np.where(same, np.append(gx[1:], 0)[: len(g)], w[g]) - 1
+    gap = end + 1 <= until
+    g, gy, start, until = g[gap], gy[gap], end[gap] + 1, until[gap]
+    if len(g):
+        order = np.lexsort((start, gy, g))
+        g, gy, start, until = g[order], gy[order], start[order], until[order]
+        label = _touching(_lines(g, gy), start, until, 0)
+        hole = ~np.isin(label, label[(gy == 0) & (start == 0)])
+        of, y, x0, x1 = (np.concatenate([r, s[hole]]) for r, s in ((of, g), (y, gy), (x0, start), (x1, until)))
+    order = np.lexsort((x0, y, of))
+    of, y, x0, x1 = of[order], y[order], x0[order], x1[order]
+    row = _lines(of, y)
+    low = int(x0.min(initial=0))
+    wide = int(x1.max(initial=0)) - low + 3
+    reach = np.maximum.accumulate(row * wide + x1 - low)
+    fresh = np.append(True, row[1:] * wide + x0[1:] - low > np.maximum(reach[:-1], row[1:] * wide - 2 - low) + 1)[: len(row)] | np.append(True, row[1:] != row[:-1])[: len(row)]
+    first = np.flatnonzero(fresh)
+    of, y, x0, x1, row = of[first], y[first], x0[first], np.maximum.reduceat(x1, first) if len(first) else x1, row[first]
+    named = rows["page_id"].iloc[np.searchsorted(page, of)].to_numpy()
+    return pd.DataFrame({"page_id": named, "y": y, "x0": x0, "x1": x1, "label": ((y + 1 << 32) + x0)[_touching(row, x0, x1, 1)] if len(y) else y})
+
+
+def fill_holes(runs: DataFrame, pages: DataFrame, band: int = BAND) -> DataFrame:
+    """runs with the holes in them, labelled: background that doesn't reach the corner four ways is inside.
+
+    Pages of at most `band` rows are filled page after page as their runs come; taller ones by the components of their
+    background, which are labelled band by band."""
+    kinds = dict(runs.dtypes)
+    runs = runs.select("page_id", "y", "x0", "x1").dropna()
+    tall = pages.where(F.col("h") > band).select("page_id")
+    low, high = (runs, None) if tall.isEmpty() else (runs.join(tall, "page_id", "left_anti"), runs.join(tall, "page_id", "left_semi"))
+    sizes = pages.where(F.col("h") <= band).dropna().select("page_id", F.lit(True), F.lit(0), "w", "h")
+    rows = low.select("page_id", F.lit(False).alias("sized"), "y", "x0", "x1").union(sizes)
+    found = by_page(rows, ["page_id"], _solid, f"page_id {kinds['page_id']}, y {kinds['y']}, x0 {kinds['x0']}, x1 {kinds['x1']}, label bigint")
+    if high is None:
+        return found
+    back = components_of_runs(background_runs(high, pages.where(F.col("h") > band)), reach=0, band=band)
     corner = back.where("y = 0 AND x0 = 0").select("page_id", "label")
     holes = back.join(corner, ["page_id", "label"], "left_anti").select("page_id", "y", "x0", "x1")
-    return components_of_runs(merged_runs(runs.select("page_id", "y", "x0", "x1").union(holes)))
+    return found.union(components_of_runs(merged_runs(high.union(holes)), band=band))
 
 
 def merged_runs(runs: DataFrame) -> DataFrame:
@@ -148,16 +217,41 @@ def _clipped(tiles: DataFrame, pieces: DataFrame) -> DataFrame:
     return met.withColumns({"x0": F.greatest("x0", "l"), "x1": F.least(F.col("x1"), F.col("r") - 1)}).where("x0 <= x1")
 
 
+def _boxed(rows: pd.DataFrame, page: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(page_id, box_id, label, pixels) of the boxes among the runs of a band, some boxes at a time."""
+    page, asked = _numbers(page), rows["asked"].to_numpy()
+    runs, boxes, of = rows[~asked], rows[asked], page[asked]
+    if not len(runs) or not len(boxes):
+        return
+    y, x0, x1, label = (runs[c].to_numpy(np.int64) for c in ("y", "x0", "x1", "label"))
+    t, d, l, r = (boxes[c].to_numpy(np.int64) for c in ("y", "y2", "x0", "x1"))
+    top, high = int(y.min()), int(y.max()) - int(y.min()) + 1
+    own, names = page[~asked] * high + y - top, np.unique(label)
+    code = np.searchsorted(names, label)
+    first = np.clip(t, top, top + high)
+    n = np.clip(d, top, top + high) - first
+    for i, j in _chunks(n):
+        box, line = _spread(first[i:j], n[i:j])
+        box += i
+        at, run = _meet(of[box] * high + line - top, l[box], r[box] - 1, own, x0, x1)
+        box = box[at]
+        key, back = np.unique(box * len(names) + code[run], return_inverse=True)
+        pixels = np.bincount(back, np.minimum(x1[run], r[box] - 1) - np.maximum(x0[run], l[box]) + 1, len(key))
+        which = boxes.iloc[key // len(names)]
+        yield pd.DataFrame({"page_id": which["page_id"].to_numpy(), "box_id": which["box_id"].to_numpy(), "label": names[key % len(names)], "pixels": pixels.astype(np.int64)})
+
+
 def _overlap(labelled: DataFrame, boxes: DataFrame, pad: int) -> DataFrame:
     """(page_id, box_id, label, pixels) of padded boxes.
 
-    Runs and boxes meet in tiles of TILE x TILE pixels. A tile wholly inside a box adds its labels' pixels,
-    summed once; only in tiles that a box's edge crosses are runs looked at one by one."""
-    pieces, tiles, keys = _tiled_runs(labelled), _tiled_boxes(boxes, pad), ["page_id", "ty", "tx"]
-    length = F.sum(F.col("x1") - F.col("x0") + 1)
-    inner = tiles.where("whole").join(pieces.groupBy(*keys, "label").agg(length.alias("pixels")), keys)
-    edge = _clipped(tiles.where("NOT whole"), pieces).groupBy("page_id", "box_id", "label").agg(length.alias("pixels"))
-    return inner.select("page_id", "box_id", "label", "pixels").union(edge).groupBy("page_id", "box_id", "label").agg(F.sum("pixels").alias("pixels"))
+    Runs and boxes meet in bands of BAND rows, band after band as the rows come; a box is in each band that it reaches."""
+    kinds = dict(boxes.dtypes)
+    floor = lambda c: F.floor(c / BAND)
+    own = boxes.select("page_id", "box_id", (F.col("x1") - pad).alias("l"), (F.col("y1") - pad).alias("t"), (F.col("x2") + pad).alias("r"), (F.col("y2") + pad).alias("d")).where("l < r AND t < d")
+    asked = own.select("page_id", F.explode(F.sequence(floor(F.col("t")), floor(F.col("d") - 1))).alias("band"), F.lit(True).alias("asked"), "box_id", F.lit(0).cast("bigint").alias("label"), F.col("t").alias("y"), F.col("d").alias("y2"), F.col("l").alias("x0"), F.col("r").alias("x1"))
+    runs = labelled.dropna(subset=["label", "y", "x0", "x1"]).select("page_id", floor(F.col("y")).alias("band"), F.lit(False).alias("asked"), F.lit(0).cast(kinds["box_id"]).alias("box_id"), "label", "y", F.col("y").alias("y2"), "x0", "x1")
+    met = by_page(runs.union(asked), ["page_id", "band"], _boxed, f"page_id {kinds['page_id']}, box_id {kinds['box_id']}, label bigint, pixels bigint", "y", "x0")
+    return met.repartition("page_id", "box_id").groupBy("page_id", "box_id", "label").agg(F.sum("pixels").alias("pixels"))
 
 
 def box_label(boxes: DataFrame, labelled: DataFrame, pad: int = 14) -> DataFrame:

@@ -199,3 +199,33 @@ def test_path_label_veto_of_far_boxes(spark):
     top = lambda cells: max(((cells.count(v), -v) for v in set(cells) if v), default=(0, 0))[1]
     want = {key for key, at in seen.items() if len({top(c) for c in at.values()} - {0}) > 1}
     assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < len(seen)
+
+
+def test_holes_page_by_page_equal_those_of_bands(spark):
+    """Pages filled as they come and pages labelled band by band have the same runs; so has a page without a size."""
+    rng = random.Random(12)
+    rows = [(p, y, x0, x1) for p, _, y, x0, x1 in random_runs(rng, pages=3, height=40, width=90, labels=1)]
+    df = spark.createDataFrame(rows, "page_id bigint, y int, x0 int, x1 int").repartition(3)
+    sizes = spark.createDataFrame([(0, 95, 40), (1, 95, 45)], "page_id bigint, w int, h int")
+    found = lambda band: sorted(map(tuple, runs.fill_holes(df, sizes, band=band).collect()))
+    assert found(4096) == found(42) == found(7) and len(found(4096)) < len(rows)
+
+
+def test_filled_pages_shuffle_once(spark):
+    """Runs and sizes of pages go through one exchange, not through joins and windows."""
+    df = spark.range(100).selectExpr("id page_id", "cast(id % 7 as int) y", "0 x0", "5 x1")
+    plan = runs.fill_holes(df, df.selectExpr("page_id", "10 w", "8 h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_boxes_across_bands(spark):
+    tall = spark.range(10_000).selectExpr("1L page_id", "1 + id % 2 label", "cast(id as int) y", "0 x0", "9 x1")
+    boxes = spark.createDataFrame([(1, 1, 2, -5, 4, 9_001), (1, 2, 0, 4_095, 20, 4_097), (1, 3, 30, 0, 40, 9_000)], BOX)
+    got = {(r.box_id, r.label): r.pixels for r in runs._overlap(tall, boxes, 0).collect()}
+    assert got == {(1, 1): 2 * 4_501, (1, 2): 2 * 4_500, (2, 1): 10, (2, 2): 10}
+
+
+def test_runs_without_a_place_or_an_end(spark):
+    rows = [(1, 0, 0, 5), (1, 1, 3, None), (1, 2, 3, 4), (1, None, 3, 4), (None, 1, 3, 4), (1, 1, None, 4)]
+    df = spark.createDataFrame(rows, "page_id bigint, y int, x0 int, x1 int")
+    assert sorted((r.y, r.x1, r.label >> 32) for r in runs.components_of_runs(df).collect()) == [(0, 5, 1), (1, None, 2), (2, 4, 3)]
