@@ -83,14 +83,23 @@ def call_rate(calls: DataFrame, limit: int = 12, seconds: int = 60, slack_ms: in
     whether one more would exceed the limit, and the wait until then in ms.
 
     Time is cut into slots as long as the window; a call is looked at in its own slot and, as one that
-    came before, in the next, so a provider's calls are spread by time. Calls without a time are in
-    no window."""
+    came before, in the next, so a provider's calls are spread by time. There it comes and, when it is as old as
+    the window, goes: a running sum counts those that are in, however many, and the call after the last that
+    went is the oldest. Calls without a time are in no window."""
     size = seconds * 1000
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     own = calls.withColumn("ms", ms).withColumn("slot", F.floor(F.col("ms") / size)).withColumn("own", F.lit(True))
     before = own.where("ms IS NOT NULL").select("provider", "ms", (F.col("slot") + 1).alias("slot"), F.lit(False).alias("own"))
-    w = Window.partitionBy("provider", "slot").orderBy("ms").rangeBetween(-(size - 1), 0)
-    seen = own.unionByName(before, allowMissingColumns=True).withColumn("in_window", F.when(F.col("ms").isNotNull(), F.count("*").over(w)).otherwise(0)).withColumn("oldest", F.min("ms").over(w)).where("own")
+    both = own.unionByName(before, allowMissingColumns=True)
+    w = Window.partitionBy("provider", "slot")
+    told = both.withColumn("next", F.lead("ms").over(w.orderBy("ms")))
+    none = F.lit(None).cast("bigint")
+    comes = F.struct(F.col("ms").alias("at"), F.lit(1).alias("n"), none.alias("left"))
+    goes = F.struct((F.col("ms") + size).alias("at"), F.lit(-1).alias("n"), F.col("next").alias("left"))
+    events = told.withColumn("e", F.explode(F.when(F.col("own"), F.array(comes)).otherwise(F.array(comes, goes)))).drop("next").select("*", "e.*").drop("e")
+    upto = w.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    counted = events.withColumn("in_window", F.when(F.col("ms").isNotNull(), F.sum("n").over(upto)).otherwise(F.lit(0).cast("bigint")))
+    seen = counted.withColumn("oldest", F.coalesce(F.max("left").over(upto), F.min("ms").over(upto))).where("own").drop("at", "n", "left")
     full = F.col("in_window") >= limit
     return seen.withColumn("limited", full).withColumn("wait_ms", F.when(full, size - (F.col("ms") - F.col("oldest")) + slack_ms).otherwise(F.lit(0))).drop("ms", "oldest", "slot", "own")
 

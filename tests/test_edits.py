@@ -194,3 +194,20 @@ def test_budget_by_slots(spark):
             assert got[i][0] == pytest.approx(before, abs=1e-9) and got[i][1] == (round(before, 9) >= 20.0)
             before += cost or 0.0
     assert len(got) == 200
+
+
+def test_call_rate_sums_up_instead_of_looking_back(spark):
+    """Windows only grow, so a dense stretch costs as much a call as a thin one; calls at one time, at a window's
+    edge and without a time count as before."""
+    rng = random.Random(8)
+    calls = [(i, "pq"[rng.randrange(2)], None if i % 50 == 0 else rng.choice([0, 60_000, 120_000, rng.randrange(180_000)])) for i in range(600)]
+    frame = spark.createDataFrame(calls, "call_id int, provider string, at bigint").select("call_id", "provider", F.timestamp_millis("at").alias("ts"))
+    found = spend.call_rate(frame, limit=90)
+    got = {r.call_id: (r.in_window, r.limited, r.wait_ms) for r in found.collect()}
+    want = {}
+    for i, p, at in calls:
+        inside = [] if at is None else [t for _, q, t in calls if q == p and t is not None and at - 60_000 < t <= at]
+        full = len(inside) >= 90
+        want[i] = (len(inside), full, 60_000 - (at - min(inside)) + 250 if full else 0)
+    assert got == want and any(w[1] for w in want.values())
+    assert "RangeFrame, -" not in found._jdf.queryExecution().optimizedPlan().toString()
