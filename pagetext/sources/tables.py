@@ -32,20 +32,28 @@ def expand_archives(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(entries, "archive string, path string, content binary, error string")
 
 
+PIXELS_AT_ONCE = 1 << 22
+
+
 def image_runs(images: DataFrame, threshold: int, dark: bool = True, down: bool = False) -> DataFrame:
     """(page_id, y, x0, x1) of grey levels below (dark) or above the threshold, along rows or columns, of
-    images(page_id, width, height, channels, data) as Spark's image source decodes them (BGR)."""
+    images(page_id, width, height, channels, data) as Spark's image source decodes them (BGR).
+    Images of one size are looked at together, up to PIXELS_AT_ONCE values."""
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for page, w, h, c, data in zip(*(rows[k] for k in ("page_id", "width", "height", "channels", "data")), strict=True):
-                px = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(float)
-                grey = px[:, :, 0] if c == 1 else px[:, :, :3] @ [0.114, 0.587, 0.299]
-                ink = (grey < threshold) if dark else (grey > threshold)
-                ink = np.pad(ink.T if down else ink, ((0, 0), (1, 1))).astype(np.int8)
-                y, x0 = np.nonzero(np.diff(ink, axis=1) == 1)
-                x1 = np.nonzero(np.diff(ink, axis=1) == -1)[1] - 1
-                yield pd.DataFrame({"page_id": page, "y": y.astype(np.int32), "x0": x0.astype(np.int32), "x1": x1.astype(np.int32)})
+            for (w, h, c), alike in rows.groupby(["width", "height", "channels"], sort=False):
+                step = max(PIXELS_AT_ONCE // max(w * h * c, 1), 1)
+                for first in range(0, len(alike), step):
+                    part = alike.iloc[first : first + step]
+                    px = np.frombuffer(b"".join(part["data"]), np.uint8).reshape(len(part), h, w, c)
+                    grey = px[..., 0].astype(np.int16) if c == 1 else px[..., :3].astype(float) @ [0.114, 0.587, 0.299]
+                    ink = (grey < threshold) if dark else (grey > threshold)
+                    ink = np.pad(ink.swapaxes(1, 2) if down else ink, ((0, 0), (0, 0), (1, 1))).astype(np.int8)
+                    edge = np.diff(ink, axis=2)
+                    image, y, x0 = np.nonzero(edge == 1)
+                    x1 = np.nonzero(edge == -1)[2] - 1
+                    yield pd.DataFrame({"page_id": part["page_id"].to_numpy()[image], "y": y.astype(np.int32), "x0": x0.astype(np.int32), "x1": x1.astype(np.int32)})
 
     return images.select("page_id", "width", "height", "channels", "data").mapInPandas(runs, "page_id bigint, y int, x0 int, x1 int")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagetext.operators import runs
+from pagetext.sources.tables import image_runs
 
 RUN = "page_id bigint, label bigint, y int, x0 int, x1 int"
 BOX = "page_id bigint, box_id int, x1 int, y1 int, x2 int, y2 int"
@@ -229,3 +230,23 @@ def test_runs_without_a_place_or_an_end(spark):
     rows = [(1, 0, 0, 5), (1, 1, 3, None), (1, 2, 3, 4), (1, None, 3, 4), (None, 1, 3, 4), (1, 1, None, 4)]
     df = spark.createDataFrame(rows, "page_id bigint, y int, x0 int, x1 int")
     assert sorted((r.y, r.x1, r.label >> 32) for r in runs.components_of_runs(df).collect()) == [(0, 5, 1), (1, None, 2), (2, 4, 3)]
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_images_of_many_sizes_in_few_parts(spark, down):
+    """Images of one size are looked at together: 3,000 images give a handful of result frames, not one each."""
+    rng = np.random.default_rng(9)
+    images = []
+    for i in range(3000):
+        w, h, c = int(rng.integers(1, 6)), int(rng.integers(1, 4)), int(rng.choice([1, 3]))
+        images.append((i, w, h, c, rng.integers(0, 256, (h, w, c), dtype=np.uint8).tobytes()))
+    found = image_runs(spark.createDataFrame(images, "page_id bigint, width int, height int, channels int, data binary").coalesce(1), 100, down=down)
+    want = set()
+    for i, w, h, c, data in images:
+        px = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(float)
+        ink = (px[:, :, 0] if c == 1 else px @ [0.114, 0.587, 0.299]) < 100
+        for y, line in enumerate(ink.T if down else ink):
+            at = np.flatnonzero(np.diff(np.concatenate([[0], line.astype(int), [0]])))
+            want |= {(i, y, int(a), int(b) - 1) for a, b in zip(at[::2], at[1::2], strict=True)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
