@@ -168,3 +168,33 @@ def test_pages_of_a_union_stay_whole(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(found) == 3000 and {r.n for r in found} == {21}
+
+
+def test_cache_entries_of_many_chapters_share_a_state(spark, folder):
+    """500 chapters in a few states: the newest entry is live until the watermark has left it behind, whatever comes for others."""
+    day = 86_400
+    parts = [[(c, at(0), c % 7) for c in range(500)], [(c, at(3 * day), 1) for c in range(0, 500, 2)] + [(1, at(0), 0)], [(c, at(14 * day), 2) for c in range(0, 500, 4)], [(0, at(14 * day), 1)], [(-1, at(40 * day), 0)]]
+    told, before = [], jobs.SHARDS
+    jobs.SHARDS = 8
+    try:
+        changes = jobs.kept(jobs.stream_cache(landed(spark, folder, parts, "chapter_id bigint, saved_at timestamp, v int"), 7), "update", told)
+    finally:
+        jobs.SHARDS = before
+    rows = changes.collect()
+    assert max(told[0].state) <= 8, told[0].state
+    assert sum(r.batch == 1 for r in rows) == 250 and {r.chapter_id for r in rows if r.batch == 1 and r.live} == set(range(0, 500, 2))
+    last = {r.chapter_id: (r.v, r.live) for r in jobs.last_change(changes, "chapter_id").collect()}
+    assert last == {c: (2 if c % 4 == 0 else 1 if c % 2 == 0 else c % 7, False) for c in range(500)} | {-1: (0, True)}
+
+
+def test_pages_in_parts_share_states(spark, folder):
+    rows = pages(60)
+    whole = regions_of(merge_regions(spark.createDataFrame(rows, FRAG).drop("expected", "landed_at")))
+    random.Random(5).shuffle(rows)
+    told, before = [], jobs.SHARDS
+    jobs.SHARDS = 4
+    try:
+        assert regions_of(jobs.stream_merge(landed(spark, folder, [rows[:200], rows[200:]], FRAG), told=told)) == whole
+    finally:
+        jobs.SHARDS = before
+    assert max(told[0].state) <= 4, told[0].state
