@@ -15,7 +15,6 @@ from pagetext.llm._store import stored
 
 LEAST_BITS, MOST_BITS = 6, 16  # of a symbol. 0: start and end, all bits: characters not in trusted text, between them its own
 ORDER = 4
-MOST_TRUSTED = 20_000
 QUANTILE = 0.99
 SLACK = 1.12
 SHORT = 8  # a text of n symbols may have 1 + SHORT / n times its language's threshold
@@ -146,29 +145,27 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def score(docs: DataFrame, labels: DataFrame, *, most_trusted: int = MOST_TRUSTED, carry: tuple[str, ...] = ("doc_id", "lang"), keep_text: bool = False) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, carry: tuple[str, ...] = ("doc_id", "lang"), keep_text: bool = False) -> DataFrame:
     """The carried columns (and the text, if kept), n_symbols (characters and an end) and log10_prob
     of each row's text."""
     spark = docs.sparkSession
-    sample = trusted_ids(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_trusted)
-    table, orders = fit(docs.join(F.broadcast(sample), "doc_id", "left_semi").select("text"))
+    table, orders = fit(stored(docs.join(trusted_ids(labels), "doc_id", "left_semi").select("text")))
     shared = spark.sparkContext.broadcast((table, orders))
     rows = docs.select(*carry, "text")
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns[: len(carry) + keep_text])
     return rows.mapInArrow(_scored(shared, keep_text), f"{kinds}, n_symbols bigint, log10_prob double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, most_trusted: int = MOST_TRUSTED, quantile: float = QUANTILE, slack: float = SLACK, least_trusted: int = LEAST_TRUSTED, carry: tuple[str, ...] = ("doc_id", "lang"), keep_text: bool = False) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, slack: float = SLACK, least_trusted: int = LEAST_TRUSTED, carry: tuple[str, ...] = ("doc_id", "lang"), keep_text: bool = False) -> DataFrame:
     """(carried columns, the text if kept, n_symbols, log10_prob, perplexity, threshold, keep) for each row of
     docs(doc_id, text, lang), with labels(doc_id, quality, toxic).
 
-    The model is trained on the texts of at most most_trusted trusted rows, picked by a hash of
-    their ids, which alone are broadcast. A language's threshold is slack times the quantile of
+    The model is trained on the texts of all trusted rows; its distinct grams are broadcast. A language's threshold is slack times the quantile of
     the perplexities (in steps of 0.01 %) of all its trusted rows; languages with fewer than
     least_trusted of them, a null language too, take that of all trusted rows. Rows at or below it
     are kept; short texts, whose perplexity says little, are allowed more. Without trusted rows everything is kept, with a null threshold. Null and empty texts
     have one symbol, the end, which says nothing: they are kept. Repeated rows each count."""
-    rated = score(docs, labels, most_trusted=most_trusted, carry=carry, keep_text=keep_text).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_symbols")))
+    rated = score(docs, labels, carry=carry, keep_text=keep_text).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_symbols")))
     scored = stored(rated.select("doc_id", "lang", "perplexity") if keep_text else rated)  # texts are scored again rather than written
     step = F.ceil(F.log10("perplexity") * 10_000)
     bins = scored.join(trusted_ids(labels), "doc_id", "left_semi").groupBy("lang", step.alias("step")).agg(F.count("*").alias("n"))

@@ -92,3 +92,14 @@ def test_stages_of_long_texts_and_clashing_columns(spark, tmp_path):
     left = {r.doc_id: r.text for r in seen.select("doc_id", "text").collect()}
     assert left == {i: t for i, t, _, _ in rows if i != 51}
     assert pipeline.run(spark, str(tmp_path)).count() == 9
+
+
+def test_quality_learns_from_all_trusted_rows(spark, monkeypatch):
+    """20,300 trusted rows are all in the model's texts; there is no most."""
+    from pagetext.llm import op6_quality as op6
+
+    seen, fit = [], op6.fit
+    monkeypatch.setattr(op6, "fit", lambda texts: seen.append(texts.count()) or fit(texts.limit(50)))
+    docs = spark.range(20_500).selectExpr("id doc_id", "concat('text ', id % 50) text", "'es' lang")
+    labels = spark.range(20_500).selectExpr("id doc_id", "int(id < 20300) quality", "0 toxic")
+    assert op6.score(docs, labels).count() == 20_500 and seen == [20_300]
