@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import difflib
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from pagetext.functions.alike import folded
+
 
 @F.pandas_udf(StringType())
-def _decomposed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+def _folded(texts: pd.Series) -> pd.Series:
+    there = texts.notna().to_numpy()
+    out = pd.Series([None] * len(texts), dtype=object)
+    out[there] = [t.decode() for t in folded(texts[there].tolist())]
+    return out
 
 
 def fold_text(c: Column) -> Column:
     """NFKD without combining marks, lower case, letters a-z and digits alone."""
-    return F.regexp_replace(F.lower(_decomposed(c)), "[^a-z0-9]+", "")
+    return _folded(c)
 
 
 @F.pandas_udf(DoubleType())
