@@ -62,28 +62,39 @@ FRAGMENT = "page_id bigint, frag_id int, x1 double, y1 double, x2 double, y2 dou
 LEAST_RETRY_FLOOR = 0.20
 
 
+FRAGMENTS_AT_ONCE = 10_000
+
+
 def ocr_pages(images: DataFrame, engine: Callable[[bytes, float], list[tuple]], fallback: Callable[[bytes, float], list[tuple]], min_conf: float = 0.35) -> DataFrame:
     """Fragments of images(page_id, content) by the user's engine(content, floor), a list of (x1, y1, x2, y2,
-    text, conf). Pages without any are read again by the fallback at a floor lower by 0.05; a page
-    that fails or stays empty has one row with the reason."""
-
-    def read(call, floor):
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                for page, content in zip(rows["page_id"], rows["content"], strict=True):
-                    try:
-                        found, why = [f for f in call(content, floor) if f[5] >= floor], "empty"
-                    except Exception as error:  # noqa: BLE001  the page's own outcome
-                        found, why = [], f"error: {error}"
-                    out = [(page, i, *f, None) for i, f in enumerate(found)] or [(page, None, None, None, None, None, None, None, why)]
-                    yield pd.DataFrame(out, columns=[c.split()[0] for c in FRAGMENT.split(", ")])
-
-        return work
-
-    first = cut(images.select("page_id", "content").mapInPandas(read(engine, min_conf), FRAGMENT))  # no page is read twice by one engine, whatever is lost
-    empty = images.join(first.where("reason = 'empty'").select("page_id"), "page_id", "left_semi")
-    again = empty.select("page_id", "content").mapInPandas(read(fallback, max(min_conf - 0.05, LEAST_RETRY_FLOOR)), FRAGMENT)
-    return first.where("reason IS NULL OR reason <> 'empty'").union(again)
+    text, conf). Pages without any are read again, where they are, by the fallback at a floor lower by
+    0.05; a page that fails or stays empty has one row with the reason."""
+    columns = [c.split()[0] for c in FRAGMENT.split(", ")]
+    again = max(min_conf - 0.05, LEAST_RETRY_FLOOR)
+
+    def read(page, content) -> list[tuple]:
+        try:
+            found = [f for f in engine(content, min_conf) if f[5] >= min_conf] or [f for f in fallback(content, again) if f[5] >= again]
+            why = "empty"
+        except Exception as error:  # noqa: BLE001  the page's own outcome
+            found, why = [], f"error: {error}"
+        return [(page, i, *f, None) for i, f in enumerate(found)] or [(page, None, None, None, None, None, None, None, why)]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for rows in batches:
+            for page, content in zip(rows["page_id"].astype(object), rows["content"], strict=True):
+                out += read(page, content)
+                if len(out) >= FRAGMENTS_AT_ONCE:
+                    yield frame(out)
+                    out = []
+        if out:
+            yield frame(out)
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=columns).astype({"page_id": "Int64", "frag_id": "Int32"})
+
+    return cut(images.select("page_id", "content").mapInPandas(work, FRAGMENT))  # once read, no page is read again, whatever is lost
 
 
 def failure_counts(fragments: DataFrame) -> DataFrame:
