@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from pagetext.functions.alike import folded
 
@@ -32,12 +33,32 @@ def ratcliff(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
-    return 1 - F.try_divide(F.levenshtein(a, b).cast("double"), F.greatest(F.length(a), F.length(b)))
+    far = F.when(a == b, F.lit(0)).otherwise(F.levenshtein(a, b))  # equal texts need no table
+    return 1 - F.try_divide(far.cast("double"), F.greatest(F.length(a), F.length(b)))
 
 
-NOT_LETTERS, NOT_MARKED = r"[^A-Za-zÀ-ɏḀ-ỿ]", r"[^À-ɏḀ-ỿ]"
+_KIND = np.zeros(0x110000, np.int8)  # 1: letters, 2: marked ones (precomposed Latin letters)
+for _first, _last, _kind in (("A", "Z", 1), ("a", "z", 1), ("À", "ɏ", 2), ("Ḁ", "ỿ", 2)):
+    _KIND[ord(_first) : ord(_last) + 1] = _kind
+
+
+@F.pandas_udf(StructType([StructField("marked", LongType()), StructField("letters", LongType())]))
+def letter_counts(texts: pd.Series) -> pd.DataFrame:
+    """How many letters each text has, and how many of them carry a mark; nulls for null."""
+    there = texts.notna().to_numpy()
+    whole = texts[there].tolist()
+    kind = _KIND[np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    ends = np.cumsum([0, *map(len, whole)])
+    out = {}
+    for name, found in (("marked", kind == 2), ("letters", kind > 0)):
+        upto = np.concatenate([[0], np.cumsum(found)])[ends]
+        n = pd.array([None] * len(texts), dtype="Int64")
+        n[there] = np.diff(upto)
+        out[name] = n
+    return pd.DataFrame(out)
 
 
 def marked_share(c: Column) -> Column:
     """Share of letters that carry a mark (precomposed Latin letters)."""
-    return F.try_divide(F.length(F.regexp_replace(c, NOT_MARKED, "")).cast("double"), F.length(F.regexp_replace(c, NOT_LETTERS, "")))
+    n = letter_counts(c)
+    return F.try_divide(n["marked"].cast("double"), n["letters"])
