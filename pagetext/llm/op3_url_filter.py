@@ -32,6 +32,19 @@ def blocked_bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return keys.groupBy(_block(F.col(key), blocks).alias("block")).agg(*sums)
 
 
+def in_block(key: Column, blocks: int) -> Column:
+    """The block that a key's bits are in."""
+    return _block(key, blocks)
+
+
+def maybe_in(key: Column) -> Column:
+    """Whether a row that has met its key's block of a blocked_bloom has all of the key's bits."""
+    all_set = F.lit(True)
+    for i in range(WORDS):
+        all_set &= F.call_function("shiftright", F.col(f"w{i}"), _bit(key, i)).bitwiseAND(F.lit(1)) == 1
+    return F.coalesce(all_set & key.isNotNull(), F.lit(False))
+
+
 def listed_flag(pages: DataFrame, listed: DataFrame, *, bits_per_key: int = 12, broadcast_bytes: int = 32 << 20, salts: int = 8) -> DataFrame:
     """`pages` plus `listed`: whether the row's canonical URL is one of `listed.canonical`.
 
@@ -52,10 +65,7 @@ def listed_flag(pages: DataFrame, listed: DataFrame, *, bits_per_key: int = 12,
     names = [c for c in pages.columns if c != "listed"]
     page = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("page")
     seen = pages.select(page, "canonical").withColumn("block", _block(F.col("canonical"), blocks)).join(bloom, "block", "left")
-    all_set = F.lit(True)
-    for i in range(WORDS):
-        all_set &= F.call_function("shiftright", F.col(f"w{i}"), _bit(F.col("canonical"), i)).bitwiseAND(F.lit(1)) == 1
-    maybe = F.coalesce(all_set & F.col("canonical").isNotNull(), F.lit(False))
+    maybe = maybe_in(F.col("canonical"))
     misses = seen.where(~maybe).select("page", F.lit(False).alias("listed"))
     copies = keys.select("canonical", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(True).alias("listed"))
     hits = seen.where(maybe).select("page", "canonical", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("salt"))

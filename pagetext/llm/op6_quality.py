@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagetext.llm._arrays import slices
 from pagetext.llm._store import stored
+from pagetext.llm.op3_url_filter import WORDS, blocked_bloom, in_block, maybe_in
 
 LEAST_BITS, MOST_BITS = 6, 16  # of a symbol. 0: start and end, all bits: characters not in trusted text, between them its own
 ORDER = 4
@@ -145,11 +146,26 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
+def trusted_texts(docs: DataFrame, labels: DataFrame, *, bits_per_id: int = 16, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The texts of all trusted rows, without moving any: a blocked Bloom filter of the trusted ids passes
+    theirs and a few others, and these others, found by ids alone, are taken out again. The filter is
+    broadcast up to broadcast_bytes and joined by block beyond."""
+    kind = docs.schema["doc_id"].dataType  # equal ids of another type have other hashes
+    ids = stored(trusted_ids(labels).select(F.col("doc_id").try_cast(kind).alias("doc_id")).dropna())
+    blocks = max(1, -(-ids.count() * bits_per_id // (64 * WORDS)))
+    bloom = blocked_bloom(ids, "doc_id", blocks)
+    if blocks * (WORDS + 1) * 8 <= broadcast_bytes:
+        bloom = F.broadcast(bloom)
+    passed = lambda *also: docs.select("doc_id", *also, in_block(F.col("doc_id"), blocks).alias("block")).join(bloom, "block").where(maybe_in(F.col("doc_id"))).select("doc_id", *also)
+    others = stored(passed().join(ids, "doc_id", "left_anti").distinct())
+    return passed("text").join(F.broadcast(others), "doc_id", "left_anti").select("text")
+
+
 def score(docs: DataFrame, labels: DataFrame, *, carry: tuple[str, ...] = ("doc_id", "lang"), keep_text: bool = False) -> DataFrame:
     """The carried columns (and the text, if kept), n_symbols (characters and an end) and log10_prob
     of each row's text."""
     spark = docs.sparkSession
-    table, orders = fit(stored(docs.join(trusted_ids(labels), "doc_id", "left_semi").select("text")))
+    table, orders = fit(stored(trusted_texts(docs, labels)))
     shared = spark.sparkContext.broadcast((table, orders))
     rows = docs.select(*carry, "text")
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns[: len(carry) + keep_text])

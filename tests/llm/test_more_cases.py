@@ -11,6 +11,7 @@ import corpus_pipeline as pipeline
 from pagetext.llm.op2_revisits import resolve_revisits
 from pagetext.llm.op3_url_filter import RULES, url_filter
 from pagetext.llm.op4_lattice_score import lattice_scores
+from pagetext.llm import op6_quality
 from pagetext.llm.op6_quality import classify
 from test_hard_cases import kneser_ney
 from test_llm import P, words
@@ -103,3 +104,19 @@ def test_quality_learns_from_all_trusted_rows(spark, monkeypatch):
     docs = spark.range(20_500).selectExpr("id doc_id", "concat('text ', id % 50) text", "'es' lang")
     labels = spark.range(20_500).selectExpr("id doc_id", "int(id < 20300) quality", "0 toxic")
     assert op6.score(docs, labels).count() == 20_500 and seen == [20_300]
+
+
+def test_trusted_texts_stay_where_they_are(spark):
+    """Exactly the trusted rows' texts, repeated ids and all, and none is shuffled however many there are (op6's disk)."""
+    docs = spark.createDataFrame([(i % 900 if i % 7 else None, f"text {i}") for i in range(2000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 1000, 2)] + [(None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    want = sorted(r.text for r in docs.join(op6_quality.trusted_ids(labels), "doc_id", "left_semi").collect())
+    for bits in (1, 16):  # one bit lets many others pass
+        assert sorted(r.text for r in op6_quality.trusted_texts(docs, labels, bits_per_id=bits).collect()) == want and want
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = op6_quality.trusted_texts(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "SortMergeJoin" not in plan and not any("Exchange" in line and "text" in line for line in plan.splitlines())
