@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetext.operators.graph import component_labels, forest_weights
+from pagetext.operators.graph import component_labels, forest_weights, touching_labels
 
 LINE_GAP, SIDE_GAP, LEAST_MARGIN = 1.6, 0.3, 4
 TALL_RATIO, TALL_SCALE = 2.0, 0.6
@@ -195,10 +195,10 @@ def assemble(ordered: DataFrame) -> DataFrame:
 
 def grouped_fragments(frags: DataFrame, scale: float = 0.5, borders: DataFrame | None = None, **vetoes) -> DataFrame:
     """frags with group_id, the least member of the group; rows without a page or an id are dropped."""
-    pairs = boxed_pairs(merge_margins(frags, scale))
-    if borders is not None or vetoes:
-        pairs = veto_pairs(pairs, frags, borders, **vetoes)
-    labels = component_labels(pairs)  # of fragments in a pair; the others are groups of their own
+    if vetoes:
+        labels = component_labels(veto_pairs(boxed_pairs(merge_margins(frags, scale)), frags, borders, **vetoes))
+    else:
+        labels = touching_labels(merge_margins(frags, scale), borders)  # the others are groups of their own
     return frags.dropna(subset=["page_id", "frag_id"]).join(labels, ["page_id", "frag_id"], "left").withColumn("group_id", F.coalesce("group_id", "frag_id"))
 
 

@@ -96,6 +96,79 @@ def _labels(edges: pd.DataFrame, page: np.ndarray, keys: list[str]) -> pd.DataFr
     return rows.assign(frag_id=ids[first], group_id=ids[first][label])
 
 
+def _ranks(page: list[np.ndarray], values: list[np.ndarray]) -> list[np.ndarray]:
+    """Whole numbers that are in the order of (page, value), for arrays of both."""
+    own, rank = np.unique(np.concatenate(values), return_inverse=True)
+    keys = np.concatenate(page).astype(np.int64) * (len(own) + 1) + rank
+    return np.split(keys, np.cumsum([len(v) for v in values])[:-1])
+
+
+AT_ONCE = 1 << 18  # pairs laid out together
+
+
+def _between(borders: tuple[np.ndarray, np.ndarray], page: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether a border of its page lies strictly between low and high."""
+    if not len(borders[0]):
+        return np.zeros(len(page), bool)
+    at, low, high = _ranks([borders[0], page, page], [borders[1], low, high])
+    at = np.sort(at)
+    return np.searchsorted(at, high, "left") > np.searchsorted(at, low, "right")
+
+
+def _touching(rows: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
+    """Groups of fragments whose reaches touch with no border between: those that come by top edge before a
+    reach's end are a run of the sorted rows."""
+    kind, ids = rows["kind"].to_numpy(), rows["frag_id"].to_numpy()
+    value = {c: rows[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2", "mv", "mh")}
+    lines = {axis: (page[kind == n], value["y1"][kind == n]) for n, axis in ((1, "h"), (2, "v"))}
+    frags = np.flatnonzero(kind == 0)  # by page and id
+    first = np.ones(len(frags), bool)
+    first[1:] = (page[frags][1:] != page[frags][:-1]) | (ids[frags][1:] != ids[frags][:-1])
+    node = np.cumsum(first) - 1
+    boxed = ~np.isnan(np.stack([v[frags] for v in value.values()])).any(axis=0)
+    at, node_of = frags[boxed], node[boxed]
+    top, end = _ranks([page[at]] * 2, [value["y1"][at] - value["mv"][at], value["y2"][at] + value["mv"][at]])
+    order = np.argsort(top, kind="stable")
+    at, node_of, top, end = at[order], node_of[order], top[order], end[order]
+    upto = np.searchsorted(top, end, "right")
+    low = np.arange(len(at)) + 1
+    n = np.maximum(upto - low, 0)
+    total = np.cumsum(n)
+    left, right, begin = value["x1"] - value["mh"], value["x2"] + value["mh"], 0
+    edges = []
+    while begin < len(at):
+        stop = max(begin + 1, int(np.searchsorted(total, total[begin] - n[begin] + AT_ONCE, "right")))
+        some = n[begin:stop]
+        i, j = np.repeat(np.arange(begin, stop), some), np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(low[begin:stop], some)
+        a, b = at[i], at[j]
+        met = (left[a] <= right[b]) & (left[b] <= right[a]) & (value["y1"][b] - value["mv"][b] <= value["y2"][a] + value["mv"][a]) & (value["y1"][a] - value["mv"][a] <= value["y2"][b] + value["mv"][b])
+        a, b, i, j = a[met], b[met], i[met], j[met]
+        gap = lambda c: (np.minimum(value[f"{c}2"][a], value[f"{c}2"][b]), np.maximum(value[f"{c}1"][a], value[f"{c}1"][b]))  # noqa: E731, B023
+        free = ~(_between(lines["h"], page[a], *gap("y")) | _between(lines["v"], page[a], *gap("x")))
+        edges.append((node_of[i[free]], node_of[j[free]]))
+        begin = stop
+    ends = [np.concatenate([e[k] for e in edges] or [np.empty(0, np.int64)]) for k in (0, 1)]
+    label = least_labels(int(first.sum()), *ends)
+    one = frags[first]
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return pd.DataFrame({"page_id": rows["page_id"].to_numpy()[one[moved]], "frag_id": ids[one[moved]], "group_id": ids[one[label[moved]]]})
+
+
+def touching_labels(frags: DataFrame, borders: DataFrame | None = None) -> DataFrame:
+    """(page_id, frag_id, group_id) of frags(page_id, frag_id, box, margin_v, margin_h) that a lesser member reaches over
+    fragments whose reaches touch, no border strictly inside their gap. Pairs lie inside pages: fragments and
+    borders meet by page once, and pairs are laid out there, some at a time."""
+    kinds = dict(frags.dtypes)
+    boxes = [F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    rows = frags.dropna(subset=["frag_id"]).select("page_id", F.lit(0).alias("kind"), "frag_id", *boxes, F.col("margin_v").cast("double").alias("mv"), F.col("margin_h").cast("double").alias("mh"))
+    if borders is not None:
+        line = F.when(F.col("axis") == "h", 1).when(F.col("axis") == "v", 2)
+        none = [F.lit(None).cast("double").alias(c) for c in ("x2", "y2", "mv", "mh")]
+        told = borders.select("page_id", line.alias("kind"), F.lit(0).cast(kinds["frag_id"]).alias("frag_id"), F.lit(0.0).alias("x1"), F.col("pos").cast("double").alias("y1"), *none)
+        rows = rows.union(told.dropna(subset=["kind", "y1"]))
+    return by_page(rows, ["page_id"], _touching, f"page_id {kinds['page_id']}, frag_id {kinds['frag_id']}, group_id {kinds['frag_id']}", "kind", "frag_id")
+
+
 def _merges(edges: pd.DataFrame, page: np.ndarray) -> pd.DataFrame:
     """How many groups of each page are merged at each weight: the edges of its minimum spanning forest.
 
