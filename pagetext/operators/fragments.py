@@ -210,6 +210,14 @@ def merge_regions(frags: DataFrame, scale: float = 0.5, borders: DataFrame | Non
     return assemble(order_fragments(grouped))
 
 
+def region_boxes(frags: DataFrame, scale: float = 0.5, borders: DataFrame | None = None, **vetoes) -> DataFrame:
+    """(page_id, group_id, cx, cy, x1 .. y2, confidence, n) of merge_regions' regions: nothing of it asks for lines or order."""
+    grouped = filter_by_confidence(with_floor(grouped_fragments(frags, scale, borders, **vetoes)))
+    ends = [(F.min if c[1] == "1" else F.max)(c).alias(c) for c in BOX]
+    regions = grouped.groupBy("page_id", "group_id").agg(*ends, F.max("img_w").alias("img_w"), F.max("img_h").alias("img_h"), F.bround(F.min("conf"), 3).alias("confidence"), F.count("*").alias("n"))
+    return box_to_pct(regions).select("page_id", "group_id", "cx", "cy", *[F.col(f"pct_{c}").alias(c) for c in BOX], "confidence", "n")
+
+
 def merge_sweep(frags: DataFrame, scales: list[float], baseline: float) -> DataFrame:
     """For each scale (held to 0.1 .. 1.5) regions, fragments and pages whose groups differ from the baseline's.
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from pagetext.operators import edits as op
+from pagetext.operators.graph import kept
 from pagetext.plans.fixtures import SQL, fixture
 from pagetext.sources.batches import read_batches
 from pagetext.streaming.jobs import shared_folder
@@ -29,36 +30,39 @@ def _shown(df):
     return df.select("page_id", "region_id", "pos", "text", "tl", *op.BOX, F.array_join(F.transform("members", lambda m: m["id"].cast("string")), ",").alias("members"))
 
 
-def _splits(s, d):
-    keys = _regions(s, d).select("page_id", "region_id").where("(page_id + region_id) % 3 = 0")
+def _splits(regions):
+    keys = regions.select("page_id", "region_id").where("(page_id + region_id) % 3 = 0")
     return keys.select("page_id", "region_id", (F.col("page_id") % 4 - 1).cast("int").alias("after"), (F.col("region_id") + SAFE).alias("new_id"))
 
 
-def _joins(s, d):
-    pages = _regions(s, d).select("page_id").distinct().where("page_id % 4 < 3")
+def _joins(regions):
+    pages = regions.select("page_id").distinct().where("page_id % 4 < 3")
     return pages.select("page_id", (F.col("page_id") % 2 * 2).alias("region_id"), F.when(F.col("page_id") % 5 == 0, 77).otherwise(1).cast("bigint").alias("other_id"))
 
 
 def split_regions(s, d):
-    return _shown(op.split_regions(_regions(s, d), _splits(s, d)))
+    regions = kept(_regions(s, d))  # read more than once
+    return _shown(op.split_regions(regions, _splits(regions)))
 
 
 def join_regions(s, d):
-    return _shown(op.join_regions(_regions(s, d), _joins(s, d)))
+    regions = kept(_regions(s, d))
+    return _shown(op.join_regions(regions, _joins(regions)))
 
 
 def manual_order(s, d):
     """The list of places backwards, with one that isn't there, after two moves."""
-    pages = _regions(s, d).groupBy("page_id").agg(F.count("*").cast("int").alias("n")).where("page_id % 3 <> 0")
+    regions = kept(_regions(s, d))
+    pages = regions.groupBy("page_id").agg(F.count("*").cast("int").alias("n")).where("page_id % 3 <> 0")
     move = lambda seq, at, by: F.struct(F.lit(seq).alias("seq"), at.cast("int").alias("at"), F.lit(by).alias("by"))
     moves = F.array(move(2, F.col("page_id") % 4, 1), move(1, F.lit(0), 1))
     places = op.moved(F.concat(F.array(F.lit(50)), F.reverse(F.sequence(F.lit(0), F.col("n") - 1))), moves)
-    return _shown(op.manual_order(_regions(s, d), pages.select("page_id", places.alias("places"))))
+    return _shown(op.manual_order(regions, pages.select("page_id", places.alias("places"))))
 
 
-def _log(s, d):
+def _log(regions):
     """Edits of two of three pages: a split of the first region, a join, a text, a move, a deletion, an addition."""
-    pages = _regions(s, d).select("page_id").distinct().where("page_id % 3 <> 1")
+    pages = regions.select("page_id").distinct().where("page_id % 3 <> 1")
     none = {"text": F.lit(None).cast("string"), "other_id": F.lit(None).cast("bigint"), "after": F.lit(None).cast("int"), "by": F.lit(None).cast("int"), **{c: F.lit(None).cast("double") for c in op.BOX}}
     edit = lambda seq, region, kind, **more: F.struct(F.lit(seq).cast("bigint").alias("seq"), region.cast("bigint").alias("region_id"), F.lit(kind).alias("kind"), *[v.alias(k) for k, v in (none | more).items()])
     one = lambda n: F.lit(n).cast("bigint")
@@ -74,7 +78,8 @@ def _log(s, d):
 
 
 def replay_edits(s, d):
-    return _shown(op.replay_edits(_regions(s, d), _log(s, d)))
+    regions = kept(_regions(s, d))
+    return _shown(op.replay_edits(regions, _log(regions)))
 
 
 def _chapters(s, d):

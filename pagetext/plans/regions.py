@@ -57,7 +57,7 @@ def filter_by_confidence(spark, d):
 
 def region_boxes(spark, d):
     """Regions without their text order: box, centre, confidence and number of members."""
-    return op.merge_regions(fixture(spark, d, "f1_fragments"), borders=fixture(spark, d, "f2_borders")).select("page_id", "group_id", "cx", "cy", "x1", "y1", "x2", "y2", "confidence", F.size("members").cast("bigint").alias("n"))
+    return op.region_boxes(fixture(spark, d, "f1_fragments"), borders=fixture(spark, d, "f2_borders"))
 
 
 def merge_regions(spark, d):
