@@ -500,22 +500,53 @@ def gap_profile_veto(bands: DataFrame, ink: DataFrame) -> DataFrame:
     """bands(page_id, gx1, gy1, gx2, gy2, tone) with veto: a row is more than 60 % ink, none is below 4 %, or the
     longest clear stretch is under a quarter of the band. Ink is dark on tones from 128, else light;
     null for bands under 4 px wide or 2 px high, or without a tone."""
-    level = F.when(F.col("tone") >= 128, "dark").otherwise("light")
     usable = F.col("tone").isNotNull() & (F.col("gx2") - F.col("gx1") >= 4) & (F.col("gy2") - F.col("gy1") >= 2)
     key = ["page_id", "gx1", "gy1", "gx2", "gy2", "tone"]
-    rows = bands.where(usable).select(*key).distinct().select(*key, F.explode(F.sequence(F.col("gy1"), F.col("gy2") - 1)).alias("y"), level.alias("level"))
-    b, r = rows.alias("b"), ink.alias("r")
-    low, high = F.greatest("r.x0", "b.gx1"), F.least(F.col("r.x1") + 1, F.col("b.gx2"))
-    met = b.join(r, (F.col("b.page_id") == F.col("r.page_id")) & (F.col("b.y") == F.col("r.y")) & (F.col("b.level") == F.col("r.level")), "left")
-    lines = met.groupBy(*[F.col(f"b.{k}") for k in key], F.col("b.y")).agg((F.sum(F.when(F.col("r.y").isNull(), 0).otherwise(F.greatest(F.lit(0), high - low))) / (F.col("gx2") - F.col("gx1"))).alias("ink"))
-    w = Window.partitionBy(*key).orderBy("y")
-    clear = F.col("ink") < 0.04
-    runs = lines.withColumn("k", F.sum(F.when(clear, 0).otherwise(1)).over(w)).groupBy(*key, "k").agg(F.sum(F.when(clear, 1).otherwise(0)).alias("clear"), F.max("ink").alias("ink"))
-    veto = (F.max("ink") > 0.6) | (F.max("clear") == 0) | (F.max("clear") < 0.25 * F.first(F.col("gy2") - F.col("gy1")))
-    told = runs.groupBy(*key).agg(veto.alias("veto"))
+    dark = F.when(F.col("tone") >= 128, 1).otherwise(0).alias("dark")
+    sides = [
+        ink.where("level IN ('dark', 'light')").select("page_id", F.lit(0).alias("kind"), "y", F.col("x0").alias("gx1"), F.col("y").alias("gy1"), F.col("x1").alias("gx2"), F.col("y").alias("gy2"), F.lit(0).cast(bands.schema["tone"].dataType).alias("tone"), F.when(F.col("level") == "dark", 1).otherwise(0).alias("dark")),
+        bands.where(usable).select(*key).distinct().select("page_id", F.lit(1).alias("kind"), F.col("gy1").alias("y"), *key[1:], dark),
+    ]
+    kinds = dict(bands.dtypes)
+    told = by_page(sides[0].dropna().union(sides[1]), ["page_id"], _profiles, ", ".join([*(f"{k} {kinds[k]}" for k in key), "veto boolean"]), "kind", "dark", "y")
     return bands.join(told, key, "left")  # bands without a tone have no veto
 
 
+ROWS_AT_ONCE = 1 << 16  # of bands, laid out together
+
+
+def _profiles(rows: pd.DataFrame, page: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Vetoes of whole pages' bands: each of a band's rows meets the runs of its page, level and row by a search."""
+    kind, y, x0, x1, y1, dark = (rows[c].to_numpy(np.int64) for c in ("kind", "y", "gx1", "gx2", "gy2", "dark"))
+    if not (kind == 1).any():
+        return
+    least = y.min()
+    span = max(y.max(), y1.max()) - least + 1
+    line = (page.astype(np.int64) * 2 + dark) * span + y - least
+    ink = np.flatnonzero(kind == 0)  # by page, level and row
+    bands = np.flatnonzero(kind == 1)
+    high = y1[bands] - y[bands]
+    total = np.cumsum(high)
+    begin = 0
+    while begin < len(bands):
+        stop = max(begin + 1, int(np.searchsorted(total, total[begin] - high[begin] + ROWS_AT_ONCE, "right")))
+        some, n = bands[begin:stop], high[begin:stop]
+        start = np.cumsum(n) - n
+        of = np.repeat(some, n)
+        at = line[of] + np.arange(len(of)) - np.repeat(start, n)
+        low = np.searchsorted(line[ink], at, "left")
+        met = np.searchsorted(line[ink], at, "right") - low
+        row = np.repeat(np.arange(len(of)), met)
+        run = ink[np.arange(len(row)) - np.repeat(np.cumsum(met) - met, met) + np.repeat(low, met)]
+        both = np.maximum(0, np.minimum(x1[run] + 1, x1[of[row]]) - np.maximum(x0[run], x0[of[row]]))
+        share = np.bincount(row, both, len(of)) / (x1[of] - x0[of])
+        last = np.where(share < 0.04, np.repeat(start, n) - 1, np.arange(len(of)))  # row that isn't clear
+        clear = np.maximum.reduceat(np.arange(len(of)) - np.maximum.accumulate(last), start)
+        veto = (np.maximum.reduceat(share, start) > 0.6) | (clear == 0) | (clear < 0.25 * n)
+        yield rows.iloc[some][["page_id", "gx1", "gy1", "gx2", "gy2", "tone"]].assign(veto=veto)
+        begin = stop
+
+
 def residual_check(before: DataFrame, after: DataFrame, boxes: DataFrame, share: float = 0.006, blob: int = 12) -> DataFrame:
     """boxes with pixels that are off the tone both before and after, their share, the largest blob and the flag."""
     p, q = before.alias("p"), after.alias("q")
