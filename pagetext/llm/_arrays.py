@@ -18,12 +18,13 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 SLICE_BYTES = 4 << 20
+HASHED_BYTES = 1 << 18  # of words that are hashed at once: some arrays of 8 bytes for each
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE and its inverse to the powers 0 .. n - 1, modulo 2**64."""
     if len(_powers["up"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, HASHED_BYTES + 1)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -91,7 +92,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np
     first = 0
     while first < len(starts):
         low = starts[first]
-        last = max(first + 1, int(np.searchsorted(ends, low + SLICE_BYTES, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, low + HASHED_BYTES, "right")))
         high = ends[last - 1]
         up, down = powers(int(high - low) + 1)
         sums = np.zeros(int(high - low) + 1, np.uint64)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,12 @@ def dropped(*tables: DataFrame) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def listed(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A few rows of the driver's as a table. Spark reads Arrow itself; a list of Python rows would pass through
+    Python workers of another kind, which stay in each executor's memory beside those of the Arrow functions."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def numbered(df: DataFrame, name: str = "row") -> DataFrame:
     """df with a number for each row that stays the same whenever it is read again, however the
     session splits its scans then: the place of its Parquet file among all files that are read, and of the row
@@ -57,5 +64,5 @@ def numbered(df: DataFrame, name: str = "row") -> DataFrame:
         files = sorted(r[0] for r in placed.select("__file").distinct().limit(MOST_FILES + 1).collect())
     if files is None or len(files) > MOST_FILES:
         return stored(df.withColumn(name, F.monotonically_increasing_id()))
-    order = df.sparkSession.createDataFrame(list(enumerate(files)), "__order bigint, __file string")
+    order = listed(df.sparkSession, __order=pa.array(range(len(files)), pa.int64()), __file=pa.array(files, pa.string()))
     return placed.join(F.broadcast(order), "__file").withColumn(name, F.shiftleft("__order", 33) + F.col("__place")).select(*df.columns, name)

@@ -167,8 +167,15 @@ class Levels:
 
     @staticmethod
     def _sorted(run: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Takes run's columns one by one, so that but one is there twice."""
         order = np.lexsort((run["whole"], run["key"]))
-        return {k: v[order] for k, v in run.items() if k not in ("group", "opens")}
+        return {k: run.pop(k)[order] for k in list(run) if k not in ("group", "opens")}
+
+    @classmethod
+    def _merged(cls, old: dict[str, np.ndarray], new: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        for run in (old, new):
+            del run["group"], run["opens"]
+        return cls._grouped(cls._sorted({k: np.concatenate([old.pop(k), new.pop(k)]) for k in list(old)}))
 
     @staticmethod
     def _grouped(run: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -177,9 +184,10 @@ class Levels:
 
     @classmethod
     def _run(cls, batch: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """A batch as a sorted run, without flags but `first`: the first of each stretch; and the number of each
-        suffix's stretch."""
-        run = cls._grouped(cls._sorted(batch | {"pair": batch["key"] ^ mix(batch["whole"])}))
+        """A batch, whose columns go, as a sorted run, without flags but `first`: the first of each stretch; and the
+        number of each suffix's stretch."""
+        batch["pair"] = batch["key"] ^ mix(batch["whole"])
+        run = cls._grouped(cls._sorted(batch))
         whole, none = run["whole"], np.zeros(len(run["key"]), bool)
         kind = np.concatenate([[True], (whole[1:] != whole[:-1]) | (run["group"][1:] != run["group"][:-1])])
         return run | {"first": kind, "settled": none, "several": none.copy()}, np.cumsum(kind) - 1
@@ -200,8 +208,7 @@ class Levels:
     def add(self, batch: dict[str, np.ndarray]) -> None:
         run = self.scan(batch)
         while self.runs and len(self.runs[-1]["key"]) <= 2 * len(run["key"]):
-            old = self.runs.pop()
-            run = self._grouped(self._sorted({k: np.concatenate([old[k], run[k]]) for k in run if k not in ("group", "opens")}))
+            run = self._merged(self.runs.pop(), run)
         self.runs.append(run)
 
     @staticmethod
@@ -240,12 +247,13 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        run = {k: np.frombuffer(b"".join(batch.column(k).to_pylist()), kind) for k, kind in _SUFFIX.items()}
+        run = {k: buffers(batch.column(k))[0].view(kind) for k, kind in _SUFFIX.items()}
         early = run["whole"] == 0
         if early.any():
             yield told(run, early, 1)
-        if not early.all():
-            levels.add({k: v[~early] for k, v in run.items()})
+            run = {k: v[~early] for k, v in run.items()}
+        if len(run["key"]):
+            levels.add(run)
     for run in levels.runs:
         yield told(run, run["settled"], 1)
         yield told(run, run["several"] & run["first"], 0)
@@ -293,10 +301,10 @@ def _probed(shape: _Shape, bits: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, pack) of runs of repeated windows: the last start of each run as anchor, the first as far."""
-    got = [{k: np.frombuffer(b"".join(batch.column(k).to_pylist()), kind) for k, kind in _WINDOW.items()} for batch in batches if batch.num_rows]
+    got = [{k: buffers(batch.column(k))[0].view(kind) for k, kind in _WINDOW.items()} for batch in batches if batch.num_rows]
     if not got:
         return
-    run = {k: np.concatenate([g[k] for g in got]) for k in _WINDOW}
+    run = {k: np.concatenate([g.pop(k) for g in got]) for k in _WINDOW}
     hashes = run["hashes"]
     order = np.argsort(hashes, kind="stable")
     same = hashes[order][1:] == hashes[order][:-1]
@@ -326,32 +334,34 @@ def _runs(found: list[tuple[int, int]]) -> list[list[int]]:
 def _removed(batches: Iterator[pa.RecordBatch], shapes: list[_Shape], keep_text: bool, keep_passages: bool) -> Iterator[pa.RecordBatch]:
     """Bytes left of (id, text, packs by shape): counts and digest, or the text itself."""
     names = ["row", "id", "n_bytes", "n_removed", "n_spans", "n_passages", "passage_bytes", "left"]
-    for batch in batches:
-        out = []
-        for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-            text = text or b""
-            goes: list[tuple[int, int]] = []
-            passages: list[list[int]] = []
-            for shape, packs in zip(shapes, batch.columns[3:], strict=True):
-                if p := packs[k].as_py():
-                    p = np.array(p, np.int64)
-                    at, far, near = p >> 24, p >> 12 & 0xFFF, p >> 1 & 0x7FF
-                    s, e = at - far, at - near + shape.length
-                    if shape.words:
-                        starts, ends, _ = spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-                        s, e = starts[s], ends[e - 1]
-                        passages = _runs(list(zip(s.tolist(), e.tolist(), strict=True)))
-                    if not (shape.words and keep_passages):
-                        goes += zip(s.tolist(), e.tolist(), strict=True)
-            gone, kept, last = _runs(goes), [], 0
-            for s, e in gone:
-                kept.append(text[last:s])
-                last = e
-            kept.append(text[last:])
-            left = b"".join(kept)
-            out.append((len(text), len(text) - len(left), len(gone), len(passages), sum(e - s for s, e in passages), left.decode("utf-8", "ignore") if keep_text else hashlib.sha256(left).hexdigest()))
-        *counts, rest = zip(*out, strict=True) if out else [()] * 6
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(rest, pa.string())], names)
+    for whole in batches:
+        for first, last in slices(whole.column("text")):
+            batch = whole.slice(first, last - first)
+            out = []
+            for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                text = text or b""
+                goes: list[tuple[int, int]] = []
+                passages: list[list[int]] = []
+                for shape, packs in zip(shapes, batch.columns[3:], strict=True):
+                    if p := packs[k].as_py():
+                        p = np.array(p, np.int64)
+                        at, far, near = p >> 24, p >> 12 & 0xFFF, p >> 1 & 0x7FF
+                        s, e = at - far, at - near + shape.length
+                        if shape.words:
+                            starts, ends, _ = spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+                            s, e = starts[s], ends[e - 1]
+                            passages = _runs(list(zip(s.tolist(), e.tolist(), strict=True)))
+                        if not (shape.words and keep_passages):
+                            goes += zip(s.tolist(), e.tolist(), strict=True)
+                gone, kept, last = _runs(goes), [], 0
+                for s, e in gone:
+                    kept.append(text[last:s])
+                    last = e
+                kept.append(text[last:])
+                left = b"".join(kept)
+                out.append((len(text), len(text) - len(left), len(gone), len(passages), sum(e - s for s, e in passages), left.decode("utf-8", "ignore") if keep_text else hashlib.sha256(left).hexdigest()))
+            *counts, rest = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(rest, pa.string())], names)
 
 
 def _marked(rows: DataFrame, shape: _Shape, parts: int) -> DataFrame:

@@ -6,10 +6,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagetext.llm._store import numbered, stored
+from pagetext.llm._store import listed, numbered, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -24,11 +25,8 @@ def _placed(totals: DataFrame) -> DataFrame:
     ranges = totals.withColumn("none", F.col("source").isNull()).repartitionByRange("none", "source")
     spread = stored(ranges.withColumn("range", F.spark_partition_id()))
     sizes = sorted((r.range, r.n) for r in spread.groupBy("range").agg(F.count("*").alias("n")).collect())
-    first, at = [], 0
-    for number, n in sizes:
-        first.append((number, at))
-        at += n
-    starts = F.broadcast(totals.sparkSession.createDataFrame(first, "range int, first bigint"))  # one row for each partition
+    n = np.array([n for _, n in sizes], np.int64)
+    starts = F.broadcast(listed(totals.sparkSession, range=pa.array([number for number, _ in sizes], pa.int32()), first=pa.array(np.cumsum(n) - n)))  # one row for each partition
     own = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
     return spread.withColumn("own", own).join(starts, "range").select("source", "source_size", "n", (F.col("first") + F.col("own") - 1).alias("place"))
 

@@ -1,13 +1,18 @@
 """Stages keep the documents' columns, decide as their operators do, and bear odd rows."""
 
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as pipeline
-from pagetext.llm._store import stored
-from pagetext.llm.op10_long_repeats import long_repeats
+from pagetext.llm._arrays import buffers, packed, spans, word_hashes
+from pagetext.llm._store import numbered, stored
+from pagetext.llm.op7_mixing import _placed
+from pagetext.llm.op10_long_repeats import _SUFFIX, _removed, _scanned, _Shape, long_repeats
 from test_llm import DOCS, corpus, words
 
 
@@ -76,3 +81,62 @@ def test_empty_and_null_tables(spark, tmp_path, rows):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = pipeline.run(spark, str(tmp_path)).collect()
     assert len(got) == len(rows) and all(r.taken == 0 for r in got)
+
+
+def _peak(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_are_hashed_in_little_memory():
+    """A slice of 4 MB takes some MB beside its spans; the hashes don't depend on where it is cut."""
+    rng = random.Random(5)
+    texts = [words(rng, 60_000, 3000), "x" * 600_000, words(rng, 400_000, 3000)]
+    data, at = buffers(pa.array(texts))
+    starts, ends, _ = spans(data, at)
+    got, peak = _peak(lambda: word_hashes(data, starts, ends))
+    assert len(data) > 3 << 20 and peak < 8 * len(starts) + (40 << 20)
+    known = {}
+    for h, t in zip(got.tolist(), " ".join(texts).split(), strict=True):
+        assert known.setdefault(t, h) == h
+    assert len(set(known.values())) == len(known)
+    alone, one = buffers(pa.array([texts[0][:50]]))
+    s, e, _ = spans(alone, one)
+    assert word_hashes(alone, s, e)[:5].tolist() == got[:5].tolist()
+
+
+def test_repeats_leave_few_copies_of_a_batch():
+    """A large Arrow batch of texts is cut slice by slice, and a partition's suffixes are sorted column by column."""
+    text = "".join(random.Random(6).choices("abcdefgh ", k=100_000))
+    n, pack = 400, [500 << 24 | 30 << 12 | 1]
+    batch = pa.record_batch([pa.array(range(n)), pa.array(range(n)), pa.array([text] * n), pa.array([pack] * n, pa.list_(pa.int64()))], ["row", "id", "text", "packs0"])
+    shape = _Shape(400)
+    rest, peak = _peak(lambda: sum(len(t) == 99_570 for b in _removed(iter([batch]), [shape], True, False) for t in b.column("left").to_pylist()))
+    assert rest == n and peak < 20 << 20 < batch.nbytes
+
+    rng = np.random.default_rng(2)
+    own = {k: rng.integers(1, 1 << 14, 400_000).astype(kind) for k, kind in _SUFFIX.items()}
+    own["key"] = rng.integers(0, 1 << 63, 400_000).astype(np.uint64)
+    dealt = packed(np.arange(400_000) % 500, own)
+    found, peak = _peak(lambda: sum(b.num_rows for b in _scanned(dealt.slice(i, 100) for i in range(0, 500, 100))))
+    assert found == own["twice"].sum() and peak < 4 * dealt.nbytes
+
+
+def test_numbers_start_no_python_workers(spark, tmp_path):
+    """Files are numbered by a table that the JVM reads, not by an RDD of Python rows."""
+    spark.range(9).repartition(3).write.parquet(f"{tmp_path}/rows")
+    seen = spark.read.parquet(f"{tmp_path}/rows")
+    totals = spark.createDataFrame([("a", 3, 1), ("b", 4, 1), (None, 5, 2)], "source string, source_size bigint, n bigint")
+    assert [r.place for r in _placed(totals).orderBy("source_size").collect()] == [0, 1, 2]
+    assert len({r.row for r in numbered(seen).collect()}) == 9
+    for rows in (numbered(seen), _placed(totals)):
+        left, sources = [rows._jdf.queryExecution().analyzed()], []
+        while left:
+            plan = left.pop()
+            left += [plan.children().apply(i) for i in range(plan.children().size())]
+            if plan.nodeName().endswith("RDD"):
+                sources.append(plan.rdd().toDebugString())
+        assert not any("PythonRDD" in s for s in sources)
