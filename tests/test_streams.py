@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagetext.operators import edits as ed
 from pagetext.operators.fragments import merge_regions
 from pagetext.operators.graph import by_page
+from pagetext.plans import edits, streams
 from pagetext.sources import batches
 from pagetext.streaming import jobs
 
@@ -145,6 +146,13 @@ def test_stream_of_edits(spark, folder, every):
     assert shown(log.read()) == shown(ed.replay_edits(regions, edits)) and len(log.tail()) <= every
 
 
+def test_registered_stream_of_edits(spark, folder):
+    """The query itself, which lands its log in parts: the rows of its batch twin."""
+    rows = lambda query: sorted(map(tuple, query(spark, "/root/testdata/sf0.001").collect()))
+    found = rows(streams.stream_edits)
+    assert found and found == rows(edits.replay_edits)
+
+
 def test_a_batch_written_twice(spark, folder):
     rows = spark.createDataFrame([(1, 0, "a"), (2, 0, "b")], "chapter_id bigint, page_idx int, tl string")
     path = f"{folder}/sink"
