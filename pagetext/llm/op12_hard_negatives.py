@@ -19,7 +19,7 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 3
 LEAST, MOST = 50, 95  # hundredths of the positive's score
 ROWS, ANCHORS = 4096, 512  # rows in a block
-BUCKETS = 64  # blocks of rows that a copy of the anchors serves, at the least
+BUCKETS = 64  # copies of the anchors, where there are as many blocks of rows
 LARGEST = 1 << 62  # of a row's product with itself: scores fit 64 bits then
 EXACT = 1 << 24  # integers up to it are exact in float32
 DEPTH = 64  # components that one product adds up
@@ -95,7 +95,9 @@ def _blocks(size: int, bucket_of):
         wide[np.arange(wide.shape[1]) < lengths[:, None]] = x.flatten().to_numpy()
         order = np.lexsort((row, ids))
         most = int((wide.astype(float) ** 2).sum(1).max(initial=0.0) * (1 + 1e-9)) + 1
-        values = [bucket_of(number), wide.shape[1], most, row[order].tobytes(), ids[order].tobytes(), label[order].astype(np.int64).tobytes(), np.ascontiguousarray(wide[order]).tobytes()]
+        ends = int(wide.min(initial=0)), int(wide.max(initial=0))
+        narrow = next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= ends[0] and ends[1] <= np.iinfo(k).max)
+        values = [bucket_of(number), wide.shape[1], most, row[order].tobytes(), ids[order].tobytes(), label[order].astype(np.int64).tobytes(), wide[order].astype(narrow).tobytes()]
         kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
@@ -120,25 +122,37 @@ def _spread(buckets: int):
 
 
 class _Block:
-    def __init__(self, batch: pa.RecordBatch, side: str, i: int):
-        of = lambda name: batch.column(side + name)[i].as_py()
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        of = lambda name: batch.column(name)[i].as_py()
         self.rows, self.ids, self.labels = (np.frombuffer(of(n), np.int64) for n in ("rows", "ids", "labels"))
-        self.most, dims = of("most"), of("dims")
-        self.vectors = Residues(np.frombuffer(of("vectors"), np.int64).reshape(len(self.rows), dims))
+        self.most, dims, data = of("most"), of("dims"), of("vectors")
+        self.x = np.frombuffer(data, f"i{max(1, len(data) // max(1, len(self.rows) * dims))}").reshape(len(self.rows), dims)
+
+    def residues(self, dims: int) -> Residues:
+        return Residues(self.x[:, :dims].astype(np.int64))
 
 
 def _met(select):
-    """Scores of the anchors and the rows of each pair of blocks, given to `select`."""
+    """Scores of the anchors and the rows of each pair of blocks, given to `select`. A bucket's blocks of rows
+    come first and are held; its blocks of anchors pass by."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = [], None
         for batch in batches:
             for i in range(len(batch)):
-                a, b = _Block(batch, "a_", i), _Block(batch, "b_", i)
-                dims = min(a.vectors.x.shape[1], b.vectors.x.shape[1])  # what a shorter row lacks is 0
-                a.vectors, b.vectors = Residues(a.vectors.x[:, :dims]), Residues(b.vectors.x[:, :dims])
-                scores = products(a.vectors, b.vectors, (math.isqrt(a.most) + 1) * (math.isqrt(b.most) + 1))
-                extra = batch.column("a_wanted")[i].as_py() if "a_wanted" in batch.schema.names else None
-                yield select(a, b, scores, extra)
+                if (at := batch.column("bucket")[i].as_py()) != bucket:
+                    held, bucket = [], at
+                block = _Block(batch, i)
+                if not batch.column("anchors")[i].as_py():
+                    held.append(block)
+                    continue
+                wanted = batch.column("wanted")[i].as_py() if "wanted" in batch.schema.names else None
+                known: dict[int, Residues] = {}
+                for b in held:
+                    dims = min(block.x.shape[1], b.x.shape[1])  # what a shorter row lacks is 0
+                    if dims not in known:
+                        known[dims] = block.residues(dims)
+                    yield select(block, b, products(known[dims], b.residues(dims), (math.isqrt(block.most) + 1) * (math.isqrt(b.most) + 1)), wanted)
 
     return met
 
@@ -204,11 +218,12 @@ def taking_part(vectors: DataFrame, *, scale: int = SCALE) -> DataFrame:
 
 
 def _pairs(anchors: DataFrame, rows: DataFrame, buckets: int) -> DataFrame:
-    """Every block of anchors beside every block of rows. The anchors are copied once for each bucket
-    of row blocks and meet them by its number."""
-    left = anchors.select(*[F.col(c).alias("a_" + c) for c in anchors.columns if c != "bucket"], F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    right = rows.select("bucket", *[F.col(c).alias("b_" + c) for c in rows.columns if c != "bucket"])
-    return right.join(left, "bucket").drop("bucket")
+    """Every block of anchors beside every block of rows: the anchors are copied once for each bucket of row
+    blocks, and a bucket comes as its row blocks, then the anchors. Nothing is broadcast, as the copies
+    are many times what their table seems to be."""
+    copied = anchors.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).withColumn("anchors", F.lit(True))
+    both = rows.withColumn("anchors", F.lit(False)).unionByName(copied, allowMissingColumns=True)
+    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "anchors")
 
 
 def mine(vectors: DataFrame, *, every: int = EVERY, positives: int = POSITIVES, negatives: int = NEGATIVES, least: int = LEAST, most: int = MOST, block: int = ROWS, anchor_block: int = ANCHORS) -> DataFrame:
@@ -230,7 +245,8 @@ def mine(vectors: DataFrame, *, every: int = EVERY, positives: int = POSITIVES,
     numbered = taking_part(vectors).withColumn("row", F.monotonically_increasing_id())
     rows = stored(numbered)
     blocks = stored(rows.mapInArrow(_blocks(block, _spread(1 << 30)), BLOCK))
-    buckets = max(BUCKETS, blocks.count() // 4)
+    count = blocks.count()
+    buckets = max(1, min(count, max(BUCKETS, count // 4)))
     blocks = blocks.withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
     picked = rows.where(F.col("vec_id") % every == 0)
     parts = picked.count() // anchor_block + 1
@@ -239,7 +255,7 @@ def mine(vectors: DataFrame, *, every: int = EVERY, positives: int = POSITIVES,
     place = F.row_number().over(Window.partitionBy("anchor").orderBy(F.col("score").desc(), "other_id", "other"))
     first = scored.withColumn("place", place).where(F.col("place") <= positives)
     wanted = first.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("place", "score", "other", "other_id"))).alias("wanted"))
-    asked = stored(picked.withColumnRenamed("row", "anchor").join(wanted, "anchor").withColumnRenamed("anchor", "row").select("row", "vec_id", "label", "x", "wanted"))
+    asked = stored(picked.withColumnRenamed("row", "anchor").join(wanted.hint("merge"), "anchor").withColumnRenamed("anchor", "row").select("row", "vec_id", "label", "x", "wanted"))
     kind = "array<array<struct<place: int, score: bigint, other: bigint, other_id: bigint>>>"
     anchors = asked.coalesce(parts).mapInArrow(_asked(anchor_block), f"{BLOCK}, wanted {kind}")
     mined = _pairs(anchors, blocks, buckets).mapInArrow(_met(_best_negatives(negatives, least, most)), MINED)

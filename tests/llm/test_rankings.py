@@ -128,6 +128,15 @@ def test_mine(spark):
     assert op12.mine(frame.limit(0)).count() == 0
 
 
+def test_anchors_are_not_broadcast(spark):
+    """Copies of the anchors are as many as buckets of rows; a table of 64 copies went through the driver."""
+    rows = [(i, [float(i % 5), float(i % 7)], i % 3) for i in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    found = op12.mine(frame, block=8, anchor_block=2)
+    assert Counter(map(tuple, found.collect())) == mined(rows)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_transducers_compose():
     marks = lambda text, weights: [
         k for k, v in enumerate(op13.matched(text, op13.Lexicon(weights))[0]) if v
