@@ -203,10 +203,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named input over the tables in sf_dir, which are passed by value: no view is registered."""
+BROADCAST_ROWS = 1 << 18  # of a joined table, some hundred bytes each once they are in the driver
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str, bounded: bool = False) -> DataFrame:
+    """The named input over the tables in sf_dir, which are passed by value: no view is registered. Where it is
+    `bounded`, joined tables of more than BROADCAST_ROWS rows are not broadcast, however small their files are."""
     sql = SQL[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if t in sql.replace("(", " ").replace(")", " ").replace(",", " ").split()}
+    if bounded:
+        used = {t: df.hint("merge") if f"JOIN {t} " in sql and df.count() > BROADCAST_ROWS else df for t, df in used.items()}
     text = sql.replace("{", "{{").replace("}", "}}")
     for t in used:
         text = _braced(text, t)

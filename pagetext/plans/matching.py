@@ -15,7 +15,7 @@ ENGINES = ["heavy", "light"]
 
 
 def _two(s, d, side):
-    rows = op.fill_boxes(fixture(s, d, "f3_two_outputs").where(F.col("side") == side))
+    rows = op.fill_boxes(fixture(s, d, "f3_two_outputs", bounded=True).where(F.col("side") == side))
     return rows.withColumn("members", F.array(F.col("item_id") * 10, F.col("item_id") * 10 + 1)).withColumn("img_w", F.lit(PAGE_W)).withColumn("img_h", F.lit(PAGE_H))
 
 
@@ -52,7 +52,7 @@ def fix_right_cluster(s, d):
 
 
 def matched_regions(s, d):
-    found = op.matched_regions(_two(s, d, "a"), _two(s, d, "b"), _matches(s, d))
+    found = op.place_matches(_two(s, d, "a"), _two(s, d, "b"))
     return found.select("page_id", "item_id", *[F.round(c, 6).alias(c) for c in ("cx", "cy", *op.BOX)], "conf", F.array_join("members", ",").alias("members"))
 
 

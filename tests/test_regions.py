@@ -338,3 +338,27 @@ def test_groups_take_one_pass_over_pages(spark):
         assert {tuple(r) for r in found.collect()} == want and len({(p, g) for p, _, g in want}) < len(want) - 20
         plan = op.touching_labels(reach, lines)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_place_matches_is_matched_regions(spark):
+    """In one pass by page what the matches, joined to both outputs, give; rows without a page, an id or a text too."""
+    rng = random.Random(5)
+    nan, words = float("nan"), ["alpha", "alphq", "beta", "betta", "gamma", "gamut", "delta", "", None]
+    kinds = "page_id bigint, item_id bigint, text string, cx double, cy double, x1 double, y1 double, x2 double, y2 double, conf double, members array<bigint>"
+    number = lambda: rng.choice([None, nan, float(rng.randrange(90))])
+    rows = lambda k: [(p, i, rng.choice(words), *(number() for _ in range(7)), [k * 1000 + (i or 0), k]) for p in [*range(40), None] for i in [*range(6), *[None] * (p == 7)]]
+    a, b = (spark.createDataFrame(rows(k), kinds).repartition(3) for k in (1, 2))
+    columns = ["page_id", "item_id", "cx", "cy", "x1", "y1", "x2", "y2", "conf", "members"]
+    shown = lambda df: Counter(str(tuple(r)) for r in df.select(columns).collect())
+    found = matching.place_matches(a.drop("conf", "members"), b)
+    want = matching.matched_regions(a, b, matching.match_regions(a, b))
+    assert shown(found) == shown(want) and sum(r.conf is not None for r in found.collect()) > 20
+
+
+def test_large_tables_are_not_broadcast(spark, monkeypatch):
+    from pagetext.plans import fixtures
+    from pagetext.plans import matching as plans
+
+    monkeypatch.setattr(fixtures, "BROADCAST_ROWS", 100, raising=False)
+    plan = plans.matched_regions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("part.parquet") + plan.count("p_partkey") > 0
