@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from pagetext.operators.graph import by_page, component_labels, cut, kept, least_labels
 
-TILE = 64  # pixels, either way, of the tiles in which runs and boxes meet
 BAND = 4096  # rows of a page that one task labels
 REACH = 256  # pixels between boxes that count as near
 WAIST_SPAN = 12
@@ -190,33 +189,6 @@ def column_extents(labelled: DataFrame) -> DataFrame:
     return by_page(labelled.select(*keys, "y", "x0", "x1"), keys, swept, f"page_id {kinds['page_id']}, label {kinds['label']}, x0 int, x1 int, extent int")
 
 
-def _tiled_runs(runs: DataFrame) -> DataFrame:
-    """Runs cut at the edges of tiles, with the tile (ty, tx) of each piece."""
-    split = runs.withColumn("ty", F.floor(F.col("y") / TILE).cast("int")).withColumn("tx", F.explode(_tiles("x0", "x1")))
-    edge = F.col("tx") * TILE
-    return split.withColumns({"x0": F.greatest("x0", edge), "x1": F.least(F.col("x1"), edge + TILE - 1)})
-
-
-def _tiles(low: str | Column, high: str | Column) -> Column:
-    """The numbers of the tiles from low to high, both inclusive."""
-    tile = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / TILE).cast("int")
-    return F.sequence(tile(low), tile(high))
-
-
-def _tiled_boxes(boxes: DataFrame, pad: int = 0) -> DataFrame:
-    """(page_id, box_id, l, t, r, d, ty, tx, whole) of padded boxes, half-open, for each tile they meet."""
-    own = boxes.select("page_id", "box_id", (F.col("x1") - pad).alias("l"), (F.col("y1") - pad).alias("t"), (F.col("x2") + pad).alias("r"), (F.col("y2") + pad).alias("d")).where("l < r AND t < d")
-    tiled = own.withColumn("ty", F.explode(_tiles("t", F.col("d") - 1))).withColumn("tx", F.explode(_tiles("l", F.col("r") - 1)))
-    inside = lambda low, high, tile: (F.col(low) <= F.col(tile) * TILE) & (F.col(high) >= F.col(tile) * TILE + TILE)
-    return tiled.withColumn("whole", inside("l", "r", "tx") & inside("t", "d", "ty"))
-
-
-def _clipped(tiles: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The parts of pieces of runs that lie in boxes, tile by tile."""
-    met = tiles.join(pieces, ["page_id", "ty", "tx"]).where((F.col("y") >= F.col("t")) & (F.col("y") < F.col("d")))
-    return met.withColumns({"x0": F.greatest("x0", "l"), "x1": F.least(F.col("x1"), F.col("r") - 1)}).where("x0 <= x1")
-
-
 def _boxed(rows: pd.DataFrame, page: np.ndarray) -> Iterator[pd.DataFrame]:
     """(page_id, box_id, label, pixels) of the boxes among the runs of a band, some boxes at a time."""
     page, asked = _numbers(page), rows["asked"].to_numpy()
@@ -547,14 +519,92 @@ def _profiles(rows: pd.DataFrame, page: np.ndarray) -> Iterator[pd.DataFrame]:
         begin = stop
 
 
+_OPEN = np.int64(1 << 31)  # stands for an end that isn't known
+
+
+def _united(row: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a row that overlap or touch, as one, by row and x0."""
+    if not len(row):
+        return row, x0, x1
+    order = np.lexsort((x0, row))
+    row, x0, x1 = row[order], x0[order], x1[order]
+    low = int(x0.min())
+    wide = int(x1.max()) - low + 3
+    reach = np.maximum.accumulate(row * wide + x1 - low)
+    fresh = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (row[1:] * wide + x0[1:] - low > reach[:-1] + 1)))
+    return row[fresh], x0[fresh], np.maximum.reduceat(x1, fresh)
+
+
+def _left(rows: pd.DataFrame, page: np.ndarray) -> Iterator[pd.DataFrame]:
+    """What boxes of a band have of both kinds of runs, some boxes at a time: pixels and the largest blob, or, of boxes
+    that go on in another band, the runs."""
+    page, kind = _numbers(page), rows["kind"].to_numpy()
+    top = rows["band"].to_numpy(np.int64) * BAND
+    line, x0, x1 = page * BAND + rows["y"].to_numpy(np.int64) - top, rows["x0"].to_numpy(np.int64), rows["x1"].to_numpy(np.int64)
+    before, after, asked = (np.flatnonzero(kind == k) for k in range(3))
+    if not len(before) or not len(after) or not len(asked):
+        return
+    shared = []
+    for at in range(0, len(before), MOST_AT_ONCE >> 4):
+        some = before[at : at + (MOST_AT_ONCE >> 4)]
+        i, j = _meet(line[some], x0[some], x1[some], line[after], x0[after], x1[after])
+        i, j = some[i], after[j]
+        low, high = np.maximum(x0[i], x0[j]), np.minimum(x1[i], x1[j])
+        both = (low <= high) & (low > -_OPEN) & (high < _OPEN)
+        shared.append((line[i[both]], low[both], high[both]))
+    own, x0, x1 = _united(*(np.concatenate(c) for c in zip(*shared, strict=True)))
+    boxes = rows.iloc[asked]
+    names = boxes["box_id"].to_numpy()
+    order = np.lexsort((names, page[asked]))
+    boxes, names, of, top = boxes.iloc[order], names[order], page[asked][order], top[asked][order]
+    fresh = np.append(True, (of[1:] != of[:-1]) | (names[1:] != names[:-1]))
+    code, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)  # boxes of one name are one
+    t, d = (np.clip(boxes[c].to_numpy(np.int64) - top, 0, BAND) for c in ("y", "y2"))
+    l, r, goes_on = boxes["x0"].to_numpy(np.int64), boxes["x1"].to_numpy(np.int64), np.maximum.reduceat(boxes["goes_on"].to_numpy(), first)
+    for c, e in _chunks(np.add.reduceat(np.maximum(d - t, 0), first)):
+        some = np.arange(first[c], first[e] if e < len(first) else len(boxes))
+        box, y = _spread(t[some], (d - t)[some])
+        box = some[box]
+        at, run = _meet(of[box] * BAND + y, l[box], r[box] - 1, own, x0, x1)
+        row, low, high = _united(code[box[at]] * (BAND + 1) + y[at], np.maximum(x0[run], l[box[at]]), np.minimum(x1[run], r[box[at]] - 1))
+        if not len(row):
+            continue
+        which, n = row // (BAND + 1), high - low + 1
+        told = boxes.iloc[first[c:e]][["page_id", "box_id"]]
+        part = _touching(row, low, high, 1)
+        size = np.bincount(part, n, len(row)).astype(np.int64)
+        blob = np.zeros(e - c, np.int64)
+        np.maximum.at(blob, which - c, size)
+        ended = ~goes_on[c:e] & (blob > 0)
+        yield told[ended].assign(pixels=np.bincount(which - c, n, e - c).astype(np.int64)[ended], blob=blob[ended], y=None, x0=None, x1=None)
+        more = goes_on[which]
+        if more.any():
+            which = which[more]
+            yield told.iloc[which - c].assign(pixels=None, blob=None, y=row[more] % (BAND + 1) + top[first[which]], x0=low[more], x1=high[more])
+
+
 def residual_check(before: DataFrame, after: DataFrame, boxes: DataFrame, share: float = 0.006, blob: int = 12) -> DataFrame:
-    """boxes with pixels that are off the tone both before and after, their share, the largest blob and the flag."""
-    p, q = before.alias("p"), after.alias("q")
-    low, high = F.greatest("p.x0", "q.x0"), F.least("p.x1", "q.x1")
-    both = p.join(q, (F.col("p.page_id") == F.col("q.page_id")) & (F.col("p.y") == F.col("q.y")) & (low <= high)).select("p.page_id", "p.y", low.alias("x0"), high.alias("x1"))
-    parts = _clipped(_tiled_boxes(boxes), _tiled_runs(both)).select(F.concat_ws(":", "page_id", "box_id").alias("page_id"), "y", "x0", "x1")
-    inside = merged_runs(parts)  # what the tiles have cut
-    blobs = components_of_runs(inside).groupBy("page_id", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")).groupBy("page_id").agg(F.sum("n").alias("pixels"), F.max("n").alias("blob"))
-    told = boxes.join(blobs.select(F.split_part("page_id", F.lit(":"), F.lit(1)).cast("bigint").alias("page_id"), F.split_part("page_id", F.lit(":"), F.lit(2)).cast("int").alias("box_id"), "pixels", "blob"), ["page_id", "box_id"], "left").na.fill(0, ["pixels", "blob"])
+    """boxes with pixels that are off the tone both before and after, their share, the largest blob and the flag.
+
+    Runs and boxes meet once, in bands of BAND rows, and blobs are counted there; of boxes that reach over a band's
+    end the runs go on, and are labelled across bands."""
+    kinds = dict(boxes.dtypes)
+    floor = lambda c: F.floor(c / BAND)
+    own = boxes.dropna(subset=["page_id", "box_id"]).where("x1 < x2 AND y1 < y2")
+    low, high = floor(F.col("y1")), floor(F.col("y2") - 1)
+    asked = own.select("page_id", F.explode(F.sequence(low, high)).alias("band"), F.lit(2).alias("kind"), "box_id", (low < high).alias("goes_on"), F.col("y1").alias("y"), "y2", F.col("x1").alias("x0"), F.col("x2").alias("x1"))
+    end = lambda c, n: F.coalesce(F.col(c).cast("bigint"), F.lit(int(n))).alias(c)
+    side = lambda df, n: df.dropna(subset=["page_id", "y"]).select("page_id", floor(F.col("y")).alias("band"), F.lit(n).alias("kind"), F.lit(0).cast(kinds["box_id"]).alias("box_id"), F.lit(False).alias("goes_on"), "y", F.col("y").alias("y2"), end("x0", -_OPEN), end("x1", _OPEN))
+    columns = ["page_id", "box_id", "pixels", "blob", "y", "x0", "x1"]
+    schema = f"page_id {kinds['page_id']}, box_id {kinds['box_id']}, pixels bigint, blob bigint, y bigint, x0 bigint, x1 bigint"
+    met = kept(by_page(side(before, 0).union(side(after, 1)).union(asked), ["page_id", "band"], lambda rows, page: (part[columns] for part in _left(rows, page)), schema, "y", "x0"))
+    found, runs = met.where("y IS NULL").select("page_id", "box_id", "pixels", "blob"), met.where("y IS NOT NULL")
+    if not runs.isEmpty():
+        name = F.concat_ws(":", "page_id", "box_id")
+        labelled = components_of_runs(runs.select(name.alias("page_id"), "y", "x0", "x1"))
+        sizes = labelled.groupBy("page_id", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n")).groupBy("page_id").agg(F.sum("n").alias("pixels"), F.max("n").alias("blob"))
+        found = found.union(sizes.select(F.substring_index("page_id", ":", 1).cast(kinds["page_id"]), F.substring_index("page_id", ":", -1).cast(kinds["box_id"]), "pixels", "blob"))
+    total = found.groupBy("page_id", "box_id").agg(F.sum("pixels").alias("pixels"), F.max("blob").alias("blob"))
+    told = boxes.join(total.hint("merge"), ["page_id", "box_id"], "left").na.fill(0, ["pixels", "blob"])  # its rows are many times their file
     part = F.try_divide(F.col("pixels").cast("double"), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
     return told.withColumn("share", F.round(part, 6)).withColumn("flagged", (part >= share) | (F.col("blob") >= blob))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagetext.operators import runs as op
+from pagetext.operators.graph import kept
 from pagetext.plans.fixtures import SQL, fixture
 
 WIDTH, HEIGHT = 460, 32
@@ -71,8 +72,9 @@ def gap_profile_veto(s, d):
 
 
 def residual_check(s, d):
-    after = _mask(s, d).where("y % 4 < 3").select("page_id", "y", (F.col("x0") + 5).alias("x0"), "x1")
-    return op.residual_check(_mask(s, d), after, _boxes(s, d)).select("page_id", "box_id", "pixels", "blob", "share", "flagged")
+    before, boxes = kept(_mask(s, d)), kept(_boxes(s, d))  # read twice each
+    after = before.where("y % 4 < 3").select("page_id", "y", (F.col("x0") + 5).alias("x0"), "x1")
+    return op.residual_check(before, after, boxes).select("page_id", "box_id", "pixels", "blob", "share", "flagged")
 
 
 QUERIES = {f.__name__: f for f in (components_of_runs, fill_holes, column_extents, box_label, box_coverage, container_veto, waist_veto, path_label_veto, panel_borders, gap_profile_veto, residual_check)}

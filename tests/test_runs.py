@@ -270,3 +270,49 @@ def test_profiles_take_one_pass_over_pages(spark):
     got = sorted((tuple(r[c] for c in ("page_id", "gx1", "gy1", "gx2", "gy2", "tone", "veto")) for r in told.collect()), key=str)
     assert got == sorted(((*b, veto(*b)) for b in bands), key=str) and {r[-1] for r in got} == {None, True, False}
     assert "explode" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_residual_check_over_bands(spark):
+    """Runs that overlap, above the page's top and across a band's end, and runs without an end: pixels and blobs as counted one by one."""
+    rng = random.Random(17)
+    band = runs.BAND
+    lines = [*range(-5, 12), *range(band - 8, band + 9), *range(3 * band - 3, 3 * band + 3)]
+    some = lambda: [(p, y, x := rng.randrange(-4, 60), None if rng.random() < 0.02 else x + rng.randrange(-1, 9)) for p in range(3) for y in lines for _ in range(6)]
+    before, after = some(), some()
+    boxes = [(p, i, x, y, x + rng.randrange(0, 30), y + rng.randrange(0, 14)) for p in range(4) for i, (x, y) in enumerate((rng.randrange(-10, 60), rng.choice(lines) - 3) for _ in range(25))]
+    boxes.append((1, 99, -10, -10, 70, 3 * band + 10))
+    frames = [spark.createDataFrame(rows, "page_id bigint, y int, x0 int, x1 int").repartition(3) for rows in (before, after)]
+    found = runs.residual_check(*frames, spark.createDataFrame(boxes, BOX))
+    got = {(r.page_id, r.box_id): (r.pixels, r.blob, r.share, r.flagged) for r in found.collect()}
+    shared = set()
+    for p, y, a0, a1 in before:
+        for q, z, b0, b1 in after:
+            if p == q and y == z:
+                ends = [e for e in (a1, b1) if e is not None]
+                if ends:
+                    shared |= {(p, y, x) for x in range(max(a0, b0), min(ends) + 1)}
+    assert len(got) == len(boxes) == len({b[:2] for b in boxes})
+    for p, i, x1, y1, x2, y2 in boxes:
+        own = {(y, x) for q, y, x in shared if q == p and y1 <= y < y2 and x1 <= x < x2}
+        n, largest = len(own), 0
+        while own:
+            todo, size = [own.pop()], 1
+            while todo:
+                y, x = todo.pop()
+                near = {(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & own
+                own -= near
+                size += len(near)
+                todo += near
+            largest = max(largest, size)
+        area = (x2 - x1) * (y2 - y1)
+        share = n / area if area else None
+        assert got[p, i] == (n, largest, None if share is None else pytest.approx(share, abs=1e-6), (share is not None and share >= 0.006) or largest >= 12 or (None if share is None else False)), (p, i)
+
+
+def test_residual_check_counts_where_runs_and_boxes_meet(spark, monkeypatch):
+    """No runs inside boxes that lie in a band are dealt again or written, nor is what is found broadcast."""
+    monkeypatch.setattr(runs, "components_of_runs", lambda *_: pytest.fail("runs are written again"))
+    rows = spark.createDataFrame([(1, y, 2, 9) for y in range(30)], "page_id bigint, y int, x0 int, x1 int")
+    found = runs.residual_check(rows, rows, spark.createDataFrame([(1, 0, 0, 0, 20, 9), (1, 1, 30, 0, 40, 9)], BOX))
+    assert [(r.pixels, r.blob) for r in found.orderBy("box_id").collect()] == [(72, 72), (0, 0)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
