@@ -206,3 +206,31 @@ def test_pages_in_parts_share_states(spark, folder):
     finally:
         jobs.SHARDS = before
     assert max(told[0].state) <= 4, told[0].state
+
+
+def test_merge_holds_no_fragments_as_state(spark, folder):
+    """A page that is whole at once, one that is opened again by a late part, one that goes by time after the last
+    batch, and a fragment that comes twice: the last one counts, and no state grows with what has landed."""
+    rows = [(*r[:-2], 4, START) for r in pages(4) if r[1] < 4]
+    own = [[r for r in rows if r[0] == p] for p in range(4)]
+    changed = (*own[3][0][:6], "changed", *own[3][0][7:])
+    tick = lambda s: (50 + s, 0, 0.0, 0.0, 60.0, 16.0, "tick", 0.9, 900, 1400, "es", 1, at(s))
+    late = (*own[1][3][:-1], at(9000))
+    parts = [[*own[0], *own[1][:3], *own[3][:2]], [tick(2000), changed, *own[3][2:]], [tick(4000)], [late, *[(*r[:-1], at(8000)) for r in own[2][:3]]], [tick(9500)]]
+    told = []
+    found = regions_of(jobs.stream_merge(landed(spark, folder, parts, FRAG), told=told))
+    whole = [*own[0], *own[1][:3], late, *own[2][:3], changed, *own[3][1:], tick(2000), tick(4000), tick(9500)]
+    assert found == regions_of(merge_regions(spark.createDataFrame(whole, FRAG).drop("expected", "landed_at")))
+    assert max(told[0].state) == 0 and len(told[0].rows) == 5
+
+
+def test_a_batch_of_pages_run_again(spark, folder):
+    log = jobs.PageLog(spark, f"{folder}/log", "10 minutes")
+    of = lambda df: df if df is None else sorted((r.page_id, r.frag_id) for r in df.collect())
+    rows = [(*r[:-2], 4, START) for r in pages(3) if r[1] < 4]
+    first, rest = (spark.createDataFrame(part, FRAG) for part in (rows[:6], rows[6:]))
+    for _ in range(2):
+        assert of(log.step(0, first)) == [(0, i) for i in range(4)]
+    for _ in range(2):
+        assert of(log.step(1, rest)) == [(p, i) for p in (1, 2) for i in range(4)]
+    assert log.step(2, None) is None and log.pages()[1].where("version = 1 AND NOT twice").count() == 3
